@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, pii, secrets, sentencepieces
+from tallyloom.llm import decontaminate, jaccard, pii, secrets, sentencepieces
 from tallyloom.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return jaccard.components(docs, rule=jaccard.Rule(width=3, p=90, q=100))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.round_trip(table(spark, sf_dir, "documents"), piece_model(), keep=["doc_id"])
 
@@ -35,7 +40,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
-_QUERIES = [op1_decontamination, op3_pii, op6_sentencepiece, op8_secrets]
+_QUERIES = [op1_decontamination, op3_pii, op5_jaccard_join, op6_sentencepiece, op8_secrets]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
