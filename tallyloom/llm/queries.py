@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, jaccard, pii, secrets, sentencepieces
+from tallyloom.llm import decontaminate, jaccard, pii, repeats, secrets, sentencepieces
 from tallyloom.llm.common import table
 
 
@@ -40,7 +40,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
-_QUERIES = [op1_decontamination, op3_pii, op5_jaccard_join, op6_sentencepiece, op8_secrets]
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.report(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+_QUERIES = [op1_decontamination, op3_pii, op5_jaccard_join, op6_sentencepiece, op8_secrets, op9_substring_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
