@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, jaccard, pii, repeats, secrets, sentencepieces
+from tallyloom.llm import decontaminate, jaccard, pii, repeats, secrets, sentencepieces, sharding
 from tallyloom.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.round_trip(table(spark, sf_dir, "documents"), piece_model(), keep=["doc_id"])
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    return sharding.shard(table(spark, sf_dir, "documents")).select(*names)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
@@ -45,7 +50,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-_QUERIES = [op1_decontamination, op3_pii, op5_jaccard_join, op6_sentencepiece, op8_secrets, op9_substring_dedup]
+_QUERIES = [op1_decontamination, op3_pii, op5_jaccard_join, op6_sentencepiece, op7_sharding, op8_secrets, op9_substring_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
