@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, jaccard, pii, repeats, secrets, sentencepieces, sharding
+from tallyloom.llm import decontaminate, jaccard, pii, quality_rules, repeats, secrets, sentencepieces, sharding
 from tallyloom.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2"]
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select(*names)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return jaccard.components(docs, rule=jaccard.Rule(width=3, p=90, q=100))
@@ -50,7 +55,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-_QUERIES = [op1_decontamination, op3_pii, op5_jaccard_join, op6_sentencepiece, op7_sharding, op8_secrets, op9_substring_dedup]
+_QUERIES = [op1_decontamination, op3_pii, op4_quality_rules, op5_jaccard_join, op6_sentencepiece, op7_sharding, op8_secrets, op9_substring_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
