@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, jaccard, pii, quality_rules, repeats, secrets, sentencepieces, sharding
+from tallyloom.llm import decontaminate, jaccard, pii, quality_model, quality_rules, repeats, secrets, sentencepieces, sharding
 from tallyloom.llm.common import table
 
 
@@ -23,6 +24,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+#: The contract's bound on a score that counts as good.
+ACCEPT = 0.3
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.fit(quality_model.fit_sample(docs, table(spark, sf_dir, "labels")))
+    scored = quality_model.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", quality_model.held_out().alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
@@ -55,7 +67,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-_QUERIES = [op1_decontamination, op3_pii, op4_quality_rules, op5_jaccard_join, op6_sentencepiece, op7_sharding, op8_secrets, op9_substring_dedup]
+_QUERIES = [op1_decontamination, op2_quality_classifier, op3_pii, op4_quality_rules, op5_jaccard_join, op6_sentencepiece, op7_sharding, op8_secrets, op9_substring_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
