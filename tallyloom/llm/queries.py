@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, jaccard, pii, quality_model, quality_rules, repeats, secrets, sentencepieces, sharding
+from tallyloom.llm import decontaminate, html_extract, jaccard, pii, quality_model, quality_rules, repeats, secrets, sentencepieces, sharding
 from tallyloom.llm.common import table
 
 
@@ -67,7 +67,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-_QUERIES = [op1_decontamination, op2_quality_classifier, op3_pii, op4_quality_rules, op5_jaccard_join, op6_sentencepiece, op7_sharding, op8_secrets, op9_substring_dedup]
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, keep=["page_id", "url"])
+
+
+_QUERIES = [op1_decontamination, op2_quality_classifier, op3_pii, op4_quality_rules, op5_jaccard_join, op6_sentencepiece, op7_sharding, op8_secrets, op9_substring_dedup, op10_html_extraction]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
