@@ -69,11 +69,11 @@ def terms(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
 
 def index_vectors(codes: np.ndarray, dim: int = DIM) -> np.ndarray:
     """Sparse vectors of +1 and -1 in places that follow from the codes."""
-    out = np.zeros((len(codes), dim), np.float32)
+    out = np.zeros((len(codes), dim), np.int8)
     row = np.arange(len(codes))
     for i in range(NONZERO):
         h = mix(codes, 20 + i)
-        out[row, (h % _U(dim)).astype(np.int64)] += np.where(h >> _U(63), 1.0, -1.0).astype(np.float32)
+        out[row, (h % _U(dim)).astype(np.int64)] += np.where(h >> _U(63), 1, -1).astype(np.int8)
     return out
 
 
@@ -217,14 +217,19 @@ def fit_sample(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     order = F.xxhash64(F.lit(SEED), F.col("id"))
     chosen = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
     chosen = chosen.orderBy(order, "id", "y").limit(fit_rows)
-    texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    out, size = [], 0
-    for t, y in texts.join(F.broadcast(chosen), "id").orderBy(order, "id", "y").select("t", "y").limit(fit_rows).toLocalIterator():
-        size += len(t)
-        if out and size > fit_bytes:
+    # sizes first, so that no more than fit_bytes of text ever comes to the driver
+    texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "id")  # fit_rows rows at most
+    sizes = texts.select("id", "y", F.octet_length("t").alias("n")).orderBy(order, "id", "y").limit(fit_rows).collect()
+    taken, size = [], 0
+    for row in sizes:
+        size += row.n
+        if size > fit_bytes:
             break
-        out.append((t, y))
-    return out
+        taken.append((row.id,))
+    if not taken:
+        return []
+    ids = docs.sparkSession.createDataFrame(sorted(set(taken)), chosen.select("id").schema)
+    return [(r.t, r.y) for r in texts.join(F.broadcast(ids), "id", "left_semi").orderBy(order, "id", "y", "t").limit(len(taken)).collect()]
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", column: str = "score", keep: list[str] | None = None) -> DataFrame:
