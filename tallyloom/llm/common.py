@@ -23,12 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; only where that is unset (as in tests), under a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_DIRS:
+            _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
+        base = _OWN_DIRS[app]
     return f"{base.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
 
 
