@@ -29,7 +29,8 @@ from tallyloom.llm.common import SLICE_BYTES, drop_columns
 from tallyloom.llm.textscan import Words, ascii_lower_table, chunks, rolled, scan, separator_table
 
 WIDTH = 10
-SLICE_WORDS = 1_000_000
+#: Benchmark words in one broadcast slice; its n-gram table takes some 80 MB in a worker.
+SLICE_WORDS = 200_000
 #: Characters between words: all of ASCII but digits and letters.
 SEPARATORS = separator_table(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 LOWER = ascii_lower_table()
@@ -85,6 +86,16 @@ class Grams:
                         yield int(words.doc[at]), at, w, ids
 
 
+_BUILT: list = []
+
+
+def _grams(items: list[tuple[str | None, str]], width: int) -> Grams:
+    """The slice's set, built once in a worker process for each broadcast (tasks of a process see the same list)."""
+    if not (_BUILT and _BUILT[0] is items and _BUILT[1] == width):
+        _BUILT[:] = [items, width, Grams.build(items, width)]
+    return _BUILT[2]
+
+
 def _slices(benchmark: DataFrame, item_id: str, text: str, slice_words: int) -> Iterator[list[tuple[str | None, str]]]:
     part, n = [], 0
     rows = benchmark.select(F.col(item_id).cast("string"), F.col(text)).where(F.col(text).isNotNull()).toLocalIterator()
@@ -115,7 +126,7 @@ def _pass(docs: DataFrame, text: str, shared, width: int) -> DataFrame:
     n_state = len(docs.columns) - len(_STATE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams.build(shared.value, width)
+        grams = _grams(shared.value, width)
         for batch in batches:
             for begin, end, words, hashes in scan_words(batch.column(at)):
                 part = batch.slice(begin, end - begin)
