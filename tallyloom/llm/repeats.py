@@ -27,19 +27,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (used as pa.compute)
+import pyarrow.ipc  # noqa: F401  (used as pa.ipc)
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.common import SLICE_BYTES, drop_columns
-from tallyloom.llm.textscan import WHITE, Words, chunks, ranges, rolled, scan, separator_table
+from tallyloom.llm.textscan import WHITE, Words, chunks, mix, ranges, rolled, scan, separator_table
 
 DEPTH = 13
 #: Suffixes that one task holds.
-GROUP_SUFFIXES = 1_000_000
+GROUP_SUFFIXES = 750_000
 SEPARATORS = separator_table(WHITE)
 _U = np.uint64
+#: Text that one task takes back, in bytes before packing.
+BUCKET_BYTES = 48 << 20
+SUFFIXES, HITS, ROWS = 0, 1, 2
+_BLOCKS = "kind int, to long, block binary"
+_BLOCK_NAMES = ["kind", "to", "block"]
 #: Bits of a position; the rest of its word holds a tag of the text.
 _POS_BITS = 40
 
@@ -139,19 +145,43 @@ def _unplanes(data: bytes, n: int) -> np.ndarray:
 
 
 def pack(codes: np.ndarray, ids: np.ndarray, places: np.ndarray) -> bytes:
-    n = len(codes)
-    return n.to_bytes(8, "little") + codes.tobytes() + zstandard.compress(_planes(ids) + _planes(places), 1)
+    """codes may be empty: then only ids and places come back."""
+    head = np.array([len(codes), len(ids)], np.int64).tobytes()
+    return head + codes.tobytes() + zstandard.compress(_planes(ids) + _planes(places), 1)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    codes = np.frombuffer(blob, np.uint64, count=n, offset=8)
-    rest = zstandard.decompress(blob[8 + 8 * n :])
-    return codes, _unplanes(rest[: 8 * n], n), _unplanes(rest[8 * n :], n)
+    m, n = np.frombuffer(blob, np.int64, count=2).tolist()
+    rest = zstandard.decompress(blob[16 + 8 * m :])
+    return np.frombuffer(blob, np.uint64, count=m, offset=16), _unplanes(rest[: 8 * n], n), _unplanes(rest[8 * n :], n)
 
 
-def _scatter(docs: DataFrame, depth: int, task: np.ndarray) -> DataFrame:
-    """(task, known, block): suffixes for their subtree's task, and (task -1) repeats known within a batch."""
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64), 31) % _U(buckets)).astype(np.int64)
+
+
+def _cut(to: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, begin, end) of the runs of equal values."""
+    if not len(to):
+        return []
+    begin = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    return list(zip(to[begin].tolist(), begin.tolist(), np.r_[begin[1:], len(to)].tolist(), strict=True))
+
+
+def _hit_blocks(ids: np.ndarray, places: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """Repeats packed by the bucket of their document."""
+    to = bucket_of(ids, buckets)
+    order = np.lexsort((places, ids, to))
+    to, ids, places = to[order], ids[order], places[order]
+    return [(t, pack(np.zeros(0, np.uint64), ids[a:b], places[a:b])) for t, a, b in _cut(to)]
+
+
+def _rows(kind: int, blocks: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(blocks), pa.int32()), pa.array([t for t, _ in blocks], pa.int64()), pa.array([x for _, x in blocks], pa.binary())], names=_BLOCK_NAMES)
+
+
+def _scatter(docs: DataFrame, depth: int, task: np.ndarray, buckets: int) -> DataFrame:
+    """Blocks of suffixes for their subtree's task, and of repeats known within a batch for their document's bucket."""
     shared = docs.sparkSession.sparkContext.broadcast(task)
     depths = prefix_depths(depth)
 
@@ -172,47 +202,31 @@ def _scatter(docs: DataFrame, depth: int, task: np.ndarray) -> DataFrame:
                 least = np.minimum.reduceat(own[order], np.flatnonzero(new))[np.cumsum(new) - 1]
                 first = np.empty(len(code), dtype=bool)
                 first[order] = own[order] == least
+                if not first.all():
+                    yield _rows(HITS, _hit_blocks(own[~first], place[~first], buckets))
+                at, code, own, place = at[first], code[first], own[first], place[first]
                 to = np.full(len(at), -1, np.int64)
                 for i, w in enumerate(depths):
                     open_ = np.flatnonzero(to < 0)
                     if not len(open_):
                         break
                     to[open_] = plan[i][_slots(hashes, w, at[open_], slots)]
-                to[~first] = -1
                 order = np.lexsort((place, own, to))
                 to, code, own, place = to[order], code[order], own[order], place[order]
-                cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-                ends = np.r_[cut[1:], len(to)]
-                blobs = [pack(code[a:b] if to[a] >= 0 else np.zeros(b - a, np.uint64)[:0], own[a:b], place[a:b]) if to[a] >= 0 else b"" for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
-                known = [[], []]
-                if to[0] < 0:
-                    a, b = 0, int(ends[0])
-                    known = _by_document(own[a:b], place[a:b])
-                    cut, blobs = cut[1:], blobs[1:]
-                n, m = len(blobs), len(known[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[to[cut], np.full(m, -1, np.int64)]), pa.array(np.r_[np.zeros(n, np.int64), np.array(known[0], np.int64)]), pa.array([*blobs, *known[1]], pa.binary())], names=["task", "id", "block"])
-
-    return docs.mapInArrow(run, "task long, id long, block binary")
-
-
-def _by_document(ids: np.ndarray, places: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Packed places of each document; rows come sorted by document, then place."""
-    if not len(ids):
-        return [], []
-    cut = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    ends = np.r_[cut[1:], len(ids)]
-    return ids[cut].tolist(), [_runs(places[a:b]) for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
-
-
-def _runs(places: np.ndarray) -> bytes:
-    """Ascending places as (first, length) runs."""
-    cut = np.flatnonzero(np.r_[True, places[1:] != places[:-1] + 1])
-    return np.stack((places[cut], np.diff(np.r_[cut, len(places)])), axis=1).astype(np.int64).tobytes()
-
-
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorts the suffixes of a task and returns the places that repeat a smaller document's."""
-    got = [unpack(blob) for batch in batches for blob in batch.column(batch.schema.names.index("block")).to_pylist()]
+                yield _rows(SUFFIXES, [(t, pack(code[a:b], own[a:b], place[a:b])) for t, a, b in _cut(to)])
+
+    return docs.mapInArrow(run, _BLOCKS)
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Sorts the suffixes of a task and returns the places that repeat a smaller document's; known ones pass."""
+    got = []
+    for batch in batches:
+        kind, to, blocks = (batch.column(batch.schema.names.index(n)) for n in _BLOCK_NAMES)
+        known = pa.compute.equal(kind, HITS)
+        got += [unpack(x) for x in blocks.filter(pa.compute.invert(known)).to_pylist()]
+        if pa.compute.any(known).as_py():
+            yield pa.RecordBatch.from_arrays([kind.filter(known), to.filter(known), blocks.filter(known)], names=_BLOCK_NAMES)
     if not got:
         return
     code, ids, places = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -222,73 +236,91 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     new = np.r_[True, code[1:] != code[:-1]]
     least = np.minimum.reduceat(ids, np.flatnonzero(new))[np.cumsum(new) - 1]
     hit = ids > least
-    ids, places = ids[hit], places[hit]
-    order = np.lexsort((places, ids))
-    own, blobs = _by_document(ids[order], places[order])
-    for a in range(0, len(own), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array(own[a : a + 20_000], pa.int64()), pa.array(blobs[a : a + 20_000], pa.binary())], names=["id", "runs"])
+    if hit.any():
+        yield _rows(HITS, _hit_blocks(ids[hit], places[hit], buckets))
 
 
-def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
-    """docs with repeat_runs: packed runs of suffixes that repeat a smaller document's (null: none)."""
-    thin = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    size = thin.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    slots = 1 << max(10, (4 * (size // 6) // group_suffixes).bit_length())
-    counts = count_prefixes(thin, depth, slots)
-    task, tasks = plan_groups(counts, group_suffixes)
-    sent = _scatter(thin, depth, task)
-    # known repeats go by their document; suffixes by their task
-    deal = sent.repartition(tasks, F.when(F.col("task") >= 0, F.col("task")).otherwise(F.col("id")))
+def _row_blocks(docs: DataFrame, doc_id: str, buckets: int) -> DataFrame:
+    """The documents themselves, all columns, packed by bucket. Rows without an id have no repeats and go anywhere."""
+    at = docs.columns.index(doc_id)
 
     def run(batches):
-        def suffixes():
-            for batch in batches:
-                known = pa.compute.less(batch.column(0), 0)
-                one = batch.filter(known)
-                if len(one):
-                    passed.append(pa.RecordBatch.from_arrays([one.column(1), one.column(2)], names=["id", "runs"]))
-                yield batch.filter(pa.compute.invert(known)).select(["block"])
-
-        passed: list[pa.RecordBatch] = []
-        yield from _subtrees(suffixes())
-        yield from passed
-
-    runs = deal.mapInArrow(run, "id long, runs binary").groupBy("id").agg(F.collect_list("runs").alias("repeat_runs")).withColumnRenamed("id", "_repeat_id")
-    return drop_columns(docs, ["repeat_runs"]).join(runs, F.col(doc_id).cast("long") == F.col("_repeat_id"), "left").drop("_repeat_id")
-
-
-def _covered(words: Words, hashes: np.ndarray, runs: list, depth: int) -> np.ndarray:
-    """Whether each word of a chunk is covered by a repeat."""
-    step = np.zeros(len(hashes) + 1, np.int64)
-    tags = _tags(words, hashes)
-    for d, blobs in enumerate(runs):
-        if blobs:
-            n, first = int(words.per_doc[d]), int(words.first[d])
-            for blob in blobs:
-                pairs = np.frombuffer(blob, np.int64).reshape(-1, 2)
-                pairs = pairs[pairs[:, 0] >> _POS_BITS == tags[d]]
-                start = pairs[:, 0] & ((1 << _POS_BITS) - 1)
-                fits = start < n
-                np.add.at(step, first + start[fits], 1)
-                np.add.at(step, first + np.minimum(start + pairs[:, 1] + depth - 1, n)[fits], -1)
-    return np.cumsum(step[:-1]) > 0
-
-
-def _apply(found: DataFrame, text: str, depth: int, fields: list[T.StructField], made) -> DataFrame:
-    at, runs_at = found.columns.index(text), found.columns.index("repeat_runs")
-    kept = [i for i, c in enumerate(found.columns) if i != runs_at and c.lower() not in {f.name.lower() for f in fields}]
-    schema = T.StructType([found.schema[found.columns[i]] for i in kept] + fields)
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for n, batch in enumerate(batches):
+            ids = batch.column(at).cast(pa.int64())
+            to = np.where(ids.is_valid().to_numpy(zero_copy_only=False), bucket_of(ids.fill_null(0).to_numpy(zero_copy_only=False), buckets), (n + np.arange(len(ids))) % buckets)
+            order = np.argsort(to, kind="stable")
+            blocks = []
+            for t, a, b in _cut(to[order]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
+                    writer.write_batch(batch.take(pa.array(order[a:b])))
+                blocks.append((t, sink.getvalue().to_pybytes()))
+            yield _rows(ROWS, blocks)
+
+    return docs.mapInArrow(run, _BLOCKS)
+
+
+def _dealt(blocks: DataFrame, parts: int, by_task: bool) -> DataFrame:
+    """Each task's or bucket's blocks in a partition of its own; repeats on their way go to any task."""
+    to = F.when(F.col("kind") == SUFFIXES, F.col("to")).otherwise(F.pmod(F.xxhash64("to", F.length("block")), F.lit(parts))) if by_task else F.col("to")
+    if hasattr(blocks, "repartitionById"):
+        return blocks.repartitionById(parts, to.cast("int"))
+    return blocks.repartition(parts, to)
+
+
+def _judged(docs: DataFrame, doc_id: str, text: str, depth: int, group_suffixes: int, fields: list[T.StructField], made) -> DataFrame:
+    """docs with columns that made(words, which are removed, texts) computes from each chunk of texts."""
+    source = drop_columns(docs, [f.name for f in fields if f.name.lower() != text.lower()])
+    thin = source.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    size = thin.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    slots = 1 << max(10, (4 * (size // 6) // group_suffixes).bit_length())
+    task, tasks = plan_groups(count_prefixes(thin, depth, slots), group_suffixes)
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    found = _dealt(_scatter(thin, depth, task, buckets), tasks, True).mapInArrow(lambda b: _subtrees(b, buckets), _BLOCKS)
+    both = _dealt(found.union(_row_blocks(source, doc_id, buckets)), buckets, False)
+    kept = [c for c in source.columns if c.lower() not in {f.name.lower() for f in fields}]
+    out = T.StructType([source.schema[c] for c in kept] + fields)
+    id_at, text_at, places_of = source.columns.index(doc_id), source.columns.index(text), [source.columns.index(c) for c in kept]
 
     def run(batches):
+        hits, rows = [], []
         for batch in batches:
-            for begin, end, data, offsets in chunks(batch.column(at)):
-                part = batch.slice(begin, end - begin)
-                words = scan(data, offsets, SEPARATORS)
-                gone = _covered(words, hashes := words.hashes(), part.column(runs_at).to_pylist(), depth) if len(words.starts) else np.zeros(0, dtype=bool)
-                columns = made(words, gone, part.column(at))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *columns], names=schema.names)
-
-    return found.mapInArrow(run, schema)
+            for kind, block in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if kind == HITS:
+                    hits.append(unpack(block)[1:])
+                else:
+                    rows.append(block)
+        ids, places = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        del hits
+        order = np.argsort(ids, kind="stable")
+        ids, places = ids[order], places[order]
+        while rows:
+            for batch in pa.ipc.open_stream(rows.pop()):
+                for begin, end, data, offsets in chunks(batch.column(text_at)):
+                    part = batch.slice(begin, end - begin)
+                    words = scan(data, offsets, SEPARATORS)
+                    own = part.column(id_at).cast(pa.int64())
+                    gone = _covered(words, own, ids, places, depth)
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places_of), *made(words, gone, part.column(text_at))], names=out.names)
+
+    return both.mapInArrow(run, out)
+
+
+def _covered(words: Words, own: pa.Array, ids: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """Whether each word of a chunk is covered by a repeat. ids: sorted, each with the place of one."""
+    step = np.zeros(len(words.starts) + 1, np.int64)
+    if len(ids) and len(words.starts):
+        key, known = own.fill_null(0).to_numpy(zero_copy_only=False), own.is_valid().to_numpy(zero_copy_only=False)
+        low, high = np.searchsorted(ids, key, side="left"), np.searchsorted(ids, key, side="right")
+        count = np.where(known, high - low, 0)
+        doc, mine = np.repeat(np.arange(len(key)), count), places[ranges(low, count)]
+        start = mine & ((1 << _POS_BITS) - 1)
+        fits = (mine >> _POS_BITS == _tags(words, words.hashes())[doc]) & (start + depth <= words.per_doc[doc])
+        at = words.first[doc[fits]] + start[fits]
+        np.add.at(step, at, 1)
+        np.add.at(step, at + depth, -1)
+    return np.cumsum(step[:-1]) > 0
 
 
 def _kept_texts(words: Words, gone: np.ndarray) -> Iterator[bytes]:
@@ -304,17 +336,25 @@ def _kept_texts(words: Words, gone: np.ndarray) -> Iterator[bytes]:
 
 
 def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
-    """docs with n_words, n_removed and kept_sha256 (of the kept words joined by one space)."""
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
+    """docs with n_words, n_removed, kept_sha256 (of the kept words joined by one space) and repeats: maximal runs of removed words."""
+    run = T.ArrayType(T.ArrayType(T.LongType()))
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("repeats", run)]
 
     def made(words: Words, gone: np.ndarray, column: pa.Array) -> list[pa.Array]:
         lost = np.concatenate((np.zeros(1, np.int64), np.cumsum(gone)))
-        return [pa.array(words.per_doc, pa.int64()), pa.array(lost[words.first + words.per_doc] - lost[words.first], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in _kept_texts(words, gone)], pa.string())]
+        runs = []
+        for first, n in zip(words.first.tolist(), words.per_doc.tolist(), strict=True):
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], gone[first : first + n].view(np.int8), [0]))))
+            runs.append(edge.reshape(-1, 2).tolist())
+        return [
+            pa.array(words.per_doc, pa.int64()), pa.array(lost[words.first + words.per_doc] - lost[words.first], pa.int64()),
+            pa.array([hashlib.sha256(t).hexdigest() for t in _kept_texts(words, gone)], pa.string()), pa.array(runs, pa.list_(pa.list_(pa.int64()))),
+        ]
 
-    return _apply(find_repeats(docs, doc_id=doc_id, text=text, depth=depth, group_suffixes=group_suffixes), text, depth, fields, made)
+    return _judged(docs, doc_id, text, depth, group_suffixes, fields, made)
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """docs with repeated words cut: a text that loses some becomes its kept words joined by one space; others, null too, stay as they are."""
 
     def made(words: Words, gone: np.ndarray, column: pa.Array) -> list[pa.Array]:
@@ -322,4 +362,4 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         any_ = lost[words.first + words.per_doc] > lost[words.first]
         return [pa.array([k.decode() if x else t for k, x, t in zip(_kept_texts(words, gone), any_.tolist(), column.to_pylist(), strict=True)], pa.string())]
 
-    return _apply(find_repeats(docs, doc_id=doc_id, text=text, depth=depth), text, depth, [T.StructField(text, T.StringType())], made).select(*docs.columns)
+    return _judged(docs, doc_id, text, depth, group_suffixes, [T.StructField(text, T.StringType())], made).select(*docs.columns)
