@@ -16,7 +16,8 @@ from tallyloom.llm.common import materialize
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): each node of an edge with the smallest node reachable. Loops and repeated edges do no harm."""
     one = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    both = materialize(one.union(one.select("v", "u")).distinct())
+    ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    both = materialize(one.select(ways.alias("e")).select("e.u", "e.v").distinct())
     labels = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "node"))
     while True:
         near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("near"))

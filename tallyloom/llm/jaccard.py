@@ -30,12 +30,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import materialize
 from tallyloom.llm.components import connected
-from tallyloom.llm.textscan import WHITE, ascii_lower_table, chunks, mix, ranges, rolled, scan, separator_table, window_starts
+from tallyloom.llm.textscan import WHITE, ascii_lower_table, chunks, mix, rolled, scan, separator_table, window_starts
 
 SEPARATORS = separator_table(WHITE)
 LOWER = ascii_lower_table()
@@ -46,6 +47,8 @@ GROUP_DOCS = 64
 HOT_SHARE, HOT_MOST = 0.004, 65_536
 #: Bytes of slices that one task sorts.
 SLICE_TASK_BYTES = 24 << 20
+#: Bits of the bitmap of texts to fetch (8 MB): its size never grows; with very many keys it only sifts less.
+MARK_BITS = 1 << 26
 _U = np.uint64
 
 
@@ -207,6 +210,46 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, rule: Rule, hot: list[int],
     return _keyed(docs, doc_id, text).mapInArrow(run, "part long, block binary")
 
 
+def _marks(keys: DataFrame) -> np.ndarray:
+    """A bitmap of MARK_BITS bits, whatever the number of keys: which texts may be asked for. Joined by `or` in two steps on executors."""
+
+    def mark(batches):
+        marks = np.zeros(MARK_BITS, dtype=bool)
+        for batch in batches:
+            marks[_mark_of(batch.column(0).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([int(marks.sum()) % 1024], pa.int32()), pa.array([zstandard.compress(np.packbits(marks).tobytes(), 1)], pa.binary())], names=["at", "marks"])
+
+    def either(batches):
+        marks = np.zeros(MARK_BITS // 8, np.uint8)
+        for batch in batches:
+            for blob in batch.column(1).to_pylist():
+                marks |= np.frombuffer(zstandard.decompress(blob), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zstandard.compress(marks.tobytes(), 1)], pa.binary())], names=["at", "marks"])
+
+    shape = "at int, marks binary"
+    out = np.zeros(MARK_BITS // 8, np.uint8)
+    for row in keys.mapInArrow(mark, shape).repartition(8, "at").mapInArrow(either, shape).toLocalIterator():
+        out |= np.frombuffer(zstandard.decompress(bytes(row["marks"])), np.uint8)
+    return out
+
+
+def _mark_of(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.astype(np.int64).view(np.uint64), 8) % _U(MARK_BITS)).astype(np.int64)
+
+
+def _sifted(texts: DataFrame, marks: np.ndarray) -> DataFrame:
+    """texts (key, text) without most of those that no task asks for, so that the join moves few others."""
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            at = _mark_of(batch.column(0).to_numpy())
+            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the edges a-b: (node, the smallest node it reaches), for nodes that are not the smallest."""
     nodes, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
@@ -358,8 +401,8 @@ def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", r
         "key", "cls", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    texts = _keyed(docs, doc_id, text).select("key", "text")
-    candidates = texts.join(tasks, "key").select("part", "i", "j", "side", "cls", "text")
+    texts = _sifted(_keyed(docs, doc_id, text).select("key", "text"), _marks(members.select("key")))
+    candidates = texts.hint("shuffle_merge").join(tasks, "key").select("part", "i", "j", "side", "cls", "text")
     links = candidates.groupBy("part", "i", "j").applyInArrow(lambda t: _verify(t, rule), "a long, b long")
     roots = connected(links).select(F.col("node").alias("cls"), "root")
 
