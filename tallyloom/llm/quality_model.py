@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tallyloom.llm.common import scan_texts
 from tallyloom.llm.textscan import BYTE_CODE, WHITE, ascii_lower_table, chunks, mix, scan, separator_table, span_hashes
 
-FIT_ROWS, FIT_BYTES = 6_000, 48 << 20
+FIT_ROWS, FIT_BYTES = 2_500, 16 << 20
 VOCABULARY, DIM, NONZERO, REACH = 30_000, 32, 4, 2
 HIDDEN, EPOCHS, SEED = 32, 200, 11
 SEPARATORS = separator_table(WHITE)
