@@ -407,7 +407,8 @@ def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", r
     roots = connected(links).select(F.col("node").alias("cls"), "root")
 
     labelled = rows.join(roots, "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("group"))
-    ids = labelled.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
+    # as a table of its own: a component that holds a third of all rows can then be split where rows meet its id
+    ids = materialize(labelled.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("least")))
     return labelled.join(ids, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
