@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tallyloom.llm.textscan import chunks
 
 #: Bytes of text that a Python worker holds as objects at once; a longer text is held alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, giving unused memory back to the system when its task ends: workers that wait for the next one hold little."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not this C library
+            pass
+
+    return task
+
+
 def drop_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Without the columns of these names in any letter case: an operator's own columns replace the input's."""
     low = {n.lower() for n in names}
@@ -84,7 +99,7 @@ def scan_texts(
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x, arrow.field(n).type) for x, n in zip(made, names, strict=True)]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(lean(run), out)
 
 
 def sha256_hex(text: str | bytes) -> str:

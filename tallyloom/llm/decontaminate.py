@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import SLICE_BYTES, drop_columns
+from tallyloom.llm.common import SLICE_BYTES, drop_columns, lean
 from tallyloom.llm.textscan import Words, ascii_lower_table, chunks, rolled, scan, separator_table
 
 WIDTH = 10
@@ -147,7 +147,7 @@ def _pass(docs: DataFrame, text: str, shared, width: int) -> DataFrame:
                 made = [pa.array(words.per_doc, pa.int64()), pa.array(spans, batch.schema.field(n_state + 1).type), pa.array(ids, batch.schema.field(n_state + 2).type)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_state], *made], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", *
                 columns[at] = pa.array(texts, batch.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return found.mapInArrow(run, found.schema).select(*[c for c in docs.columns if c in found.columns])
+    return found.mapInArrow(lean(run), found.schema).select(*[c for c in docs.columns if c in found.columns])
 
 
 def _text_offset(column: pa.Array, row: int) -> int:

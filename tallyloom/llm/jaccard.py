@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialize
+from tallyloom.llm.common import lean, materialize
 from tallyloom.llm.components import connected
 from tallyloom.llm.textscan import WHITE, ascii_lower_table, chunks, mix, rolled, scan, separator_table, window_starts
 
@@ -130,7 +130,7 @@ def _thin(docs: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame:
                     none = pa.nulls(m, pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), none, none, pa.array(c[often].astype(np.int64)), pa.array(t[often].view(np.int64))], names=["kind", "key", "doc_id", "n", "cls"])
 
-    return keyed.mapInArrow(run, "kind int, key long, doc_id long, n long, cls long")
+    return keyed.mapInArrow(lean(run), "kind int, key long, doc_id long, n long, cls long")
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -181,12 +181,13 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, rule: Rule, hot: list[int],
     def run(batches):
         left_out = shared.value
         for batch in batches:
-            codes, classes = [], []
+            codes, classes, done = [], [], np.zeros(0, np.int64)
             for _, _, tokens, sizes in token_sets(batch.column(2), rule.width):
                 cls = class_of(tokens, sizes)
-                _, first = np.unique(cls, return_index=True)
+                known, first = np.unique(cls, return_index=True)
                 alone = np.zeros(len(sizes), dtype=bool)
-                alone[first] = True
+                alone[first] = ~np.isin(known, done)  # a class once a batch
+                done = np.union1d(done, known)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 keep = alone[doc]
                 if len(left_out):
@@ -207,7 +208,7 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, rule: Rule, hot: list[int],
                 blobs = [code[a:b].tobytes() + cls[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(blobs, pa.binary())], names=["part", "block"])
 
-    return _keyed(docs, doc_id, text).mapInArrow(run, "part long, block binary")
+    return _keyed(docs, doc_id, text).mapInArrow(lean(run), "part long, block binary")
 
 
 def _marks(keys: DataFrame) -> np.ndarray:
@@ -228,7 +229,7 @@ def _marks(keys: DataFrame) -> np.ndarray:
 
     shape = "at int, marks binary"
     out = np.zeros(MARK_BITS // 8, np.uint8)
-    for row in keys.mapInArrow(mark, shape).repartition(8, "at").mapInArrow(either, shape).toLocalIterator():
+    for row in keys.mapInArrow(lean(mark), shape).repartition(8, "at").mapInArrow(lean(either), shape).toLocalIterator():
         out |= np.frombuffer(zstandard.decompress(bytes(row["marks"])), np.uint8)
     return out
 
@@ -247,7 +248,7 @@ def _sifted(texts: DataFrame, marks: np.ndarray) -> DataFrame:
             at = _mark_of(batch.column(0).to_numpy())
             yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
 
-    return texts.mapInArrow(run, texts.schema)
+    return texts.mapInArrow(lean(run), texts.schema)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -387,7 +388,7 @@ def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", r
 
     share = 2.2 * (rule.q - rule.p) / rule.p  # slices a token, about
     parts = max(1, int(n_tokens * share * 16 / SLICE_TASK_BYTES) + 1)
-    edges = _blocks(docs, doc_id, text, rule, hot, parts * 64).repartition(parts, "part").mapInArrow(_shared_slices, "a long, b long")
+    edges = _blocks(docs, doc_id, text, rule, hot, parts * 64).repartition(parts, "part").mapInArrow(lean(_shared_slices), "a long, b long")
     similar = connected(edges)
 
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"), F.first("n").alias("n"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import SLICE_BYTES, drop_columns
+from tallyloom.llm.common import SLICE_BYTES, drop_columns, lean
 from tallyloom.llm.textscan import WHITE, Words, chunks, mix, ranges, rolled, scan, separator_table
 
 DEPTH = 13
@@ -41,6 +41,8 @@ DEPTH = 13
 GROUP_SUFFIXES = 750_000
 SEPARATORS = separator_table(WHITE)
 _U = np.uint64
+#: Text whose suffixes are packed and compared as one batch, in bytes.
+SCATTER_BYTES = 4 << 20
 #: Text that one task takes back, in bytes before packing.
 BUCKET_BYTES = 48 << 20
 SUFFIXES, HITS, ROWS = 0, 1, 2
@@ -107,7 +109,7 @@ def count_prefixes(docs: DataFrame, depth: int, slots: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=["at", "counts"])
 
     shape = "at int, counts binary"
-    partial = docs.mapInArrow(count, shape).repartition(32, "at").mapInArrow(add, shape)
+    partial = docs.mapInArrow(lean(count), shape).repartition(32, "at").mapInArrow(lean(add), shape)
     total = np.zeros(len(depths) * slots, np.int64)
     for row in partial.toLocalIterator():  # 32 rows at most, of a fixed size
         total += np.frombuffer(zstandard.decompress(bytes(row["counts"])), np.int64)
@@ -189,7 +191,7 @@ def _scatter(docs: DataFrame, depth: int, task: np.ndarray, buckets: int) -> Dat
         plan = shared.value
         slots = plan.shape[1]
         for batch in batches:
-            for _, _, words, hashes, ids in _scan(batch.column(1), batch.column(0)):
+            for _, _, words, hashes, ids in _scan(batch.column(1), batch.column(0), SCATTER_BYTES):
                 at, doc = _suffixes(words, hashes, depth)
                 if not len(at):
                     continue
@@ -215,7 +217,7 @@ def _scatter(docs: DataFrame, depth: int, task: np.ndarray, buckets: int) -> Dat
                 to, code, own, place = to[order], code[order], own[order], place[order]
                 yield _rows(SUFFIXES, [(t, pack(code[a:b], own[a:b], place[a:b])) for t, a, b in _cut(to)])
 
-    return docs.mapInArrow(run, _BLOCKS)
+    return docs.mapInArrow(lean(run), _BLOCKS)
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -258,7 +260,7 @@ def _row_blocks(docs: DataFrame, doc_id: str, buckets: int) -> DataFrame:
                 blocks.append((t, sink.getvalue().to_pybytes()))
             yield _rows(ROWS, blocks)
 
-    return docs.mapInArrow(run, _BLOCKS)
+    return docs.mapInArrow(lean(run), _BLOCKS)
 
 
 def _dealt(blocks: DataFrame, parts: int, by_task: bool) -> DataFrame:
@@ -277,7 +279,7 @@ def _judged(docs: DataFrame, doc_id: str, text: str, depth: int, group_suffixes:
     slots = 1 << max(10, (4 * (size // 6) // group_suffixes).bit_length())
     task, tasks = plan_groups(count_prefixes(thin, depth, slots), group_suffixes)
     buckets = max(1, -(-size // BUCKET_BYTES))
-    found = _dealt(_scatter(thin, depth, task, buckets), tasks, True).mapInArrow(lambda b: _subtrees(b, buckets), _BLOCKS)
+    found = _dealt(_scatter(thin, depth, task, buckets), tasks, True).mapInArrow(lean(lambda b: _subtrees(b, buckets)), _BLOCKS)
     both = _dealt(found.union(_row_blocks(source, doc_id, buckets)), buckets, False)
     kept = [c for c in source.columns if c.lower() not in {f.name.lower() for f in fields}]
     out = T.StructType([source.schema[c] for c in kept] + fields)
@@ -304,7 +306,7 @@ def _judged(docs: DataFrame, doc_id: str, text: str, depth: int, group_suffixes:
                     gone = _covered(words, own, ids, places, depth)
                     yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places_of), *made(words, gone, part.column(text_at))], names=out.names)
 
-    return both.mapInArrow(run, out)
+    return both.mapInArrow(lean(run), out)
 
 
 def _covered(words: Words, own: pa.Array, ids: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:

@@ -22,11 +22,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import scan_texts, texts_of
+from tallyloom.llm.common import lean, scan_texts, texts_of
 
 MARK = "▁"
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
-TABLE_SIZE = 200_000
+TABLE_SIZE = 100_000
 #: A marked word longer than this is segmented without entering the table.
 LONGEST_KEPT = 64
 
@@ -101,7 +101,7 @@ def decode(docs: DataFrame, model: str, *, ids: str = "token_ids", text: str = "
             made = pa.array([one.decode(x) if x else "" for x in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, text])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def round_trip(docs: DataFrame, model: str, *, text: str = "text", keep: list[str] | None = None, table_size: int = TABLE_SIZE) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyloom.llm.common import drop_columns, materialize
+from tallyloom.llm.common import drop_columns, lean, materialize
 
 SHARDS = 16
 BUCKET_BYTES = 32 << 20
@@ -74,7 +74,7 @@ def shuffle(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", seed
             for batch in part.cast(arrow).to_batches():
                 yield batch
 
-    return materialize(_by_bucket(keyed, buckets).mapInArrow(run, schema))
+    return materialize(_by_bucket(keyed, buckets).mapInArrow(lean(run), schema))
 
 
 def _by_bucket(keyed: DataFrame, buckets: int) -> DataFrame:

@@ -140,7 +140,7 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - base, lengths) + np.arange(total)
 
 
-def chunks(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a string or binary column into (begin row, end row, bytes, offsets) of about most bytes; nulls are empty.
 
     A text is never cut; one that is longer than most makes a chunk by itself.
