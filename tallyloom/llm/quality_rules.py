@@ -94,6 +94,7 @@ def _grouped(stats: DataFrame, least_rows: int) -> DataFrame:
         F.col("lang").alias("l"), F.col("source").alias("s"),
         F.when(F.col("n_both") >= least_rows, key("lang", "source")).when(F.col("n_lang") >= least_rows, key("lang")).otherwise("*").alias("grp"),
     )
+    group = materialize(group)  # a row a group, of known size: the documents need not be dealt by group to meet it
     return stats.join(group, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s").withColumn("grp", F.coalesce("grp", F.lit("*")))
 
 
@@ -130,7 +131,7 @@ def _distance() -> Column:
 def _start(rows: DataFrame) -> DataFrame:
     """Medians and median absolute deviations, as a diagonal estimate."""
     p = range(len(FEATURES))
-    middle = rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(FEATURES)])
+    middle = materialize(rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(FEATURES)]))
     off = rows.join(middle, "grp").groupBy("grp").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in p], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 1000).alias(f"d_{i}") for i, x in enumerate(FEATURES)])
     zero = F.lit(0.0)
     return off.select(
@@ -143,7 +144,7 @@ def _concentrate(rows: DataFrame, estimate: DataFrame, support: float) -> DataFr
     """One step: the nearest share of each group gives the next mean and covariance."""
     p = range(len(FEATURES))
     near = rows.join(estimate, "grp").select("grp", *FEATURES, *[f"m_{i}" for i in p], _distance().alias("d2"))
-    limit = near.groupBy("grp").agg(F.percentile_approx("d2", support, 1000).alias("limit"))
+    limit = materialize(near.groupBy("grp").agg(F.percentile_approx("d2", support, 1000).alias("limit")))
     kept = near.join(limit, "grp").where("d2 <= limit")
     # moments about the last centre, which keeps the sums small
     y = [F.col(x) - F.col(f"m_{i}") for i, x in enumerate(FEATURES)]
