@@ -7,17 +7,57 @@ Nothing is collected but one count a round.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialize
+from tallyloom.llm.common import lean, materialize
+
+#: Edges that one task brings down to a forest.
+FOREST_EDGES = 2_000_000
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the edges a-b: (node, the smallest node it reaches), for nodes that are not the smallest."""
+    nodes, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = flat[: len(a)], flat[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        ru, rv = root[u], root[v]
+        low, high = np.minimum(ru, rv), np.maximum(ru, rv)
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _forests(edges: DataFrame) -> DataFrame:
+    """edges brought down to spanning forests, in as few tasks as FOREST_EDGES allows: edges that tasks found one by one mostly say the same."""
+
+    def run(batches):
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            a, b = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
+
+    return edges.repartition(-(-edges.count() // FOREST_EDGES) or 1).mapInArrow(lean(run), "u long, v long")
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): each node of an edge with the smallest node reachable. Loops and repeated edges do no harm."""
     one = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    one = materialize(one)
     ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
-    both = materialize(one.select(ways.alias("e")).select("e.u", "e.v").distinct())
+    # loops stand for nodes that have no other edge
+    alone = one.where("u = v")
+    both = materialize(_forests(one).union(alone).select(ways.alias("e")).select("e.u", "e.v").distinct())
     labels = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "node"))
     while True:
         near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("near"))

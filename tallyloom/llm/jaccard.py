@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import lean, materialize
-from tallyloom.llm.components import connected
+from tallyloom.llm.components import connected, forest
 from tallyloom.llm.textscan import WHITE, ascii_lower_table, chunks, mix, rolled, scan, separator_table, window_starts
 
 SEPARATORS = separator_table(WHITE)
@@ -251,26 +251,6 @@ def _sifted(texts: DataFrame, marks: np.ndarray) -> DataFrame:
     return texts.mapInArrow(lean(run), texts.schema)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the edges a-b: (node, the smallest node it reaches), for nodes that are not the smallest."""
-    nodes, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
-    u, v = flat[: len(a)], flat[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        ru, rv = root[u], root[v]
-        low, high = np.minimum(ru, rv), np.maximum(ru, rv)
-        if (low == high).all():
-            break
-        np.minimum.at(root, high, low)
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-    moved = root != np.arange(len(nodes))
-    return nodes[moved], nodes[root[moved]]
-
-
 def _shared_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes, classes = [], []
     for batch in batches:
