@@ -38,6 +38,8 @@ _B64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _SSH_MAGIC = b"openssh-key-v1\x00"
+#: How bare base64 begins whose first byte is that of a sequence, whatever its length, or that of the OpenSSH magic.
+_B64_STARTS = (*(f"M{c}" for c in "ABCDEFGHIJKLMNOP"), "b3BlbnNzaC1rZXktdjEA")
 
 
 def _b64(text: str, url: bool = False) -> bytes | None:
@@ -122,7 +124,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     blocks = [(a, b) for k, a, b in out if k in ("pem", "jwt")]
     for m in _B64.finditer(text):
         a, b = m.span()
-        if m[0].startswith(("MI", "MC", "MF", "MG", "MH", "b3BlbnNzaC1rZXktdjEA")) and all(b <= x or y <= a for x, y in blocks) and is_private_key(_b64(m[0])):
+        if m[0].startswith(_B64_STARTS) and all(b <= x or y <= a for x, y in blocks) and is_private_key(_b64(m[0])):
             out.append(("der", a, b))
     for a, b in runs:
         if text.startswith("30", a) and (b - a) % 2 == 0 and is_private_key(bytes.fromhex(text[a:b])):

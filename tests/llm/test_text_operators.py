@@ -228,6 +228,27 @@ def test_secret_spans(text):
     assert secrets.find_spans(text) == want
 
 
+P256, CURVE = bytes.fromhex("06082a8648ce3d030107"), bytes.fromhex("06072a8648ce3d0201")
+SHORT_KEYS = {
+    "P-256 PKCS#8 without public key": bytes.fromhex("3041020100") + b"\x30\x13" + CURVE + P256 + bytes.fromhex("042730250201010420") + bytes(range(1, 33)),
+    "P-256 SEC1 without public key": bytes.fromhex("30310201010420") + bytes(range(1, 33)) + b"\xa0\x0a" + P256,
+    "Ed448 PKCS#8": bytes.fromhex("3047020100300506032b6571043b0439") + bytes(range(1, 58)),
+}
+
+
+@pytest.mark.parametrize("name", SHORT_KEYS)
+def test_short_bare_keys(name):
+    key = base64.b64encode(SHORT_KEYS[name]).decode()
+    assert key[:2] in ("MD", "ME") and secrets.is_private_key(SHORT_KEYS[name])
+    bare = key.rstrip("=")
+    assert ("der", 5, 5 + len(key)) in secrets.find_spans(f"blob {key} end")
+    assert ("der", 5, 5 + len(bare)) in secrets.find_spans(f"blob {bare} end")
+
+
+def test_every_sequence_is_decoded():
+    assert all(base64.b64encode(bytes([0x30, second, 0])).decode().startswith(secrets._B64_STARTS) for second in range(256))
+
+
 def test_secrets_of_tables(spark, sf_dir, documents, odd, nothing):
     texts = {r.doc_id: r.text for r in documents.collect()}
     for r in queries()["op8_secrets"](spark, sf_dir).collect():
