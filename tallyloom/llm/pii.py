@@ -12,7 +12,7 @@ below runs in time linear in the text, long runs of one character included.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,6 +36,17 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[2-9][0-9]{2}\)?[\x20.-][2-9][0-9]{2}[\x20.-][0-9]{4}(?![0-9])")
+#: Length of a country's account numbers.
+_IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+        31: "MT SC", 32: "LC",
+    }.items()
+    for country in countries.split()
+}
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 #: Words near a proposal that make it likelier, and words that make it less likely.
@@ -102,18 +113,40 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
-def _valid_iban(m: re.Match) -> bool:
-    return 15 <= len(s := m[0].replace(" ", "")) <= 34 and mod97(s)
+def _iban_end(m: re.Match) -> int | None:
+    """Where the account number that starts a match ends: the pattern may have taken words after it along.
+
+    Of the match's end and the spaces in it, the one that makes the country's length comes first, then the match's
+    end; for a country of unknown length, all of them, longest first.
+    """
+    whole, own = m[0], _IBAN_LENGTHS.get(m[0][:2])
+    ends = [len(whole), *(i for i in range(len(whole) - 1, 0, -1) if whole[i] == " ")]
+    if own:
+        ends = [e for e in ends if e - whole.count(" ", 0, e) == own] + ends[:1]
+    for end in ends:
+        if 15 <= len(s := whole[:end].replace(" ", "")) <= 34 and mod97(s):
+            return m.start() + end
+    return None
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers from left to right. The search goes on at the end of one found, or within a match that holds none at its start."""
+    m = _IBAN.search(text)
+    while m:
+        end = _iban_end(m)
+        if end:
+            yield m.start(), end
+        m = _IBAN.search(text, end or m.start() + 1)
 
 
 def _valid_ssn(m: re.Match) -> bool:
     return m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000"
 
 
-ADDED: dict[str, tuple[re.Pattern, Callable[[re.Match], bool]]] = {
-    "iban": (_IBAN, _valid_iban),
-    "ssn": (_SSN, _valid_ssn),
-    "local_phone": (_LOCAL_PHONE, lambda m: True),
+ADDED: dict[str, Callable[[str], Iterator[tuple[int, int]]]] = {
+    "iban": ibans,
+    "ssn": lambda text: (m.span() for m in _SSN.finditer(text) if _valid_ssn(m)),
+    "local_phone": lambda text: (m.span() for m in _LOCAL_PHONE.finditer(text)),
 }
 
 
@@ -128,11 +161,10 @@ def find_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int,
     base = base_spans(text)
     out = [(k, a, b, 1.0) for k in BASE_KINDS for a, b in base[k]]
     taken = [(a, b) for _, a, b, _ in out]
-    for kind, (pattern, valid) in ADDED.items():
+    for kind, proposals in ADDED.items():
         mine = []
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if valid(m) and all(b <= x or y <= a for x, y in taken) and (score := context_score(kind, text, a, b)) >= threshold:
+        for a, b in proposals(text):
+            if all(b <= x or y <= a for x, y in taken) and (score := context_score(kind, text, a, b)) >= threshold:
                 mine.append((kind, a, b, score))
         out += mine
         taken += [(a, b) for _, a, b, _ in mine]

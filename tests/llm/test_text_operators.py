@@ -128,6 +128,29 @@ def test_pii_spans(text):
     assert [(k, a, b) for k, a, b, _ in pii.find_spans(text)] == PII_CASES[text]
 
 
+ES, AT, BE, PL = "ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "BE68 5390 0754 7034", "PL61 1090 1014 0000 0712 1981 2874"
+
+
+@pytest.mark.parametrize("number", [ES, AT, BE, PL, ES.replace(" ", ""), "GB82 WEST 1234 5698 7654 32"])
+@pytest.mark.parametrize("after", ["", " BIC", " BIC CAIXESBB", " 2024", " EUR 100", " OK GO", " BIC GKCC BEBB", " A"])
+def test_words_after_an_account_number(number, after):
+    text = f"IBAN {number}{after}"
+    assert [s[:3] for s in pii.find_spans(text) if s[0] == "iban"] == [("iban", 5, 5 + len(number))]
+    assert pii.redact_text(text).startswith("IBAN <IBAN>")
+
+
+def test_account_numbers_side_by_side():
+    assert pii.redact_text(f"{BE} BE71 0961 2345 6769 {AT} {ES}") == "<IBAN> <IBAN> <IBAN> <IBAN>"
+    assert pii.redact_text(f"AB12 CDEF GHIJ {ES} BIC") == "AB12 CDEF GHIJ <IBAN> BIC"
+    assert pii.redact_text("ES91 2100 0418 4502 0005 1333 BIC") == "ES91 2100 0418 4502 0005 1333 BIC"
+
+
+def test_account_numbers_of_other_countries():
+    body = "XY00" + "12345678" * 2
+    number = next(n for c in range(100) if pii.mod97(n := f"XY{c:02d}{body[4:]}"))
+    assert pii.redact_text(f"{number} BIC CODE") == "<IBAN> BIC CODE"
+
+
 def brute_base(text):
     out = {k: [] for k in pii.BASE_KINDS}
     for k, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
