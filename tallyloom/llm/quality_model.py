@@ -219,17 +219,20 @@ def fit_sample(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     chosen = chosen.orderBy(order, "id", "y").limit(fit_rows)
     # sizes first, so that no more than fit_bytes of text ever comes to the driver
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "id")  # fit_rows rows at most
-    sizes = texts.select("id", "y", F.octet_length("t").alias("n")).orderBy(order, "id", "y").limit(fit_rows).collect()
+    texts = texts.select("id", "y", F.octet_length("t").alias("n"), F.xxhash64("t").alias("h"), "t")
+    sizes = texts.drop("t").orderBy(order, "id", "y", "n", "h").limit(fit_rows).collect()
     taken, size = [], 0
     for row in sizes:
-        size += row.n
-        if size > fit_bytes:
-            break
-        taken.append((row.id,))
+        if size + row.n <= fit_bytes:  # a text that does not fit is passed over, those after it may
+            size += row.n
+            taken.append((row.id, row.y, row.h))
     if not taken:
         return []
-    ids = docs.sparkSession.createDataFrame(sorted(set(taken)), chosen.select("id").schema)
-    return [(r.t, r.y) for r in texts.join(F.broadcast(ids), "id", "left_semi").orderBy(order, "id", "y", "t").limit(len(taken)).collect()]
+    wanted = docs.sparkSession.createDataFrame(sorted(set(taken)), texts.select("id", "y", "h").schema)
+    # repeated rows come once
+    found = texts.join(F.broadcast(wanted), ["id", "y", "h"], "left_semi").groupBy("id", "y", "h").agg(F.min("t").alias("t")).collect()
+    text_of = {(r.id, r.y, r.h): r.t for r in found}
+    return [(text_of[key], key[1]) for key in taken]
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", column: str = "score", keep: list[str] | None = None) -> DataFrame:

@@ -250,6 +250,23 @@ def test_classifier_of_odd_rows(spark, odd, nothing):
     assert len(quality_model.fit_sample(odd, labels, fit_rows=2)) <= 2
 
 
+def test_long_texts_are_passed_over(spark):
+    ids = [i for i in range(60) if quality_model.crc_mod5(i)]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, f"text {i:02d}") for i in ids], "doc_id long, text string")
+    order = [int(t[5:7]) for t, _ in quality_model.fit_sample(docs, labels)]
+    assert sorted(order) == ids
+    # the first, a middle one and the last in hash order do not fit; one id has a long and a short text
+    long = {order[0], order[9], order[-1]}
+    odd = docs.where(~F.col("doc_id").isin(*long)).union(docs.where(F.col("doc_id").isin(*long)).select("doc_id", F.repeat("text", F.lit(1000))))
+    rest = [i for i in order if i not in long]
+    assert quality_model.fit_sample(odd, labels, fit_bytes=2000) == [(f"text {i:02d}", i % 2) for i in rest]
+    both = odd.union(docs.where(F.col("doc_id") == order[0]))
+    assert quality_model.fit_sample(both, labels, fit_bytes=2000) == [(f"text {i:02d}", i % 2) for i in [order[0], *rest]]
+    # repeated rows count each
+    assert quality_model.fit_sample(docs.union(docs), labels, fit_bytes=7 * 3) == [(f"text {i:02d}", i % 2) for i in (order[0], order[0], order[1])]
+
+
 def test_pooling_equals_plain_means():
     texts = pa.array(["a b a", "", "b c", None, "zz"], pa.string())
     word, shape, per_doc = next(quality_model.terms(texts))
