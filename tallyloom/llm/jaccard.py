@@ -31,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import lean, materialize
@@ -111,26 +111,26 @@ def class_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return mix(_sums(mix(tokens, 1), sizes) + sizes.astype(np.uint64), 2).view(np.int64)
 
 
-def _thin(docs: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame:
-    """A row (kind 0, key, doc_id, n, cls) for each document; rows (kind 1, n, cls) for tokens common within a batch."""
-    keyed = _keyed(docs, doc_id, text)
+def _thin(docs: DataFrame, doc_id: str, text: str, rule: Rule, marked: bool) -> DataFrame:
+    """A row (kind 0, key, doc_id, n, cls, mark) for each document; rows (kind 1, n, cls) for tokens common within a batch. mark: a hash of the text, if asked for."""
+    keyed = _keyed(docs, doc_id, text).withColumn("mark", F.xxhash64("text") if marked else F.lit(None).cast("long"))
 
     def run(batches):
         for batch in batches:
             for begin, end, tokens, sizes in token_sets(batch.column(2), rule.width):
                 rows = end - begin
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(rows, np.int32)), batch.column(0).slice(begin, rows), batch.column(1).slice(begin, rows), pa.array(sizes), pa.array(class_of(tokens, sizes))],
-                    names=["kind", "key", "doc_id", "n", "cls"],
+                    [pa.array(np.zeros(rows, np.int32)), batch.column(0).slice(begin, rows), batch.column(1).slice(begin, rows), pa.array(sizes), pa.array(class_of(tokens, sizes)), batch.column(3).slice(begin, rows)],
+                    names=["kind", "key", "doc_id", "n", "cls", "mark"],
                 )
                 t, c = np.unique(tokens, return_counts=True)
                 often = c >= max(4, HOT_SHARE * rows)
                 if often.any():
                     m = int(often.sum())
                     none = pa.nulls(m, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), none, none, pa.array(c[often].astype(np.int64)), pa.array(t[often].view(np.int64))], names=["kind", "key", "doc_id", "n", "cls"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), none, none, pa.array(c[often].astype(np.int64)), pa.array(t[often].view(np.int64)), none], names=["kind", "key", "doc_id", "n", "cls", "mark"])
 
-    return keyed.mapInArrow(lean(run), "kind int, key long, doc_id long, n long, cls long")
+    return keyed.mapInArrow(lean(run), "kind int, key long, doc_id long, n long, cls long, mark long")
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -358,9 +358,9 @@ def _verify(table: pa.Table, rule: Rule) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rule: Rule = Rule(), group_tokens: int = GROUP_TOKENS) -> DataFrame:  # noqa: B008
-    """(doc_id, n_shingles, component_id) of every row of docs."""
-    thin = materialize(_thin(docs, doc_id, text, rule))
+def _labelled(docs: DataFrame, doc_id: str, text: str, rule: Rule, group_tokens: int, marked: bool = False) -> DataFrame:
+    """(doc_id, n, mark, group) of every row of docs: rows of a component have the same group."""
+    thin = materialize(_thin(docs, doc_id, text, rule, marked))
     rows = thin.where("kind = 0")
     total, n_tokens = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     common = thin.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_SHARE * total)
@@ -387,14 +387,35 @@ def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", r
     links = candidates.groupBy("part", "i", "j").applyInArrow(lambda t: _verify(t, rule), "a long, b long")
     roots = connected(links).select(F.col("node").alias("cls"), "root")
 
-    labelled = rows.join(roots, "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("group"))
+    return rows.join(roots, "cls", "left").select("doc_id", "n", "mark", F.coalesce("root", "cls").alias("group"))
+
+
+def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rule: Rule = Rule(), group_tokens: int = GROUP_TOKENS) -> DataFrame:  # noqa: B008
+    """(doc_id, n_shingles, component_id) of every row of docs."""
+    labelled = _labelled(docs, doc_id, text, rule, group_tokens).drop("mark")
     # as a table of its own: a component that holds a third of all rows can then be split where rows meet its id
     ids = materialize(labelled.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("least")))
     return labelled.join(ids, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:  # noqa: B008
-    """docs with only the document of the smallest id of each component; rows with a null id all stay."""
-    groups = components(docs, doc_id=doc_id, text=text, rule=rule)
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == F.col("_gone"), "left_anti")
+    """docs with one row of each component, one of the smallest id (a null id counts as the largest); rows without words all stay.
+
+    Rows are told apart by id and a 64-bit hash of the text, so rows that share only an id are judged one by one.
+    """
+    rows = materialize(_labelled(docs, doc_id, text, rule, GROUP_TOKENS, marked=True).where("n > 0").drop("n"))
+    # tables of their own, as in components
+    first = materialize(rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    met = rows.join(first, "group").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), is_first.alias("is_first"))
+    gone = met.where("not is_first").select("_id", "_mark").distinct()
+    repeated = materialize(met.where("is_first").groupBy("_id", "_mark").agg(F.count("*").alias("copies")).where("copies > 1").drop("copies"))
+
+    def same(keys: DataFrame) -> Column:
+        return docs[doc_id].cast("long").eqNullSafe(keys["_id"]) & (F.xxhash64(docs[text]) == keys["_mark"])
+
+    if repeated.isEmpty():
+        return docs.join(gone, same(gone), "left_anti")
+    more = gone.union(repeated)
+    one = docs.join(repeated, same(repeated)).dropDuplicates(["_id", "_mark"]).select(*[docs[c] for c in docs.columns])
+    return docs.join(more, same(more), "left_anti").union(one)

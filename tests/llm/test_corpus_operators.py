@@ -371,6 +371,19 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == kept.count()
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(5, a), (5, b), (3, b + " near"), (7, c), (7, c), (8, c + " near"), (None, c), (None, d), (None, d), (None, d + " near"), (9, None), (9, None), (None, ""), (5, a)]
+    docs = spark.createDataFrame([(i, t, f"s{n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
+    kept = jaccard.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    rest = [x for x in got if x[1]]
+    assert sorted((x for x in rest if x[0]), key=str) == [(3, b + " near"), (5, a), (7, c)]
+    assert len([x for x in rest if x[0] is None]) == 1 and rest[[x[0] for x in rest].index(None)][1] in (d, d + " near")
+    assert sorted((x for x in got if not x[1]), key=str) == [(9, None), (9, None), (None, "")]
+
+
 def test_stages_take_odd_rows(spark, odd, nothing):
     import corpus_pipeline
 
