@@ -32,8 +32,10 @@ KINDS = (*BASE_KINDS, "jwt", "pem", "der", "der_hex", "checked_token")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+_HEX_KEYS = (re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{24,}"), re.compile(r"[0-9A-F]{24,}"))
+_ESCAPED_END = re.compile(r"\\+[nr]")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]{1,12}\x20){0,3}PRIVATE KEY-----([A-Za-z0-9+/=\s]*)-----END (?:[A-Z0-9]{1,12}\x20){0,3}PRIVATE KEY-----")
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]{1,12}\x20){0,3}PRIVATE KEY-----((?:[A-Za-z0-9+/=\s]++|\\++[nr])*+)-----END (?:[A-Z0-9]{1,12}\x20){0,3}PRIVATE KEY-----")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -120,13 +122,13 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     if "eyJ" in text:
         out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN" in text:
-        out += [("pem", *m.span()) for m in _PEM.finditer(text) if is_private_key(_b64(m[1]))]
+        out += [("pem", *m.span()) for m in _PEM.finditer(text) if is_private_key(_b64(_ESCAPED_END.sub("", m[1])))]
     blocks = [(a, b) for k, a, b in out if k in ("pem", "jwt")]
     for m in _B64.finditer(text):
         a, b = m.span()
         if m[0].startswith(_B64_STARTS) and all(b <= x or y <= a for x, y in blocks) and is_private_key(_b64(m[0])):
             out.append(("der", a, b))
-    for a, b in runs:
+    for a, b in {*runs, *(m.span() for p in _HEX_KEYS for m in p.finditer(text))}:
         if text.startswith("30", a) and (b - a) % 2 == 0 and is_private_key(bytes.fromhex(text[a:b])):
             out.append(("der_hex", a, b))
     out += [("checked_token", *m.span()) for m in _TOKEN.finditer(text) if is_checked_token(m[0])]

@@ -268,6 +268,19 @@ def test_short_bare_keys(name):
     assert ("der", 5, 5 + len(bare)) in secrets.find_spans(f"blob {bare} end")
 
 
+@pytest.mark.parametrize("end", ["\\n", "\\r\\n", "\\\\n"])
+def test_key_blocks_with_escaped_line_ends(end):
+    block = f"-----BEGIN PRIVATE KEY-----{end}{B64[:64]}{end}{B64[64:]}{end}-----END PRIVATE KEY-----"
+    assert secrets.find_spans(json.dumps({"a": 1})[:-1] + f', "k": "{block}"}}') == [("pem", 15, 15 + len(block))]
+
+
+def test_hex_keys_in_either_case():
+    key = KEY.hex()
+    for text in (key.upper(), key[:200].upper() + key[200:], "d" + key.upper()):
+        assert [s for s in secrets.find_spans(text) if s[0] == "der_hex"] == [("der_hex", len(text) - len(key), len(text))]
+    assert [s for s in secrets.find_spans("D" + key) if s[0] == "der_hex"] == [("der_hex", 1, 1 + len(key))]
+
+
 def test_every_sequence_is_decoded():
     assert all(base64.b64encode(bytes([0x30, second, 0])).decode().startswith(secrets._B64_STARTS) for second in range(256))
 
