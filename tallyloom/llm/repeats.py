@@ -1,12 +1,11 @@
-"""Substring dedup by prefix-partitioned suffix trees over words.
+"""Substring dedup by grouping suffixes over words, in tasks split by prefix. No suffix tree is built.
 
 The suffixes of all documents, each cut at `depth` words, are split by variable-length prefixes: a suffix goes by
 its first word, unless the suffixes that begin so are more than fit in memory, then by its first two words, four
 words, and so on to `depth` (prefixes are counted in slots of a hash, over all documents). Groups are packed into
-tasks. A task sorts its suffixes, which lays out the subtree's leaves: suffixes that share their first `depth`
-words are the leaves below one internal node at that depth. A node with leaves of two documents is a repeat;
-words of its occurrences after the document of the smallest id are removed. Maximal repeats longer than `depth`
-are the unions of nodes whose occurrences follow one another, and are read off as runs of covered words.
+tasks. A task sorts the codes of its suffixes and groups equal ones. A group with suffixes of two documents is a
+repeat; words of its occurrences after the document of the smallest id are removed. Column `repeats` holds runs of
+removed words: neighbouring repeats of different sources join, so they need not be maximal repeats.
 
 A suffix travels as a 64-bit code of its words with its document and position, both packed, not as the words
 themselves (that would move the corpus `depth` times). Within a batch, a repeated suffix is sent once, from the
