@@ -48,7 +48,7 @@ def baht_text(value: Column, decimals: int = 0) -> Column:
 
 
 def signed_text(value: Column) -> Column:
-    """A stock balance: + before a surplus."""
+    """A stock level: + before a surplus."""
     return F.concat(F.when(value > 0, "+").otherwise(""), quantity_text(value))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,17 @@ _ROWS = "line int, physical_line int, icode string, working_code string, dispens
 def parse(text: str) -> tuple[list[tuple[int, int, str, str, str, str]], list[tuple[int, str]]]:
     """(rows, errors) of pasted CSV text. Headers and blank records are skipped wherever they stand; a record of one field is an error.
 
-    Rows carry their ordinal and the line they start on. Codes stay text, so leading zeros stay.
+    Rows carry their ordinal and the line they start on. Codes stay text, so leading zeros stay; fields may be of any
+    length (the reader's limit is lifted while it reads, and put back).
     """
+    limit = csv.field_size_limit(sys.maxsize)
+    try:
+        return _parse(text)
+    finally:
+        csv.field_size_limit(limit)
+
+
+def _parse(text: str) -> tuple[list[tuple[int, int, str, str, str, str]], list[tuple[int, str]]]:
     rows, errors = [], []
     reader = csv.reader(io.StringIO(text, newline=""), skipinitialspace=True)
     done = 0

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.sources.tables import EXCLUSIONS, LINKS
@@ -28,11 +28,25 @@ def checked(icode: str, working_code: str, method: str, score: float | None) ->
     return icode, working_code
 
 
+def _trimmed(code: str) -> Column:
+    return F.regexp_replace(F.coalesce(code, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
+def _broken() -> Column:
+    score = F.col("match_score")
+    bad = (_trimmed("icode") == "") | (_trimmed("working_code") == "") | ~F.coalesce(F.col("match_method").isin(*METHODS), F.lit(False))
+    return bad | F.coalesce(F.isnan(score) | ~score.between(0.0, 1.0), F.lit(False))
+
+
 def invalid(links: DataFrame) -> DataFrame:
     """Links that break a rule."""
-    score = F.col("match_score")
-    bad = (F.trim(F.coalesce("icode", F.lit(""))) == "") | (F.trim(F.coalesce("working_code", F.lit(""))) == "") | ~F.coalesce(F.col("match_method").isin(*METHODS), F.lit(False))
-    return links.where(bad | F.coalesce(F.isnan(score) | ~score.between(0.0, 1.0), F.lit(False)))
+    return links.where(_broken())
+
+
+def set_links(links: DataFrame, exclusions: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, exclusions, rejected): the changes that keep the rules are applied, codes trimmed; the others come back as they were."""
+    good = changes.where(~_broken()).withColumns({"icode": _trimmed("icode"), "working_code": _trimmed("working_code")})
+    return *upsert(links, exclusions, good), invalid(changes)
 
 
 def latest(links: DataFrame, key: str = "icode") -> DataFrame:

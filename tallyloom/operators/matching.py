@@ -1,14 +1,15 @@
 """Candidates for items without a link, for all items in one job.
 
 A candidate's code equals or starts with the item's search term, or its name has the term. Names are normalised
-once for each distinct one. Terms meet the catalog through hash joins on blocks that every match must share (the
-term's first three characters, as found in a code's start or anywhere in a name), so no item is compared with the
-whole catalog; the exact condition then decides.
+once for each distinct one. Terms meet the catalog through hash joins on blocks that every match must share: a code's
+first characters, and of the runs of three characters in a term the one that the fewest names have. So no item is
+compared with the whole catalog, and a run that most names share is met only by terms that have no rarer one; the
+exact condition then decides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import names
@@ -16,13 +17,31 @@ from tallyloom.functions import names
 BLOCK = 3
 
 
-def _blocks(catalog: DataFrame) -> DataFrame:
-    """catalog with a row for each distinct run of up to BLOCK characters in its code's start and its name."""
-    code, name = F.lower("working_code"), F.lower(F.coalesce("drug_name", F.lit("")))
-    runs = lambda c, n: F.when(F.char_length(c) >= n, F.transform(F.sequence(F.lit(1), F.char_length(c) - n + 1), lambda i: F.substring(c, i, n)))
-    every = [F.coalesce(runs(name, n), F.array().cast("array<string>")) for n in range(1, BLOCK + 1)]
-    starts = F.array(*[F.substring(code, 1, n) for n in range(1, BLOCK + 1)])
-    return catalog.withColumn("block", F.explode(F.array_distinct(F.concat(starts, *every))))
+def _runs(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text."""
+    runs = F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, n))
+    return F.when(F.char_length(text) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def _found(terms: DataFrame, named: DataFrame) -> DataFrame:
+    """(term, working_code, candidate_name, tier) of all catalog rows that a term finds."""
+    code, name, t = F.lower("working_code"), F.lower("candidate_name"), F.col("term")
+    every = []
+    for n in range(1, BLOCK + 1):
+        # terms of BLOCK characters and more meet runs of BLOCK, shorter ones runs of their own length
+        mine = terms.where(F.char_length(t) >= n if n == BLOCK else F.char_length(t) == n)
+        starts = named.withColumn("block", F.substring(code, 1, n))
+        every.append(mine.withColumn("block", F.substring(t, 1, n)).join(starts, "block").where(F.startswith(code, t)).withColumn("tier", F.when(code == t, 0).otherwise(1)))
+        runs = named.withColumn("block", F.explode(_runs(name, n)))
+        seen = runs.groupBy("block").agg(F.count("*").alias("rows"))
+        # a name that has the term has all of its runs: the rarest one decides where they meet
+        asked = mine.withColumn("block", F.explode(_runs(t, n))).join(seen, "block", "left").groupBy("term")
+        rarest = asked.agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "block"))["block"].alias("block"))
+        every.append(rarest.join(runs, "block").where(F.contains(name, t) & ~F.startswith(code, t)).withColumn("tier", F.lit(2)))
+    out = every[0]
+    for more in every[1:]:
+        out = out.unionByName(more)
+    return out.select("term", "working_code", "candidate_name", "tier")
 
 
 def candidates(items: DataFrame, catalog: DataFrame, limit: int = 10, exhaustive: bool = False) -> DataFrame:
@@ -35,13 +54,10 @@ def candidates(items: DataFrame, catalog: DataFrame, limit: int = 10, exhaustive
     term = F.lower(names.search_term(F.col("drug_name")))
     asked = items.select("icode", "drug_name", names.normalized(F.col("drug_name")).alias("item_norm"), term.alias("term")).where("term <> ''")
     # which rows a term finds does not depend on the item: each distinct term asks once
-    terms = asked.select("term").distinct().withColumn("block", F.substring("term", 1, BLOCK))
+    terms = asked.select("term").distinct()
     named = catalog.select("working_code", F.coalesce("drug_name", F.lit("")).alias("drug_name"))
     norms = named.select("drug_name").distinct().withColumn("norm", names.normalized(F.col("drug_name")))
-    listed = _blocks(named).select("block", "working_code", F.col("drug_name").alias("candidate_name"))
-    code, name, t = F.lower("working_code"), F.lower("candidate_name"), F.col("term")
-    tier = F.when(code == t, 0).when(F.startswith(code, t), 1).when(F.contains(name, t), 2)
-    found = terms.join(listed, "block").withColumn("tier", tier).where("tier is not null").drop("block")
+    found = _found(terms, named.withColumnRenamed("drug_name", "candidate_name"))
     first = Window.partitionBy("term").orderBy("tier", "candidate_name", "working_code")
     if not exhaustive:
         found = found.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).drop("_n")

@@ -36,16 +36,16 @@ def dispense_summary(dispense: DataFrame, fiscal_year: int) -> DataFrame:
 def purchase_summary(headers: DataFrame, lines: DataFrame, fiscal_year: int) -> DataFrame:
     """(total_value, unique_drug_count, peak_fiscal_month, peak_value), one row; codes count where a line has a value above 0.
 
-    One aggregate by code and month carries all four; the last of equal months is the peak, and 12 with 0 if there
-    is no data.
+    Lines and headers are read once: a row for each code holds its twelve sums, and these add up to the one row. The
+    last of equal months is the peak, and 12 with 0 if there is no data.
     """
     rows = lines.join(series.received(headers, fiscal_year), "invoice_no")
-    cells = rows.groupBy("working_code", "month_idx").agg(F.sum(exact(F.coalesce("value", F.lit(0.0)))).alias("v"), F.max((F.col("value") > 0).cast("int")).alias("bought"))
-    months = cells.groupBy("month_idx").agg(F.sum("v").alias("v"))
-    grid = headers.sparkSession.range(12).select(F.col("id").cast("int").alias("month_idx")).join(months, "month_idx", "left").select("month_idx", F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v"))
-    top = grid.agg(F.sum(exact(F.col("v"))).cast("double").alias("total_value"), F.max(F.struct("v", "month_idx")).alias("m"))
-    codes = cells.where("bought = 1").agg(F.count_distinct("working_code").alias("unique_drug_count"))
-    return top.crossJoin(F.broadcast(codes)).select("total_value", "unique_drug_count", (F.col("m.month_idx") + 1).alias("peak_fiscal_month"), F.col("m.v").alias("peak_value"))  # one row with one row
+    value = exact(F.coalesce("value", F.lit(0.0)))
+    by_code = rows.groupBy("working_code").agg(*[F.sum(F.when(F.col("month_idx") == i, value)).alias(f"v{i}") for i in range(12)], F.max(F.col("value") > 0).alias("bought"))
+    bought = F.col("bought") & F.col("working_code").isNotNull()
+    one = by_code.agg(*[F.coalesce(F.sum(f"v{i}"), F.lit(0).cast("decimal(18,2)")).alias(f"v{i}") for i in range(12)], F.count(F.when(bought, 1)).alias("unique_drug_count"))
+    one = one.select("unique_drug_count", sum(F.col(f"v{i}") for i in range(12)).cast("double").alias("total_value"), F.array(*[F.col(f"v{i}").cast("double") for i in range(12)]).alias("v"))
+    return one.select("total_value", "unique_drug_count", (series.last_peak(F.col("v")) + 1).alias("peak_fiscal_month"), F.array_max("v").alias("peak_value"))
 
 
 def top_dispensed(dispense: DataFrame, items: DataFrame, fiscal_year: int, n: int) -> DataFrame:

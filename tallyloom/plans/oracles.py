@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from tallyloom.functions.fiscal import MONTH_LABELS
 from tallyloom.functions.names import DOSE_WORDS
-from tallyloom.plans.queries import TERM, TOP, YEAR
+from tallyloom.operators.bulk import HEADER_NAMES
+from tallyloom.plans.queries import CSV, TERM, TOP, YEAR
 
 _D = "CAST(sum(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
 _FY = "year({0}) + CASE WHEN month({0}) >= 10 THEN 1 ELSE 0 END"
@@ -116,8 +117,42 @@ SELECT g.working_code, coalesce(drug_name, '') AS name, total_qty, total_value,
 FROM g LEFT JOIN catalog USING (working_code)"""
 
 
-def _bulk(rows: str) -> str:
-    return f"SELECT CAST(a AS INT) AS line, CAST(b AS INT) AS physical_line, c AS icode, d AS working_code, e AS outcome, CAST(f AS VARCHAR) AS existing FROM (VALUES {rows}) t(a, b, c, d, e, f)"
+_MATCHED = f"{INPUTS}, {_PAGE}, open_rows AS (SELECT icode, drug_name FROM listed WHERE status = 'unmapped'){_candidates('open_rows', 10)}"
+
+
+def _thai(text: str) -> str:
+    """Normalised tokens of a name with a dose in inner brackets, other brackets at the end and Thai words."""
+    plain = f"regexp_replace(regexp_replace(lower({text}), '\\([0-9]+mg\\)', '', 'g'), '[()]', ' ', 'g')"
+    spelled = f"replace(replace(regexp_replace({plain}, 'รา([^ะ-๏]|$)', 'ร\\1', 'g'), 'รร', 'ร'), 'รึ', 'ริ')"
+    found = f"regexp_extract_all({spelled}, '[0-9]+|[๐-๙]+|[ก-๏]+|[a-z]+')"
+    return f"array_to_string(list_sort(list_distinct(list_filter({found}, lambda t: NOT regexp_full_match(t, '[0-9]+|[๐-๙]+') AND t NOT IN ({_DOSE})))), ' ')"
+
+
+_HEADER = ", ".join(f"'{w}'" for w in HEADER_NAMES)
+_TEXT = CSV.replace("'", "''").replace("\n", "' || chr(10) || '")
+#: The pasted text as records, and these held against the links: `seen` by a dry run, `done` when applied.
+_IMPORT = f"""{INPUTS},
+raw AS (SELECT unnest(s) AS t, unnest(range(1, len(s) + 1)) AS physical_line FROM (SELECT string_split('{_TEXT}', chr(10)) AS s)),
+records AS (
+  SELECT physical_line, list_transform(regexp_extract_all(t, '("[^"]*"|[^,]*)(,|$)', 1), lambda f: trim(f, ' "')) AS f,
+    length(regexp_replace(t, '"[^"]*"|[^,]', '', 'g')) + 1 AS n FROM raw WHERE regexp_replace(t, '[ ,]', '', 'g') <> ''
+),
+pasted AS (
+  SELECT CAST(row_number() OVER (ORDER BY physical_line) AS INT) AS line, CAST(physical_line AS INT) AS physical_line, f[1] AS icode, f[2] AS working_code
+  FROM records WHERE n >= 2 AND NOT (lower(f[1]) IN ({_HEADER}) AND lower(f[2]) IN ({_HEADER}))
+),
+usable AS (SELECT * FROM pasted WHERE icode <> '' AND working_code <> ''),
+held AS (
+  SELECT p.*, l.working_code AS linked,
+    coalesce(l.working_code, (SELECT arg_min(u.working_code, u.line) FROM usable u WHERE u.icode = p.icode AND u.line <= p.line)) AS met FROM pasted p LEFT JOIN links l USING (icode)
+)"""
+
+
+def _outcome(linked: str) -> str:
+    usable = "icode <> '' AND working_code <> ''"
+    clash = f"coalesce({linked} <> working_code, false)"
+    return f"""SELECT line, physical_line, icode, working_code, CASE WHEN NOT ({usable}) THEN 'skipped' WHEN {clash} THEN 'conflict' ELSE 'added' END AS outcome,
+  CASE WHEN {usable} AND {clash} THEN {linked} END AS existing FROM held"""
 
 
 ORACLES: dict[str, str] = {
@@ -153,10 +188,12 @@ SELECT icode, status, (SELECT icode FROM o x WHERE x.n > o.n AND x.status = 'unm
     "mapping_stats": f"""{INPUTS} SELECT count(*) AS total, (SELECT count(*) FROM exclusions) AS exclusions, count(*) FILTER (match_method = 'auto') AS n_auto,
   count(*) FILTER (match_method = 'manual') AS n_manual, count(*) FILTER (match_method = 'approved') AS n_approved FROM links""",
     "mapping_unmapped": f"{INPUTS} SELECT * FROM items WHERE icode NOT IN (SELECT icode FROM links) AND icode NOT IN (SELECT icode FROM exclusions)",
-    "mapping_upsert": f"""{INPUTS}, l2 AS (SELECT icode, working_code, match_method FROM links WHERE CAST(icode AS INT) % 10 <> 0 UNION ALL SELECT icode, 'W' || icode, 'manual' FROM items WHERE CAST(icode AS INT) % 10 = 0),
-e2 AS (SELECT * FROM exclusions WHERE CAST(icode AS INT) % 10 <> 0) {_STATUS.format("l2", "e2")}""",
-    "mapping_exclude": f"""{INPUTS}, l2 AS (SELECT * FROM links WHERE CAST(icode AS INT) % 7 <> 0),
-e2 AS (SELECT * FROM exclusions WHERE CAST(icode AS INT) % 7 <> 0 UNION ALL SELECT icode, 'mark' FROM items WHERE CAST(icode AS INT) % 7 = 0)
+    "mapping_upsert": f"""{INPUTS}, good AS (SELECT working_code AS icode FROM catalog WHERE length(drug_name) <= 18),
+l2 AS (SELECT icode, working_code, match_method FROM links WHERE icode NOT IN (FROM good) UNION ALL SELECT icode, 'W' || icode, 'manual' FROM good),
+e2 AS (SELECT * FROM exclusions WHERE icode NOT IN (FROM good)) {_STATUS.format("l2", "e2")}""",
+    "mapping_rejected": f"{INPUTS} SELECT working_code AS icode, round(length(drug_name) / 18.0, 6) AS match_score FROM catalog WHERE length(drug_name) > 18",
+    "mapping_exclude": f"""{INPUTS}, l2 AS (SELECT * FROM links WHERE match_method <> 'auto'),
+e2 AS (SELECT icode, 'mark ' || name AS reason FROM items WHERE icode NOT IN (SELECT icode FROM l2))
 SELECT icode, status, working_code, reason FROM ({_STATUS.format("l2", "e2")})""",
     "mapping_remove": f"{INPUTS} SELECT icode, working_code, match_method FROM links WHERE NOT (icode = '7' AND working_code = '7')",
     "mapping_include": f"{INPUTS} SELECT * FROM exclusions WHERE icode <> '25'",
@@ -183,10 +220,21 @@ SELECT *, round(qty / greatest(sum(qty) OVER (PARTITION BY icode, fy), 1) * 100,
 SELECT x.k, x.name AS name_a, y.name AS name_b, round({_score("x.a", "y.a")}, 6) AS score FROM n x JOIN n y ON y.k = x.k + 1""",
     "suggest_candidates": f"{INPUTS}, named AS (SELECT icode, name AS drug_name FROM items){_candidates('named', TOP)} SELECT * REPLACE (round(score, 6) AS score) FROM ranked WHERE rank <= {TOP}",
     "auto_match_preview": f"{INPUTS}, {_PAGE}, open_rows AS (SELECT icode, drug_name FROM listed WHERE status = 'unmapped'){_candidates('open_rows', 10)} SELECT icode, drug_name, working_code, candidate_name, round(score, 6) AS score FROM ranked WHERE rank = 1 AND score >= 0.6",
-    "bulk_import_classified": _bulk("(1, 2, '1', '1', 'added', NULL), (2, 3, '2', '9', 'conflict', '2'), (3, 5, '5', '77', 'added', NULL), (4, 6, '5', '78', 'added', NULL), (5, 8, '', '4', 'skipped', NULL), (6, 10, '10', '10', 'added', NULL), (7, 11, '1', '1', 'added', NULL)"),
-    "bulk_import_applied": _bulk("(1, 2, '1', '1', 'added', NULL), (2, 3, '2', '9', 'conflict', '2'), (3, 5, '5', '77', 'added', NULL), (4, 6, '5', '78', 'conflict', '77'), (5, 8, '', '4', 'skipped', NULL), (6, 10, '10', '10', 'added', NULL), (7, 11, '1', '1', 'added', NULL)"),
-    "bulk_import_counters": "SELECT CAST(7 AS BIGINT) AS total, CAST(5 AS BIGINT) AS added, CAST(1 AS BIGINT) AS skipped, CAST(1 AS BIGINT) AS conflicts, CAST(1 AS BIGINT) AS errors",
-    "bulk_import_after": f"""{INPUTS}, l2 AS (SELECT icode, working_code, match_method FROM links WHERE icode <> '1' UNION ALL VALUES ('1', '1', 'approved'), ('5', '77', 'approved'), ('10', '10', 'approved')) {_STATUS.format("l2", "exclusions")}""",
+    "auto_match_default": f"{_MATCHED} SELECT icode, drug_name, working_code, candidate_name, round(score, 6) AS score FROM ranked WHERE rank = 1 AND score >= 0.95",
+    "auto_match_apply": f"""{_MATCHED}, new AS (SELECT icode, working_code, 'auto' AS match_method FROM ranked WHERE rank = 1 AND score >= 0.6),
+l2 AS (SELECT icode, working_code, match_method FROM links WHERE icode NOT IN (SELECT icode FROM new) UNION ALL FROM new) {_STATUS.format("l2", "exclusions")}""",
+    "names_thai": f"""{INPUTS}, n AS (
+  SELECT icode, {_norm("name")} AS plain, CAST(unnest(range(4)) AS INT) AS way,
+    unnest([name || ' (พาราเซตามอล ' || icode || ' มก.)', substr(name, 1, 3) || '(' || icode || 'mg)' || substr(name, 4), 'บรรจุ ธารา ' || name || ' ๕๐๐ มก. (ยาเม็ด)', name || ' (ตรึม']) AS text FROM items
+), m AS (SELECT icode, way, plain, {_thai("text")} AS normalized FROM n)
+SELECT icode, way, normalized, round({_score("plain", "normalized")}, 6) AS score FROM m""",
+    "bulk_import_classified": f"{_IMPORT} {_outcome('linked')}",
+    "bulk_import_applied": f"{_IMPORT} {_outcome('met')}",
+    "bulk_import_counters": f"""{_IMPORT} SELECT count(*) AS total, count(*) FILTER (outcome = 'added') AS added, count(*) FILTER (outcome = 'skipped') AS skipped,
+  count(*) FILTER (outcome = 'conflict') AS conflicts, (SELECT count(*) FROM records WHERE n < 2) AS errors FROM ({_outcome('linked')})""",
+    "bulk_import_after": f"""{_IMPORT}, added AS (SELECT icode, arg_max(working_code, line) AS working_code, 'approved' AS match_method FROM ({_outcome('met')}) WHERE outcome = 'added' GROUP BY icode),
+l2 AS (SELECT icode, working_code, match_method FROM links WHERE icode NOT IN (SELECT icode FROM added) UNION ALL FROM added),
+e2 AS (SELECT * FROM exclusions WHERE icode NOT IN (SELECT icode FROM added)) {_STATUS.format("l2", "e2")}""",
     "number_texts": """WITH q AS (SELECT DISTINCT l_quantity AS qty, l_quantity / 8 AS q FROM lineitem WHERE l_linestatus = 'F')
 SELECT qty, regexp_replace(regexp_replace(format('{:,.2f}', q * 1000), '0+$', ''), '\\.$', '') AS quantity, '฿' || format('{:,.0f}', q * 100000) AS baht,
   CASE WHEN q > 3 THEN '+' ELSE '' END || regexp_replace(regexp_replace(format('{:,.2f}', q - 3), '0+$', ''), '\\.$', '') AS signed,

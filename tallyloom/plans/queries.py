@@ -59,18 +59,27 @@ def mapping_stats(x: Inputs) -> DataFrame:
     return one.select("total", "exclusions", *[F.coalesce(F.try_element_at("by_method", F.lit(m)), F.lit(0)).alias(f"n_{m}") for m in links.METHODS])
 
 
-def mapping_upsert(x: Inputs) -> DataFrame:
-    changes = x.items.where("cast(icode as int) % 10 = 0").select(
-        F.col("icode").cast("long").alias("seq"), "icode", F.concat(F.lit("W"), "icode").alias("working_code"), F.col("name").alias("dispensed_name"),
-        F.lit("").alias("purchased_name"), F.lit("manual").alias("match_method"), F.lit(0.5).alias("match_score"),
+def _catalog_changes(x: Inputs) -> DataFrame:
+    """Every catalog row as a link of the item of the same code; long names give scores above 1, which the rules reject."""
+    return x.catalog.select(
+        F.col("working_code").cast("long").alias("seq"), F.col("working_code").alias("icode"), F.concat(F.lit(" W"), "working_code").alias("working_code"), F.lit("").alias("dispensed_name"),
+        F.col("drug_name").alias("purchased_name"), F.lit("manual").alias("match_method"), (F.char_length("drug_name") / 18.0).alias("match_score"),
     )
-    after, out = links.upsert(x.links, x.exclusions, changes)
-    codes = x.items.select("icode")
-    return links.status_by_icode(codes, after, out).select("icode", "status", "working_code", "match_method", "reason")
+
+
+def mapping_upsert(x: Inputs) -> DataFrame:
+    after, out, _ = links.set_links(x.links, x.exclusions, _catalog_changes(x))
+    return links.status_by_icode(x.items.select("icode"), after, out).select("icode", "status", "working_code", "match_method", "reason")
+
+
+def mapping_rejected(x: Inputs) -> DataFrame:
+    return links.set_links(x.links, x.exclusions, _catalog_changes(x))[2].select("icode", F.round("match_score", 6).alias("match_score"))
 
 
 def mapping_exclude(x: Inputs) -> DataFrame:
-    marks = x.items.where("cast(icode as int) % 7 = 0").select("icode", F.lit("mark").alias("reason"))
+    """Every item without a link that a person has set is marked: linked, excluded and open ones."""
+    now = links.status_by_icode(x.items, x.links, x.exclusions)
+    marks = now.where("match_method is null or match_method = 'auto'").select("icode", F.concat(F.lit("mark "), "name").alias("reason"))
     after, out = links.exclude(x.links, x.exclusions, marks)
     return links.status_by_icode(x.items.select("icode"), after, out).select("icode", "status", "working_code", "reason")
 
@@ -152,6 +161,32 @@ def auto_match_preview(x: Inputs) -> DataFrame:
     return matching.auto_match(page, x.catalog, 0.6).withColumn("score", F.round("score", 6))
 
 
+def auto_match_default(x: Inputs) -> DataFrame:
+    """With the score that needs no review."""
+    page = links.mapping_rows(x.items, x.links, x.exclusions, TERM)
+    return matching.auto_match(page, x.catalog).withColumn("score", F.round("score", 6))
+
+
+def auto_match_apply(x: Inputs) -> DataFrame:
+    page = links.mapping_rows(x.items, x.links, x.exclusions, TERM)
+    after, out, _ = links.set_links(x.links, x.exclusions, matching.as_changes(matching.auto_match(page, x.catalog, 0.6)))
+    return links.status_by_icode(x.items.select("icode"), after, out).select("icode", "status", "working_code", "match_method", "reason")
+
+
+def names_thai(x: Inputs) -> DataFrame:
+    """Each item's name with Thai words, Thai digits and brackets put to it in four ways, and how like the plain name that is."""
+    n = F.col("name")
+    ways = [
+        F.concat(n, F.lit(" (พาราเซตามอล "), "icode", F.lit(" มก.)")),
+        F.concat(F.substring(n, 1, 3), F.lit("("), "icode", F.lit("mg)"), F.substring(n, 4, 1000)),
+        F.concat(F.lit("บรรจุ ธารา "), n, F.lit(" ๕๐๐ มก. (ยาเม็ด)")),
+        F.concat(n, F.lit(" (ตรึม")),
+    ]
+    rows = x.items.select("icode", "name", F.posexplode(F.array(*ways)).alias("way", "text"))
+    rows = rows.select("icode", "way", names.normalized(n).alias("plain"), names.normalized(F.col("text")).alias("normalized"))
+    return rows.select("icode", "way", "normalized", F.round(names.similarity_normalized(F.col("plain"), F.col("normalized")), 6).alias("score"))
+
+
 def _bulk(x: Inputs, dry_run: bool) -> DataFrame:
     rows, _ = bulk.read(x.items.sparkSession, CSV)
     return bulk.classify(rows, x.links, dry_run).select("line", "physical_line", "icode", "working_code", "outcome", "existing")
@@ -197,6 +232,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "mapping_stats": mapping_stats,
     "mapping_unmapped": lambda x: links.unmapped(x.items, x.links, x.exclusions),
     "mapping_upsert": mapping_upsert,
+    "mapping_rejected": mapping_rejected,
     "mapping_exclude": mapping_exclude,
     "mapping_remove": lambda x: links.remove(x.links, "7", "7").select("icode", "working_code", "match_method"),
     "mapping_include": lambda x: links.include(x.exclusions, "25"),
@@ -210,9 +246,12 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "moving_average": moving_average,
     "month_share": month_share,
     "names_normalized": names_normalized,
+    "names_thai": names_thai,
     "similarity_pairs": similarity_pairs,
     "suggest_candidates": suggest_candidates,
     "auto_match_preview": auto_match_preview,
+    "auto_match_default": auto_match_default,
+    "auto_match_apply": auto_match_apply,
     "bulk_import_classified": lambda x: _bulk(x, True),
     "bulk_import_applied": lambda x: _bulk(x, False),
     "bulk_import_counters": bulk_import_counters,

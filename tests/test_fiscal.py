@@ -11,6 +11,9 @@ def test_month_index_and_back(spark):
     assert all(r.m == r.c for r in rows.select("m", fiscal.calendar_month(F.col("i")).alias("c")).collect())
 
 
+# The months and years of FIXTURES.md section 2.
+
+
 def test_fiscal_order(spark):
     row = spark.createDataFrame([([10, 20, 30, 40, 50, 60, 70, 80, 90, 1, 2, 3],)], "a array<int>").select(fiscal.to_fiscal_order(F.col("a"))).first()
     assert row[0] == [1, 2, 3, 10, 20, 30, 40, 50, 60, 70, 80, 90]
@@ -40,3 +43,8 @@ def test_default_year():
 
 def test_labels(spark):
     assert [r[0] for r in spark.range(12).select(fiscal.month_label(F.col("id").cast("int"))).collect()] == fiscal.MONTH_LABELS
+
+
+def test_current_year(spark):
+    now = spark.range(1).select(fiscal.current_year().alias("y"), F.current_date().alias("d")).first()
+    assert now.y == now.d.year + (now.d.month >= 10)

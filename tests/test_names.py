@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import names
 
+# FIXTURES.md section 4 (names, equal spellings, brackets, scores, terms, escapes, edit distances).
 NORMALIZED = [
     ("Amoxicillin 500 mg", "amoxicillin"), ("Amoxicillin 500mg", "amoxicillin"), ("Amoxicillin500mg", "amoxicillin"), ("Amoxicillin (500 mg)", "amoxicillin"),
     ("แอมม็อกซิซิลลิน 500 มิลลิกรัม", "แอมม็อกซิซิลลิน"), ("แอมม็อกซิซิลลิน 500 มก. แคปซูล", "แอมม็อกซิซิลลิน"),
@@ -18,6 +19,9 @@ SCORES = [
     ("Aspirin 81 mg", "Aspirin 325 mg", 1.0), ("Paracetamol + Codeine", "Paracetamol", 0.75), ("Amoxicillin", "Amoxicillin + Clavulanate", 0.75), ("", "Amoxicillin", 0.0), ("500 mg", "Amoxicillin", 0.0),
 ]
 TERMS = [("Amoxicillin 500 mg", "Amoxicillin"), ("Ab 500 mg", "Ab 500"), ("a very long name here", "a very"), ("  ", ""), (None, ""), ("abcdefghijklmnopqrstuv", "abcdefghijklmnop")]
+DISTANCES = [("kitten", "sitting", 3), ("equal", "equal", 0), ("", "abc", 3)]
+#: Cases of our own.
+OWN = [("Drug  (5 mg)(10 mg) forte", "drug forte"), ("ยาน้ำ 5 มล.", ""), ("A-B/c", "a b c"), ("µg x 1", "x")]
 LIKE = [("50%", "50~%"), ("a_b", "a~_b"), ("100~", "100~~"), ("%_~%", "~%~_~~~%")]
 
 
@@ -46,3 +50,13 @@ def test_scores(spark):
 def test_terms_and_escapes(spark):
     assert one(spark, [(a,) for a, _ in TERMS], names.search_term) == [b for _, b in TERMS]
     assert one(spark, [(a,) for a, _ in LIKE], names.escape_like) == [b for _, b in LIKE]
+
+
+def test_cases_of_our_own(spark):
+    assert one(spark, [(a,) for a, _ in OWN], names.normalized) == [b for _, b in OWN]
+
+
+def test_edit_distances(spark):
+    assert one(spark, [(a, b) for a, b, _ in DISTANCES], F.levenshtein) == [d for _, _, d in DISTANCES]
+    # names without a common token are held by edit distance
+    assert one(spark, [("kitten", "sitting")], names.similarity) == [pytest.approx(1 - 3 / 7)]

@@ -11,6 +11,7 @@ def at(i, x, base=NONE):
     return out
 
 
+# FIXTURES.md section 3 (monthly amounts and the flags they raise).
 NOISE = [90.0, 95.0, 100.0, 105.0, 110.0, 100.0, 90.0, 95.0, 105.0, 110.0, 95.0, 105.0]
 CASES = {
     "healthy": (TEN, TEN, HUNDRED, []),
