@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -25,17 +24,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _OWN_DIRS: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (as in tests), under a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under spark.checkpoint.dir. Where that is unset, a temporary one on a single machine; on a cluster, an error."""
+    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not base:
-        app = spark.sparkContext.applicationId
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if app not in _OWN_DIRS:
             _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         base = _OWN_DIRS[app]
-    return f"{base.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
+    _MADE.setdefault(app, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes the scratch tables that this application has made so far and returns their number.
+
+    Results are read from them lazily: call it when all results at hand have been written.
+    """
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(paths)
+
+
+def own(name: str) -> str:
+    """A column name that no input has."""
+    return f"{name}_{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -60,6 +82,11 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return task
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(lean(run), schema) for any column names: run sees its input's columns by position."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(lean(run), schema)
+
+
 def drop_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Without the columns of these names in any letter case: an operator's own columns replace the input's."""
     low = {n.lower() for n in names}
@@ -99,11 +126,7 @@ def scan_texts(
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x, arrow.field(n).type) for x, n in zip(made, names, strict=True)]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
 
-    return source.mapInArrow(lean(run), out)
-
-
-def sha256_hex(text: str | bytes) -> str:
-    return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+    return in_arrow(source, run, out)
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -111,8 +134,4 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def span_digest(spans: Sequence[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-
-
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))

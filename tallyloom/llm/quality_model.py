@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.common import scan_texts
-from tallyloom.llm.textscan import BYTE_CODE, WHITE, ascii_lower_table, chunks, mix, scan, separator_table, span_hashes
+from tallyloom.llm.textscan import WHITE, ascii_lower_table, chunks, mix, scan, separator_table, span_hashes
 
 FIT_ROWS, FIT_BYTES = 2_500, 16 << 20
 VOCABULARY, DIM, NONZERO, REACH = 30_000, 32, 4, 2
@@ -55,13 +55,13 @@ def terms(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
     """(word terms, shape terms, counts of each text) of the chunks of a column."""
     for _, _, data, offsets in chunks(column):
         words = scan(data, offsets, SEPARATORS)
-        word = span_hashes(BYTE_CODE[LOWER[data]], words.starts, words.ends)
+        word = span_hashes(LOWER[data], words.starts, words.ends)
         kind = CLASSES[data]
         fresh = np.ones(len(data), dtype=bool)
         fresh[1:] = kind[1:] != kind[:-1]
         fresh[words.starts] = True
         rank = np.concatenate((np.zeros(1, np.int64), np.cumsum(fresh)))
-        shape = span_hashes(BYTE_CODE[kind[fresh]], rank[words.starts], rank[words.ends])
+        shape = span_hashes(kind[fresh], rank[words.starts], rank[words.ends])
         again = np.zeros(len(word), dtype=bool)
         again[1:] = (word[1:] == word[:-1]) & (words.doc[1:] == words.doc[:-1])
         yield word, np.where(again, mix(shape, 9), shape), words.per_doc

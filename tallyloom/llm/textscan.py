@@ -47,14 +47,18 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_POWERS: dict[str, np.ndarray] = {"up": np.ones(0, np.uint64), "down": np.ones(0, np.uint64)}
+#: Bytes that are hashed at once, and so the powers that a process keeps.
+SEGMENT = 1 << 20
+_POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n:
-        size = max(n, 1 << 20)
-        _POWERS["up"], _POWERS["down"] = _powers(BASE, size), _powers(BASE_INV, size)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    """Powers of the base and of its inverse; those beyond a segment (for a word that long) are not kept."""
+    if n > SEGMENT + 1:
+        return _powers(BASE, n), _powers(BASE_INV, n)
+    if not _POWERS:
+        _POWERS.extend((_powers(BASE, SEGMENT + 1), _powers(BASE_INV, SEGMENT + 1)))
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def ascii_lower_table() -> np.ndarray:
@@ -81,20 +85,29 @@ class Words:
     first: np.ndarray  # index of each text's first word
 
     def hashes(self, mapped: np.ndarray | None = None) -> np.ndarray:
-        data = self.data if mapped is None else mapped
-        return span_hashes(BYTE_CODE[data], self.starts, self.ends)
+        return span_hashes(self.data if mapped is None else mapped, self.starts, self.ends)
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of codes[start:end] for every span, by one prefix sum of a polynomial."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(codes) + 1)
-    with np.errstate(over="ignore"):
-        total = np.empty(len(codes) + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(codes * up[: len(codes)], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for every span, by prefix sums of a polynomial. Spans are ascending and disjoint.
+
+    Spans are taken in segments of SEGMENT bytes, so memory does not grow with a text; a hash depends on the span's bytes alone.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + SEGMENT, side="right")))
+        a, b = starts[at:to] - base, ends[at:to] - base
+        n = int(b[-1])
+        up, down = powers(n + 1)
+        with np.errstate(over="ignore"):
+            total = np.empty(n + 1, dtype=np.uint64)
+            total[0] = 0
+            np.cumsum(BYTE_CODE[data[base : base + n]] * up[:n], out=total[1:])
+            out[at:to] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+        at = to
+    return out
 
 
 def scan(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> Words:
