@@ -1,72 +1,168 @@
 """SentencePiece encoding and decoding through a distinct-chunk table.
 
-Where no piece of a model holds a whitespace marker after another character, segmentation never crosses the
-start of a marked word, so a text's ids are those of its marked words in order. Each task keeps a table of the
-distinct marked words it has met: a word is segmented once by the library, and ids are joined back by
-position. The table is emptied at `table_size` entries (only speed depends on it), so memory stays bounded.
-Models whose pieces do cross markers, or that normalise text, go to the library whole.
-
-Defined cases: a null text is the empty text, with no ids; nothing is cut; repeated rows give equal rows.
+Where no piece of a model holds a whitespace marker after another character, segmentation never crosses the start of
+a marked word: a text's ids are those of its marked words in order, and so is its decoded text. A slice of texts is cut
+into marked words at once, brought to its distinct ones with an index a word, the words that the table does not hold
+yet are segmented by the library, each once, and ids (and decoded pieces) are joined back by position in array
+operations. The table belongs to a worker process and starts anew at `table_size` words, so memory is bounded; only speed
+depends on it. `encode_once` is the same with one table over all documents, kept as a DataFrame and joined by word.
+
+Texts that hold a marker as a character, and models whose pieces do cross markers or that normalise text, go to the
+library whole.
+
+Defined cases: a null text is the empty text, with no ids, and decodes to the empty text; nothing is cut, a very long
+text or word is taken whole; repeated rows give equal rows; an empty table gives an empty result; other columns stay,
+those named like a result column, in any letter case, give way.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import lean, scan_texts, texts_of
+from tallyloom.llm.common import drop_columns, in_arrow, materialize, own, scan_texts
+from tallyloom.llm.textscan import chunks, ranges
 
 MARK = "▁"
-_MARKED = re.compile(f"{MARK}+[^{MARK}]*")
-TABLE_SIZE = 100_000
-#: A marked word longer than this is segmented without entering the table.
+#: Distinct words that a process keeps, and the text that it cuts at once, in bytes.
+TABLE_SIZE, SLICE = 400_000, 8 << 20
+#: A word longer than this is segmented without entering the table.
 LONGEST_KEPT = 64
 
 
+def marked_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(marked words of all texts, their number in each text). A word stands without its first marker, which the library adds.
+
+    A word ends at the first of a run of spaces; that space is the marker of the next word, further ones are part of it.
+    Spaces at the start of a text follow the marker that the library puts there, so they are part of the first word.
+    """
+    parts, counts = [], []
+    for _, _, data, offsets in chunks(column, 1 << 62):
+        space = data == 32
+        cut = space.copy()
+        cut[1:] &= ~space[:-1]
+        starts = offsets[:-1][offsets[1:] > offsets[:-1]]
+        later = starts[(starts > 0)]
+        cut[later[space[later]]] = False  # a text's first space cuts nothing, whatever stands before the text
+        if len(starts):
+            cut[starts[0]] = False
+        # a space after a text's leading ones was compared with the space before it, within the text
+        before = np.concatenate((np.zeros(1, np.int64), np.cumsum(cut)))
+        at = np.sort(np.concatenate((starts, np.flatnonzero(cut) + 1)))
+        kept = data[~cut]
+        bounds = np.concatenate((at - before[at], [len(kept)])).astype(np.int64)
+        parts.append(pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(kept))))
+        counts.append(before[offsets[1:]] - before[offsets[:-1]] + (offsets[1:] > offsets[:-1]))
+    if not parts:
+        return pa.array([], pa.large_string()), np.zeros(0, np.int64)
+    return parts[0], counts[0]
+
+
+@dataclass
+class Encoded:
+    """ids and spelled-out forms of a column of texts: `of[d]:of[d + 1]` is text d's part of each."""
+
+    ids: np.ndarray
+    ids_of: np.ndarray
+    decoded: list[bytes]
+    spelled: list[bytes]
+
+
 class Encoder:
     """Encodes and decodes with one model."""
 
     def __init__(self, model: str, table_size: int = TABLE_SIZE):
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
         n = self.library.get_piece_size()
-        crossing = any(MARK in self.library.id_to_piece(i).lstrip(MARK) for i in range(n))
-        probes = ["a", "a b", " a", "a ", "  a  b ", "ﬁ ÅΩÅ \t\n　x", "▁a▁▁ b"]
-        self.table: dict[str, list[int]] = {}
         self.table_size = table_size
-        self.joined = not crossing
-        self.joined = self.joined and all(self.encode(t) == self.library.encode(t) for t in probes)
-
-    def _segment(self, chunk: str) -> list[int]:
-        """Ids of one marked word, which starts with at least one marker: the library adds the first one itself."""
-        if chunk == MARK:
-            return [self.library.piece_to_id(MARK)]
-        return self.library.encode(chunk[1:])
-
-    def encode(self, text: str) -> list[int]:
-        if not self.joined:
-            return self.library.encode(text)
-        if not text:
-            return []
-        out: list[int] = []
+        self.table: dict[str, tuple[list[int], bytes, bytes]] = {}
+        self.letter = next((i for i in range(n) if self.library.id_to_piece(i) == "a"), None)
+        self.joined = self.letter is not None and not any(MARK in self.library.id_to_piece(i).lstrip(MARK) for i in range(n))
+        probes = ["a", "a b", " a", "a ", "  a  b ", "ﬁ ÅΩÅ \t\n　x", "a\nb", ""]
+        if self.joined:
+            found = self.run(pa.array(probes), True, True)
+            for i, t in enumerate(probes):
+                want = self.library.encode(t)
+                self.joined &= found.ids[found.ids_of[i] : found.ids_of[i + 1]].tolist() == want and found.decoded[i].decode() == self.library.decode(want)
+
+    def segment(self, words: list[str]) -> list[tuple[list[int], bytes, bytes]]:
+        """(ids, the same in decimals each with a comma, decoded text with the marker's space) of each word."""
+        ids = self.library.encode(words, num_threads=1) if words else []
+        ids = [i or [self.library.piece_to_id(MARK)] for i in ids]
+        texts = self.library.decode([[self.letter, *i] for i in ids], num_threads=1) if words else []
+        return [(i, b"".join([b"%d," % x for x in i]), t[1:].encode()) for i, t in zip(ids, texts, strict=True)]
+
+    def entries(self, words: list[str]) -> list[tuple[list[int], bytes, bytes]]:
+        """The table's rows of some distinct words."""
         table = self.table
-        for chunk in _MARKED.findall(MARK + text.replace(" ", MARK)):
-            ids = table.get(chunk)
-            if ids is None:
-                ids = self._segment(chunk)
-                if len(chunk) <= LONGEST_KEPT:
-                    if len(table) >= self.table_size:
-                        table.clear()
-                    table[chunk] = ids
-            out += ids
-        return out
+        new = [w for w in words if w not in table]
+        if len(table) + len(new) > self.table_size:
+            table.clear()
+            new = words
+        made = dict(zip(new, self.segment(new), strict=True))
+        table.update((w, e) for w, e in made.items() if len(w) <= LONGEST_KEPT)
+        return [made[w] if w in made else table[w] for w in words]
+
+    def run(self, column: pa.Array, decode: bool = False, spell: bool = False) -> Encoded:
+        """Encodes a column; decodes the ids and spells them in decimals if asked for."""
+        column = column.fill_null("")
+        if not self.joined:
+            return self._whole(column, decode, spell)
+        marked = pc.match_substring(column, MARK)
+        if pc.any(marked).as_py():
+            return self._both(column, marked, decode, spell)
+        words, count = marked_words(column)
+        coded = words.dictionary_encode()
+        index = coded.indices.to_numpy()
+        entries = self.entries(coded.dictionary.to_pylist())
+        length = np.fromiter((len(e[0]) for e in entries), np.int64, len(entries))
+        flat = np.fromiter(chain.from_iterable(e[0] for e in entries), np.int32, int(length.sum()))
+        bounds = np.concatenate((np.zeros(1, np.int64), np.cumsum(count)))  # a text's words
+        size = length[index]
+        ids = flat[ranges((np.cumsum(length) - length)[index], size)]
+        ids_of = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))[bounds]
+        pick = coded.indices
+        return Encoded(
+            ids, ids_of,
+            # the first marker is the library's own: its space is not the text's
+            self._joined([e[2] for e in entries], pick, bounds, 1, 0) if decode else [],
+            self._joined([e[1] for e in entries], pick, bounds, 0, 1) if spell else [],
+        )
+
+    @staticmethod
+    def _joined(values: list[bytes], pick: pa.Array, bounds: np.ndarray, head: int, tail: int) -> list[bytes]:
+        """The values of each text's words, one after another, without so many bytes at both ends."""
+        every = pa.array(values, pa.large_binary()).take(pick)
+        _, off, data = every.buffers()
+        at = np.frombuffer(off, np.int64, count=len(every) + 1)[bounds].tolist() if len(every) else [0] * len(bounds)
+        raw = memoryview(data) if data is not None else memoryview(b"")
+        return [bytes(raw[a + head : b - tail]) if b > a else b"" for a, b in zip(at, at[1:], strict=False)]
+
+    def _whole(self, column: pa.Array, decode: bool, spell: bool) -> Encoded:
+        ids = [self.library.encode(t) for t in column.to_pylist()]
+        flat = np.fromiter(chain.from_iterable(ids), np.int32)
+        decoded = [self.library.decode(i).encode() if i else b"" for i in ids] if decode else []
+        return Encoded(flat, np.concatenate((np.zeros(1, np.int64), np.cumsum([len(i) for i in ids]))).astype(np.int64), decoded, [",".join(map(str, i)).encode() for i in ids] if spell else [])
+
+    def _both(self, column: pa.Array, marked: pa.Array, decode: bool, spell: bool) -> Encoded:
+        mask = marked.to_numpy(zero_copy_only=False)
+        a, b = self.run(column.filter(pc.invert(marked)), decode, spell), self._whole(column.filter(marked), decode, spell)
+        back = np.empty(len(mask), np.int64)
+        back[np.concatenate((np.flatnonzero(~mask), np.flatnonzero(mask)))] = np.arange(len(mask))
+        size = np.concatenate((np.diff(a.ids_of), np.diff(b.ids_of)))
+        starts = np.concatenate((a.ids_of[:-1], b.ids_of[:-1] + len(a.ids)))
+        order = lambda x, y: [(x + y)[i] for i in back.tolist()] if x or y else []
+        return Encoded(np.concatenate((a.ids, b.ids))[ranges(starts[back], size[back])], np.concatenate((np.zeros(1, np.int64), np.cumsum(size[back]))), order(a.decoded, b.decoded), order(a.spelled, b.spelled))
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -77,64 +173,78 @@ def encoder(model: str, table_size: int = TABLE_SIZE) -> Encoder:
     return Encoder(model, table_size)
 
 
+def _lists(found: Encoded) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(found.ids_of, pa.int32()), pa.array(found.ids, pa.int32()))
+
+
 def encode(docs: DataFrame, model: str, *, text: str = "text", ids: str = "token_ids", table_size: int = TABLE_SIZE) -> DataFrame:
     """docs with an array<int> of token ids. model: a path that every executor can open."""
+    return scan_texts(docs, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], lambda c: [_lists(encoder(model, table_size).run(c))], slice_bytes=SLICE)
+
 
-    def columns_of(column: pa.Array) -> list[list]:
-        one = encoder(model, table_size)
-        return [[one.encode(t) for t in texts_of(column)]]
+def encode_once(docs: DataFrame, model: str, *, text: str = "text", ids: str = "token_ids") -> DataFrame:
+    """encode by one table of all distinct marked words of docs: each is segmented once, and ids are joined back by word and ordered by position.
 
-    return scan_texts(docs, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], columns_of)
+    It moves every word of every text by its spelling and its ids by the text: many times the input. For models whose
+    pieces do not cross markers.
+    """
+    row, body = own("row"), F.coalesce(F.col(text), F.lit(""))
+    rows = materialize(drop_columns(docs, [ids]).withColumn(row, F.monotonically_increasing_id()))
+
+    def cut(batches):
+        for batch in batches:
+            words, count = marked_words(batch.column(1))
+            at = np.cumsum(count) - count
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), count)), pa.array(ranges(np.zeros(len(count), np.int64), count)) if len(at) else pa.array([], pa.int64()), words.cast(pa.string())], names=["row", "place", "word"])
+
+    def segment(batches):
+        one = encoder(model)
+        if not one.joined:
+            raise ValueError("this model's pieces cross markers")
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            made = [e[0] for e in one.segment(words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32()))], names=["word", "ids"])
+
+    words = in_arrow(rows.select(row, F.translate(body, MARK, " ")), cut, "row long, place long, word string")
+    table = in_arrow(words.select("word").distinct(), segment, "word string, ids array<int>")
+    back = words.join(table, "word").groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda x: x["ids"])).alias(ids))
+    return rows.join(back.withColumnRenamed("row", row), row, "left").select(*[F.col(f"`{c}`") for c in rows.columns if c != row], F.coalesce(ids, F.array().cast("array<int>")).alias(ids))
 
 
 def decode(docs: DataFrame, model: str, *, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """docs with the text that the ids stand for; null ids give the empty text."""
-    from tallyloom.llm.common import drop_columns
-
     source = drop_columns(docs, [text])
-    at = source.columns.index(ids)
+    at, names = source.columns.index(ids), [*source.columns, text]
     schema = T.StructType([*source.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches):
         one = encoder(model)
         for batch in batches:
             made = pa.array([one.decode(x) if x else "" for x in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, text])
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=names)
 
-    return source.mapInArrow(lean(run), schema)
+    return in_arrow(source, run, schema)
 
 
 def round_trip(docs: DataFrame, model: str, *, text: str = "text", keep: list[str] | None = None, table_size: int = TABLE_SIZE) -> DataFrame:
     """docs with n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256, in one pass."""
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
-    def columns_of(column: pa.Array) -> list[list]:
-        one, hash_of = encoder(model, table_size), hashlib.sha256
-        spelled = _decimals(one.library.get_piece_size())
-        n, a, b = [], [], []
-        for t in texts_of(column):
-            ids = one.encode(t)
-            n.append(len(ids))
-            a.append(hash_of(",".join([spelled[i] for i in ids]).encode()).hexdigest())
-            b.append(hash_of(one.decode(ids).encode() if ids else b"").hexdigest())
-        return [pa.array(np.array(n, dtype=np.int64)), a, b]
-
-    return scan_texts(docs, text, fields, columns_of, keep=keep)
+    def columns_of(column: pa.Array) -> list[pa.Array | list]:
+        found, hash_of = encoder(model, table_size).run(column, decode=True, spell=True), hashlib.sha256
+        return [pa.array(np.diff(found.ids_of)), [hash_of(x).hexdigest() for x in found.spelled], [hash_of(x).hexdigest() for x in found.decoded]]
 
-
-@lru_cache(maxsize=2)
-def _decimals(n: int) -> list[str]:
-    return [str(i) for i in range(n)]
+    return scan_texts(docs, text, fields, columns_of, keep=keep, slice_bytes=SLICE)
 
 
-def reencode(docs: DataFrame, model: str, *, text: str = "text", table_size: int = TABLE_SIZE, accept: Callable[[str, str], bool] = str.__eq__) -> DataFrame:
+def reencode(docs: DataFrame, model: str, *, text: str = "text", table_size: int = TABLE_SIZE) -> DataFrame:
     """docs as a pipeline's last stage keeps them: with token_ids, n_tokens and whether decoding gave the text back."""
     fields = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("exact", T.BooleanType())]
 
-    def columns_of(column: pa.Array) -> list[list]:
-        one = encoder(model, table_size)
-        texts = texts_of(column)
-        ids = [one.encode(t) for t in texts]
-        return [ids, [len(x) for x in ids], [accept(one.decode(x) if x else "", t) for x, t in zip(ids, texts, strict=True)]]
+    def columns_of(column: pa.Array) -> list[pa.Array | list]:
+        found = encoder(model, table_size).run(column, decode=True)
+        raw = column.fill_null("").cast(pa.binary()).to_pylist()
+        return [_lists(found), pa.array(np.diff(found.ids_of)), [a == b for a, b in zip(found.decoded, raw, strict=True)]]
 
-    return scan_texts(docs, text, fields, columns_of)
+    return scan_texts(docs, text, fields, columns_of, slice_bytes=SLICE)
