@@ -1,8 +1,11 @@
 """Leaf blocks of an HTML page: text between block boundaries, with features of its ancestors and its own.
 
 A tolerant single pass: comments, declarations, scripts, styles and the head's title are no text; inline elements
-do not break a block; start tags close what cannot stay open (a paragraph, a list item, a table cell); end tags
-without an open element are ignored; an unterminated tag or comment ends the page. Time is linear in the page.
+do not break a block; start tags close what cannot stay open (a paragraph, a list item, a table cell), but a start tag
+within an element whose content is no text closes nothing outside of that; end tags without an open element are
+ignored. An unterminated tag, comment, script or style ends the page; another element of raw text that never ends
+(a title, a text area, a frame) is passed over and the page goes on. What stands in `noscript` is text as elsewhere.
+Time is linear in the page.
 """
 
 from __future__ import annotations
@@ -14,16 +17,18 @@ from dataclasses import dataclass
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-SILENT = frozenset("script style template noscript title textarea iframe object svg math canvas audio video".split())
+SILENT = frozenset("script style template title textarea iframe object svg math canvas audio video".split())
 #: Silent elements whose content is not markup: it ends only at their own end tag.
-RAW = frozenset("script style title textarea iframe noscript template".split())
+RAW = frozenset("script style title textarea iframe".split())
+#: What may stand in a head: any other start tag ends it.
+HEAD = frozenset("base link meta noscript script style template title".split())
 #: What a start tag closes, up to the nearest of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
-TAGS = frozenset("article main section nav header footer aside form ul ol li dl table td div p h1 h2 h3 h4 blockquote pre figure figcaption button select details dialog address fieldset".split())
+TAGS = frozenset("article main section nav header footer aside form ul ol li dl table td div p h1 h2 h3 h4 blockquote pre figure figcaption button select details dialog address fieldset noscript".split())
 #: Words of class, id and role attributes, by what they hint at. A word counts if it is one of these or starts with one that ends in *.
 HINTS = {
     "content": "article content contents post entry story main body text prose copy paragraph blog page read",
@@ -42,6 +47,7 @@ _STARTS = [(w[:-1], g) for g, words in HINTS.items() for w in words.split() if w
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
 _SENTENCE = re.compile(r"[.!?](?:\s|$)")
 
 
@@ -66,13 +72,13 @@ class _Frame:
     tag: str
     seen: frozenset
     inner: str
-    silent: bool
+    silent: str  # the outermost element around whose content is no text, or ''
 
 
 class _Parser:
     def __init__(self, page: str):
         self.page = page
-        self.stack = [_Frame("", frozenset(), "none", False)]
+        self.stack = [_Frame("", frozenset(), "none", "")]
         self.open: dict[str, int] = {}
         self.blocks: list[tuple[str, int, _Frame, int]] = []
         self.pieces: list[str] = []
@@ -107,7 +113,7 @@ class _Parser:
         if own and len(own) > 1 and "content" in own:
             inner = next(g for g in own if g != "content")
         seen = up.seen.union(new) if new else up.seen
-        self.stack.append(_Frame(tag, seen, inner, up.silent or tag in SILENT or tag == "head"))
+        self.stack.append(_Frame(tag, seen, inner, up.silent or (tag if tag in SILENT or tag == "head" else "")))
         self.open[tag] = self.open.get(tag, 0) + 1
 
     def pop(self) -> None:
@@ -121,6 +127,13 @@ class _Parser:
             self.pop()
 
     def start(self, tag: str, attributes: str) -> None:
+        silent = self.stack[-1].silent
+        if silent == "head" and tag not in HEAD:
+            self.close("head")
+        elif silent or tag in SILENT:  # closes nothing and breaks no block
+            if tag not in VOID and not (attributes.endswith("/") and (silent in ("svg", "math") or tag in ("svg", "math"))):
+                self.push(tag, attributes)
+            return
         if tag in INLINE:
             if tag != "wbr":
                 self.push(tag, attributes)
@@ -128,7 +141,7 @@ class _Parser:
         self.flush()
         if tag in VOID:
             return
-        if self.open.get("p") and tag not in SILENT:
+        if self.open.get("p"):
             self.close("p")
         if tag in CLOSES:
             what, until = CLOSES[tag]
@@ -145,6 +158,7 @@ class _Parser:
     def run(self) -> None:
         page, at, n = self.page, 0, len(self.page)
         unquoted = {'"': n + 1, "'": n + 1}  # no such quote from here on
+        unended: set[str] = set()  # elements of raw text that do not end from here on
         while at < n:
             lt = page.find("<", at)
             if lt < 0:
@@ -181,21 +195,20 @@ class _Parser:
                 break
             tag, at = m[1].lower(), gt + 1
             if page[lt + 1] == "/":
-                if tag not in INLINE:
+                if tag not in INLINE and not self.stack[-1].silent:
                     self.flush()
                 self.close(tag)
                 continue
             attributes = page[m.end() : gt]
             if tag in RAW:
-                if tag not in INLINE:
-                    self.flush()
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(page, at)
-                if not end:
+                end = None if tag in unended else _ENDS[tag].search(page, at)
+                if end:
+                    gt = page.find(">", end.end())
+                    at = n if gt < 0 else gt + 1
+                elif tag in ("script", "style"):
                     break
-                gt = page.find(">", end.end())
-                at = n if gt < 0 else gt + 1
-                continue
-            if attributes.endswith("/") and tag not in VOID and tag in ("svg", "math"):
+                else:
+                    unended.add(tag)
                 continue
             self.start(tag, attributes)
         self.flush()

@@ -6,7 +6,9 @@ page is decoded by Viterbi. Training takes a second or two on the driver and doe
 broadcast are the weights. Pages are scanned whole in one pass without a shuffle.
 
 Defined cases: a null or empty page has an empty text; so has one without main text; broken markup is read as far
-as it goes; repeated rows give equal rows; other columns stay, those named like a result column give way.
+as it goes, by the rules of html_blocks; a very long page is read whole, in time linear in it; repeated rows give equal
+rows; an empty table gives an empty result; other columns stay, those named like a result column, in any letter case,
+give way.
 """
 
 from __future__ import annotations

@@ -83,6 +83,16 @@ class _Page:
     def notice(self) -> None:
         self.box("cookie-notice", "consent", "notice", "cookie", "alert", "popup", "gdpr")
 
+    def enable(self) -> None:
+        """What shows where scripts do not run."""
+        self.add("<noscript>")
+        self.add(self.r.choice([f"<p>{self.prose(1, 2)}</p>", f"<div{self.attr('notice', 'warning', 'alert')}>{self.prose(1, 2)}</div>", self.prose(1, 1)]), 0)
+        self.add("</noscript>")
+
+    def icon(self) -> str:
+        """A drawing with words that are no text of the page."""
+        return self.r.choice([f'<svg viewBox="0 0 9 9"><g><path d="M0 0"/><text>{self.words(1, 2)}</text></g></svg>', f"<math><mi>{self.word()}</mi></math>", f"<canvas>{self.words(1, 4)}</canvas>", f"<object><div>{self.words(1, 3)}</div></object>"])
+
     def sidebar(self) -> None:
         tag, a = self.r.choice([("aside", ""), ("aside", self.attr("sidebar", "related")), ("div", self.attr("sidebar", "widget", "related", "side"))])
         self.add(f"<{tag}{a}>")
@@ -150,6 +160,8 @@ class _Page:
                     words = text.split(" ")
                     words[len(words) // 2] = f'<a href="#">{words[len(words) // 2]}</a>'
                     text = " ".join(words)
+                if self.r.random() < 0.06:
+                    text = f"{text} {self.icon()}"
                 self.add(self.r.choice([f"<p>{text}</p>", f"<p>{text}", f"<p>{text}</p>", f"<p><b>{text}<br>"]), 1)
             elif kind < 0.8:
                 self.add(f"<{(h := self.r.choice(['h2', 'h3']))}>{self.words(1, 7).capitalize()}</{h}>", 1)
@@ -161,8 +173,10 @@ class _Page:
             elif kind < 0.94:
                 n = self.r.randint(2, 6)
                 self.add("<table><tr>" + "".join(f"<td>{self.words(1, 4)}</td>" for _ in range(n)) + "</tr></table>", *[1] * n)
-            elif kind < 0.96:
+            elif kind < 0.955:
                 self.add(f"<div>{self.prose(1, 3)}</div>", 1)
+            elif kind < 0.965:
+                self.add(f"<noscript><p>{self.prose(2, 5)}</p></noscript>", 1)
             else:
                 self.r.choice(middle)()
         inside = self.r.random() < 0.3
@@ -181,7 +195,7 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
     wrap = p.r.random() < 0.3
     if wrap:
         p.add(f'<div id="{p.r.choice(["page", "wrapper", "container", "content"])}">')
-    before = [f for f, share in ((p.masthead, 0.4), (p.menu, 0.8), (p.notice, 0.25), (p.advert, 0.4), (p.form, 0.15), (p.sidebar, 0.15)) if p.r.random() < share]
+    before = [f for f, share in ((p.masthead, 0.4), (p.menu, 0.8), (p.notice, 0.25), (p.advert, 0.4), (p.form, 0.15), (p.sidebar, 0.15), (p.enable, 0.12)) if p.r.random() < share]
     after = [f for f, share in ((p.sidebar, 0.3), (p.advert, 0.2), (p.form, 0.15), (p.notice, 0.15), (p.share, 0.1)) if p.r.random() < share]
     for f in before:
         f()
