@@ -3,10 +3,14 @@
 Kinds, in order: email, ip, card, phone (the base kinds, whose rules are fixed) and iban, ssn, local_phone.
 A proposal of an added kind is kept if its validator passes and its score (a prior, plus what context words
 within `reach` characters add or take away) comes to the threshold; one that overlaps a base span, or an added
-span of an earlier kind, is dropped. Offsets are code points, end exclusive.
-
-Defined cases: a null text has no spans (and stays null when redacted); texts are scanned whole; every pattern
-below runs in time linear in the text, long runs of one character included.
+span of an earlier kind, is dropped. Context words move the score of base spans too, but these always stay. Offsets
+are code points, end exclusive.
+
+Defined cases: a null or empty text has no spans (a null one stays null when redacted); texts, very long ones too,
+are scanned whole, and every pattern below runs in time linear in the text, long runs of one character included; of
+two spans of one kind the leftmost wins, of added spans that overlap the one of the earlier kind; repeated rows give
+equal rows; an empty table gives an empty result; other columns stay, those named like a result column, in any letter
+case, give way.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import SPANS, scan_texts, sha256_hex, span_digest, texts_of
+from tallyloom.llm.common import SPANS, scan_texts, texts_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "local_phone")
@@ -35,7 +39,7 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
-_LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[2-9][0-9]{2}\)?[\x20.-][2-9][0-9]{2}[\x20.-][0-9]{4}(?![0-9])")
+_LOCAL_PHONE = re.compile(r"(?<![0-9+])(\(?)([2-9][0-9]{2})(\)?)[\x20.-]([2-9][0-9]{2})[\x20.-][0-9]{4}(?![0-9])")
 #: Length of a country's account numbers.
 _IBAN_LENGTHS = {
     country: n
@@ -51,11 +55,15 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 #: Words near a proposal that make it likelier, and words that make it less likely.
 CONTEXT = {
+    "email": (("mail", "email", "contact", "write", "reply"), ("example", "sample", "noreply")),
+    "ip": (("ip", "address", "host", "server", "client", "login"), ("version", "release", "section", "chapter")),
+    "card": (("card", "visa", "mastercard", "credit", "debit", "payment", "karte", "tarjeta", "carte"), ("isbn", "order", "tracking", "serial")),
+    "phone": (("phone", "tel", "telephone", "call", "mobile", "fax", "telefon", "handy"), ("isbn", "order", "invoice", "id")),
     "iban": (("iban", "account", "bank", "konto", "compte", "cuenta", "transfer"), ("isbn", "part", "serial")),
     "ssn": (("ssn", "social", "security", "taxpayer"), ("part", "order", "invoice", "serial")),
     "local_phone": (("phone", "tel", "telephone", "call", "mobile", "fax", "telefon", "handy"), ("isbn", "order", "invoice", "id")),
 }
-PRIOR = {"iban": 0.6, "ssn": 0.3, "local_phone": 0.25}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.6, "ssn": 0.3, "local_phone": 0.25}
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -143,10 +151,15 @@ def _valid_ssn(m: re.Match) -> bool:
     return m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000"
 
 
+def _valid_local(m: re.Match) -> bool:
+    """Brackets in pairs; neither area nor exchange is a service code (x11), and an area's middle digit is no 9."""
+    return bool(m[1]) == bool(m[3]) and m[2][1:] != "11" and m[4][1:] != "11" and m[2][1] != "9"
+
+
 ADDED: dict[str, Callable[[str], Iterator[tuple[int, int]]]] = {
     "iban": ibans,
     "ssn": lambda text: (m.span() for m in _SSN.finditer(text) if _valid_ssn(m)),
-    "local_phone": lambda text: (m.span() for m in _LOCAL_PHONE.finditer(text)),
+    "local_phone": lambda text: (m.span() for m in _LOCAL_PHONE.finditer(text) if _valid_local(m)),
 }
 
 
@@ -157,9 +170,9 @@ def context_score(kind: str, text: str, start: int, end: int, reach: int = REACH
 
 
 def find_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
-    """All spans by kind, then start: (kind, start, end, score). Base spans score 1."""
+    """All spans by kind, then start: (kind, start, end, score). Base spans are there whatever their score."""
     base = base_spans(text)
-    out = [(k, a, b, 1.0) for k in BASE_KINDS for a, b in base[k]]
+    out = [(k, a, b, context_score(k, text, a, b)) for k in BASE_KINDS for a, b in base[k]]
     taken = [(a, b) for _, a, b, _ in out]
     for kind, proposals in ADDED.items():
         mine = []
@@ -185,13 +198,14 @@ def _count(spans: str, kind: str) -> Column:
 
 
 def report(found: DataFrame) -> DataFrame:
-    """Counts and digests of find_pii's spans, in built-in functions."""
+    """Counts and digests of find_pii's spans, and n_spans, the number of all of them, in built-in functions."""
     spelled = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     base = F.filter("pii_spans", lambda x: x["kind"].isin(*BASE_KINDS))
-    names = [f"n_{k}" for k in BASE_KINDS]
+    made = {"pii_spans", "base_sha256", "spans", "n_spans", *(f"n_{k}" for k in BASE_KINDS)}
     return found.select(
-        *[c for c in found.columns if c not in ("pii_spans", "base_sha256", "spans", *names)],
+        *[F.col(f"`{c}`") for c in found.columns if c.lower() not in made],
         *[_count("pii_spans", k).alias(f"n_{k}") for k in BASE_KINDS],
+        F.size("pii_spans").cast("long").alias("n_spans"),
         F.sha2(F.array_join(F.transform(base, spelled), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("pii_spans", spelled), ",").alias("spans"),
     )
@@ -215,10 +229,5 @@ def redact(docs: DataFrame, *, text: str = "text", threshold: float = THRESHOLD)
     def columns_of(column: pa.Array) -> list[list]:
         return [[None if t is None else redact_text(t, threshold) for t in column.to_pylist()]]
 
-    return scan_texts(docs, text, [T.StructField(text, T.StringType())], columns_of).select(*docs.columns)
-
+    return scan_texts(docs, text, [T.StructField(text, T.StringType())], columns_of).select(*[F.col(f"`{c}`") for c in docs.columns])
 
-def brute_digest(text: str) -> tuple[str, str]:
-    """base_sha256 and spans of one text."""
-    spans = [(k, a, b) for k, a, b, _ in find_spans(text or "")]
-    return sha256_hex(span_digest([s for s in spans if s[0] in BASE_KINDS])), span_digest(spans)

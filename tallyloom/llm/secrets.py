@@ -7,8 +7,10 @@ base64), pem (a private key block: base64 of nested length-prefixed values, or o
 (the same as bare base64), der_hex (the same as hex), checked_token (a prefixed token whose last six characters
 are the CRC-32 of the rest).
 
-Offsets are code points, end exclusive; spans are ordered by start, then kind as listed. Defined cases: a null
-text has no spans (and stays null when redacted); texts are scanned whole in linear time.
+Offsets are code points, end exclusive; spans are ordered by start, then kind as listed. Defined cases: a null or
+empty text has no spans (a null one stays null when redacted); texts, very long ones too, are scanned whole in linear
+time; spans of several kinds may overlap and start at one place; repeated rows give equal rows; an empty table gives an
+empty result; other columns stay, those named like a result column, in any letter case, give way.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import SPANS, scan_texts, sha256_hex, span_digest, texts_of
+from tallyloom.llm.common import SPANS, scan_texts, texts_of
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "jwt", "pem", "der", "der_hex", "checked_token")
@@ -149,13 +151,14 @@ def _count(spans: str, kind: str) -> Column:
 
 
 def report(found: DataFrame) -> DataFrame:
-    """Counts and digests of find_secrets' spans, in built-in functions."""
+    """Counts and digests of find_secrets' spans, and n_spans, the number of all of them, in built-in functions."""
     spelled = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     base = F.filter("secret_spans", lambda x: x["kind"].isin(*BASE_KINDS))
-    names = [f"n_{k}" for k in BASE_KINDS]
+    made = {"secret_spans", "base_sha256", "spans", "n_spans", *(f"n_{k}" for k in BASE_KINDS)}
     return found.select(
-        *[c for c in found.columns if c not in ("secret_spans", "base_sha256", "spans", *names)],
+        *[F.col(f"`{c}`") for c in found.columns if c.lower() not in made],
         *[_count("secret_spans", k).alias(f"n_{k}") for k in BASE_KINDS],
+        F.size("secret_spans").cast("long").alias("n_spans"),
         F.sha2(F.array_join(F.transform(base, spelled), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("secret_spans", spelled), ",").alias("spans"),
     )
@@ -175,9 +178,5 @@ def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
     def columns_of(column: pa.Array) -> list[list]:
         return [[None if t is None else clean(t) for t in column.to_pylist()]]
 
-    return scan_texts(docs, text, [T.StructField(text, T.StringType())], columns_of).select(*docs.columns)
+    return scan_texts(docs, text, [T.StructField(text, T.StringType())], columns_of).select(*[F.col(f"`{c}`") for c in docs.columns])
 
-
-def brute_digest(text: str) -> tuple[str, str]:
-    spans = find_spans(text or "")
-    return sha256_hex(span_digest([s for s in spans if s[0] in BASE_KINDS])), span_digest(spans)
