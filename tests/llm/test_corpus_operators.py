@@ -289,6 +289,14 @@ PAGES = {
     "<article><p>Cut off in the mid": "Cut off in the mid",
     "<article><p>a</p><script>var x='<p>no</p>'</script><!-- <p>no</p> --><p>b</p>": "a b",
     "": "",
+    "<article><h1>T</h1><p>Words of the page. <svg><g><text>Icon label</text></g></svg> More words here.</p><p>Last words of it.</p></article>": "T Words of the page. More words here. Last words of it.",
+    "<article><h1>T</h1><p>Some words here, a<svg><path d='M0'/><g/><p>no</p></svg>b.</p><canvas><div>no</div></canvas><p>Last words of it.</p></article>": "T Some words here, ab. Last words of it.",
+    "<article><h1>T</h1><p>First words of it. <object><table><tr><td>no</table></object><math><mfrac><li>no</mfrac></math></p><p>Last words of it.</p></article>": "T First words of it. Last words of it.",
+    "<article><h1>T</h1><p>First words of it.</p><noscript><p>Words for readers who run no scripts. They go on for a while.</p></noscript><p>Last words of it.</p></article>": "T First words of it. Words for readers who run no scripts. They go on for a while. Last words of it.",
+    "<html><head><title>t</title><noscript><link href=x></noscript><article><h1>T</h1><p>No head was ended here. It goes on.</p></article>": "T No head was ended here. It goes on.",
+    "<article><h1>T</h1><p>First words of it.</p><iframe src=x><p>Middle words of it.</p><template><p>no</p></article><footer>&copy; x</footer>": "T First words of it. Middle words of it.",
+    "<article><h1>T</h1><p>First words of it.</p><title>x<textarea><p>Last words of it.</p></article>": "T First words of it. x Last words of it.",
+    "<article><h1>T</h1><p>First words of it.</p><script>var x = '<p>no</p>'": "T First words of it.",
 }
 
 
@@ -338,7 +346,7 @@ def test_viterbi_and_sums_equal_brute_force():
 
 
 def test_deep_and_broken_markup_takes_linear_time():
-    for page in ("<div>" * 50_000, "</div>" * 50_000, "<a '" * 50_000, '<a "' * 50_000 + ">", "<!--" * 50_000, "<p><b>" * 30_000 + "x", "&" * 100_000, "<li>" * 50_000):
+    for page in ("<div>" * 50_000, "</div>" * 50_000, "<a '" * 50_000, '<a "' * 50_000 + ">", "<!--" * 50_000, "<p><b>" * 30_000 + "x", "&" * 100_000, "<li>" * 50_000, "<iframe><title>" * 50_000, "<svg><p>" * 50_000, "<p><svg></p>" * 50_000, "<noscript>" * 50_000):
         html_blocks.blocks(page)
 
 

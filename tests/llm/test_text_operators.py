@@ -73,7 +73,7 @@ def brute_hits(text, items):
 ITEMS = [(10, "Two three-four FIVE six seven eight nine ten eleven twelve"), (9, "x"), (11, None), (12, "..."), (9, "x"), (None, "naïve äöü")]
 
 
-@pytest.mark.parametrize("slice_words", [1_000_000, 3])
+@pytest.mark.parametrize("slice_words", [1_000_000, 3, 12])
 def test_decontamination_of_odd_rows(spark, odd, nothing, slice_words):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     rows = odd.where("doc_id <> 4 or doc_id is null").withColumn("n_words", F.lit("clash")).withColumn("Hit_Spans", F.lit(1))
@@ -88,6 +88,56 @@ def test_decontamination_of_odd_rows(spark, odd, nothing, slice_words):
     assert decontaminate.remove_documents(odd, none).count() == odd.count()
 
 
+def test_slices_are_held_one_at_a_time(spark, odd, monkeypatch):
+    """A benchmark of many slices, an item longer than a slice among them, gives what one slice gives, and each is written before the next is read."""
+    r = random.Random(4)
+    letters = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(r.choice(letters) for _ in range(r.randrange(1, 40)))) for i in range(60)] + [(99, " ".join(r.choice(letters) for _ in range(900)))]
+    docs = []
+    for i in range(40):
+        parts = [" ".join(f"x{r.randrange(50)}" for _ in range(r.randrange(20))) for _ in range(3)]
+        cut = r.choice(items)[1].split()
+        a = r.randrange(len(cut))
+        docs.append((i, f"{parts[0]} {' '.join(cut[a : a + r.randrange(5, 60)])} {parts[1]} {r.choice(items)[1]} {parts[2]}"))
+    benchmark, table = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    events = []
+    read, written = decontaminate._pass, decontaminate.materialize
+    monkeypatch.setattr(decontaminate, "_pass", lambda *a, **k: events.append("read") or read(*a, **k))
+    monkeypatch.setattr(decontaminate, "materialize", lambda df: events.append("written") or written(df))
+    got = decontaminate.report(decontaminate.find_contamination(table, benchmark, slice_words=200)).collect()
+    assert events[0] == "written" and events[1:] == ["read", "written"] * (len(events) // 2) and len(events) > 9
+    for x in got:
+        assert (x.n_words, x.n_hit, x.n_items, x.items_sha256) == brute_hits(x.text, items)
+    assert len(got) == len(docs)
+    one = decontaminate.report(decontaminate.find_contamination(table, benchmark)).collect()
+    assert sorted(map(str, one)) == sorted(map(str, got))
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    """With a hash that takes few values, hits are still those of the words."""
+    plain = decontaminate.rolled
+    monkeypatch.setattr(decontaminate, "rolled", lambda h, w: plain(h, w) % np.uint64(7))
+    items = [(str(i), f"a b c d e f g h i {x} k") for i, x in enumerate("jxyzj")]
+    grams = decontaminate.Grams(items, 10)
+    for text in ("a b c d e f g h i j", "q b c d e f g h i z k", "a b c d e f g h j i", "A-b c d e f g h i x k a b c d e f g h i j"):
+        chunk = next(decontaminate.scan_words(pa.array([text])))
+        covered, found = grams.hits(chunk)
+        ids = sorted({grams.ids[i] for i in found.get(0, ())})
+        assert (len(covered), int(covered.sum()), len(ids), sha(",".join(ids))) == brute_hits(text, items)
+
+
+def test_columns_stay_as_they_were(spark, odd):
+    items = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
+    docs = odd.withColumn("n_words", F.lit(777)).withColumn("Item_Ids", F.lit("mine")).withColumn("HIT_SPANS", F.lit(1.5)).withColumn("a.b", F.lit(3))
+    for slice_words in (1_000_000, 4):
+        left = decontaminate.remove_documents(docs, items, slice_words=slice_words)
+        assert left.columns == docs.columns
+        want = [r for r in docs.collect() if not brute_hits(r.text, ITEMS[:1])[1]]
+        assert sorted(map(repr, left.collect())) == sorted(map(repr, want))
+        cut = decontaminate.remove_spans(docs, items, slice_words=slice_words)
+        assert cut.columns == docs.columns and sorted(map(repr, cut.drop("text").collect())) == sorted(map(repr, docs.drop("text").collect()))
+
+
 def test_spans_and_documents_go(spark, odd):
     items = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
     left = decontaminate.remove_spans(odd, items)
@@ -178,7 +228,10 @@ def test_pii_of_odd_rows(odd, nothing):
     got = pii.report(pii.find_pii(odd.withColumn("spans", F.lit(1)).withColumn("N_Email", F.lit(1)))).collect()
     assert len(got) == odd.count()
     for r in got:
-        assert (r.base_sha256, r.spans) == pii.brute_digest(r.text)
+        base = brute_base(r.text or "")
+        spelled = ",".join(f"{k}:{a}:{b}" for k in pii.BASE_KINDS for a, b in base[k])
+        # no span of an added kind is in these rows
+        assert (r.base_sha256, r.spans, r.n_spans) == (sha(spelled), spelled, sum(map(len, base.values())))
         assert (r.n_email, r.n_phone) == ((3, 3) if r.doc_id is None else (0, 0))
     clean = pii.redact(odd)
     assert clean.columns == odd.columns
@@ -187,6 +240,63 @@ def test_pii_of_odd_rows(odd, nothing):
     assert pii.redact(nothing).count() == pii.find_pii(nothing).count() == 0
 
 
+def planted(seed, kinds, decoys, fill):
+    """(text, spans): parts drawn from makers of spans and of decoys, set in filler words. What is found must be what was planted."""
+    r = random.Random(seed)
+    text, spans = "", []
+    for _ in range(r.randrange(1, 7)):
+        text += " ".join(r.choice(fill) for _ in range(r.randrange(1, 9))) + ". "
+        lead, body, tail, kind = r.choice([*((*make(r), kind) for kind, make in kinds.items()), *((*make(r), None) for make in decoys)])
+        if kind:
+            spans.append((kind, len(text) + len(lead), len(text) + len(lead) + len(body)))
+        text += lead + body + tail + ". "
+    return text, spans
+
+
+def iban(r, good=True):
+    country, n = r.choice([("DE", 22), ("ES", 24), ("AT", 20), ("BE", 16), ("GB", 22), ("NO", 15)])
+    body = "".join(r.choice("0123456789") for _ in range(n - 4))
+    if country == "GB":
+        body = "WEST" + body[4:]
+    checked = next(f"{country}{c:02d}{body}" for c in range(98) if int("".join(str(int(x, 36)) for x in f"{body}{country}{c:02d}")) % 97 == 1)
+    if not good:
+        checked = checked[:-1] + str((int(checked[-1]) + 1) % 10)
+    return "iban ", " ".join(checked[i : i + 4] for i in range(0, n, 4)) if r.random() < 0.5 else checked, ""
+
+
+def ssn(r, good=True):
+    area = r.choice([r.randrange(1, 666), r.randrange(667, 900)]) if good else r.choice([0, 666, 950])
+    return "social security ", f"{area:03d}-{r.randrange(1, 100):02d}-{r.randrange(1, 10000):04d}", ""
+
+
+def local_phone(r, good=True):
+    area = f"{r.randrange(2, 10)}{r.choice('02345678')}{r.choice('023456789')}" if good else r.choice(["911", "291", "123"])
+    return "call ", r.choice([f"({area}) {{}}", f"{area}-{{}}", f"{area} {{}}"]).format(f"{r.randrange(2, 10)}{r.choice('0234')}7-{r.randrange(10000):04d}"), ""
+
+
+PII_MAKERS = {"iban": iban, "ssn": ssn, "local_phone": local_phone}
+PII_DECOYS = [lambda r: iban(r, False), lambda r: ssn(r, False), lambda r: local_phone(r, False), lambda r: ("part no serial ", ssn(r)[1], ""), lambda r: ("order ", local_phone(r)[1], "")]
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_added_pii_is_what_was_planted(seed):
+    text, spans = planted(seed, PII_MAKERS, PII_DECOYS, ["éa", "over", "漢字", "lorem", "Ab", "🙂"])
+    found = [s[:3] for s in pii.find_spans(text)]
+    base = [x for kind in brute_base(text).values() for x in kind]
+    spans = [s for s in spans if all(s[2] <= a or b <= s[1] for a, b in base)]  # digits of an account number may make a card number
+    near = lambda w, s: bool(re.search(w, text[max(0, s[1] - pii.REACH) : s[1]] + " " + text[s[2] : s[2] + pii.REACH]))
+    added = [s for s in found if s[0] in PII_MAKERS]
+    # context words of a neighbour may lift a decoy or press a planted span: those in reach of one are left out
+    clear = lambda s: not near("part|serial|order" if s in spans else "social|security|call", s)
+    assert sorted(s for s in added if clear(s)) == sorted(s for s in spans if clear(s))
+    assert all(s in added for s in spans if s[0] == "iban" and not near("part|serial", s))
+
+
+def test_context_moves_scores():
+    assert pii.find_spans("mail a@b.cd")[0][3] > pii.find_spans("qq a@b.cd")[0][3] > pii.find_spans("sample a@b.cd")[0][3]
+    assert [s[:3] for s in pii.find_spans("version chapter 1.2.3.4")] == [("ip", 16, 23)]
+
+
 def test_pii_whole_table(spark, sf_dir, documents):
     texts = {r.doc_id: r.text for r in documents.collect()}
     for r in queries()["op3_pii"](spark, sf_dir).collect():
@@ -285,6 +395,41 @@ def test_every_sequence_is_decoded():
     assert all(base64.b64encode(bytes([0x30, second, 0])).decode().startswith(secrets._B64_STARTS) for second in range(256))
 
 
+def jwt(r):
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    return "auth ", ".".join((part({"alg": r.choice(["HS256", "RS512"]), "n": r.random()}), part({"sub": r.randrange(999)}), part(r.random()))), ""
+
+
+def bare_key(r):
+    return "blob ", base64.b64encode(der(number(b"\x00"), *[number(r.randbytes(r.randrange(30, 60))) for _ in range(8)])).decode(), ""
+
+
+def block(r):
+    kind = r.choice(["", "RSA ", "EC "])
+    return "", f"-----BEGIN {kind}PRIVATE KEY-----\n{bare_key(r)[1]}\n-----END {kind}PRIVATE KEY-----", ""
+
+
+def checked(r):
+    body = "".join(r.choice(secrets._BASE62) for _ in range(30))
+    n, tail = zlib.crc32(body.encode()), ""
+    for _ in range(6):
+        n, d = divmod(n, 62)
+        tail = secrets._BASE62[d] + tail
+    return "use ", f"gh{r.choice('pousr')}_{body}{tail}", ""
+
+
+SECRET_DECOYS = [
+    lambda r: ("", "eyJ" + "x" * 20 + ".eyJhIjoxfQ.abc", ""), lambda r: ("", "M" + "I" * 70, ""), lambda r: ("", base64.b64encode(r.randbytes(80)).decode().replace("+", "a"), ""),
+    lambda r: ("", "ghp_" + "a" * 36, ""), lambda r: ("", "-----BEGIN PRIVATE KEY-----\nAAAA\n-----END PRIVATE KEY-----", ""), lambda r: ("", "30" + r.randbytes(40).hex().upper(), ""),
+]
+
+
+@pytest.mark.parametrize("seed", range(100))
+def test_added_secrets_are_what_was_planted(seed):
+    text, spans = planted(seed, {"jwt": jwt, "der": bare_key, "pem": block, "checked_token": checked}, SECRET_DECOYS, ["éa", "over", "漢字", "lorem", "🙂"])
+    assert [s for s in secrets.find_spans(text) if s[0] not in secrets.BASE_KINDS] == spans
+
+
 def test_secrets_of_tables(spark, sf_dir, documents, odd, nothing):
     texts = {r.doc_id: r.text for r in documents.collect()}
     for r in queries()["op8_secrets"](spark, sf_dir).collect():
@@ -308,17 +453,53 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=piece_model())
 
 
-def test_encoding_equals_the_library(library):
-    one = sentencepieces.Encoder(piece_model(), table_size=50)
+@pytest.mark.parametrize("table_size", [50, 400_000])
+def test_encoding_equals_the_library(library, table_size):
+    one = sentencepieces.Encoder(piece_model(), table_size=table_size)
     assert one.joined
     r = random.Random(3)
-    letters = list("ab  ▁\n\t\x00é漢🙂<s>/<0x0A>﷽́")
-    for text in ["", " ", "  ", "a ", "▁", "<s>", *("".join(r.choice(letters) for _ in range(r.randrange(25))) for _ in range(5000))]:
-        ids = library.encode(text)
-        assert one.encode(text) == ids and one.decode(ids) == library.decode(ids)
+    letters = list("ab   ▁\n\t\x00é漢🙂<s>/<0x0A>﷽́")
+    plain = [x for x in letters if x != "▁"]
+    texts = ["", " ", "  ", "   ", "a ", "a  ", " a", "  a", "▁", "<s>", "a" * 100, *("".join(r.choice(x) for _ in range(r.randrange(25))) for x in (letters, plain, list("ab  ")) for _ in range(3000))]
+    for column in (pa.array(texts), pa.array([t for t in texts if "▁" not in t]), pa.array([None, "x", None, "y z", "▁ a"])[1:]):
+        found = one.run(column, decode=True, spell=True)
+        for i, t in enumerate(column.to_pylist()):
+            ids = library.encode(t or "")
+            assert found.ids[found.ids_of[i] : found.ids_of[i + 1]].tolist() == ids
+            assert (found.spelled[i].decode(), found.decoded[i].decode()) == (",".join(map(str, ids)), library.decode(ids) if ids else "")
+
+
+def test_words_are_segmented_once(library):
+    one = sentencepieces.Encoder(piece_model())
+    asked, plain = Counter(), one.segment
+    one.segment = lambda words: asked.update(words) or plain(words)
+    r = random.Random(1)
+    words = [f"word{i}" for i in range(50)]
+    for _ in range(4):
+        texts = [" ".join(r.choice(words) for _ in range(200)) for _ in range(30)]
+        one.run(pa.array(texts))
+    assert set(asked) == set(words) and set(asked.values()) == {1}
+
+
+def test_other_models_go_to_the_library_whole(library):
+    one = sentencepieces.Encoder(piece_model())
+    one.joined = False
+    texts = ["a b", "", "x  y"]
+    found = one.run(pa.array(texts), decode=True, spell=True)
+    for i, t in enumerate(texts):
+        assert found.ids[found.ids_of[i] : found.ids_of[i + 1]].tolist() == library.encode(t) and found.decoded[i].decode() == t
+
+
+def test_tokenizer_whole_table(spark, sf_dir, documents, library):
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    rows = queries()["op6_sentencepiece"](spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        ids = library.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
 
 
-def test_tokenizer_of_odd_rows(odd, nothing, library):
+def test_tokenizer_of_odd_rows(spark, odd, nothing, library):
     got = sentencepieces.round_trip(odd.withColumn("n_tokens", F.lit("clash")), piece_model()).collect()
     assert len(got) == odd.count()
     for r in got:
@@ -326,7 +507,11 @@ def test_tokenizer_of_odd_rows(odd, nothing, library):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
     back = sentencepieces.decode(sentencepieces.encode(odd, piece_model()), piece_model()).collect()
     assert all(r.decoded == library.decode(library.encode(r.text or "")) for r in back)
-    assert sentencepieces.reencode(nothing, piece_model()).count() == 0
+    once = sentencepieces.encode_once(odd.withColumn("Token_Ids", F.lit(0)), piece_model()).collect()
+    assert sorted((str(r.doc_id), list(r.token_ids)) for r in once) == sorted((str(r.doc_id), library.encode(r.text or "")) for r in odd.collect())
+    for r in sentencepieces.reencode(odd, piece_model()).collect():
+        assert list(r.token_ids) == library.encode(r.text or "") and r.exact == (library.decode(list(r.token_ids)) == (r.text or ""))
+    assert sentencepieces.reencode(nothing, piece_model()).count() == sentencepieces.encode_once(nothing, piece_model()).count() == 0
     assert public_tokenizers.path("piece_bpe_32k.model") == piece_model()
 
 
@@ -357,6 +542,28 @@ def test_sharding_of_tables(odd, documents, nothing, bucket_bytes):
     assert sharding.shard(nothing).count() == 0
 
 
+def test_beginnings_equal_a_plain_sum(spark):
+    r = random.Random(2)
+    counts = {b: r.randrange(1, 9) for b in r.sample(range(300), 200)}
+    rows = spark.createDataFrame([(b,) for b, n in counts.items() for _ in range(n)], "b int").repartition(4)
+    table, n = sharding.beginnings(rows, "b", "first", level=7)
+    at, want = 0, {}
+    for b in sorted(counts):
+        want[b] = at
+        at += counts[b]
+    assert n == 200 and {r.b: r.first for r in table.collect()} == want
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_columns_go_along(spark, odd, monkeypatch, most):
+    monkeypatch.setattr(sharding, "BROADCAST_BUCKETS", most)
+    docs = odd.withColumn("_bucket", F.lit("mine")).withColumn("place", F.lit(4)).withColumn("SLOT", F.lit(1)).withColumn("a.b", F.lit(2))
+    out = sharding.shard(docs, bucket_bytes=5000)
+    assert out.columns == [*docs.drop("SLOT").columns, *sharding._OWN]
+    check_law(out.collect())
+    assert {(r._bucket, r.place) for r in out.collect()} == {("mine", 4)}
+
+
 def test_shards_are_written_in_order(spark, documents, tmp_path):
     sharding.write_shards(sharding.shard(documents), f"file://{tmp_path}/out")
     back = spark.read.parquet(f"file://{tmp_path}/out/shard=3").select("slot").withColumn("f", F.input_file_name()).collect()
