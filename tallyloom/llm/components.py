@@ -1,8 +1,13 @@
-"""Connected components of a thin edge table, by label propagation with pointer jumping.
+"""Connected components of a thin edge table.
 
-Every round is two joins and one pre-aggregated minimum; its labels are written to the shared folder, so
-lineage stays short and lost executors lose nothing. Rounds grow with the logarithm of the longest chain.
-Nothing is collected but one count a round.
+Edges are first brought down to spanning forests, FOREST_EDGES to a task, again and again while that makes them fewer;
+what fits in one task is then done. What does not goes through label propagation with pointer jumping: every round is
+two joins and one pre-aggregated minimum, its labels are written to the shared folder, so lineage stays short and lost
+executors lose nothing, and rounds grow with the logarithm of the longest chain. Nothing is collected but one count a
+round.
+
+Defined cases: edges with a null end do not count; loops and repeated edges do no harm, and a node that only has a
+loop is its own component; no edges give no nodes.
 """
 
 from __future__ import annotations
@@ -12,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import lean, materialize
+from tallyloom.llm.common import in_arrow, materialize
 
-#: Edges that one task brings down to a forest.
+#: Edges that one task brings down to a forest (32 MB).
 FOREST_EDGES = 2_000_000
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the edges a-b: (node, the smallest node it reaches), for nodes that are not the smallest."""
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, the smallest node it reaches) of every node of the edges a-b."""
     nodes, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
     u, v = flat[: len(a)], flat[len(a) :]
     root = np.arange(len(nodes))
@@ -27,37 +32,52 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ru, rv = root[u], root[v]
         low, high = np.minimum(ru, rv), np.maximum(ru, rv)
         if (low == high).all():
-            break
+            return nodes, nodes[root]
         np.minimum.at(root, high, low)
         while True:
             up = root[root]
             if (up == root).all():
                 break
             root = up
-    moved = root != np.arange(len(nodes))
-    return nodes[moved], nodes[root[moved]]
 
 
-def _forests(edges: DataFrame) -> DataFrame:
-    """edges brought down to spanning forests, in as few tasks as FOREST_EDGES allows: edges that tasks found one by one mostly say the same."""
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the edges a-b: (node, the smallest node it reaches), for nodes that are not the smallest."""
+    node, root = roots(a, b)
+    return node[node != root], root[node != root]
+
+
+def _in_tasks(edges: DataFrame, every: bool) -> DataFrame:
+    """(u, v) by tasks: each node with its root, roots too if `every`, else only those that have no other edge (loops)."""
 
     def run(batches):
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
         if held:
-            a, b = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
+            node, root = roots(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            keep = node != root
+            keep |= every | ~np.isin(node, root[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(root[keep])], names=["u", "v"])
+
+    return in_arrow(edges, run, "u long, v long")
 
-    return edges.repartition(-(-edges.count() // FOREST_EDGES) or 1).mapInArrow(lean(run), "u long, v long")
+
+def connected(edges: DataFrame, a: str = "a", b: str = "b", forest_edges: int = FOREST_EDGES) -> DataFrame:
+    """(node, root): each node of an edge with the smallest node reachable."""
+    one = materialize(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null"))
+    n = one.count()
+    while n > forest_edges:
+        one = materialize(_in_tasks(one.repartition(-(-n // forest_edges)), False))
+        before, n = n, one.count()
+        if n > before // 2:
+            break
+    if n <= forest_edges:
+        return materialize(_in_tasks(one.coalesce(1), True)).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return _propagated(one)
 
 
-def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): each node of an edge with the smallest node reachable. Loops and repeated edges do no harm."""
-    one = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    one = materialize(one)
+def _propagated(one: DataFrame) -> DataFrame:
     ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
-    # loops stand for nodes that have no other edge
-    alone = one.where("u = v")
-    both = materialize(_forests(one).union(alone).select(ways.alias("e")).select("e.u", "e.v").distinct())
+    both = materialize(one.select(ways.alias("e")).select("e.u", "e.v").distinct())
     labels = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "node"))
     while True:
         near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("near"))

@@ -10,17 +10,25 @@ without words links. All results are exact, but for 64-bit hashes of shingles an
    slices are equal, and the D + 1 fullest slices of both (a prefix under one global order) must share one.
    Tokens that very many documents hold (a bounded, broadcast set; which ones only matters for speed) are left
    out of the slices, since leaving tokens out never raises the difference. Classes that share a slice are
-   joined to one partition of similar documents; no link crosses partitions.
-3. A partition of more than `group_tokens` tokens is dealt by hash into groups that fit in memory, and the pairs
-   of groups are separate tasks. Within a task, documents form small groups of like size; the matrix of tokens
-   by groups holds each group's token union. A query opens a group only if its overlap with the union reaches
-   what the similarity asks for; only then are members intersected. Members already known to be connected are
-   not opened. A task returns a spanning forest, never pairs.
+   joined to one partition of similar documents; no link crosses partitions. Classes of a batch that share a slice
+   are joined there and then, and the batch sends each slice once: a slice that a third of all documents share
+   comes to its task as one entry a batch, not one a document.
+3. A partition of more than `group_tokens` tokens is dealt by size into groups that fit in memory. Groups are joined
+   by themselves first; then one member of each component of each group (a hub) meets the others' hubs. Only where a
+   partition still has several components are its classes dealt again, by component and size, and the pairs of
+   groups that may hold a link (sizes within the similarity, not all of one component) are separate tasks. So near
+   copies by the million cost about one pass, and pairs are left for sets that were brought together but do not link.
+   Within a task, documents form small groups of like size; the matrix of tokens by groups holds each group's token
+   union. A query opens a group only if its overlap with the union reaches what the similarity asks for; only then
+   are members intersected. Members already known to be connected are not opened. A task returns a spanning forest,
+   never pairs.
 4. Links go through connected components again; a component's id is its smallest document id.
 
 Defined cases: null and empty texts have an empty set and stand alone (component_id is their own id); a null id
 takes part in links but never is a component's id unless all ids there are null, which gives null; repeated
-rows are copies; an empty table gives an empty result; other columns are kept out.
+rows are copies; of documents with equal ids the texts are told apart; ties at exactly the similarity link; a very
+long text is one set, taken whole; an empty table gives an empty result; other columns are kept out of components
+and stay as they are in drop_near_duplicates.
 """
 
 from __future__ import annotations
@@ -31,16 +39,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import lean, materialize
+from tallyloom.llm.common import in_arrow, materialize, own
 from tallyloom.llm.components import connected, forest
 from tallyloom.llm.textscan import WHITE, ascii_lower_table, chunks, mix, rolled, scan, separator_table, window_starts
 
 SEPARATORS = separator_table(WHITE)
 LOWER = ascii_lower_table()
-GROUP_TOKENS = 2_000_000
+GROUP_TOKENS = 500_000
 #: Documents of one column group of the matrix.
 GROUP_DOCS = 64
 #: A token in more than this share of documents is left out of slices; at most so many tokens are.
@@ -49,6 +57,9 @@ HOT_SHARE, HOT_MOST = 0.004, 65_536
 SLICE_TASK_BYTES = 24 << 20
 #: Bits of the bitmap of texts to fetch (8 MB): its size never grows; with very many keys it only sifts less.
 MARK_BITS = 1 << 26
+#: Slices that a batch joins and sends at once.
+FLUSH_SLICES = 1 << 20
+EDGES, SLICES = 0, 1
 _U = np.uint64
 
 
@@ -130,7 +141,7 @@ def _thin(docs: DataFrame, doc_id: str, text: str, rule: Rule, marked: bool) ->
                     none = pa.nulls(m, pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), none, none, pa.array(c[often].astype(np.int64)), pa.array(t[often].view(np.int64)), none], names=["kind", "key", "doc_id", "n", "cls", "mark"])
 
-    return keyed.mapInArrow(lean(run), "kind int, key long, doc_id long, n long, cls long, mark long")
+    return in_arrow(keyed, run, "kind int, key long, doc_id long, n long, cls long, mark long")
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -174,14 +185,32 @@ def slice_codes(tokens: np.ndarray, sizes: np.ndarray, wide: np.ndarray, rule: R
     return np.concatenate(codes), np.concatenate(owners)
 
 
+def _sent(code: np.ndarray, cls: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows (kind, part, block): classes that share a slice, joined, and each slice with its smallest class."""
+    order = np.lexsort((cls, code))
+    code, cls = code[order], cls[order]
+    new = np.r_[True, code[1:] != code[:-1]]
+    a, b = forest(cls, cls[np.flatnonzero(new)[np.cumsum(new) - 1]])
+    code, cls = code[new], cls[new]
+    part = (code % _U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    code, cls, part = code[order], cls[order], part[order]
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    blobs = [code[x:y].tobytes() + cls[x:y].tobytes() for x, y in zip(cut.tolist(), np.r_[cut[1:], len(part)].tolist(), strict=True)]
+    kinds, to = [SLICES] * len(cut), part[cut]
+    if len(a):
+        kinds, to, blobs = [EDGES, *kinds], np.r_[int(code[0] % _U(parts)), to], [a.tobytes() + b.tobytes(), *blobs]
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(to, pa.int64()), pa.array(blobs, pa.binary())], names=["kind", "part", "block"])
+
+
 def _blocks(docs: DataFrame, doc_id: str, text: str, rule: Rule, hot: list[int], parts: int) -> DataFrame:
-    """(part, block): packed (slice code, class) pairs of a batch."""
+    """(kind, part, block): packed (slice code, class) pairs of a batch, and edges between its classes."""
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, np.int64).view(np.uint64)))
 
     def run(batches):
         left_out = shared.value
         for batch in batches:
-            codes, classes, done = [], [], np.zeros(0, np.int64)
+            codes, classes, held, done = [], [], 0, np.zeros(0, np.int64)
             for _, _, tokens, sizes in token_sets(batch.column(2), rule.width):
                 cls = class_of(tokens, sizes)
                 known, first = np.unique(cls, return_index=True)
@@ -197,18 +226,14 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, rule: Rule, hot: list[int],
                 code, owner = slice_codes(tokens[keep], np.bincount(doc[keep], minlength=len(sizes)), np.where(alone, sizes, 0), rule)
                 codes.append(code)
                 classes.append(cls[owner])
-            code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-            cls = np.concatenate(classes) if classes else np.zeros(0, np.int64)
-            if len(code):
-                part = (code % _U(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                code, cls, part = code[order], cls[order], part[order]
-                cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                ends = np.r_[cut[1:], len(part)]
-                blobs = [code[a:b].tobytes() + cls[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(blobs, pa.binary())], names=["part", "block"])
+                held += len(code)
+                if held >= FLUSH_SLICES:
+                    yield _sent(np.concatenate(codes), np.concatenate(classes), parts)
+                    codes, classes, held = [], [], 0
+            if held:
+                yield _sent(np.concatenate(codes), np.concatenate(classes), parts)
 
-    return _keyed(docs, doc_id, text).mapInArrow(lean(run), "part long, block binary")
+    return in_arrow(_keyed(docs, doc_id, text), run, "kind int, part long, block binary")
 
 
 def _marks(keys: DataFrame) -> np.ndarray:
@@ -229,7 +254,7 @@ def _marks(keys: DataFrame) -> np.ndarray:
 
     shape = "at int, marks binary"
     out = np.zeros(MARK_BITS // 8, np.uint8)
-    for row in keys.mapInArrow(lean(mark), shape).repartition(8, "at").mapInArrow(lean(either), shape).toLocalIterator():
+    for row in in_arrow(in_arrow(keys, mark, shape).repartition(8, "at"), either, shape).toLocalIterator():
         out |= np.frombuffer(zstandard.decompress(bytes(row["marks"])), np.uint8)
     return out
 
@@ -246,33 +271,38 @@ def _sifted(texts: DataFrame, marks: np.ndarray) -> DataFrame:
         bits = shared.value
         for batch in batches:
             at = _mark_of(batch.column(0).to_numpy())
-            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            yield batch.rename_columns(["key", "text"]).filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
 
-    return texts.mapInArrow(lean(run), texts.schema)
+    return in_arrow(texts, run, texts.schema)
 
 
 def _shared_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes, classes = [], []
+    """Joins the classes that share a slice, and those that batches have joined, to a spanning forest."""
+    codes, classes, ends = [], [], ([], [])
     for batch in batches:
-        for blob in batch.column(batch.schema.names.index("block")).to_pylist():
+        for kind, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
             half = len(blob) // 2
-            codes.append(np.frombuffer(blob, np.uint64, count=half // 8))
-            classes.append(np.frombuffer(blob, np.int64, offset=half))
-    if not codes:
-        return
-    code, cls = np.concatenate(codes), np.concatenate(classes)
-    order = np.lexsort((cls, code))
-    code, cls = code[order], cls[order]
-    new = np.r_[True, code[1:] != code[:-1]]
-    first = cls[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    link = cls != first
-    if link.any():
-        a, b = forest(cls[link], first[link])
+            if kind == EDGES:
+                ends[0].append(np.frombuffer(blob, np.int64, count=half // 8))
+                ends[1].append(np.frombuffer(blob, np.int64, offset=half))
+            else:
+                codes.append(np.frombuffer(blob, np.uint64, count=half // 8))
+                classes.append(np.frombuffer(blob, np.int64, offset=half))
+    if codes:
+        code, cls = np.concatenate(codes), np.concatenate(classes)
+        order = np.lexsort((cls, code))
+        code, cls = code[order], cls[order]
+        new = np.r_[True, code[1:] != code[:-1]]
+        first = cls[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        ends[0].append(cls[~new])
+        ends[1].append(first[~new])
+    if ends[0]:
+        a, b = forest(np.concatenate(ends[0]), np.concatenate(ends[1]))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def join_group(cls: np.ndarray, side: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links between sets of one task. side 2: pairs within; 0 and 1: pairs across sides only."""
+def join_group(cls: np.ndarray, side: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, rule: Rule, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links between sets of one task. side 2: pairs within; 0 and 1: pairs across sides only. known: components that are known."""
     order = np.lexsort((cls, sizes))
     at = (np.cumsum(sizes) - sizes)[order]
     cls, side, sizes = cls[order], side[order], sizes[order]
@@ -281,6 +311,9 @@ def join_group(cls: np.ndarray, side: np.ndarray, tokens: np.ndarray, sizes: np.
     count = len(sets)
     links_a, links_b = [], []
     root = np.arange(count)
+    if known is not None:
+        _, first, which = np.unique(known[order], return_index=True, return_inverse=True)
+        root = first[which]
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -335,7 +368,7 @@ def join_group(cls: np.ndarray, side: np.ndarray, tokens: np.ndarray, sizes: np.
 
 
 def _verify(table: pa.Table, rule: Rule) -> pa.Table:
-    out_a, out_b = [], []
+    """Links within a task's rows (cls, text, and side and root where they are given)."""
     column = table.column("text").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     tokens, sizes = [], []
@@ -343,21 +376,75 @@ def _verify(table: pa.Table, rule: Rule) -> pa.Table:
         tokens.append(t)
         sizes.append(s)
     tokens, sizes = np.concatenate(tokens), np.concatenate(sizes)
-    cls, side = table.column("cls").to_numpy(), table.column("side").to_numpy()
+    cls, names = table.column("cls").to_numpy(), table.column_names
+    side = table.column("side").to_numpy() if "side" in names else np.full(len(cls), 2)
     real = class_of(tokens, sizes) == cls  # repeated ids may bring another text along
     _, first = np.unique(np.where(real, cls, 0), return_index=True)
     keep = np.zeros(len(cls), dtype=bool)
     keep[first] = True
     keep &= real
+    a = b = np.zeros(0, np.int64)
     if keep.sum() > 1:
-        a, b = join_group(cls[keep], side[keep], tokens[np.repeat(keep, sizes)], sizes[keep], rule)
-        out_a.append(a)
-        out_b.append(b)
-    a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-    b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
+        known = table.column("root").to_numpy()[keep] if "root" in names else None
+        a, b = join_group(cls[keep], side[keep], tokens[np.repeat(keep, sizes)], sizes[keep], rule, known)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _dealt(rows: DataFrame, by: list[str], most: int) -> tuple[DataFrame, bool]:
+    """(rows with `grp`, whether any was dealt): rows (cls, n, ...) of like `by`, dealt by size into groups of about `most` tokens."""
+    one = Window.partitionBy(*by)
+    hist = rows.groupBy(*by, "n").agg(F.sum("n").alias("t"))  # a row for each size
+    hist = hist.withColumns({"before": F.coalesce(F.sum("t").over(one.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "every": F.sum("t").over(one)})
+    large = materialize(hist.where(F.col("every") > most).select(*by, "n", F.floor(F.col("before") / most).alias("base"), F.ceil(F.col("t") / most).alias("spread")))
+    if large.isEmpty():
+        return rows.withColumn("grp", F.lit(0).cast("long")), False
+    met = rows.join(large, [*by, "n"], "left")
+    return met.withColumn("grp", F.coalesce(F.col("base") + F.pmod(F.xxhash64("cls"), F.col("spread")), F.lit(0))).drop("base", "spread"), True
+
+
+def _hub_links(members: DataFrame, texts: DataFrame, rule: Rule, most: int) -> DataFrame:
+    """Links between one member of each component (root) of each group and those of other groups."""
+    hubs = members.groupBy("part", "grp", "root").agg(F.min(F.struct("cls", "n")).alias("hub")).select("part", "hub.cls", "hub.n")
+    hubs, _ = _dealt(hubs, ["part"], most)
+    met = hubs.select("part", "grp", "cls").join(texts.select("part", "cls", "text"), ["part", "cls"])
+    return met.groupBy("part", "grp").applyInArrow(lambda t: _verify(t, rule), "a long, b long")
+
+
+def _pair_links(members: DataFrame, texts: DataFrame, rule: Rule, most: int) -> DataFrame:
+    """Links between classes of different components of a partition: pairs of groups are tasks.
+
+    A component of more than `most` tokens has groups of its own, which need no pairs among themselves; the others of a
+    partition are dealt together.
+    """
+    sizes = members.groupBy("part", "root").agg(F.sum("n").alias("tokens"))
+    several = sizes.groupBy("part").agg(F.count("*").alias("roots")).where("roots > 1").select("part")
+    home = sizes.join(several, "part").select("part", "root", F.when(F.col("tokens") > most, F.col("root")).otherwise(0).alias("home"), (F.col("tokens") > most).alias("major"))
+    rows, _ = _dealt(members.drop("grp").join(home, ["part", "root"]), ["part", "major", "home"], most)
+    rows = materialize(rows.select("part", "major", "home", "grp", "cls", "root", "n"))
+    groups = rows.groupBy("part", "major", "home", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    groups = materialize(groups.withColumn("g", F.struct("major", "home", "grp")).select("part", "g", "home", "major", "low", "high", "r0", "r1"))
+    x, y = (groups.select("part", *[F.col(c).alias(f"{k}_{c}") for c in ("g", "home", "major", "low", "high", "r0", "r1")]) for k in "xy")
+    fits = (rule.q * F.col("x_high") >= rule.p * F.col("y_low")) & (rule.q * F.col("y_high") >= rule.p * F.col("x_low"))
+    minor = x.where("not x_major").join(y, "part").where(F.col("y_major") | (F.col("x_g") <= F.col("y_g")))
+    minor = minor.where((F.col("x_g") != F.col("y_g")) | (F.col("x_r0") != F.col("x_r1")))
+    # components with groups of their own meet by component first, so that their own groups never do
+    major = groups.where("major").select("part", "home").distinct()
+    apart = major.select("part", F.col("home").alias("x_home")).join(major.select("part", F.col("home").alias("y_home")), "part").where("x_home < y_home")
+    both = apart.join(x.where("x_major"), ["part", "x_home"]).join(y.where("y_major"), ["part", "y_home"])
+    pairs = minor.where(fits).select("part", "x_g", "y_g").unionByName(both.where(fits).select("part", "x_g", "y_g"))
+    one = pairs.where("x_g = y_g").select("part", "x_g", "y_g", F.col("x_g").alias("g"), F.lit(2).alias("side"))
+    two = pairs.where("x_g <> y_g")
+    sides = [two.select("part", "x_g", "y_g", F.col(f"{k}_g").alias("g"), F.lit(i).alias("side")) for i, k in enumerate("xy")]
+    tasks = one.unionByName(sides[0]).unionByName(sides[1])
+    met = rows.withColumn("g", F.struct("major", "home", "grp")).select("part", "g", "cls", "root").join(tasks, ["part", "g"]).join(texts.select("part", "cls", "text"), ["part", "cls"])
+    return met.select("part", "x_g", "y_g", "cls", "root", "side", "text").groupBy("part", "x_g", "y_g").applyInArrow(lambda t: _verify(t, rule), "a long, b long")
+
+
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    found = roots.select(F.col("node").alias("cls"), "root")
+    return materialize(members.drop("root").join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+
+
 def _labelled(docs: DataFrame, doc_id: str, text: str, rule: Rule, group_tokens: int, marked: bool = False) -> DataFrame:
     """(doc_id, n, mark, group) of every row of docs: rows of a component have the same group."""
     thin = materialize(_thin(docs, doc_id, text, rule, marked))
@@ -368,23 +455,24 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, rule: Rule, group_tokens:
 
     share = 2.2 * (rule.q - rule.p) / rule.p  # slices a token, about
     parts = max(1, int(n_tokens * share * 16 / SLICE_TASK_BYTES) + 1)
-    edges = _blocks(docs, doc_id, text, rule, hot, parts * 64).repartition(parts, "part").mapInArrow(lean(_shared_slices), "a long, b long")
+    edges = in_arrow(_blocks(docs, doc_id, text, rule, hot, parts * 64).repartition(parts, "part"), _shared_slices, "a long, b long")
     similar = connected(edges)
 
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"), F.first("n").alias("n"))
     members = materialize(similar.select(F.col("node").alias("cls"), F.col("root").alias("part")).join(classes, "cls"))
-    sizes = members.groupBy("part").agg(F.sum("n").alias("tokens"))
-    groups = members.join(sizes, "part").select("key", "cls", "part", F.ceil(F.col("tokens") / group_tokens).cast("int").alias("of"))
-    # a partition of `of` groups makes a task of every two groups (and of each with itself where it is the only one)
-    own = F.pmod(F.xxhash64("cls"), F.col("of")).cast("int")
-    tasks = groups.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
-    tasks = tasks.select(
-        "key", "cls", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
+    groups, dealt = _dealt(members, ["part"], group_tokens)
     texts = _sifted(_keyed(docs, doc_id, text).select("key", "text"), _marks(members.select("key")))
-    candidates = texts.hint("shuffle_merge").join(tasks, "key").select("part", "i", "j", "side", "cls", "text")
-    links = candidates.groupBy("part", "i", "j").applyInArrow(lambda t: _verify(t, rule), "a long, b long")
+    candidates = texts.hint("shuffle_merge").join(groups, "key").select("part", "grp", "n", "cls", "text")
+    if dealt:
+        candidates = materialize(candidates)
+    links = materialize(candidates.groupBy("part", "grp").applyInArrow(lambda t: _verify(t, rule), "a long, b long"))
+    if dealt:
+        large = candidates.groupBy("part").agg(F.max("grp").alias("last")).where("last > 0").select("part")
+        members = candidates.select("part", "grp", "n", "cls").distinct().join(large, "part")
+        members = _rooted(members, connected(links))
+        links = links.unionByName(materialize(_hub_links(members, candidates, rule, group_tokens)))
+        members = _rooted(members, connected(links))
+        links = links.unionByName(materialize(_pair_links(members, candidates, rule, group_tokens)))
     roots = connected(links).select(F.col("node").alias("cls"), "root")
 
     return rows.join(roots, "cls", "left").select("doc_id", "n", "mark", F.coalesce("root", "cls").alias("group"))
@@ -398,24 +486,28 @@ def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", r
     return labelled.join(ids, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:  # noqa: B008
+def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rule: Rule = Rule(), group_tokens: int = GROUP_TOKENS) -> DataFrame:  # noqa: B008
     """docs with one row of each component, one of the smallest id (a null id counts as the largest); rows without words all stay.
 
-    Rows are told apart by id and a 64-bit hash of the text, so rows that share only an id are judged one by one.
+    Rows are told apart by id and a 64-bit hash of the text, so rows that share only an id are judged one by one, and
+    of rows that share both one stays. All columns stay as they are.
     """
-    rows = materialize(_labelled(docs, doc_id, text, rule, GROUP_TOKENS, marked=True).where("n > 0").drop("n"))
+    i, m = own("id"), own("mark")
+    rows = materialize(_labelled(docs, doc_id, text, rule, group_tokens, marked=True).where("n > 0").select(F.col("doc_id").alias(i), F.col("mark").alias(m), "group"))
     # tables of their own, as in components
-    first = materialize(rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")))
-    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
-    met = rows.join(first, "group").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), is_first.alias("is_first"))
-    gone = met.where("not is_first").select("_id", "_mark").distinct()
-    repeated = materialize(met.where("is_first").groupBy("_id", "_mark").agg(F.count("*").alias("copies")).where("copies > 1").drop("copies"))
+    first = materialize(rows.groupBy("group").agg(F.min(F.struct(F.col(i).isNull().alias("none"), F.col(i).alias("id"), F.col(m).alias("mark"))).alias("first")))
+    is_first = F.col(i).eqNullSafe(F.col("first.id")) & (F.col(m) == F.col("first.mark"))
+    met = rows.join(first, "group").select(i, m, is_first.alias("is_first"))
+    gone = met.where("not is_first").select(i, m).distinct()
+    repeated = materialize(met.where("is_first").groupBy(i, m).agg(F.count("*").alias("copies")).where("copies > 1").drop("copies"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn(i, F.col(f"`{doc_id}`").cast("long")).withColumn(m, F.xxhash64(F.col(f"`{text}`")))
 
     def same(keys: DataFrame) -> Column:
-        return docs[doc_id].cast("long").eqNullSafe(keys["_id"]) & (F.xxhash64(docs[text]) == keys["_mark"])
+        return keyed[i].eqNullSafe(keys[i]) & (keyed[m] == keys[m])
 
     if repeated.isEmpty():
-        return docs.join(gone, same(gone), "left_anti")
+        return keyed.join(gone, same(gone), "left_anti").select(*columns)
     more = gone.union(repeated)
-    one = docs.join(repeated, same(repeated)).dropDuplicates(["_id", "_mark"]).select(*[docs[c] for c in docs.columns])
-    return docs.join(more, same(more), "left_anti").union(one)
+    one = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates([i, m]).select(*columns)
+    return keyed.join(more, same(more), "left_anti").select(*columns).union(one)

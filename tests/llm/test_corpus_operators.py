@@ -70,6 +70,40 @@ def test_components_equal_brute_force(spark, rule, group_tokens, common):
     assert collections.Counter(map(tuple, got)) == brute_components(rows, rule)
 
 
+def test_one_partition_of_many_near_copies(spark):
+    """A chain of copies whose ends do not link, texts that share a passage only, and a second family, dealt into one group, some and many."""
+    r = random.Random(11)
+    base, other = [f"w{i}" for i in range(100)], [f"u{i}" for i in range(100)]
+    rows, now = [], list(base)
+    for i in range(160):
+        now = list(now)
+        if i % 4 == 0:
+            now[r.randrange(100)] = f"z{i}"
+        copy = list(now)
+        copy[r.randrange(100)] = f"y{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, " ".join(base[:40] + [f"q{i}_{j}" for j in range(60)])) for i in range(40)]
+    rows += [(2000 + i, " ".join(other[:50] + [f"x{i}"] + other[51:])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    rule = jaccard.Rule(3, 80, 100)
+    for most in (1_000_000, 900, 300):
+        got = jaccard.components(df, rule=rule, group_tokens=most).collect()
+        assert collections.Counter(map(tuple, got)) == brute_components(rows, rule)
+
+
+def test_hot_slices_come_once_a_batch():
+    cls = np.arange(1000)
+    code = np.concatenate((np.full(1000, 7, np.uint64), np.arange(100, 1100, dtype=np.uint64)))
+    out = jaccard._sent(code, np.concatenate((cls, cls)), 4)
+    kinds = out.column(0).to_pylist()
+    assert kinds.count(jaccard.EDGES) == 1 and sum(len(b) // 16 for k, b in zip(kinds, out.column(2).to_pylist(), strict=True) if k == jaccard.SLICES) == 1001
+
+
+def test_join_query_equals_brute_force(spark, sf_dir, documents):
+    got = queries()["op5_jaccard_join"](spark, sf_dir).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components([(r.doc_id, r.text) for r in documents.collect()], jaccard.Rule(3, 90, 100))
+
+
 def test_components_of_odd_rows(odd, nothing):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = jaccard.components(odd.withColumn("n", F.lit(1)).withColumn("cls", F.lit("x")), rule=jaccard.Rule(3, 90, 100)).collect()
@@ -97,9 +131,10 @@ def test_slices_of_linked_sets_meet():
 
 
 def test_long_chains_connect(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7), (501, 500)], "a long, b long")
-    got = {r.node: r.root for r in components.connected(edges).collect()}
-    assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7), (501, 500), (600, 600), (None, 3)], "a long, b long")
+    want = {**{i: 0 for i in range(201)}, 500: 500, 501: 500, 600: 600}
+    for most in (2_000_000, 60, 10):  # one task, forests of forests, label propagation
+        assert {r.node: r.root for r in components.connected(edges, forest_edges=most).collect()} == want
     assert components.connected(edges.limit(0)).count() == 0
 
 
@@ -379,6 +414,18 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == kept.count()
 
 
+def test_columns_of_any_name_stay(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _gone", "'x' as `group`", "2 as Mark", "3 as `first.id`", "4 as _id", "5 as is_first")
+    kept = jaccard.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (2, b)]
+    assert {tuple(r)[2:] for r in kept.collect()} == {(1, "x", 2, 3, 4, 5)}
+    lone = spark.createDataFrame([(3, b), (3, b)], "doc_id long, text string")
+    assert [tuple(r) for r in jaccard.drop_near_duplicates(lone).collect()] == [(3, b)]
+
+
 def test_one_row_of_each_group_stays(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
     rows = [(5, a), (5, b), (3, b + " near"), (7, c), (7, c), (8, c + " near"), (None, c), (None, d), (None, d), (None, d + " near"), (9, None), (9, None), (None, ""), (5, a)]
