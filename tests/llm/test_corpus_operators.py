@@ -167,6 +167,34 @@ def test_repeats_equal_brute_force(spark, depth, group):
     assert collections.Counter(map(tuple, got)) == brute_repeats(rows, depth)
 
 
+def test_hot_passages_and_ids(spark, monkeypatch):
+    """A passage that most documents share, slots too full at the last prefix, few known codes, and an id that a third of the rows share."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    r = random.Random(9)
+    rows = [(i if i % 3 else 77, f"{i} " + " ".join(f"w{r.randrange(40)}" for _ in range(r.randrange(30))) + f" {passage} " + f"t{r.randrange(5)}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for known, held in ((1 << 18, 4_000_000), (10, 7)):
+        monkeypatch.setattr(repeats, "KNOWN_CODES", known)
+        monkeypatch.setattr(repeats, "HELD_HITS", held)
+        got = repeats.report(df, depth=5, group_suffixes=20).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert collections.Counter(map(tuple, got)) == brute_repeats(rows, 5)
+
+
+def test_plans_split_full_slots():
+    counts = np.zeros((2, 8), np.int64)
+    counts[0] = [5, 5, 30, 0, 5, 0, 0, 0]
+    counts[1] = [9, 0, 25, 1, 0, 10, 0, 0]
+    task, ways, tasks = repeats.plan_groups(counts, 10)
+    assert (task[0] >= 0).tolist() == [True, True, False, True, True, True, True, True] and (task[1] >= 0).all()
+    assert ways[1].tolist() == [1, 1, 3, 1, 1, 1, 1, 1] and tasks == 1 + (task + ways).max() - 1
+    load = np.zeros(tasks)
+    for i in range(2):
+        for s in range(8):
+            if task[i, s] >= 0:
+                load[task[i, s] : task[i, s] + ways[i, s]] += counts[i, s] / ways[i, s]
+    assert load.max() <= 20
+
+
 def test_repeats_of_odd_rows(odd, nothing, spark):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = repeats.report(odd.withColumn("n_words", F.lit("clash")).withColumn("kind", F.lit(3))).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
