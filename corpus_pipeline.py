@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import decontaminate, jaccard, pii, quality_model, sentencepieces
-from tallyloom.llm.common import materialize, table
+from tallyloom.llm.common import materialize, own, table
 from tallyloom.llm.queries import ACCEPT, piece_model
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from the raw documents' labelled sample."""
-    model = quality_model.fit(quality_model.fit_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
-    return quality_model.score(docs, model, column="_score").where(F.col("_score") >= ACCEPT).select(*docs.columns)
+    model, score = quality_model.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), own("score")
+    return quality_model.score(docs, model, column=score).where(F.col(score) >= ACCEPT).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,22 +1,28 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network in numpy.
 
 Every term has a fixed sparse index vector derived from its hash. A term's vector is the sum of the index vectors
-of the terms around it in the fit documents, normalised; a document's is the mean over its terms. Two kinds of
-terms are pooled side by side: words (letters lower-cased in ASCII, other bytes as they are) and shapes (the
-word's character classes with runs collapsed, and whether it repeats the word before). The network has one
-hidden layer; its logits are divided by a temperature fitted on rows it was not trained on.
+of the terms around it in the fit documents, normalised; a document's is the mean over its terms. A table holds the
+vectors of the most frequent terms of the fit documents; every other term, met there or not, stands for itself by its
+index vector, which needs no table. Two kinds of terms are pooled side by side: words (letters lower-cased in ASCII,
+other bytes as they are) and shapes (the word's character classes with runs collapsed, and whether it repeats the word
+before). The network has one hidden layer; its logits are divided by a temperature fitted on rows it was not trained on.
 
-The classifier is fitted on the driver from a bounded sample of labelled rows: the first `fit_rows` in the order
-of a hash of the id, at most `fit_bytes` of text. Scoring covers every whole text in one pass without a shuffle;
-what is broadcast (at most `vocabulary` vectors of each kind and the weights) does not grow with the data.
+The classifier is fitted from a bounded sample of labelled rows: the first `fit_rows` in the order of a hash of the
+id, at most `fit_bytes` of text. Their texts go to one task, which returns the model; the driver sees ids, sizes and
+the model. Scoring covers every whole text in one pass without a shuffle; what is broadcast (at most `vocabulary`
+vectors of each kind and the weights) does not grow with the data.
 
 Defined cases: null and empty texts are scored from a zero vector; rows without an id or label, or with one that
-is neither 0 nor 1, teach nothing; repeated rows each count; with no usable labels, or labels of one kind, every
-score is that kind's share (0.5 without any); labels, language, source and id are never inputs of a score.
+is neither 0 nor 1, teach nothing; repeated rows each count; labelled texts that do not fit the sample are passed over;
+ties in the order go by id, label, size and text hash; with no usable labels, or labels of one kind, every score is
+that kind's share (0.5 without any); a very long text is scored whole; an empty table gives an empty result; labels,
+language, source and id are never inputs of a score; other columns stay, one named like the score, in any letter case,
+gives way.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import scan_texts
+from tallyloom.llm.common import in_arrow, scan_texts
 from tallyloom.llm.textscan import WHITE, ascii_lower_table, chunks, mix, scan, separator_table, span_hashes
 
-FIT_ROWS, FIT_BYTES = 2_500, 16 << 20
+FIT_ROWS, FIT_BYTES = 6_000, 16 << 20
 VOCABULARY, DIM, NONZERO, REACH = 30_000, 32, 4, 2
 HIDDEN, EPOCHS, SEED = 32, 200, 11
 SEPARATORS = separator_table(WHITE)
@@ -71,10 +77,16 @@ def index_vectors(codes: np.ndarray, dim: int = DIM) -> np.ndarray:
     """Sparse vectors of +1 and -1 in places that follow from the codes."""
     out = np.zeros((len(codes), dim), np.int8)
     row = np.arange(len(codes))
+    for places, signs in _index_places(codes, dim):
+        out[row, places] += signs.astype(np.int8)
+    return out
+
+
+def _index_places(codes: np.ndarray, dim: int = DIM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, signs) of the first, second, ... entry of the codes' index vectors."""
     for i in range(NONZERO):
         h = mix(codes, 20 + i)
-        out[row, (h % _U(dim)).astype(np.int64)] += np.where(h >> _U(63), 1, -1).astype(np.int8)
-    return out
+        yield (h % _U(dim)).astype(np.int64), np.where(h >> _U(63), 1, -1)
 
 
 @dataclass
@@ -105,23 +117,31 @@ class Vectors:
         return cls(known[top], (context / np.maximum(size, 1e-9)).astype(np.float32))
 
     def pooled(self, codes: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
-        """Mean vector of each text's known terms, and the share of terms that are known."""
+        """Mean vector of each text's terms, and the share of terms that the table holds."""
         out = np.zeros((len(per_doc), DIM + 1), np.float32)
-        if len(codes) and len(self.codes):
+        if not len(codes):
+            return out
+        doc = np.repeat(np.arange(len(per_doc)), per_doc)
+        known = np.zeros(len(codes), dtype=bool)
+        if len(self.codes):
             place = np.searchsorted(self.codes, codes)
             place[place == len(self.codes)] = 0
             known = self.codes[place] == codes
-            doc = np.repeat(np.arange(len(per_doc)), per_doc)[known]
-            mine = place[known]
-            if len(doc):
-                first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                rows, ends = doc[first], np.r_[first[1:], len(doc)]
+            mine, at = place[known], doc[known]
+            if len(at):
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                rows, ends = at[first], np.r_[first[1:], len(at)]
                 for a in range(0, len(first), 256):  # a few texts' vectors at once
                     b = min(len(first), a + 256)
                     out[rows[a:b], :DIM] = np.add.reduceat(self.vectors[mine[first[a] : ends[b - 1]]], first[a:b] - first[a], axis=0)
-                out[rows, :DIM] /= (ends - first)[:, None]
-                out[rows, DIM] = (ends - first) / per_doc[rows]
-        return out
+                out[rows, DIM] = ends - first
+        if not known.all():
+            rest, at = codes[~known], doc[~known] * DIM
+            flat = np.zeros(len(per_doc) * DIM)
+            for places, signs in _index_places(rest):
+                flat += np.bincount(at + places, weights=signs / np.sqrt(NONZERO), minlength=len(flat))
+            out[:, :DIM] += flat.reshape(-1, DIM).astype(np.float32)
+        return out / np.maximum(per_doc, 1)[:, None].astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -212,12 +232,12 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> list[tuple[str, int]]:
-    """At most fit_rows labelled rows and fit_bytes of whole texts, in the order of a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> DataFrame | None:
+    """(place, y, t): at most fit_rows labelled rows and fit_bytes of whole texts, in the order of a hash of the id; None if there are none."""
     order = F.xxhash64(F.lit(SEED), F.col("id"))
     chosen = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
     chosen = chosen.orderBy(order, "id", "y").limit(fit_rows)
-    # sizes first, so that no more than fit_bytes of text ever comes to the driver
+    # sizes first, so that no more than fit_bytes of text ever meet
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "id")  # fit_rows rows at most
     texts = texts.select("id", "y", F.octet_length("t").alias("n"), F.xxhash64("t").alias("h"), "t")
     sizes = texts.drop("t").orderBy(order, "id", "y", "n", "h").limit(fit_rows).collect()
@@ -225,14 +245,33 @@ def fit_sample(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     for row in sizes:
         if size + row.n <= fit_bytes:  # a text that does not fit is passed over, those after it may
             size += row.n
-            taken.append((row.id, row.y, row.h))
+            taken.append((len(taken), row.id, row.y, row.h))
     if not taken:
-        return []
-    wanted = docs.sparkSession.createDataFrame(sorted(set(taken)), texts.select("id", "y", "h").schema)
+        return None
+    wanted = docs.sparkSession.createDataFrame(taken, T.StructType([T.StructField("place", T.IntegerType()), *texts.select("id", "y", "h").schema.fields]))
+    key = ["id", "y", "h"]
     # repeated rows come once
-    found = texts.join(F.broadcast(wanted), ["id", "y", "h"], "left_semi").groupBy("id", "y", "h").agg(F.min("t").alias("t")).collect()
-    text_of = {(r.id, r.y, r.h): r.t for r in found}
-    return [(text_of[key], key[1]) for key in taken]
+    found = texts.join(F.broadcast(wanted.select(*key).distinct()), key, "left_semi").groupBy(*key).agg(F.min("t").alias("t"))  # fit_rows rows at most
+    return found.join(F.broadcast(wanted), key).select("place", "y", "t")
+
+
+def fit_sample(docs: DataFrame, labels: DataFrame, **options) -> list[tuple[str, int]]:
+    """The sample's (text, label) rows, on the driver."""
+    rows = sample(docs, labels, **options)
+    return [] if rows is None else [(r.t, r.y) for r in sorted(rows.collect(), key=lambda r: r.place)]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, **options) -> Model:
+    """A model from the labelled rows' sample, fitted in one task."""
+    rows = sample(docs, labels, **options)
+    if rows is None:
+        return fit([])
+
+    def run(batches):
+        held = sorted((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda row: row[0])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([(t, y) for _, y, t in held]))], pa.binary())], names=["model"])
+
+    return pickle.loads(in_arrow(rows.coalesce(1), run, "model binary").first()["model"])
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", column: str = "score", keep: list[str] | None = None) -> DataFrame:

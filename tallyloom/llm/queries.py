@@ -30,7 +30,7 @@ ACCEPT = 0.3
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality_model.fit(quality_model.fit_sample(docs, table(spark, sf_dir, "labels")))
+    model = quality_model.fitted(docs, table(spark, sf_dir, "labels"))
     scored = quality_model.score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", quality_model.held_out().alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
