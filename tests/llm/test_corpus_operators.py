@@ -336,13 +336,25 @@ def test_pooling_equals_plain_means():
     v = quality_model.Vectors.learn(word, per_doc, most=3)
     got = v.pooled(word, per_doc)
     at = 0
+    assert len(v.codes) == 3 < len(set(word.tolist()))
     for row, n in zip(got, per_doc.tolist(), strict=True):
-        known = [v.vectors[np.flatnonzero(v.codes == c)[0]] for c in word[at : at + n] if c in v.codes]
-        assert np.allclose(row[:-1], np.mean(known, axis=0) if known else 0, atol=1e-6)
-        assert row[-1] == pytest.approx(len(known) / n if n else 0)
+        mine = word[at : at + n]
+        every = [v.vectors[np.flatnonzero(v.codes == c)[0]] if c in v.codes else quality_model.index_vectors(np.array([c]))[0] / 2 for c in mine]
+        assert np.allclose(row[:-1], np.mean(every, axis=0) if every else 0, atol=1e-6)
+        assert row[-1] == pytest.approx(np.isin(mine, v.codes).mean() if n else 0)
         at += n
 
 
+def test_one_task_fits_what_the_driver_would(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    a, b = quality_model.fitted(docs, labels, fit_rows=60), quality_model.fit(quality_model.fit_sample(docs, labels, fit_rows=60))
+    texts = pa.array([r.text for r in docs.limit(50).collect()], pa.string())
+    assert np.array_equal(a.scores(texts), b.scores(texts))
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality_model.fitted(docs, none).share == 0.5
+
+
 # pages
 
 PAGES = {
