@@ -1,71 +1,118 @@
 """Quality rules: per-text statistics, fixed base rules, and robust multivariate outliers, in DataFrame functions only.
 
 Each language and source gets a minimum-covariance-determinant estimate of where its documents' transformed
-statistics lie: start from medians and median absolute deviations, then concentration steps - keep the share
-`support` of documents nearest by Mahalanobis distance, take their mean and covariance, repeat. A document whose
-squared distance is above `cutoff` is rejected. Features that hardly vary in a group (no symbols at all, say)
-would make the covariance singular, so a fixed floor is added to its diagonal.
+statistics lie, and so do each language and all documents together, on which small groups lean. An estimate is found
+from several starts: `starts` small sets of documents chosen by a hash, and all documents. Concentration steps follow -
+keep the share `support` of documents nearest by Mahalanobis distance, take their mean and covariance, repeat; first a
+few on a hash-chosen part of about `start_rows` documents of each group, then from the start of the smallest
+determinant on all documents, until no group's determinant falls any more; the smallest stands. It is scaled to what a
+normal cloud would show, and reweighted once: mean and covariance of the documents within the 97.5 % quantile.
+Statistics that hardly vary in a group (no symbols at all, say) would make every determinant 0, so a fixed floor is
+added to the covariance's diagonal throughout (a regularised determinant). A group's estimate is drawn to its
+language's, and that one to all documents', by the weight of `lean` documents, so groups of every size are judged by
+one rule. A document whose squared distance is above the `quantile` of the chi-square distribution is rejected.
 
-The text is read once, without a shuffle; what goes on is a thin table of numbers in the shared folder. Every
-step is a pre-aggregated group-by (sums of products, mergeable quantile sketches), so a source that holds a third
-of all rows is no hot key. The estimates, a row a group, are joined back; Spark picks the join by their size.
+Everything is the same for any order of rows and any partitioning: statistics become whole numbers of 1/1024, sums are
+sums of whole numbers (exact up to 2^35 documents of a group), and the nearest share is cut at the edge of a fine fixed
+bin of distances, all of whose documents count.
+
+The text is read once, without a shuffle; what goes on is a thin table of numbers in the shared folder. Every step is
+a pre-aggregated group-by, so a source that holds a third of all rows is no hot key. The estimates, a row a group,
+meet the rows in a broadcast join up to BROADCAST_GROUPS groups (8 MB), and beyond that in a join salted by the rows.
 
 Defined cases: a null or empty text has no words and fails the base rules; documents that fail these take no part
-in the estimates; a null language or source is a value like any other; a group of fewer than `least_rows`
-documents goes with the others of its language, then with all others so left; repeated rows count each; an empty
-table gives an empty result; other columns are kept out.
+in the estimates; a null language or source is a value like any other; a group of one document is judged by what
+it leans on; repeated rows count each, and rows of one id are judged one by one; a very long text is taken whole; an
+empty table gives an empty result; other columns are kept out of quality_rules and stay as they are in keep_good.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialize
+from tallyloom.llm.common import materialize, own
 
-WHITE_PATTERN = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WHITE = r"[\x20\x09-\x0D]"
+SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
 WINDOW = 3
-#: Share of a group that the estimate rests on, squared distance beyond which a document goes, concentration steps.
-SUPPORT, CUTOFF, STEPS = 0.75, 60.0, 3
-LEAST_ROWS = 40
+#: Share of a group that the estimate rests on; chi-square quantile beyond which a document goes; quantile for reweighting.
+SUPPORT, QUANTILE, WEIGHTED = 0.75, 1 - 1e-6, 0.975
+#: Random starts, documents of a group that they are compared on, steps there, and most steps on all documents.
+STARTS, START_ROWS, START_STEPS, MOST_STEPS = 5, 2000, 3, 12
+#: Documents of the wider group that a group's own estimate is mixed with.
+LEAN = 40
 #: Added to the variance of each transformed statistic.
-FLOORS = {"x_length": 0.02, "x_symbols": 0.1, "x_upper": 0.1, "x_repeats": 0.6, "x_lines": 0.6}
+FLOORS = {"x_length": 0.005, "x_symbols": 0.1, "x_upper": 0.02, "x_repeats": 0.4, "x_lines": 0.4}
 FEATURES = list(FLOORS)
+#: Whole numbers in one unit of a statistic; bins in a doubling of the distance.
+UNIT, BINS = 1024, 64
+BROADCAST_GROUPS, SALTS, FILE_GROUPS = 20_000, 64, 20_000
+_P = range(len(FEATURES))
+_LOW = [(i, j) for i in _P for j in range(i + 1)]
+
+
+def chi_square(x: float, freedom: int) -> float:
+    """The chi-square distribution's cumulative probability, by the series of the incomplete gamma function."""
+    a, h = freedom / 2, x / 2
+    term = total = 1 / a
+    k = a
+    while term > 1e-17 * total:
+        k += 1
+        term *= h / k
+        total += term
+    return total * math.exp(a * math.log(h) - h - math.lgamma(a)) if x > 0 else 0.0
+
+
+@lru_cache(maxsize=16)
+def chi_square_quantile(share: float, freedom: int) -> float:
+    low, high = 0.0, 400.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, freedom) < share else (low, middle)
+    return high
+
+
+def widening(share: float) -> float:
+    """How much narrower the nearest share of a normal cloud is than the cloud, as a factor that widens its covariance back."""
+    return share / chi_square(chi_square_quantile(share, len(FEATURES)), len(FEATURES) + 2)
 
 
 def statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper)."""
+    """(doc_id, mark, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper); mark: a hash of the text."""
     body = F.coalesce(F.col(text), F.lit(""))
+    trimmed = F.btrim(body, F.lit(" \t\n\x0b\f\r"))
     lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     step = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"),
-        F.filter(F.split(body, WHITE_PATTERN, -1), lambda x: x != "").alias("w"),
-        lines.alias("lines"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.length(body) - F.length(F.translate(body, UPPER, ""))).cast("long").alias("n_upper"),
+        F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(lang).alias("lang"), F.col(source).alias("source"),
+        F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{WHITE}+", -1)).alias("w"),
+        F.when(F.contains(body, F.lit("\n")), lines).alias("lines"),
+        F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.regexp_count(body, F.lit("[A-Z]")).cast("long").alias("n_upper"),
     )
     n = F.size("w")
-    grams = F.when(
-        n >= WINDOW,
-        F.array_sort(F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.struct(F.xxhash64(*[F.get("w", i + k) for k in range(WINDOW)]).alias("h"), i.alias("i")))),
-    )
+    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(WINDOW)]))
     step = step.select(
-        "doc_id", "lang", "source", "n_symbols", "n_upper",
+        "doc_id", "mark", "lang", "source", "n_symbols", "n_upper",
         n.cast("long").alias("n_words"),
-        F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        grams.alias("g"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.when(F.col("lines").isNotNull(), F.size("lines")).otherwise((n > 0).cast("int")).cast("long").alias("n_lines"),
+        F.coalesce(F.size("lines") - F.size(F.array_distinct("lines")), F.lit(0)).cast("long").alias("n_dup_lines"),
+        F.when(n >= WINDOW, hashes).alias("h"),
     )
-    # windows sorted by hash: one that repeats stands beside its like
+    # only where a window comes again are windows sorted by hash: one that repeats stands beside its like
+    again = F.size("h") > F.size(F.array_distinct("h"))
+    placed = F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    step = step.withColumn("g", F.when(again, placed)).drop("h")
     twice = F.filter(
-        F.transform(F.sequence(F.lit(0), F.size("g") - 1), lambda k: F.when((F.get("g", k)["h"] == F.get("g", k - 1)["h"]) | (F.get("g", k)["h"] == F.get("g", k + 1)["h"]), F.get("g", k)["i"])),
+        F.transform("g", lambda x, k: F.when((x["h"] == F.get("g", k - 1)["h"]) | (x["h"] == F.get("g", k + 1)["h"]), x["i"])),
         lambda x: x.isNotNull(),
     )
-    step = step.withColumn("p", F.when(F.col("g").isNotNull(), F.array_sort(twice))).drop("g")
+    step = step.withColumn("p", F.when(F.col("g").isNotNull(), F.sort_array(twice))).drop("g")
     gaps = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda k: F.least(F.lit(WINDOW), F.get("p", k) - F.get("p", k - 1)))
     covered = F.when(F.size("p") > 1, F.aggregate(gaps, F.lit(WINDOW), lambda a, x: a + x)).otherwise(0)
     return step.withColumn("n_repeat_words", covered.cast("long")).drop("p")
@@ -84,102 +131,166 @@ def _features() -> dict[str, Column]:
     }
 
 
-def _grouped(stats: DataFrame, least_rows: int) -> DataFrame:
-    """stats with `grp`: language and source, or a coarser one where these have too few documents."""
-    good = stats.where("not base_failed")
-    by_both = good.groupBy("lang", "source").agg(F.count("*").alias("n_both"))
-    few = by_both.where(F.col("n_both") < least_rows).groupBy("lang").agg(F.sum("n_both").alias("n_lang"))
-    key = lambda *c: F.to_json(F.array(*[F.coalesce(F.concat(F.lit("="), F.col(x).cast("string")), F.lit("")) for x in c]))
-    group = by_both.join(few.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").select(
-        F.col("lang").alias("l"), F.col("source").alias("s"),
-        F.when(F.col("n_both") >= least_rows, key("lang", "source")).when(F.col("n_lang") >= least_rows, key("lang")).otherwise("*").alias("grp"),
-    )
-    group = materialize(group)  # a row a group, of known size: the documents need not be dealt by group to meet it
-    return stats.join(group, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s").withColumn("grp", F.coalesce("grp", F.lit("*")))
-
-
-def _whitened(group: DataFrame) -> DataFrame:
-    """(grp, m_i, and the rows w_ij of the inverse of the covariance's Cholesky factor), in staged projections of a small table."""
-    p = len(FEATURES)
-    keep = ["grp", *[f"m_{i}" for i in range(p)]]
-    cov = [f"c_{i}_{j}" for i in range(p) for j in range(i + 1)]
-    low: list[str] = []
-    for i in range(p):
-        for j in range(i + 1):
-            rest = sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))
-            value = F.sqrt(F.greatest(F.col(f"c_{i}_{j}") - rest, F.lit(1e-9))) if i == j else (F.col(f"c_{i}_{j}") - rest) / F.col(f"l_{j}_{j}")
-            group = group.select(*keep, *cov, *low, value.alias(f"l_{i}_{j}"))
-            low.append(f"l_{i}_{j}")
-    inverse: list[str] = []
-    for i in range(p):
-        for j in range(i + 1):
-            rest = sum((F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}") for k in range(j, i)), F.lit(0.0))
-            value = 1.0 / F.col(f"l_{i}_{i}") if i == j else -rest / F.col(f"l_{i}_{i}")
-            group = group.select(*keep, *low, *inverse, value.alias(f"w_{i}_{j}"))
-            inverse.append(f"w_{i}_{j}")
-    return group.select(*keep, *inverse)
+def _keys() -> list[Column]:
+    """Names of the groups of a document, from all documents to its language and source."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    return [F.lit("*"), F.to_json(F.array(part("lang"))), F.to_json(F.array(part("lang"), part("source")))]
+
+
+def _met(rows: DataFrame, table: DataFrame, groups: int) -> DataFrame:
+    """rows joined to a table of one row or some for each group."""
+    if groups <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(table), "grp")  # 20,000 groups of some 400 bytes
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("id", *FEATURES), F.lit(SALTS)).cast("int")).join(salted, ["grp", "_salt"]).drop("_salt")
+
+
+def _small(table: DataFrame, groups: int) -> DataFrame:
+    """A table of a row a group, written in few files."""
+    return materialize(table.coalesce(max(1, groups // FILE_GROUPS)))
+
+
+def _whitened(group: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, m_i, c_i_j, logdet, and the rows w_i_j of the inverse of the covariance's Cholesky factor): each name is used by those after it."""
+    keep = [*keys, *[f"m_{i}" for i in _P], *[f"c_{i}_{j}" for i, j in _LOW]]
+    low, inverse = [], []
+    for i, j in _LOW:
+        rest = "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
+        low.append(f"sqrt(greatest(c_{i}_{j}{rest}, 1e-9D)) AS l_{i}_{j}" if i == j else f"(c_{i}_{j}{rest}) / l_{j}_{j} AS l_{i}_{j}")
+    for i, j in _LOW:
+        rest = " + ".join(f"l_{i}_{k} * w_{k}_{j}" for k in range(j, i))
+        inverse.append(f"1.0D / l_{i}_{i} AS w_{i}_{j}" if i == j else f"-({rest}) / l_{i}_{i} AS w_{i}_{j}")
+    logdet = " + ".join(f"2.0D * ln(l_{i}_{i})" for i in _P)
+    return group.selectExpr(*keep, *low, *inverse, f"{logdet} AS logdet").select(*keep, *[f"w_{i}_{j}" for i, j in _LOW], "logdet")
 
 
 def _distance() -> Column:
     out = F.lit(0.0)
-    for i in range(len(FEATURES)):
-        z = sum((F.col(f"w_{i}_{j}") * (F.col(FEATURES[j]) - F.col(f"m_{j}")) for j in range(i + 1)), F.lit(0.0))
+    for i in _P:
+        z = sum((F.col(f"w_{i}_{j}") * (F.col(FEATURES[j]) / UNIT - F.col(f"m_{j}")) for j in range(i + 1)), F.lit(0.0))
         out = out + z * z
     return out
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and median absolute deviations, as a diagonal estimate."""
-    p = range(len(FEATURES))
-    middle = materialize(rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(FEATURES)]))
-    off = rows.join(middle, "grp").groupBy("grp").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in p], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 1000).alias(f"d_{i}") for i, x in enumerate(FEATURES)])
-    zero = F.lit(0.0)
-    return off.select(
-        "grp", *[f"m_{i}" for i in p],
-        *[(F.pow(1.4826 * F.col(f"d_{i}"), F.lit(2.0)) + FLOORS[FEATURES[i]] if i == j else zero).alias(f"w_{i}_{j}") for i in p for j in range(i + 1)],
-    ).select("grp", *[f"m_{i}" for i in p], *[(1.0 / F.sqrt(f"w_{i}_{j}") if i == j else F.col(f"w_{i}_{j}")).alias(f"w_{i}_{j}") for i in p for j in range(i + 1)])
-
-
-def _concentrate(rows: DataFrame, estimate: DataFrame, support: float) -> DataFrame:
-    """One step: the nearest share of each group gives the next mean and covariance."""
-    p = range(len(FEATURES))
-    near = rows.join(estimate, "grp").select("grp", *FEATURES, *[f"m_{i}" for i in p], _distance().alias("d2"))
-    limit = materialize(near.groupBy("grp").agg(F.percentile_approx("d2", support, 1000).alias("limit")))
-    kept = near.join(limit, "grp").where("d2 <= limit")
-    # moments about the last centre, which keeps the sums small
-    y = [F.col(x) - F.col(f"m_{i}") for i, x in enumerate(FEATURES)]
-    sums = kept.groupBy("grp").agg(
-        F.count("*").cast("double").alias("n"), *[F.first(f"m_{i}").alias(f"o_{i}") for i in p],
-        *[F.sum(y[i]).alias(f"s_{i}") for i in p], *[F.sum(y[i] * y[j]).alias(f"q_{i}_{j}") for i in p for j in range(i + 1)],
-    )
-    # the nearest share of a normal cloud is narrower than the cloud: this widens it back, for support 0.75 in five dimensions
-    widen = 1.46
-    out = sums.select(
-        "grp", *[(F.col(f"o_{i}") + F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in p],
-        *[(widen * (F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n") / F.col("n")) + (FLOORS[FEATURES[i]] if i == j else 0.0)).alias(f"c_{i}_{j}") for i in p for j in range(i + 1)],
+def _moments(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """(keys, n, m_i, c_i_j): mean, and covariance times factor plus floors, from sums of whole numbers."""
+    x = [F.col(f) for f in FEATURES]
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(x[i]).alias(f"s_{i}") for i in _P], *[F.sum(x[i] * x[j]).alias(f"q_{i}_{j}") for i, j in _LOW])
+    n, s = F.col("n").cast("double"), lambda i: F.col(f"s_{i}").cast("decimal(38,0)")
+    # n * q - s * s is a whole number too: nothing is lost before the division
+    spread = lambda i, j: ((F.col("n").cast("decimal(18,0)") * F.col(f"q_{i}_{j}").cast("decimal(20,0)")) - (s(i).cast("decimal(19,0)") * s(j).cast("decimal(19,0)"))).cast("double")
+    return sums.select(
+        *keys, "n", *[(F.col(f"s_{i}") / n / UNIT).alias(f"m_{i}") for i in _P],
+        *[(factor * spread(i, j) / n / n / (UNIT * UNIT) + (FLOORS[FEATURES[i]] if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in _LOW],
     )
-    return _whitened(out)
+
+
+def _estimates(moments: DataFrame, keys: list[str], groups: int) -> DataFrame:
+    return _small(_whitened(moments, keys), groups)
+
+
+def _concentrated(rows: DataFrame, now: DataFrame, keys: list[str], groups: int, support: float) -> DataFrame:
+    """One step for every group (and start): the nearest share gives the next mean and covariance."""
+    near = F.floor(BINS * F.log2(1.0 + 1024.0 * _distance())).cast("int")
+    counts = _met(rows, now, groups).groupBy(*keys, near.alias("bin")).agg(F.count("*").alias("n"))  # a row for each bin
+    w = Window.partitionBy(*keys)
+    upto = counts.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "every": F.sum("n").over(w)})
+    limits = upto.where(F.col("upto") >= F.ceil(support * F.col("every"))).groupBy(*keys).agg(F.min("bin").alias("edge"))
+    limited = now.join(limits, keys)
+    return _estimates(_moments(_met(rows, limited, groups).where(near <= F.col("edge")), keys, widening(support)), keys, groups)
+
+
+def _best(tables: list[DataFrame], groups: int) -> DataFrame:
+    """The estimate of the smallest determinant of each group."""
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    names = [c for c in every.columns if c not in ("grp", "start")]
+    one = every.groupBy("grp").agg(F.min(F.struct("logdet", *[c for c in names if c != "logdet"])).alias("e"))
+    return _small(one.select("grp", *[f"e.{c}" for c in names]), groups)
+
+
+def estimate(rows: DataFrame, support: float = SUPPORT, starts: int = STARTS) -> tuple[DataFrame, int]:
+    """((grp, m_i, c_i_j, w_i_j, logdet) of the smallest determinant found for each group, number of groups). rows: (grp, id, statistics in whole numbers)."""
+    sizes = materialize(rows.groupBy("grp").agg(F.count("*").alias("size")).coalesce(1))
+    groups = sizes.count()
+    chance = lambda seed, wanted: F.pmod(F.xxhash64(F.lit(seed), "id", *FEATURES), F.lit(1 << 40)) / float(1 << 40) < float(wanted) / F.col("size")
+    sized = _met(rows, sizes, groups)
+    part = materialize(sized.where(chance(0, START_ROWS)).select(*rows.columns))
+    # each start: about twice as many documents as a covariance needs; start 0: all of the part
+    few = sized.select(*rows.columns, F.explode(F.array(*[F.when(chance(k, 2 * (len(FEATURES) + 1)), F.lit(k)) for k in range(1, starts + 1)])).alias("start")).where("start is not null")
+    keys = ["grp", "start"]
+    now = _estimates(_moments(part.withColumn("start", F.lit(0)).unionByName(few), keys, 1.0), keys, groups * (starts + 1))
+    for _ in range(START_STEPS):
+        now = _concentrated(part, now, keys, groups * (starts + 1), support)
+    # determinants on the part and on all documents are not alike: the first step on all documents starts the comparison
+    now = _concentrated(rows, _best([now], groups), ["grp"], groups, support)
+    for _ in range(MOST_STEPS):
+        after = _concentrated(rows, now, ["grp"], groups, support)
+        falls = after.join(now.select("grp", F.col("logdet").alias("last")), "grp").where(F.col("logdet") < F.col("last") - 1e-9)
+        if falls.isEmpty():
+            break
+        now = _best([now, after], groups)
+    return now, groups
+
+
+def _leaning(levels: DataFrame, lean: int, groups: int) -> DataFrame:
+    """The whitened estimates of each language and source, mixed with its language's, and that one's with all documents'."""
+    names = ["n", *[f"m_{i}" for i in _P], *[f"c_{i}_{j}" for i, j in _LOW]]
+    level = lambda k, to: levels.where(F.col("level") == k).select("grp", "up", *[F.col(c).alias(f"{to}_{c}") for c in names])
+
+    def mixed(own_one: DataFrame, up: DataFrame) -> DataFrame:
+        share = F.col("a_n") / (F.col("a_n") + float(lean))
+        met = own_one.join(up.select(F.col("grp").alias("up"), *[c for c in up.columns if c.startswith("b_")]), "up")
+        return met.select("grp", "up", "a_n", *[(share * F.col(f"a_{c}") + (1.0 - share) * F.col(f"b_{c}")).alias(c) for c in names[1:]])
+
+    langs = mixed(level(1, "a"), level(0, "b")).select("grp", *[F.col(c).alias(f"b_{c}") for c in names[1:]])
+    return _estimates(mixed(level(2, "a"), langs).select("grp", *names[1:]), ["grp"], groups)
+
+
+def judged(docs: DataFrame, *, doc_id: str, text: str, lang: str, source: str, support: float, quantile: float, lean: int) -> DataFrame:
+    """statistics of every row with base_failed, distance2 and kept."""
+    stats = statistics(docs, doc_id=doc_id, text=text, lang=lang, source=source)
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    whole = [F.round(c * UNIT).cast("long").alias(k) for k, c in _features().items()]
+    stats = materialize(stats.select("*", failed.alias("base_failed"), _keys()[2].alias("grp"), *whole))
+    keys = _keys()
+    ways = F.array(*[F.struct(k.alias("grp"), (keys[i - 1] if i else F.lit("")).alias("up"), F.lit(i).alias("level")) for i, k in enumerate(keys)])
+    rows = materialize(stats.where("not base_failed").select(F.xxhash64("doc_id", "mark").alias("id"), F.explode(ways).alias("k"), *FEATURES).select("k.*", "id", *FEATURES))
+    thin = rows.select("grp", "id", *FEATURES)
+    raw, groups = estimate(thin, support)
+    # reweighted: documents within the quantile, which are a known share of a normal cloud
+    within = _met(thin, raw, groups).where(_distance() <= chi_square_quantile(WEIGHTED, len(FEATURES)))
+    levels = _moments(within, ["grp"], widening(WEIGHTED)).join(rows.select("grp", "up", "level").distinct(), "grp")
+    table = _leaning(materialize(levels.coalesce(max(1, groups // FILE_GROUPS))), lean, groups)
+    final = table.select("grp", *[c for c in table.columns if c[:2] in ("m_", "w_")])
+    far = F.when(~F.col("base_failed"), _distance())
+    scored = _met(stats.withColumn("id", F.xxhash64("doc_id", "mark")), final, groups) if groups > BROADCAST_GROUPS else stats.join(F.broadcast(final), "grp", "left")
+    if groups > BROADCAST_GROUPS:  # a group all of whose documents fail has no estimate
+        scored = scored.unionByName(stats.join(final, "grp", "left_anti"), allowMissingColumns=True)
+    scored = scored.withColumn("distance2", far)
+    return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= chi_square_quantile(quantile, len(FEATURES)), F.lit(True)))
 
 
 def quality_rules(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
-    support: float = SUPPORT, cutoff: float = CUTOFF, steps: int = STEPS, least_rows: int = LEAST_ROWS,
+    support: float = SUPPORT, quantile: float = QUANTILE, lean: int = LEAN,
 ) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance2, kept) of every row."""
-    stats = statistics(docs, doc_id=doc_id, text=text, lang=lang, source=source)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    stats = materialize(stats.select("*", failed.alias("base_failed"), *[c.alias(k) for k, c in _features().items()]))
-    grouped = _grouped(stats, least_rows)
-    rows = materialize(grouped.where("not base_failed").select("grp", *FEATURES))
-    estimate = materialize(_start(rows))
-    for _ in range(steps):
-        estimate = materialize(_concentrate(rows, estimate, support))
-    far = F.when(~F.col("base_failed"), _distance())
-    scored = grouped.join(estimate, "grp", "left").withColumn("distance2", far)
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", (~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff)).alias("kept"))
+    rows = judged(docs, doc_id=doc_id, text=text, lang=lang, source=source, support=support, quantile=quantile, lean=lean)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept")
 
 
-def keep_good(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs without the rejected ones, by id; rows with a null id are judged by the base rules of no one and go."""
-    kept = quality_rules(docs, doc_id=doc_id, **options).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id] == F.col("_kept"), "left_semi")
+def keep_good(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
+    support: float = SUPPORT, quantile: float = QUANTILE, lean: int = LEAN,
+) -> DataFrame:
+    """docs without the rejected rows. Each row goes by its own id, text, language and source, so rows that share an id are judged one by one."""
+    rows = judged(docs, doc_id=doc_id, text=text, lang=lang, source=source, support=support, quantile=quantile, lean=lean)
+    names = [own(c) for c in ("id", "mark", "lang", "source")]
+    kept = rows.where("kept").select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "mark", "lang", "source"), names, strict=True)]).distinct()
+    mine = [docs[doc_id], F.xxhash64(docs[text]), docs[lang], docs[source]]
+    same = mine[0].eqNullSafe(kept[names[0]])
+    for a, n in zip(mine[1:], names[1:], strict=True):
+        same = same & a.eqNullSafe(kept[n])
+    return docs.join(kept, same, "left_semi")

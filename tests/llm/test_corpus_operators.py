@@ -237,33 +237,102 @@ def test_statistics_equal_brute_force(spark, odd, documents):
         assert got == collections.Counter((r.doc_id, *brute_statistics(r.text)) for r in df.collect())
 
 
-def brute_distances(x, support, steps):
-    """The same estimate in numpy."""
-    floor = np.diag([quality_rules.FLOORS[f] for f in quality_rules.FEATURES])
-    middle = lambda v: np.sort(v, axis=0)[(len(v) - 1) // 2]  # noqa: E731  the sketch's median: an element of the data
-    mean = middle(x)
-    cov = np.diag((1.4826 * middle(np.abs(x - mean))) ** 2) + floor
-    distance = lambda: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-    for _ in range(steps):
-        d = distance()
-        near = x[d <= np.sort(d)[int(np.ceil(support * len(d))) - 1]]
-        mean = near.mean(axis=0)
-        cov = 1.46 * np.cov(near.T, bias=True) + floor
-    return distance()
-
-
-def test_distances_equal_numpy(spark):
+def brute_estimate(x, support, starts=60):
+    """The smallest regularised determinant of many random starts, each brought to convergence, then reweighted once."""
+    floor, p = np.diag([quality_rules.FLOORS[f] for f in quality_rules.FEATURES]), x.shape[1]
+    r = np.random.default_rng(0)
+    h, best = int(np.ceil(support * len(x))), (np.inf, None, None)
+
+    def distance(mean, cov):
+        return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    for _ in range(starts):
+        few = x[r.choice(len(x), 2 * (p + 1), replace=False)]
+        mean, cov, last = few.mean(axis=0), np.cov(few.T, bias=True) + floor, np.inf
+        while True:
+            near = x[np.argsort(distance(mean, cov), kind="stable")[:h]]
+            mean, cov = near.mean(axis=0), quality_rules.widening(support) * np.cov(near.T, bias=True) + floor
+            det = np.linalg.slogdet(cov)[1]
+            if det >= last - 1e-9:
+                break
+            last = det
+        if det < best[0]:
+            best = (det, mean, cov)
+    within = x[distance(*best[1:]) <= 12.832502]
+    return best[0], within.mean(axis=0), quality_rules.widening(0.975) * np.cov(within.T, bias=True) + floor
+
+
+def test_quantiles():
+    assert quality_rules.chi_square_quantile(0.975, 5) == pytest.approx(12.832502, abs=1e-5)
+    assert quality_rules.chi_square_quantile(0.5, 1) == pytest.approx(0.454936, abs=1e-5)
+    r = np.random.default_rng(1).normal(size=(400_000, 5))
+    d = (r * r).sum(axis=1)
+    near = r[d <= np.quantile(d, 0.75)]
+    assert quality_rules.widening(0.75) == pytest.approx(1 / near.var(axis=0).mean(), rel=0.01)
+
+
+@pytest.fixture(scope="module")
+def clouds(spark):
+    """Documents of two shapes and a few far ones, in one language and source."""
     r = random.Random(5)
     rows = [(i, " ".join("w" * r.randrange(1, 12) + r.choice(["", "", "#", "A"]) + str(r.randrange(60)) for _ in range(r.randrange(60, 200))), "en", "s") for i in range(300)]
+    rows += [(500 + i, " ".join("V" * r.randrange(3, 6) + str(r.randrange(900)) for _ in range(r.randrange(60, 200))), "en", "s") for i in range(70)]
     rows += [(1000 + i, "$$$ ## " * 60 + str(i) + " " + " ".join(str(r.random()) for _ in range(200)), "en", "s") for i in range(6)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {x.doc_id: x for x in quality_rules.quality_rules(df).collect()}
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def units(df):
     stats = quality_rules.statistics(df).select("doc_id", *[c.alias(k) for k, c in quality_rules._features().items()]).collect()
-    good = [x for x in stats if not got[x.doc_id].base_failed]
-    want = brute_distances(np.array([list(x[1:]) for x in good]), quality_rules.SUPPORT, quality_rules.STEPS)
-    assert np.allclose([got[x.doc_id].distance2 for x in good], want, rtol=0.05)
-    kept = np.array([got[x.doc_id].kept for x in good])
-    assert (kept == (want <= quality_rules.CUTOFF)).all()
+    return {x.doc_id: np.round(np.array(list(x[1:])) * quality_rules.UNIT) / quality_rules.UNIT for x in stats}
+
+
+def test_estimate_equals_numpy(spark, clouds):
+    got = {x.doc_id: x for x in quality_rules.quality_rules(clouds).collect()}
+    x = units(clouds)
+    good = [d for d in x if not got[d].base_failed]
+    every = np.array([x[d] for d in good])
+    det, mean, cov = brute_estimate(every, quality_rules.SUPPORT)
+    want = np.einsum("ij,jk,ik->i", every - mean, np.linalg.inv(cov), every - mean)
+    assert np.allclose([got[d].distance2 for d in good], want, rtol=0.1, atol=0.05)
+    cut = quality_rules.chi_square_quantile(quality_rules.QUANTILE, 5)
+    clear = np.abs(want / cut - 1) > 0.1
+    assert (np.array([got[d].kept for d in good]) == (want <= cut))[clear].all()
+    assert not any(got[d].kept for d in good if d >= 1000) and any(d >= 1000 for d in good)
+    rows = spark.createDataFrame([("*", d, *(int(v) for v in np.round(x[d] * quality_rules.UNIT))) for d in good], "grp string, id long, " + ", ".join(f"{f} long" for f in quality_rules.FEATURES))
+    found = quality_rules.estimate(rows)[0].first()
+    assert found.logdet == pytest.approx(det, abs=0.05)
+
+
+def test_estimates_do_not_depend_on_partitions(spark, clouds, monkeypatch):
+    def result(df):
+        return sorted(map(tuple, quality_rules.quality_rules(df).collect()))
+
+    one = result(clouds.coalesce(1))
+    assert result(clouds.repartition(7)) == one
+    monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", 0)  # as with very many groups
+    assert result(clouds.repartition(3)) == one
+
+
+def test_small_groups_lean(spark, clouds):
+    """A group of one document and one of few are judged by the wider ones, the more so the smaller they are."""
+    some = clouds.where("doc_id < 3").selectExpr("doc_id + 5000 as doc_id", "text", "lang", "'few' as source")
+    far = clouds.where("doc_id = 1000").selectExpr("doc_id + 7000 as doc_id", "text", "lang", "'one' as source")
+    other = clouds.where("doc_id = 7").selectExpr("doc_id + 9000 as doc_id", "text", "cast(null as string) as lang", "cast(null as string) as source")
+    rows = {r.doc_id: r for r in quality_rules.quality_rules(clouds.union(some).union(far).union(other)).collect()}
+    assert all(rows[5000 + i].kept and rows[5000 + i].distance2 < 20 for i in range(3)) and rows[9007].kept
+    assert not rows[8000].kept and rows[8000].distance2 < rows[1000].distance2
+    strict = {r.doc_id: r.distance2 for r in quality_rules.quality_rules(clouds.union(far), lean=1_000_000).collect()}
+    assert strict[8000] > rows[8000].distance2
+
+
+def test_keep_good_goes_by_rows(spark, clouds):
+    good, bad = (clouds.where(f"doc_id = {i}").first().text for i in (0, 1000))
+    docs = clouds.union(spark.createDataFrame([(7000, good, "en", "s"), (7000, bad, "en", "s"), (7000, None, "en", "s"), (None, good, None, None)], clouds.schema)).selectExpr("*", "1 as _kept", "'x' as distance2", "2 as Grp")
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert [r.text for r in rows if r.doc_id == 7000] == [good] and [r.text for r in rows if r.doc_id is None] == [good]
+    assert not [r for r in rows if r.doc_id and 1000 <= r.doc_id < 1006] and {(r._kept, r.distance2, r.Grp) for r in rows} == {(1, "x", 2)}
 
 
 def test_rules_of_odd_rows(odd, nothing):
