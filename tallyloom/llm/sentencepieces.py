@@ -3,9 +3,11 @@
 Where no piece of a model holds a whitespace marker after another character, segmentation never crosses the start of
 a marked word: a text's ids are those of its marked words in order, and so is its decoded text. A slice of texts is cut
 into marked words at once, brought to its distinct ones with an index a word, the words that the table does not hold
-yet are segmented by the library, each once, and ids (and decoded pieces) are joined back by position in array
-operations. The table belongs to a worker process and starts anew at `table_size` words, so memory is bounded; only speed
-depends on it. `encode_once` is the same with one table over all documents, kept as a DataFrame and joined by word.
+yet are segmented by the library, each once, and ids are joined back by position in array operations. The library
+decodes each word's ids too: a text whose words all decode to themselves decodes to itself, any other is decoded
+whole. The table holds words that came more than once, belongs to a worker process and starts anew at `table_size`
+words, so memory is bounded; only speed depends on it. `encode_once` is the same with one table over all documents,
+kept as a DataFrame and joined by word.
 
 Texts that hold a marker as a character, and models whose pieces do cross markers or that normalise text, go to the
 library whole.
@@ -18,6 +20,7 @@ those named like a result column, in any letter case, give way.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -35,9 +38,11 @@ from tallyloom.llm.textscan import chunks, ranges
 
 MARK = "▁"
 #: Distinct words that a process keeps, and the text that it cuts at once, in bytes.
-TABLE_SIZE, SLICE = 400_000, 8 << 20
+TABLE_SIZE, SLICE = 300_000, 6 << 20
 #: A word longer than this is segmented without entering the table.
 LONGEST_KEPT = 64
+#: Words that are decoded together.
+_BLOCK = 4096
 
 
 def marked_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -85,7 +90,9 @@ class Encoder:
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
         n = self.library.get_piece_size()
         self.table_size = table_size
-        self.table: dict[str, tuple[list[int], bytes, bytes]] = {}
+        self.table: dict[str, bytes] = {}  # ids of words that came more than once, four bytes each
+        self.odd: set[str] = set()  # words that the library decodes to something else
+        self.decimals = pa.array([f"{i}," for i in range(n)], pa.large_binary())
         self.letter = next((i for i in range(n) if self.library.id_to_piece(i) == "a"), None)
         self.joined = self.letter is not None and not any(MARK in self.library.id_to_piece(i).lstrip(MARK) for i in range(n))
         probes = ["a", "a b", " a", "a ", "  a  b ", "ﬁ ÅΩÅ \t\n　x", "a\nb", ""]
@@ -95,23 +102,29 @@ class Encoder:
                 want = self.library.encode(t)
                 self.joined &= found.ids[found.ids_of[i] : found.ids_of[i + 1]].tolist() == want and found.decoded[i].decode() == self.library.decode(want)
 
-    def segment(self, words: list[str]) -> list[tuple[list[int], bytes, bytes]]:
-        """(ids, the same in decimals each with a comma, decoded text with the marker's space) of each word."""
-        ids = self.library.encode(words, num_threads=1) if words else []
-        ids = [i or [self.library.piece_to_id(MARK)] for i in ids]
-        texts = self.library.decode([[self.letter, *i] for i in ids], num_threads=1) if words else []
-        return [(i, b"".join([b"%d," % x for x in i]), t[1:].encode()) for i, t in zip(ids, texts, strict=True)]
-
-    def entries(self, words: list[str]) -> list[tuple[list[int], bytes, bytes]]:
-        """The table's rows of some distinct words."""
-        table = self.table
-        new = [w for w in words if w not in table]
-        if len(table) + len(new) > self.table_size:
-            table.clear()
-            new = words
-        made = dict(zip(new, self.segment(new), strict=True))
-        table.update((w, e) for w, e in made.items() if len(w) <= LONGEST_KEPT)
-        return [made[w] if w in made else table[w] for w in words]
+    def segment(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, four bytes each. Words that do not decode to themselves are noted."""
+        ids = [i or [self.library.piece_to_id(MARK)] for i in self.library.encode(words, num_threads=1)] if words else []
+        for a in range(0, len(words), _BLOCK):
+            some = words[a : a + _BLOCK]
+            # words are decoded one after another, each with its marker's space, behind a letter
+            if self.library.decode([self.letter, *chain.from_iterable(ids[a : a + _BLOCK])]) != "a " + " ".join(some):
+                self.odd.update(w for w, i in zip(some, ids[a : a + _BLOCK], strict=True) if self.library.decode([self.letter, *i]) != f"a {w}")
+        return [array("i", i).tobytes() for i in ids]
+
+    def entries(self, words: list[str], often: list[bool]) -> list[bytes]:
+        """Ids of some distinct words; those that come often enter the table."""
+        get = self.table.get
+        out = [get(w) for w in words]
+        new = [i for i, x in enumerate(out) if x is None]
+        if len(self.table) + len(new) > self.table_size:
+            self.table.clear()
+            self.odd.intersection_update(w for w, x in zip(words, out, strict=True) if x is not None)
+        for i, x in zip(new, self.segment([words[i] for i in new]), strict=True):
+            out[i] = x
+            if often[i] and len(words[i]) <= LONGEST_KEPT:
+                self.table[words[i]] = x
+        return out
 
     def run(self, column: pa.Array, decode: bool = False, spell: bool = False) -> Encoded:
         """Encodes a column; decodes the ids and spells them in decimals if asked for."""
@@ -123,30 +136,31 @@ class Encoder:
             return self._both(column, marked, decode, spell)
         words, count = marked_words(column)
         coded = words.dictionary_encode()
-        index = coded.indices.to_numpy()
-        entries = self.entries(coded.dictionary.to_pylist())
-        length = np.fromiter((len(e[0]) for e in entries), np.int64, len(entries))
-        flat = np.fromiter(chain.from_iterable(e[0] for e in entries), np.int32, int(length.sum()))
-        bounds = np.concatenate((np.zeros(1, np.int64), np.cumsum(count)))  # a text's words
+        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        entries = self.entries(distinct, (np.bincount(index, minlength=len(distinct)) > 1).tolist())
+        length = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
         size = length[index]
-        ids = flat[ranges((np.cumsum(length) - length)[index], size)]
+        ids = np.frombuffer(b"".join(entries), np.int32)[ranges((np.cumsum(length) - length)[index], size)]
+        bounds = np.concatenate((np.zeros(1, np.int64), np.cumsum(count)))  # a text's words
         ids_of = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))[bounds]
-        pick = coded.indices
-        return Encoded(
-            ids, ids_of,
-            # the first marker is the library's own: its space is not the text's
-            self._joined([e[2] for e in entries], pick, bounds, 1, 0) if decode else [],
-            self._joined([e[1] for e in entries], pick, bounds, 0, 1) if spell else [],
-        )
-
-    @staticmethod
-    def _joined(values: list[bytes], pick: pa.Array, bounds: np.ndarray, head: int, tail: int) -> list[bytes]:
-        """The values of each text's words, one after another, without so many bytes at both ends."""
-        every = pa.array(values, pa.large_binary()).take(pick)
+        return Encoded(ids, ids_of, self._decoded(column, ids, ids_of, distinct, index, bounds) if decode else [], self._spelled(ids, ids_of) if spell else [])
+
+    def _decoded(self, column: pa.Array, ids: np.ndarray, ids_of: np.ndarray, distinct: list[str], index: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Each text as its words decode: itself, unless one of them decodes to something else."""
+        out = column.cast(pa.binary()).to_pylist()
+        odd = np.flatnonzero([w in self.odd for w in distinct]) if self.odd else []
+        if len(odd):
+            for d in np.unique(np.searchsorted(bounds, np.flatnonzero(np.isin(index, odd)), side="right") - 1).tolist():
+                out[d] = self.library.decode(ids[ids_of[d] : ids_of[d + 1]].tolist()).encode()
+        self.odd.intersection_update(self.table)
+        return out
+
+    def _spelled(self, ids: np.ndarray, ids_of: np.ndarray) -> list[bytes]:
+        every = self.decimals.take(pa.array(ids))
         _, off, data = every.buffers()
-        at = np.frombuffer(off, np.int64, count=len(every) + 1)[bounds].tolist() if len(every) else [0] * len(bounds)
+        at = np.frombuffer(off, np.int64, count=len(every) + 1)[ids_of].tolist()
         raw = memoryview(data) if data is not None else memoryview(b"")
-        return [bytes(raw[a + head : b - tail]) if b > a else b"" for a, b in zip(at, at[1:], strict=False)]
+        return [bytes(raw[a : b - 1]) if b > a else b"" for a, b in zip(at, at[1:], strict=False)]
 
     def _whole(self, column: pa.Array, decode: bool, spell: bool) -> Encoded:
         ids = [self.library.encode(t) for t in column.to_pylist()]
@@ -203,7 +217,7 @@ def encode_once(docs: DataFrame, model: str, *, text: str = "text", ids: str = "
             raise ValueError("this model's pieces cross markers")
         for batch in batches:
             words = batch.column(0).to_pylist()
-            made = [e[0] for e in one.segment(words)]
+            made = [np.frombuffer(x, np.int32) for x in one.segment(words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32()))], names=["word", "ids"])
 
     words = in_arrow(rows.select(row, F.translate(body, MARK, " ")), cut, "row long, place long, word string")
