@@ -17,29 +17,54 @@ from tallyloom.llm.queries import ACCEPT, piece_model
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts. It learns from the raw documents' labelled sample."""
+    """Documents that the classifier accepts. It learns from the raw documents' labelled sample.
+
+    Null and empty texts are judged by the score of a text without words; rows of one text fare alike, repeated ones
+    too; very long texts are scored whole; a score at the bound stays; no documents give none. All columns stay as they
+    are, whatever they are called.
+    """
     model, score = quality_model.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), own("score")
-    return quality_model.score(docs, model, column=score).where(F.col(score) >= ACCEPT).select(*docs.columns)
+    return quality_model.score(docs, model, column=score).where(F.col(score) >= ACCEPT).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): the smallest id."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): the smallest id.
+
+    Documents without words, null texts too, all stay; a null id counts as the largest; rows that share an id are
+    judged one by one, and of rows that share id and text one stays; a similarity of exactly 0.8 links; very long texts
+    are compared whole; no documents give none. All columns stay as they are, whatever they are called.
+    """
     return jaccard.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
-    return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Documents without any passage of the benchmark.
+
+    Null and empty texts have none; each row is judged by itself, repeated ones alike; very long texts are scanned
+    whole; an empty benchmark takes nothing; no documents give none. All columns stay as they are, whatever they are
+    called.
+    """
+    return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    """All documents, personal data replaced by its kind; n_chars follows the text.
+
+    A null text stays null and keeps its n_chars; of spans that overlap the first that starts is replaced; repeated
+    rows stay and fare alike; very long texts are scanned whole; no documents give none. All other columns stay as they
+    are, whatever they are called.
+    """
     out = pii.redact(docs)
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with token_ids, n_tokens and whether decoding the ids gives the text back."""
+    """All documents with token_ids, n_tokens and whether decoding the ids gives the text back.
+
+    A null text has the ids of the empty text, none, and gives that back; repeated rows stay and fare alike; very long
+    texts are encoded whole; no documents give none. Other columns stay as they are; those named like one of the three,
+    in any letter case, give way.
+    """
     return sentencepieces.reencode(docs, piece_model())
 
 
