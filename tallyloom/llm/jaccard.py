@@ -48,7 +48,7 @@ from tallyloom.llm.textscan import WHITE, ascii_lower_table, chunks, mix, rolled
 
 SEPARATORS = separator_table(WHITE)
 LOWER = ascii_lower_table()
-GROUP_TOKENS = 25_000
+GROUP_TOKENS = 100_000
 #: Documents of one column group of the matrix.
 GROUP_DOCS = 64
 #: A token in more than this share of documents is left out of slices; at most so many tokens are.

@@ -46,5 +46,88 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+
+def _spans(kind: str, pattern: str, keep: str, group: int = 0) -> str:
+    """A list of {kind, a, b, n} of the matches that pass, with their places: text between matches and matches take turns."""
+    m, p = f"regexp_extract_all(t, '{pattern}')", f"string_split_regex(t, '{pattern}')"
+    body = f"regexp_extract_all(t, '{pattern}', {group})"
+    return f"""SELECT doc_id, '{kind}' AS kind, a, a + length(m) AS b, {_KINDS[kind]} AS k FROM (
+  SELECT doc_id, unnest(m) AS m, unnest(v) AS v, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))) AS a
+  FROM (SELECT doc_id, {m} AS m, {body} AS v, {p} AS p FROM d) WHERE len(m) > 0
+) WHERE {keep}"""
+
+
+_KINDS = {"email": 0, "ip": 1, "card": 2, "phone": 3, "assign": 0, "access": 1, "hex": 2}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({_DIGITS}), i, 1) AS INT)
+  ELSE CAST(substr(reverse({_DIGITS}), i, 1) AS INT) * 2 - CASE WHEN CAST(substr(reverse({_DIGITS}), i, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+_TEXTS = "d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+
+PII = f"""
+WITH {_TEXTS}, spans AS (
+{_spans("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "true")}
+UNION ALL {_spans("ip", "[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: coalesce(try_cast(x AS UBIGINT), 999) > 255)) = 0")}
+UNION ALL {_spans("card", "[0-9](?:[ -]?[0-9])+", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}")}
+UNION ALL {_spans("phone", "[+][0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15")}
+)
+SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY k, a), '')) AS base_sha256
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+"""
+
+_EITHER = "".join(c if not c.isalpha() else f"[{c.upper()}{c}]" for c in "(password|passwd|secret|token|api_?key)")
+
+SECRETS = f"""
+WITH {_TEXTS}, spans AS (
+{_spans("assign", _EITHER.replace("(", "(?:", 1) + """["'']?[ ]*[:=][ ]*["'']?([A-Za-z0-9+/_.=-]+)""", "length(v) >= 6", 1)}
+UNION ALL {_spans("access", "AKIA[A-Z0-9]+", "length(m) >= 20")}
+UNION ALL {_spans("hex", "[0-9a-f]{24,}", "true")}
+)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k), '')) AS base_sha256
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+"""
+
+_WORD = "[^ \\x09-\\x0D]"
+
+COUNTS = f"""
+WITH {_TEXTS}, w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}+') AS w FROM d),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+again AS (SELECT doc_id, g FROM windows GROUP BY ALL HAVING count(*) > 1),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM windows JOIN again USING (doc_id, g)) GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM d),
+counts AS (
+  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ \\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM w JOIN lines USING (doc_id) LEFT JOIN hit USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+"""
+
+LAW = """
+WITH n AS (SELECT count(*) AS n, sum(octet_length(encode(coalesce(text, ''))) + 1) AS size FROM documents)
+SELECT CAST(s AS INT) AS shard, CAST((n - s + 15) // 16 AS BIGINT) AS records, CAST((n - s + 15) // 16 AS BIGINT) AS slots, CAST(0 AS BIGINT) AS first_slot,
+  CAST((n - s + 15) // 16 - 1 AS BIGINT) AS last_slot, CAST(size AS BIGINT) AS size FROM n, range(16) t(s) WHERE n > s
+"""
+
+OP5 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')))) END AS s FROM d
+),
+classes AS (SELECT s, min(doc_id) AS c, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+tokens AS (SELECT c, n, unnest(s) AS g FROM classes),
+edges AS (
+  SELECT a, b FROM (SELECT x.c AS a, y.c AS b, x.n AS m, y.n AS n, count(*) AS shared FROM tokens x JOIN tokens y ON x.g = y.g AND x.c <> y.c AND 100 * x.n >= 90 * y.n AND 100 * y.n >= 90 * x.n GROUP BY ALL)
+  WHERE 100 * shared >= 90 * (m + n - shared)
+),
+reach AS (SELECT c AS a, c AS b FROM classes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+roots AS (SELECT a AS c, min(b) AS root FROM reach GROUP BY a)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(root, sets.doc_id) AS component_id
+FROM sets LEFT JOIN classes ON sets.s = classes.s AND len(sets.s) > 0 LEFT JOIN roots USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op9_substring_dedup": OP9}
+    return {"op1_decontamination": OP1, "op5_jaccard_join": OP5, "op9_substring_dedup": OP9, "pii_base": PII, "quality_counts": COUNTS, "secrets_base": SECRETS, "sharding_law": LAW}

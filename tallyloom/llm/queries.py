@@ -72,7 +72,29 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages, keep=["page_id", "url"])
 
 
-_QUERIES = [op1_decontamination, op2_quality_classifier, op3_pii, op4_quality_rules, op5_jaccard_join, op6_sentencepiece, op7_sharding, op8_secrets, op9_substring_dedup, op10_html_extraction]
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op3: the base spans."""
+    return op3_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op4: the counts and the base rules."""
+    return op4_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op8: the base spans."""
+    return op8_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op7: each shard's number of records, bounds of its slots, and the sum of all sizes."""
+    one = op7_sharding(spark, sf_dir)
+    shards = one.groupBy("shard").agg(F.count("*").alias("records"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+    return shards.crossJoin(F.broadcast(one.agg(F.sum("size").alias("size"))))  # one row
+
+
+_QUERIES = [op1_decontamination, op2_quality_classifier, op3_pii, op4_quality_rules, op5_jaccard_join, op6_sentencepiece, op7_sharding, op8_secrets, op9_substring_dedup, op10_html_extraction, pii_base, quality_counts, secrets_base, sharding_law]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
