@@ -118,6 +118,11 @@ def statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", l
     return step.withColumn("n_repeat_words", covered.cast("long")).drop("p")
 
 
+def base_rules(stats: DataFrame) -> DataFrame:
+    """statistics with base_failed: too few words, or more than half of them in windows that come again."""
+    return stats.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
+
 def _features() -> dict[str, Column]:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     lines = F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
@@ -250,10 +255,9 @@ def _leaning(levels: DataFrame, lean: int, groups: int) -> DataFrame:
 
 def judged(docs: DataFrame, *, doc_id: str, text: str, lang: str, source: str, support: float, quantile: float, lean: int) -> DataFrame:
     """statistics of every row with base_failed, distance2 and kept."""
-    stats = statistics(docs, doc_id=doc_id, text=text, lang=lang, source=source)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    stats = base_rules(statistics(docs, doc_id=doc_id, text=text, lang=lang, source=source))
     whole = [F.round(c * UNIT).cast("long").alias(k) for k, c in _features().items()]
-    stats = materialize(stats.select("*", failed.alias("base_failed"), _keys()[2].alias("grp"), *whole))
+    stats = materialize(stats.select("*", _keys()[2].alias("grp"), *whole))
     keys = _keys()
     ways = F.array(*[F.struct(k.alias("grp"), (keys[i - 1] if i else F.lit("")).alias("up"), F.lit(i).alias("level")) for i, k in enumerate(keys)])
     rows = materialize(stats.where("not base_failed").select(F.xxhash64("doc_id", "mark").alias("id"), F.explode(ways).alias("k"), *FEATURES).select("k.*", "id", *FEATURES))

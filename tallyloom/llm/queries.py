@@ -79,7 +79,7 @@ def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can express of op4: the counts and the base rules."""
-    return op4_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return quality_rules.base_rules(quality_rules.statistics(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:

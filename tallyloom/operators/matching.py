@@ -27,9 +27,9 @@ def _found(terms: DataFrame, named: DataFrame) -> DataFrame:
     """(term, working_code, candidate_name, tier) of all catalog rows that a term finds."""
     code, name, t = F.lower("working_code"), F.lower("candidate_name"), F.col("term")
     every = []
-    for n in range(1, BLOCK + 1):
-        # terms of BLOCK characters and more meet runs of BLOCK, shorter ones runs of their own length
-        mine = terms.where(F.char_length(t) >= n if n == BLOCK else F.char_length(t) == n)
+    for n in (BLOCK, 1):
+        # terms of BLOCK characters and more meet runs of BLOCK, shorter ones single characters
+        mine = terms.where(F.char_length(t) >= BLOCK if n == BLOCK else F.char_length(t) < BLOCK)
         starts = named.withColumn("block", F.substring(code, 1, n))
         every.append(mine.withColumn("block", F.substring(t, 1, n)).join(starts, "block").where(F.startswith(code, t)).withColumn("tier", F.when(code == t, 0).otherwise(1)))
         runs = named.withColumn("block", F.explode(_runs(name, n)))
