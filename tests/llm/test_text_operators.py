@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from oracle import connect, same
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, pii, secrets, sentencepieces, sharding, textscan
+from tallyloom.llm import common, decontaminate, pii, secrets, sentencepieces, sharding, textscan
 from tallyloom.llm.oracles import oracle_sql
 from tallyloom.llm.queries import piece_model, queries
 
@@ -27,6 +27,30 @@ def sha(x):
     return hashlib.sha256(x.encode()).hexdigest()
 
 
+# scratch tables
+
+
+def test_scratch_tables(spark, monkeypatch):
+    from pathlib import Path
+
+    kept = common.materialize(spark.range(10).repartition(2))
+    assert sorted(r.id for r in kept.collect()) == list(range(10))
+    folder = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+    assert not (folder / "_SUCCESS").exists()
+    assert common.clear_scratch(spark) > 0 and not folder.exists() and common.clear_scratch(spark) == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        conf = {}
+        sparkContext = type("C", (), {"applicationId": "app-of-this-test", "master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        common.scratch_dir(Session)
+    Session.sparkContext.master = "local[2]"
+    assert common.scratch_dir(Session).startswith("file://")
+
+
 # word scanning
 
 
