@@ -129,5 +129,29 @@ FROM sets LEFT JOIN classes ON sets.s = classes.s AND len(sets.s) > 0 LEFT JOIN
 """
 
 
+OP13 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS9} AS w FROM documents),
+f AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) THEN 16 ELSE 0 END AS m FROM d
+),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(x, b)),
+taken AS (SELECT x AS o, [b] AS bits FROM letters UNION ALL SELECT o || x, list_append(bits, b) FROM taken, letters WHERE NOT contains(o, x)),
+steps AS (
+  SELECT o AS filter_order, CAST(s AS INT) AS step, bits[s] AS b, coalesce(list_sum(bits[1:s-1]), 0)::INT AS e
+  FROM (SELECT * FROM taken WHERE length(o) = 5), range(1, 6) r(s)
+)
+SELECT part, filter_order, step,
+  coalesce(sum(n) FILTER (m & (b | e) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (m & b > 0 AND m & e = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (m & b > 0 AND m & e > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (m = b), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (m & b > 0 AND m & e = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (m & b > 0 AND m & e = 0), 0)::BIGINT AS toxic_lost,
+  coalesce((SELECT sum(c2.n) FROM c c2, steps s2 WHERE c2.part = c.part AND s2.b = steps.b AND c2.m & s2.b > 0 AND c2.m & s2.e = 0), 0)::BIGINT AS shapley
+FROM c, steps GROUP BY part, filter_order, step, b, e
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op5_jaccard_join": OP5, "op9_substring_dedup": OP9, "pii_base": PII, "quality_counts": COUNTS, "secrets_base": SECRETS, "sharding_law": LAW}
+    return {"op1_decontamination": OP1, "op5_jaccard_join": OP5, "op9_substring_dedup": OP9, "op13_filter_audit": OP13, "pii_base": PII, "quality_counts": COUNTS, "secrets_base": SECRETS, "sharding_law": LAW}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, html_extract, jaccard, pii, quality_model, quality_rules, repeats, secrets, sentencepieces, sharding
+from tallyloom.llm import byte_pairs, decontaminate, filter_audit, html_extract, jaccard, pii, quality_model, quality_rules, repeats, secrets, sentencepieces, sharding, whitening
 from tallyloom.llm.common import table
 
 
@@ -18,6 +18,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -72,6 +78,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages, keep=["page_id", "url"])
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.round_trip(table(spark, sf_dir, "documents"), byte_model(), keep=["doc_id"])
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can express of op3: the base spans."""
     return op3_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
@@ -94,7 +113,7 @@ def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.crossJoin(F.broadcast(one.agg(F.sum("size").alias("size"))))  # one row
 
 
-_QUERIES = [op1_decontamination, op2_quality_classifier, op3_pii, op4_quality_rules, op5_jaccard_join, op6_sentencepiece, op7_sharding, op8_secrets, op9_substring_dedup, op10_html_extraction, pii_base, quality_counts, secrets_base, sharding_law]
+_QUERIES = [op1_decontamination, op2_quality_classifier, op3_pii, op4_quality_rules, op5_jaccard_join, op6_sentencepiece, op7_sharding, op8_secrets, op9_substring_dedup, op10_html_extraction, op11_byte_pairs, op12_whitening, op13_filter_audit, pii_base, quality_counts, secrets_base, sharding_law]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
