@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Labels of the fiscal months, October first.
@@ -59,6 +59,11 @@ def in_ints(day: Column, fiscal_year: int) -> Column:
     return day.between(*int_window(fiscal_year))
 
 
+def of_year(rows: DataFrame, in_window: Column, fiscal_year: int) -> DataFrame:
+    """The rows of a year: those in its window, and of its partition where rows are laid out by `fy`."""
+    return rows.where(in_window & (F.col("fy") == fiscal_year) if "fy" in rows.columns else in_window)
+
+
 def month_label(index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in MONTH_LABELS]), index + 1)
 

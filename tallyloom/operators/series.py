@@ -14,7 +14,7 @@ def dispensed(dispense: DataFrame, fiscal_year: int | None = None, icode: str |
     """(icode, fy, month_idx, qty): months with records only. Filters stand on raw columns and reach the scan."""
     rows = dispense
     if fiscal_year is not None:
-        rows = rows.where(fiscal.in_dates(F.col("vstdate"), fiscal_year))
+        rows = fiscal.of_year(rows, fiscal.in_dates(F.col("vstdate"), fiscal_year), fiscal_year)
     if icode is not None:
         rows = rows.where(F.col("icode") == icode)
     return rows.groupBy("icode", fiscal.year_of_date(F.col("vstdate")).alias("fy"), fiscal.month_index(F.month("vstdate")).alias("month_idx")).agg(F.coalesce(F.sum(exact(F.col("qty"))).cast("double"), F.lit(0.0)).alias("qty"))
@@ -24,18 +24,31 @@ def received(headers: DataFrame, fiscal_year: int | None = None) -> DataFrame:
     """(invoice_no, fy, month_idx) of invoices that were received."""
     rows = headers.where("receive_date > 0")
     if fiscal_year is not None:
-        rows = rows.where(fiscal.in_ints(F.col("receive_date"), fiscal_year))
+        rows = fiscal.of_year(rows, fiscal.in_ints(F.col("receive_date"), fiscal_year), fiscal_year)
         if "receive_day" in headers.columns:  # the same range on the stored column, for the scan
             rows = rows.where(fiscal.in_dates(F.col("receive_day"), fiscal_year))
     day = F.col("receive_date")
     return rows.select("invoice_no", fiscal.year_of_int(day).alias("fy"), fiscal.month_index(fiscal.month_of_int(day)).alias("month_idx"))
 
 
+def received_lines(headers: DataFrame, lines: DataFrame, fiscal_year: int | None = None) -> DataFrame:
+    """lines with fy and month_idx of their invoice. Lines laid out by `fy` meet the invoice of that year only."""
+    heads = received(headers, fiscal_year)
+    if "fy" not in lines.columns:
+        return lines.join(heads, "invoice_no")
+    mine = lines.withColumnRenamed("fy", "laid_out")
+    if fiscal_year is not None:
+        mine = mine.where(F.col("laid_out") == fiscal_year)
+    # the year is compared beside the key, not as part of it: the two sides are bucketed by invoice alone
+    same = (mine["invoice_no"] == heads["invoice_no"]) & (mine["laid_out"] - heads["fy"] == 0)
+    return mine.join(heads, same).drop(heads["invoice_no"]).drop("laid_out")
+
+
 def purchased(headers: DataFrame, lines: DataFrame, fiscal_year: int | None = None, working_code: str | None = None) -> DataFrame:
     """(working_code, fy, month_idx, qty, value): months with records only."""
     rows = lines if working_code is None else lines.where(F.col("working_code") == working_code)
     sums = [F.coalesce(F.sum(exact(F.coalesce(F.col(c), F.lit(0.0)))).cast("double"), F.lit(0.0)).alias(n) for c, n in (("qty_order", "qty"), ("value", "value"))]
-    return rows.join(received(headers, fiscal_year), "invoice_no").groupBy("working_code", "fy", "month_idx").agg(*sums)
+    return received_lines(headers, rows, fiscal_year).groupBy("working_code", "fy", "month_idx").agg(*sums)
 
 
 def vector(amount: str) -> Column:

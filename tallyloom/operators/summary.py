@@ -10,17 +10,22 @@ from tallyloom.functions.numbers import exact
 from tallyloom.operators import series
 
 
-def dispense_years(dispense: DataFrame) -> DataFrame:
+def dispense_years(dispense: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """known: the years that a layout knows; then no fact is read."""
+    if known is not None:
+        return known.orderBy(F.desc("fy"))
     return dispense.select(fiscal.year_of_date(F.col("vstdate")).alias("fy")).where("fy > 0").distinct().orderBy(F.desc("fy"))
 
 
-def purchase_years(headers: DataFrame) -> DataFrame:
+def purchase_years(headers: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    if known is not None:
+        return known.orderBy(F.desc("fy"))
     return headers.where("receive_date > 0").select(fiscal.year_of_int(F.col("receive_date")).alias("fy")).where("fy > 0").distinct().orderBy(F.desc("fy"))
 
 
-def merged_years(dispense: DataFrame, headers: DataFrame, selected: int | None = None) -> DataFrame:
+def merged_years(dispense: DataFrame, headers: DataFrame, selected: int | None = None, known: tuple[DataFrame | None, DataFrame | None] = (None, None)) -> DataFrame:
     """Years of either side, newest first; the selected one alone where there is no data."""
-    both = dispense_years(dispense).union(purchase_years(headers)).distinct()
+    both = dispense_years(dispense, known[0]).union(purchase_years(headers, known[1])).distinct()
     if selected is not None:
         alone = dispense.sparkSession.range(1).select(F.lit(selected).cast("int").alias("fy"))
         both = both.union(alone.join(both.limit(1).select(F.lit(1).alias("any")), F.lit(True), "left_anti"))
@@ -29,7 +34,7 @@ def merged_years(dispense: DataFrame, headers: DataFrame, selected: int | None =
 
 def dispense_summary(dispense: DataFrame, fiscal_year: int) -> DataFrame:
     """(total_qty, unique_drug_count), one row."""
-    rows = dispense.where(fiscal.in_dates(F.col("vstdate"), fiscal_year))
+    rows = fiscal.of_year(dispense, fiscal.in_dates(F.col("vstdate"), fiscal_year), fiscal_year)
     return rows.groupBy("icode").agg(F.sum(exact(F.col("qty"))).alias("q")).agg(F.coalesce(F.sum("q").cast("double"), F.lit(0.0)).alias("total_qty"), F.count("icode").alias("unique_drug_count"))
 
 
@@ -39,7 +44,7 @@ def purchase_summary(headers: DataFrame, lines: DataFrame, fiscal_year: int) ->
     Lines and headers are read once: a row for each code holds its twelve sums, and these add up to the one row. The
     last of equal months is the peak, and 12 with 0 if there is no data.
     """
-    rows = lines.join(series.received(headers, fiscal_year), "invoice_no")
+    rows = series.received_lines(headers, lines, fiscal_year)
     value = exact(F.coalesce("value", F.lit(0.0)))
     by_code = rows.groupBy("working_code").agg(*[F.sum(F.when(F.col("month_idx") == i, value)).alias(f"v{i}") for i in range(12)], F.max(F.col("value") > 0).alias("bought"))
     bought = F.col("bought") & F.col("working_code").isNotNull()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tallyloom.functions.fiscal import MONTH_LABELS
 from tallyloom.functions.names import DOSE_WORDS
 from tallyloom.operators.bulk import HEADER_NAMES
-from tallyloom.plans.queries import CSV, TERM, TOP, YEAR
+from tallyloom.plans.queries import BY_YEAR, CSV, TERM, TOP, YEAR
 
 _D = "CAST(sum(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
 _FY = "year({0}) + CASE WHEN month({0}) >= 10 THEN 1 ELSE 0 END"
@@ -244,4 +244,4 @@ SELECT qty, regexp_replace(regexp_replace(format('{:,.2f}', q * 1000), '0+$', ''
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | {f"{name}_by_year": ORACLES[name] for name in BY_YEAR}

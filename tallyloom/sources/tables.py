@@ -23,7 +23,10 @@ EXCLUSIONS = T.StructType([T.StructField("icode", T.StringType()), T.StructField
 
 @dataclass(frozen=True)
 class Inputs:
-    """dispense and items: what was given out. headers, lines and catalog: what was bought. links and exclusions: how codes meet."""
+    """dispense and items: what was given out. headers, lines and catalog: what was bought. links and exclusions: how codes meet.
+
+    Facts that are laid out by fiscal year (sources.facts) have its column `fy`, and their years (fy) are known beforehand.
+    """
 
     dispense: DataFrame
     items: DataFrame
@@ -32,6 +35,8 @@ class Inputs:
     catalog: DataFrame
     links: DataFrame
     exclusions: DataFrame
+    dispense_years: DataFrame | None = None
+    purchase_years: DataFrame | None = None
 
 
 def _part_name() -> str:
