@@ -85,6 +85,93 @@ def test_store(spark, empty, tmp_path):
     assert codes(links_store.open_store(spark, path)[0]) == [("A", "W")]
 
 
+def added(spark, *rows):
+    """A change of the store: links to be set."""
+    return lambda now, out: links.upsert(now, out, change(spark, *rows))
+
+
+def test_two_writers_from_one_version(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    links_store.open_store(spark, path)
+    one, other = links_store.snapshot(spark, path), links_store.snapshot(spark, path)
+    assert links_store.commit(spark, path, one.version, *added(spark, ("A1", "W1", "auto", 1.0))(one.links, one.exclusions)) == 2
+    with pytest.raises(links_store.Conflict):
+        links_store.commit(spark, path, other.version, *added(spark, ("A2", "W2", "auto", 1.0))(other.links, other.exclusions))
+    assert codes(links_store.snapshot(spark, path).links) == [("A1", "W1")]
+    # as a change, the second one starts anew from what the first has made
+    assert links_store.change(spark, path, added(spark, ("A2", "W2", "auto", 1.0))) == 3
+    assert codes(links_store.open_store(spark, path)[0]) == [("A1", "W1"), ("A2", "W2")]
+    assert codes(links_store.snapshot(spark, path, 2).links) == [("A1", "W1")]
+    with pytest.raises(LookupError):
+        links_store.snapshot(spark, path, 9)
+
+
+def test_a_writer_that_comes_between(spark, tmp_path):
+    """The other version is claimed after this one's rows have been written."""
+    path, seen = f"file://{tmp_path}/store", []
+
+    def slow(now, out):
+        seen.append(now.count())
+        if len(seen) < 3:
+            links_store.change(spark, path, added(spark, (f"B{len(seen)}", "W", "manual", None)))
+        return added(spark, ("A1", "W1", "auto", 1.0))(now, out)
+
+    assert links_store.change(spark, path, slow) == 3 and seen == [0, 1, 2]
+    assert codes(links_store.open_store(spark, path)[0]) == [("A1", "W1"), ("B1", "W"), ("B2", "W")]
+    with pytest.raises(links_store.Conflict):
+        links_store.change(spark, path, lambda *now: (links_store.change(spark, path, added(spark, ("C", "W", "auto", 1.0))), now)[1], tries=1)
+    assert not [f for f in (tmp_path / "store" / "commits").iterdir() if not f.name.strip(".").split(".")[0].isdigit()]
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"file://{tmp_path}/store"
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda i: links_store.change(spark, path, added(spark, (f"A{i}", f"W{i}", "auto", 1.0)), tries=50), range(6)))
+    assert sorted(numbers) == [1, 2, 3, 4, 5, 6]
+    assert codes(links_store.open_store(spark, path)[0]) == [(f"A{i}", f"W{i}") for i in range(6)]
+
+
+def test_claims(spark, tmp_path):
+    files = links_store._Files(spark, f"file://{tmp_path}/a b")
+    assert files.claim("commits/1", "first") and not files.claim("commits/1", "second") and files.read("commits/1") == "first"
+    assert [n for n in files.names("commits") if not n.endswith(".crc")] == ["1"]
+
+
+def test_old_layout_is_taken_over(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    for number, rows in ((1, []), (2, [("A", "W", "auto", 1.0)]), (3, [("B", "W", "auto", 1.0)])):
+        now = links.upsert(spark.createDataFrame([], LINKS), spark.createDataFrame([], EXCLUSIONS), change(spark, *rows) if rows else change(spark, ("x", "y", "auto", 1.0)).limit(0))
+        now[0].write.parquet(f"{path}/v{number}/links")
+        now[1].write.parquet(f"{path}/v{number}/exclusions")
+        if number < 3:  # the third was never finished
+            spark.createDataFrame([(1, number)], "layout int, version long").write.parquet(f"{path}/v{number}/marker")
+    assert codes(links_store.open_store(spark, path)[0]) == [("A", "W")] and links_store.snapshot(spark, path).version == 2
+    assert links_store.change(spark, path, added(spark, ("C", "W", "auto", 1.0))) == 3
+    assert codes(links_store.open_store(spark, path)[0]) == [("A", "W"), ("C", "W")]
+
+
+def test_unknown_layout(spark, tmp_path):
+    files = links_store._Files(spark, f"file://{tmp_path}/store")
+    files.claim("commits/000000000001", '{"layout": 99, "data": "x"}')
+    with pytest.raises(ValueError):
+        links_store.open_store(spark, f"file://{tmp_path}/store")
+
+
+def test_expire(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    for i in range(4):
+        links_store.change(spark, path, added(spark, (f"A{i}", "W", "auto", 1.0)))
+    (tmp_path / "store" / "data-left").mkdir()
+    assert links_store.expire(spark, path, keep=2) == 2 and links_store.expire(spark, path, keep=2, unnamed_for=0.0) == 1
+    assert codes(links_store.open_store(spark, path)[0]) == [(f"A{i}", "W") for i in range(4)]
+    assert links_store.snapshot(spark, path, 3).links.count() == 3
+    with pytest.raises(LookupError):
+        links_store.snapshot(spark, path, 2)
+    assert links_store.change(spark, path, added(spark, ("B", "W", "auto", 1.0))) == 5
+
+
 # FIXTURES.md section 5 (pasted texts, rows and errors).
 PARSED = [
     ("icode,working_code,drug_name_hosxp,drug_name_invs\n041234,WA001,Amoxicillin 500 mg,Amoxicillin (แคปซูล)\n041235,WA002,", 2, 0),
