@@ -3,11 +3,13 @@
 Where no piece of a model holds a whitespace marker after another character, segmentation never crosses the start of
 a marked word: a text's ids are those of its marked words in order, and so is its decoded text. A slice of texts is cut
 into marked words at once, brought to its distinct ones with an index a word, the words that the table does not hold
-yet are segmented by the library, each once, and ids are joined back by position in array operations. The library
-decodes each word's ids too: a text whose words all decode to themselves decodes to itself, any other is decoded
-whole. The table holds words that came more than once, belongs to a worker process and starts anew at `table_size`
-words, so memory is bounded; only speed depends on it. `encode_once` is the same with one table over all documents,
-kept as a DataFrame and joined by word.
+yet are segmented by the library, each once, and ids are joined back by position in array operations. The table holds
+words that came more than once, belongs to a worker process and starts anew at `table_size` words, so memory is bounded;
+only speed depends on it. `encode_once` is the same with one table over all documents, kept as a DataFrame and joined by word.
+
+Decoding knows nothing of the text: it lays out the bytes that each of the assembled ids stands for, by position, and
+reads them as UTF-8. Ids that have no bytes of their own (unknown and control pieces) and bytes that are no UTF-8 send
+that text's ids to the library's decoder, whole.
 
 Texts that hold a marker as a character, and models whose pieces do cross markers or that normalise text, go to the
 library whole.
@@ -41,8 +43,6 @@ MARK = "▁"
 TABLE_SIZE, SLICE = 300_000, 6 << 20
 #: A word longer than this is segmented without entering the table.
 LONGEST_KEPT = 64
-#: Words that are decoded together.
-_BLOCK = 4096
 
 
 def marked_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -73,6 +73,14 @@ def marked_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return parts[0], counts[0]
 
 
+def _is_utf8(raw: bytes) -> bool:
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 @dataclass
 class Encoded:
     """ids and spelled-out forms of a column of texts: `of[d]:of[d + 1]` is text d's part of each."""
@@ -91,10 +99,14 @@ class Encoder:
         n = self.library.get_piece_size()
         self.table_size = table_size
         self.table: dict[str, bytes] = {}  # ids of words that came more than once, four bytes each
-        self.odd: set[str] = set()  # words that the library decodes to something else
         self.decimals = pa.array([f"{i}," for i in range(n)], pa.large_binary())
-        self.letter = next((i for i in range(n) if self.library.id_to_piece(i) == "a"), None)
-        self.joined = self.letter is not None and not any(MARK in self.library.id_to_piece(i).lstrip(MARK) for i in range(n))
+        spelled = [self._bytes(i) for i in range(n)]
+        self.plain = np.array([s is not None for s in spelled], bool)  # ids that stand for bytes
+        self.marked = np.array([self.library.id_to_piece(i).startswith(MARK) for i in range(n)], bool)
+        self.bytes = np.frombuffer(b"".join(s or b"" for s in spelled), np.uint8)
+        self.byte_size = np.fromiter((len(s or b"") for s in spelled), np.int64, n)
+        self.byte_start = np.cumsum(self.byte_size) - self.byte_size
+        self.joined = not any(MARK in self.library.id_to_piece(i).lstrip(MARK) for i in range(n))
         probes = ["a", "a b", " a", "a ", "  a  b ", "ﬁ ÅΩÅ \t\n　x", "a\nb", ""]
         if self.joined:
             found = self.run(pa.array(probes), True, True)
@@ -102,14 +114,16 @@ class Encoder:
                 want = self.library.encode(t)
                 self.joined &= found.ids[found.ids_of[i] : found.ids_of[i + 1]].tolist() == want and found.decoded[i].decode() == self.library.decode(want)
 
+    def _bytes(self, i: int) -> bytes | None:
+        """What an id stands for within a text; None for unknown, control and unused pieces."""
+        if self.library.is_unknown(i) or self.library.is_control(i) or self.library.is_unused(i):
+            return None
+        piece = self.library.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if self.library.is_byte(i) else piece.replace(MARK, " ").encode()
+
     def segment(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, four bytes each. Words that do not decode to themselves are noted."""
+        """Ids of each word, four bytes each."""
         ids = [i or [self.library.piece_to_id(MARK)] for i in self.library.encode(words, num_threads=1)] if words else []
-        for a in range(0, len(words), _BLOCK):
-            some = words[a : a + _BLOCK]
-            # words are decoded one after another, each with its marker's space, behind a letter
-            if self.library.decode([self.letter, *chain.from_iterable(ids[a : a + _BLOCK])]) != "a " + " ".join(some):
-                self.odd.update(w for w, i in zip(some, ids[a : a + _BLOCK], strict=True) if self.library.decode([self.letter, *i]) != f"a {w}")
         return [array("i", i).tobytes() for i in ids]
 
     def entries(self, words: list[str], often: list[bool]) -> list[bytes]:
@@ -119,7 +133,6 @@ class Encoder:
         new = [i for i, x in enumerate(out) if x is None]
         if len(self.table) + len(new) > self.table_size:
             self.table.clear()
-            self.odd.intersection_update(w for w, x in zip(words, out, strict=True) if x is not None)
         for i, x in zip(new, self.segment([words[i] for i in new]), strict=True):
             out[i] = x
             if often[i] and len(words[i]) <= LONGEST_KEPT:
@@ -143,16 +156,21 @@ class Encoder:
         ids = np.frombuffer(b"".join(entries), np.int32)[ranges((np.cumsum(length) - length)[index], size)]
         bounds = np.concatenate((np.zeros(1, np.int64), np.cumsum(count)))  # a text's words
         ids_of = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))[bounds]
-        return Encoded(ids, ids_of, self._decoded(column, ids, ids_of, distinct, index, bounds) if decode else [], self._spelled(ids, ids_of) if spell else [])
-
-    def _decoded(self, column: pa.Array, ids: np.ndarray, ids_of: np.ndarray, distinct: list[str], index: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-        """Each text as its words decode: itself, unless one of them decodes to something else."""
-        out = column.cast(pa.binary()).to_pylist()
-        odd = np.flatnonzero([w in self.odd for w in distinct]) if self.odd else []
-        if len(odd):
-            for d in np.unique(np.searchsorted(bounds, np.flatnonzero(np.isin(index, odd)), side="right") - 1).tolist():
+        return Encoded(ids, ids_of, self.decoded(ids, ids_of) if decode else [], self._spelled(ids, ids_of) if spell else [])
+
+    def decoded(self, ids: np.ndarray, ids_of: np.ndarray) -> list[bytes]:
+        """The text of each ids[ids_of[d]:ids_of[d + 1]], from the ids alone; as the library decodes them."""
+        size, full = self.byte_size[ids], np.flatnonzero(ids_of[1:] > ids_of[:-1])
+        raw = self.bytes[ranges(self.byte_start[ids], size)].tobytes()
+        at = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))[ids_of]
+        first = at[:-1].copy()
+        first[full] += self.marked[ids[ids_of[full]]]  # the marker that the library puts before a text
+        plain = np.concatenate((np.zeros(1, np.int64), np.cumsum(~self.plain[ids])))[ids_of]
+        whole = (plain[1:] == plain[:-1]).tolist()
+        out = [raw[a:b] for a, b in zip(first.tolist(), at[1:].tolist(), strict=True)]
+        for d, x in enumerate(out):
+            if not whole[d] or not (x.isascii() or _is_utf8(x)):
                 out[d] = self.library.decode(ids[ids_of[d] : ids_of[d + 1]].tolist()).encode()
-        self.odd.intersection_update(self.table)
         return out
 
     def _spelled(self, ids: np.ndarray, ids_of: np.ndarray) -> list[bytes]:
@@ -165,8 +183,8 @@ class Encoder:
     def _whole(self, column: pa.Array, decode: bool, spell: bool) -> Encoded:
         ids = [self.library.encode(t) for t in column.to_pylist()]
         flat = np.fromiter(chain.from_iterable(ids), np.int32)
-        decoded = [self.library.decode(i).encode() if i else b"" for i in ids] if decode else []
-        return Encoded(flat, np.concatenate((np.zeros(1, np.int64), np.cumsum([len(i) for i in ids]))).astype(np.int64), decoded, [",".join(map(str, i)).encode() for i in ids] if spell else [])
+        ids_of = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(i) for i in ids]))).astype(np.int64)
+        return Encoded(flat, ids_of, [self.library.decode(i).encode() if i else b"" for i in ids] if decode else [], [",".join(map(str, i)).encode() for i in ids] if spell else [])
 
     def _both(self, column: pa.Array, marked: pa.Array, decode: bool, spell: bool) -> Encoded:
         mask = marked.to_numpy(zero_copy_only=False)

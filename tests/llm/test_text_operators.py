@@ -505,6 +505,33 @@ def test_words_are_segmented_once(library):
     assert set(asked) == set(words) and set(asked.values()) == {1}
 
 
+def test_decoding_reads_the_ids_alone(library):
+    """Any ids, in any order: bytes that are no text, unknown and control pieces among them."""
+    one, r = sentencepieces.Encoder(piece_model()), random.Random(6)
+    n = library.get_piece_size()
+    lists = [[], *([r.randrange(n if r.random() < 0.5 else 300) for _ in range(r.randrange(1, 12))] for _ in range(4000))]
+    lists += [library.encode(t)[::-1] for t in ("the quick brown fox", "漢字 🙂﷽", "  a  b ")]
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+    flat = np.array([i for x in lists for i in x], np.int32)
+    assert [x.decode() for x in one.decoded(flat, bounds)] == [library.decode(x) if x else "" for x in lists]
+
+
+def test_a_wrong_id_is_seen(spark, library, monkeypatch):
+    """Where the ids of a text are joined wrongly, the decoded text is another one and `exact` is false."""
+    docs = spark.createDataFrame([(1, "the dog jumps over the lazy dog")], "doc_id long, text string")
+    right = sentencepieces.round_trip(docs, piece_model()).first()
+    one = sentencepieces.Encoder(piece_model())
+    ids = np.array(library.encode(docs.first().text), np.int32)
+    for wrong in (np.roll(ids, 1), np.concatenate((ids[:3], ids[4:])), np.where(np.arange(len(ids)) == 2, ids + 1, ids)):
+        got = one.decoded(wrong, np.array([0, len(wrong)]))[0]
+        assert sha(got.decode()) != right.decoded_sha256 and got.decode() == library.decode(wrong.tolist())
+    found = one.run(pa.array([docs.first().text]), decode=True)
+    assert found.decoded == [docs.first().text.encode()] and found.ids.tolist() == ids.tolist()
+    shifted = sentencepieces.ranges
+    monkeypatch.setattr(sentencepieces, "ranges", lambda a, b: shifted(a, b)[::-1])
+    assert one.run(pa.array(["a b c"]), decode=True).decoded != [b"a b c"]
+
+
 def test_other_models_go_to_the_library_whole(library):
     one = sentencepieces.Encoder(piece_model())
     one.joined = False
