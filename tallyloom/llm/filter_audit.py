@@ -62,14 +62,17 @@ def failures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", par
     """(doc_id, part, mask): the filters that each document fails, as bits in the order of FILTERS."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), body.alias("text"))
-    rows = rows.select(F.xxhash64("text").alias("mark"), "text", "doc_id", "part", text_mask(F.col("text")).alias("mask"))
-    return _with_copies(rows)
+    return _with_copies(rows.withColumn("mark", F.xxhash64("text")), text_mask(F.col("text")))
 
 
-def _with_copies(rows: DataFrame) -> DataFrame:
-    """rows (mark, text, doc_id, part, mask) with bit E set, without mark and text. mark: any number that depends on the text alone."""
+def _with_copies(rows: DataFrame, mask: Column) -> DataFrame:
+    """(doc_id, part, mask) of rows (mark, text, doc_id, part): mask with bit E. mark: any number that depends on the text alone.
+
+    The mask is computed behind the sort: the pass that looks for the ranges reads texts only for their marks.
+    """
     place = [F.col("mark"), F.col("doc_id").asc_nulls_last()]
     dealt = rows.repartitionByRange(*place).sortWithinPartitions(place[0], "text", place[1])
+    dealt = dealt.select("mark", "text", "doc_id", "part", mask.alias("mask"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = materialize(in_arrow(dealt, _against_predecessors, f"doc_id {kind}, part string, mask int, mark long, digest string"))
     undecided = F.col("digest").isNotNull()

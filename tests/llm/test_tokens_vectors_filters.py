@@ -294,13 +294,13 @@ def test_copies_across_partitions(spark, parts, mark, most, monkeypatch):
     monkeypatch.setattr(filter_audit, "HELD", most)
     rows, _ = filter_rows()
     rows = [x for x in rows if len(x[1] or "") < 9999]
-    docs = spark.createDataFrame([(i, t or "", lang or "", 0) for i, t, lang, _ in rows], "doc_id long, text string, part string, mask int")
-    docs = docs.selectExpr(f"cast({mark} as long) as mark", "text", "doc_id", "part", "mask")
+    docs = spark.createDataFrame([(i, t or "", lang or "") for i, t, lang, _ in rows], "doc_id long, text string, part string")
+    docs = docs.selectExpr(f"cast({mark} as long) as mark", "text", "doc_id", "part")
     before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     spark.conf.set("spark.sql.adaptive.enabled", False)
     try:
-        got = Counter((r.doc_id, r.part, r.mask) for r in filter_audit._with_copies(docs).collect())
+        got = Counter((r.doc_id, r.part, r.mask) for r in filter_audit._with_copies(docs, F.lit(0)).collect())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before[0])
         spark.conf.set("spark.sql.adaptive.enabled", before[1])
