@@ -64,21 +64,39 @@ def last_peak(values: Column) -> Column:
 
 def dispensed_vectors(dispense: DataFrame, items: DataFrame, fiscal_year: int, icode: str | None = None) -> DataFrame:
     """(icode, name, monthly_qty, total), largest total first."""
-    out = dispensed(dispense, fiscal_year, icode).groupBy("icode").agg(vector("qty").alias("monthly_qty"), F.sum(exact(F.col("qty"))).cast("double").alias("total"))
+    return item_vectors(dispensed(dispense, fiscal_year, icode), items)
+
+
+def item_vectors(months: DataFrame, items: DataFrame) -> DataFrame:
+    """The same of a year's months (icode, month_idx, qty), from wherever they are kept."""
+    out = months.groupBy("icode").agg(vector("qty").alias("monthly_qty"), F.sum(exact(F.col("qty"))).cast("double").alias("total"))
     return with_item_name(out, items).select("icode", "name", "monthly_qty", "total").orderBy(F.desc("total"), "icode")
 
 
 def purchased_vectors(headers: DataFrame, lines: DataFrame, catalog: DataFrame, fiscal_year: int, working_code: str | None = None) -> DataFrame:
     """(working_code, name, monthly_qty, total_qty, monthly_value, total_value, peak_fiscal_month)."""
-    out = purchased(headers, lines, fiscal_year, working_code).groupBy("working_code").agg(
-        vector("qty").alias("monthly_qty"), F.sum(exact(F.col("qty"))).cast("double").alias("total_qty"),
-        vector("value").alias("monthly_value"), F.sum(exact(F.col("value"))).cast("double").alias("total_value"),
-    )
+    out = _code_sums(purchased(headers, lines, fiscal_year, working_code))
     if working_code is not None:  # asked for by itself, a code without purchases has a year of zeros
         zeros = F.array_repeat(F.lit(0.0), 12)
         asked = headers.sparkSession.range(1).select(F.lit(working_code).alias("working_code"))
         out = asked.join(out, "working_code", "left").select("working_code", *[F.coalesce(c, zeros if c.startswith("m") else F.lit(0.0)).alias(c) for c in ("monthly_qty", "total_qty", "monthly_value", "total_value")])
-    return with_catalog_name(out, catalog).select("working_code", "name", "monthly_qty", "total_qty", "monthly_value", "total_value", (last_peak(F.col("monthly_value")) + 1).alias("peak_fiscal_month"))
+    return _with_peak(out, catalog)
+
+
+def code_vectors(months: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The same of a year's months (working_code, month_idx, qty, value), from wherever they are kept."""
+    return _with_peak(_code_sums(months), catalog)
+
+
+def _code_sums(months: DataFrame) -> DataFrame:
+    return months.groupBy("working_code").agg(
+        vector("qty").alias("monthly_qty"), F.sum(exact(F.col("qty"))).cast("double").alias("total_qty"),
+        vector("value").alias("monthly_value"), F.sum(exact(F.col("value"))).cast("double").alias("total_value"),
+    )
+
+
+def _with_peak(sums: DataFrame, catalog: DataFrame) -> DataFrame:
+    return with_catalog_name(sums, catalog).select("working_code", "name", "monthly_qty", "total_qty", "monthly_value", "total_value", (last_peak(F.col("monthly_value")) + 1).alias("peak_fiscal_month"))
 
 
 def with_item_name(rows: DataFrame, items: DataFrame) -> DataFrame:

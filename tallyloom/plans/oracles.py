@@ -5,7 +5,7 @@ from __future__ import annotations
 from tallyloom.functions.fiscal import MONTH_LABELS
 from tallyloom.functions.names import DOSE_WORDS
 from tallyloom.operators.bulk import HEADER_NAMES
-from tallyloom.plans.queries import BY_YEAR, CSV, TERM, TOP, YEAR
+from tallyloom.plans.queries import BY_YEAR, CSV, TERM, TOP, WILD, YEAR
 
 _D = "CAST(sum(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
 _FY = "year({0}) + CASE WHEN month({0}) >= 10 THEN 1 ELSE 0 END"
@@ -178,6 +178,7 @@ SELECT {_D.format("v")} AS total_value, (SELECT count(DISTINCT working_code) FRO
   CAST((SELECT month_idx + 1 FROM g ORDER BY v DESC, month_idx DESC LIMIT 1) AS INT) AS peak_fiscal_month, max(v) AS peak_value FROM g""",
     "h_search": f"{INPUTS} SELECT icode, name FROM items WHERE contains(icode, '{TERM}') OR contains(lower(name), '{TERM}') ORDER BY name, icode LIMIT 50",
     "i_search": f"{INPUTS} SELECT working_code, drug_name FROM catalog WHERE starts_with(lower(working_code), '{TERM}') OR contains(lower(drug_name), '{TERM}') ORDER BY working_code, drug_name LIMIT 30",
+    "i_search_wildcard_indexed": f"{INPUTS} SELECT working_code, drug_name FROM catalog WHERE lower(working_code) LIKE '{WILD}%' OR lower(drug_name) LIKE '%{WILD}%' ORDER BY working_code, drug_name LIMIT 30",
     "i_search_wildcard": f"{INPUTS} SELECT working_code, drug_name FROM catalog WHERE lower(working_code) LIKE 'r_ng%' OR lower(drug_name) LIKE '%r_ng%' ORDER BY working_code, drug_name LIMIT 30",
     "mapping_rows": f"{INPUTS}, {_PAGE} SELECT * FROM listed",
     "mapping_rows_unmapped": f"{INPUTS}, {_PAGE} SELECT * FROM listed WHERE status = 'unmapped'",
@@ -244,4 +245,5 @@ SELECT qty, regexp_replace(regexp_replace(format('{:,.2f}', q * 1000), '0+$', ''
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | {f"{name}_by_year": ORACLES[name] for name in BY_YEAR}
+    same = {f"{name}_by_year": name for name in BY_YEAR} | {f"{name}_kept": name for name in ("h_monthly", "i_monthly")} | {f"{name}_indexed": name for name in ("h_search", "i_search")}
+    return ORACLES | {name: ORACLES[plain] for name, plain in same.items()}

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import fiscal, names, numbers
 from tallyloom.operators import bulk, links, matching, reconcile, search, series, summary, trend
-from tallyloom.sources import facts, scratch
-from tallyloom.sources.tables import Inputs, from_star
+from tallyloom.sources import facts, postings, scratch
+from tallyloom.sources.tables import Inputs, bought_lines, dispensed_lines, from_star
+from tallyloom.streaming import monthly
 
-YEAR, TERM, TOP = 1998, "ring", 10
+YEAR, TERM, WILD, TOP = 1998, "ring", "r_ng sm%", 10
 #: Pasted text of a bulk import: headers, blanks, quotes, a short record, conflicts and repeats.
 CSV = """icode,working_code,drug_name_hosxp,drug_name_invs
 1,1,small ring 5 mg,
@@ -32,6 +33,51 @@ def _inputs(query: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str
     return lambda spark, sf_dir: query(from_star(spark, sf_dir))
 
 
+def h_search_indexed(x: Inputs) -> DataFrame:
+    path = scratch.folder(x.items.sparkSession, "postings")
+    postings.write(x.items, path, "icode", "name")
+    return search.search_items(postings.Postings(x.items.sparkSession, path).rows(TERM), TERM)
+
+
+def _catalog_index(x: Inputs) -> postings.Postings:
+    path = scratch.folder(x.catalog.sparkSession, "postings")
+    postings.write(x.catalog, path, "working_code", "drug_name")
+    return postings.Postings(x.catalog.sparkSession, path)
+
+
+def i_search_indexed(x: Inputs) -> DataFrame:
+    return search.search_catalog(_catalog_index(x).rows(TERM), TERM)
+
+
+def i_search_wildcard_indexed(x: Inputs) -> DataFrame:
+    return search.search_catalog(_catalog_index(x).rows(WILD, wildcards=True), WILD, wildcards=True)
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stream of a table's files. As a pattern the path may be a folder or a single file."""
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def h_monthly_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The year's vectors from a table that a stream of the records has kept."""
+    source = _stream(spark, sf_dir, "lineitem")
+    x, path = from_star(spark, sf_dir), scratch.folder(spark, "months")
+    table = monthly.MonthTable(spark, f"{path}/table", monthly.DISPENSED)
+    table.keep(dispensed_lines(source), f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _spread(series.item_vectors(table.read(YEAR), x.items), ["icode", "name", "total"], "monthly_qty")
+
+
+def i_monthly_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The year's vectors of what was bought: a stream of lines meets the invoices before it enters the table."""
+    source = _stream(spark, sf_dir, "lineitem")
+    x, path = from_star(spark, sf_dir), scratch.folder(spark, "months")
+    table = monthly.MonthTable(spark, f"{path}/table", monthly.PURCHASED)
+    records = bought_lines(source).join(x.headers.select("invoice_no", "receive_date"), "invoice_no")
+    table.keep(records, f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = series.code_vectors(table.read(YEAR), x.catalog)
+    return _spread(rows, ["working_code", "name", "total_qty", "total_value", "peak_fiscal_month"], "monthly_qty", "monthly_value")
+
+
 _LAID_OUT: dict[tuple[str, str], str] = {}
 
 
@@ -242,6 +288,9 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "h_search": lambda x: search.search_items(x.items, TERM),
     "i_search": lambda x: search.search_catalog(x.catalog, TERM),
     "i_search_wildcard": lambda x: search.search_catalog(x.catalog, "r_ng", wildcards=True),
+    "h_search_indexed": h_search_indexed,
+    "i_search_indexed": i_search_indexed,
+    "i_search_wildcard_indexed": i_search_wildcard_indexed,
     "mapping_rows": lambda x: links.mapping_rows(x.items, x.links, x.exclusions, TERM),
     "mapping_rows_unmapped": lambda x: links.mapping_rows(x.items, x.links, x.exclusions, TERM, status="unmapped"),
     "mapping_next_unmapped": lambda x: links.next_unmapped(links.mapping_rows(x.items, x.links, x.exclusions, TERM), ["drug_name", "icode"]).select("icode", "status", "next_icode"),
@@ -283,4 +332,4 @@ BY_YEAR = ["h_years", "i_years", "merged_years", "h_monthly", "i_monthly", "i_it
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _inputs(query) for name, query in QUERIES.items()} | {f"{name}_by_year": _laid_out(QUERIES[name]) for name in BY_YEAR}
+    return {name: _inputs(query) for name, query in QUERIES.items()} | {f"{name}_by_year": _laid_out(QUERIES[name]) for name in BY_YEAR} | {"h_monthly_kept": h_monthly_kept, "i_monthly_kept": i_monthly_kept}

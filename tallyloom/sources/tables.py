@@ -43,6 +43,14 @@ def _part_name() -> str:
     return "concat(p_name, ' ', cast(p_size as string), ' mg')"
 
 
+def dispensed_lines(lineitem: DataFrame) -> DataFrame:
+    return lineitem.where("l_linestatus = 'F'").selectExpr("cast(l_partkey as string) as icode", "l_shipdate as vstdate", "l_quantity as qty")
+
+
+def bought_lines(lineitem: DataFrame) -> DataFrame:
+    return lineitem.where("l_linestatus = 'O'").selectExpr("l_orderkey as invoice_no", "cast(l_partkey as string) as working_code", "l_quantity as qty_order", "l_extendedprice as value")
+
+
 def from_star(spark: SparkSession, sf_dir: str) -> Inputs:
     """The inputs as found in order tables: finished lines are given out, open ones bought; parts are the items.
 
@@ -60,10 +68,10 @@ def from_star(spark: SparkSession, sf_dir: str) -> Inputs:
         "cast(case when p_partkey % 3 = 0 then 1.0 end as double) as match_score",
     )
     return Inputs(
-        dispense=lineitem.where("l_linestatus = 'F'").selectExpr("cast(l_partkey as string) as icode", "l_shipdate as vstdate", "l_quantity as qty"),
+        dispense=dispensed_lines(lineitem),
         items=part.selectExpr(f"{key} as icode", f"{_part_name()} as name"),
         headers=read("orders").selectExpr("o_orderkey as invoice_no", "year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) as receive_date", "o_orderdate as receive_day"),
-        lines=lineitem.where("l_linestatus = 'O'").selectExpr("l_orderkey as invoice_no", "cast(l_partkey as string) as working_code", "l_quantity as qty_order", "l_extendedprice as value"),
+        lines=bought_lines(lineitem),
         catalog=part.where("p_partkey % 10 <> 0").selectExpr(f"{key} as working_code", f"concat({turned}, ' ', cast(p_size as string), ' mg') as drug_name"),
         links=link,
         exclusions=part.where("p_partkey % 25 = 0").selectExpr(f"{key} as icode", "'not stocked' as reason"),
