@@ -155,6 +155,16 @@ def _outcome(linked: str) -> str:
   CASE WHEN {usable} AND {clash} THEN {linked} END AS existing FROM held"""
 
 
+#: The records of the files that are made of all items.
+_FILES = f"""{INPUTS},
+filed AS (SELECT CAST(icode AS BIGINT) AS k, CAST(icode AS BIGINT) % 6 AS kind, icode AS code, name FROM items),
+held AS (
+  SELECT r.*, l.working_code AS linked, l.working_code AS met FROM (
+    SELECT CAST(row_number() OVER (ORDER BY k) AS INT) AS line, CASE kind WHEN 4 THEN '' ELSE code END AS icode, CASE kind WHEN 1 THEN 'W' || code ELSE code END AS working_code,
+      CASE kind WHEN 0 THEN replace(name, 'mg', '"mg", or') WHEN 1 THEN 'first' || chr(10) || 'second, of ' || code WHEN 4 THEN 'no code' ELSE '' END AS dispensed_name FROM filed WHERE kind <> 2
+  ) r LEFT JOIN links l USING (icode)
+)"""
+
 ORACLES: dict[str, str] = {
     "h_years": f"{INPUTS} SELECT DISTINCT fy FROM h",
     "i_years": f"{INPUTS} SELECT DISTINCT CAST({_FY.format('CAST(o_orderdate AS DATE)')} AS INT) AS fy FROM orders",
@@ -235,6 +245,12 @@ SELECT icode, way, normalized, round({_score("plain", "normalized")}, 6) AS scor
   count(*) FILTER (outcome = 'conflict') AS conflicts, (SELECT count(*) FROM records WHERE n < 2) AS errors FROM ({_outcome('linked')})""",
     "bulk_import_after": f"""{_IMPORT}, added AS (SELECT icode, arg_max(working_code, line) AS working_code, 'approved' AS match_method FROM ({_outcome('met')}) WHERE outcome = 'added' GROUP BY icode),
 l2 AS (SELECT icode, working_code, match_method FROM links WHERE icode NOT IN (SELECT icode FROM added) UNION ALL FROM added),
+e2 AS (SELECT * FROM exclusions WHERE icode NOT IN (SELECT icode FROM added)) {_STATUS.format("l2", "e2")}""",
+    "bulk_files_classified": f"{_FILES} {_outcome('linked')}".replace("physical_line", "dispensed_name"),
+    "bulk_files_counters": f"""{_FILES} SELECT count(*) AS total, count(*) FILTER (outcome = 'added') AS added, count(*) FILTER (outcome = 'skipped') AS skipped,
+  count(*) FILTER (outcome = 'conflict') AS conflicts, (SELECT count(*) FROM filed WHERE kind = 2) AS errors FROM ({_outcome('linked').replace('physical_line', 'dispensed_name')})""",
+    "bulk_files_after": f"""{_FILES}, added AS (SELECT icode, working_code, 'approved' AS match_method FROM ({_outcome('met').replace('physical_line', 'dispensed_name')}) WHERE outcome = 'added'),
+l2 AS (SELECT icode, working_code, match_method FROM links WHERE icode NOT IN (SELECT icode FROM added) UNION ALL FROM added),
 e2 AS (SELECT * FROM exclusions WHERE icode NOT IN (SELECT icode FROM added)) {_STATUS.format("l2", "e2")}""",
     "number_texts": """WITH q AS (SELECT DISTINCT l_quantity AS qty, l_quantity / 8 AS q FROM lineitem WHERE l_linestatus = 'F')
 SELECT qty, regexp_replace(regexp_replace(format('{:,.2f}', q * 1000), '0+$', ''), '\\.$', '') AS quantity, '฿' || format('{:,.0f}', q * 100000) AS baht,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import fiscal, names, numbers
 from tallyloom.operators import bulk, links, matching, reconcile, search, series, summary, trend
-from tallyloom.sources import facts, postings, scratch
+from tallyloom.sources import csv_files, facts, postings, scratch
 from tallyloom.sources.tables import Inputs, bought_lines, dispensed_lines, from_star
 from tallyloom.streaming import monthly
 
@@ -267,6 +267,35 @@ def bulk_import_after(x: Inputs) -> DataFrame:
     return links.status_by_icode(x.items.select("icode"), after, out).select("icode", "status", "working_code", "match_method", "reason")
 
 
+def _csv_folder(x: Inputs) -> str:
+    """CSV files of all items by code: rows, headers between them, quotes over two lines, short, blank and incomplete records."""
+    path = scratch.folder(x.items.sparkSession, "csv")
+    k = F.col("icode").cast("long")
+    quoted = F.concat(F.lit('"'), F.replace("name", F.lit("mg"), F.lit('""mg"", or')), F.lit('"'))
+    kinds = [
+        F.concat_ws(",", "icode", "icode", quoted, F.lit("")), F.concat("icode", F.lit(",W"), "icode", F.lit(',"first\nsecond, of '), "icode", F.lit('",x')), F.col("icode"),
+        F.concat(F.lit("  "), "icode", F.lit(" , "), "icode", F.lit(" ")), F.concat(F.lit(","), "icode", F.lit(",no code")), F.concat(F.lit("\n , \n"), "icode", F.lit(","), "icode"),
+    ]
+    header = F.when(k % 7 == 0, "ICODE,Working_Code,name\n").otherwise("")
+    rows = x.items.select(k.alias("k"), F.concat(header, F.get(F.array(*kinds), (k % 6).cast("int"))).alias("value"))
+    rows.repartitionByRange(4, "k").sortWithinPartitions("k").select("value").write.text(path)
+    return path
+
+
+def _bulk_files(x: Inputs, dry_run: bool) -> tuple[DataFrame, DataFrame]:
+    rows, errors = csv_files.read(x.items.sparkSession, _csv_folder(x))
+    return bulk.classify(rows, x.links, dry_run), errors
+
+
+def bulk_files_classified(x: Inputs) -> DataFrame:
+    return _bulk_files(x, True)[0].select("line", "icode", "working_code", "dispensed_name", "outcome", "existing")
+
+
+def bulk_files_after(x: Inputs) -> DataFrame:
+    after, out = links.upsert(x.links, x.exclusions, bulk.as_changes(_bulk_files(x, False)[0]))
+    return links.status_by_icode(x.items.select("icode"), after, out).select("icode", "status", "working_code", "match_method", "reason")
+
+
 def number_texts(x: Inputs) -> DataFrame:
     q = (F.col("qty") / 8).alias("q")
     rows = x.dispense.select("qty").distinct().select("qty", q)
@@ -323,6 +352,9 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "bulk_import_applied": lambda x: _bulk(x, False),
     "bulk_import_counters": bulk_import_counters,
     "bulk_import_after": bulk_import_after,
+    "bulk_files_classified": bulk_files_classified,
+    "bulk_files_counters": lambda x: bulk.counters(*_bulk_files(x, True)),
+    "bulk_files_after": bulk_files_after,
     "number_texts": number_texts,
 }
 
