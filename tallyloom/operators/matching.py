@@ -4,7 +4,9 @@ A candidate's code equals or starts with the item's search term, or its name has
 once for each distinct one. Terms meet the catalog through hash joins on blocks that every match must share: a code's
 first characters, and of the runs of three characters in a term the one that the fewest names have. So no item is
 compared with the whole catalog, and a run that most names share is met only by terms that have no rarer one; the
-exact condition then decides.
+exact condition then decides. A block's rows are dealt over SALTS by their code and each term stands once under every
+salt, so a block that nearly all names share meets its terms in as many tasks; the best rows of a term are cut within
+each task before they come together.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from tallyloom.functions import names
 
 BLOCK = 3
+#: Parts of a block. A term is repeated as often, a row never.
+SALTS = 16
 
 
 def _runs(text: Column, n: int) -> Column:
@@ -23,21 +27,24 @@ def _runs(text: Column, n: int) -> Column:
     return F.when(F.char_length(text) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def _found(terms: DataFrame, named: DataFrame) -> DataFrame:
+def _found(terms: DataFrame, named: DataFrame, salts: int = SALTS) -> DataFrame:
     """(term, working_code, candidate_name, tier) of all catalog rows that a term finds."""
     code, name, t = F.lower("working_code"), F.lower("candidate_name"), F.col("term")
+    dealt = F.pmod(F.xxhash64("working_code", "candidate_name"), F.lit(salts)).cast("int").alias("salt")
+    named = named.select("*", dealt)
+    meet = lambda asked, rows: asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).join(rows, ["block", "salt"])
     every = []
     for n in (BLOCK, 1):
         # terms of BLOCK characters and more meet runs of BLOCK, shorter ones single characters
         mine = terms.where(F.char_length(t) >= BLOCK if n == BLOCK else F.char_length(t) < BLOCK)
         starts = named.withColumn("block", F.substring(code, 1, n))
-        every.append(mine.withColumn("block", F.substring(t, 1, n)).join(starts, "block").where(F.startswith(code, t)).withColumn("tier", F.when(code == t, 0).otherwise(1)))
+        every.append(meet(mine.withColumn("block", F.substring(t, 1, n)), starts).where(F.startswith(code, t)).withColumn("tier", F.when(code == t, 0).otherwise(1)))
         runs = named.withColumn("block", F.explode(_runs(name, n)))
         seen = runs.groupBy("block").agg(F.count("*").alias("rows"))
         # a name that has the term has all of its runs: the rarest one decides where they meet
         asked = mine.withColumn("block", F.explode(_runs(t, n))).join(seen, "block", "left").groupBy("term")
         rarest = asked.agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "block"))["block"].alias("block"))
-        every.append(rarest.join(runs, "block").where(F.contains(name, t) & ~F.startswith(code, t)).withColumn("tier", F.lit(2)))
+        every.append(meet(rarest, runs).where(F.contains(name, t) & ~F.startswith(code, t)).withColumn("tier", F.lit(2)))
     out = every[0]
     for more in every[1:]:
         out = out.unionByName(more)
@@ -52,16 +59,17 @@ def candidates(items: DataFrame, catalog: DataFrame, limit: int = 10, exhaustive
     """
     limit = max(1, min(20, limit))
     term = F.lower(names.search_term(F.col("drug_name")))
-    asked = items.select("icode", "drug_name", names.normalized(F.col("drug_name")).alias("item_norm"), term.alias("term")).where("term <> ''")
+    asked = items.select("icode", "drug_name", term.alias("term")).where("term <> ''")
     # which rows a term finds does not depend on the item: each distinct term asks once
     terms = asked.select("term").distinct()
     named = catalog.select("working_code", F.coalesce("drug_name", F.lit("")).alias("drug_name"))
-    norms = named.select("drug_name").distinct().withColumn("norm", names.normalized(F.col("drug_name")))
+    norm = lambda rows: rows.select("drug_name").distinct().withColumn("norm", names.normalized(F.col("drug_name")))
+    norms, item_norms = norm(named), norm(asked).withColumnRenamed("norm", "item_norm")
     found = _found(terms, named.withColumnRenamed("drug_name", "candidate_name"))
     first = Window.partitionBy("term").orderBy("tier", "candidate_name", "working_code")
     if not exhaustive:
         found = found.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).drop("_n")
-    found = asked.join(found.join(norms.select(F.col("drug_name").alias("candidate_name"), "norm"), "candidate_name"), "term")
+    found = asked.join(item_norms, "drug_name").join(found.join(norms.select(F.col("drug_name").alias("candidate_name"), "norm"), "candidate_name"), "term")
     scored = found.withColumn("score", names.similarity_normalized(F.col("item_norm"), F.col("norm")))
     best = Window.partitionBy("icode", "working_code").orderBy(F.desc("score"), "tier", "candidate_name")
     scored = scored.withColumn("_n", F.row_number().over(best)).where("_n = 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tallyloom.functions.fiscal import MONTH_LABELS
 from tallyloom.functions.names import DOSE_WORDS
 from tallyloom.operators.bulk import HEADER_NAMES
-from tallyloom.plans.queries import BY_YEAR, CSV, TERM, TOP, WILD, YEAR
+from tallyloom.plans.queries import BY_YEAR, CSV, GREEK, TERM, TOP, WILD, YEAR
 
 _D = "CAST(sum(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
 _FY = "year({0}) + CASE WHEN month({0}) >= 10 THEN 1 ELSE 0 END"
@@ -120,6 +120,17 @@ FROM g LEFT JOIN catalog USING (working_code)"""
 _MATCHED = f"{INPUTS}, {_PAGE}, open_rows AS (SELECT icode, drug_name FROM listed WHERE status = 'unmapped'){_candidates('open_rows', 10)}"
 
 
+_GREEK = ", ".join(f"'{w}'" for w in GREEK.split())
+#: The same on names that are alike but for one word.
+_NEAR = _MATCHED.replace("items AS (", "items0 AS (", 1).replace("catalog AS (", "catalog0 AS (", 1).replace(
+    "page AS (",
+    f"""items AS (SELECT icode, 'x' || translate(icode, '0123456789', 'abcdefghij') || 'q ' || array_to_string([{_GREEK}][1 : 7 + CAST(icode AS BIGINT) % 3], ' ') AS name FROM items0),
+catalog AS (SELECT icode AS working_code, name || CASE CAST(icode AS BIGINT) % 4 WHEN 0 THEN '' ELSE ' kappa' END AS drug_name FROM items),
+page AS (""",
+    1,
+).replace(f"'{TERM}'", "'x'")
+
+
 def _thai(text: str) -> str:
     """Normalised tokens of a name with a dose in inner brackets, other brackets at the end and Thai words."""
     plain = f"regexp_replace(regexp_replace(lower({text}), '\\([0-9]+mg\\)', '', 'g'), '[()]', ' ', 'g')"
@@ -202,7 +213,14 @@ SELECT icode, status, (SELECT icode FROM o x WHERE x.n > o.n AND x.status = 'unm
     "mapping_upsert": f"""{INPUTS}, good AS (SELECT working_code AS icode FROM catalog WHERE length(drug_name) <= 18),
 l2 AS (SELECT icode, working_code, match_method FROM links WHERE icode NOT IN (FROM good) UNION ALL SELECT icode, 'W' || icode, 'manual' FROM good),
 e2 AS (SELECT * FROM exclusions WHERE icode NOT IN (FROM good)) {_STATUS.format("l2", "e2")}""",
-    "mapping_rejected": f"{INPUTS} SELECT working_code AS icode, round(length(drug_name) / 18.0, 6) AS match_score FROM catalog WHERE length(drug_name) > 18",
+    "mapping_rejected": f"""{INPUTS}, kinds AS (
+  SELECT unnest(['no code', 'null code', 'no other code', 'unknown method', 'no method', 'no number', 'above', 'below']) AS kind, working_code AS c, drug_name AS name FROM catalog
+)
+SELECT kind, CASE kind WHEN 'no code' THEN chr(12288) WHEN 'null code' THEN NULL ELSE c END AS icode, name, CAST(CASE kind WHEN 'no code' THEN 0.5 WHEN 'null code' THEN 0.5 WHEN 'no other code' THEN NULL
+  WHEN 'no number' THEN -99 WHEN 'above' THEN 1.0::DOUBLE + c::DOUBLE / 1e6 WHEN 'below' THEN -(c::DOUBLE) ELSE 1 END AS DOUBLE) AS match_score FROM kinds""",
+    "mapping_checked": f"""{INPUTS}, good AS (SELECT working_code AS icode FROM catalog),
+l2 AS (SELECT icode, working_code, match_method FROM links WHERE icode NOT IN (FROM good) UNION ALL SELECT icode, 'V' || icode, 'auto' FROM good),
+e2 AS (SELECT * FROM exclusions WHERE icode NOT IN (FROM good)) {_STATUS.format("l2", "e2")}""",
     "mapping_exclude": f"""{INPUTS}, l2 AS (SELECT * FROM links WHERE match_method <> 'auto'),
 e2 AS (SELECT icode, 'mark ' || name AS reason FROM items WHERE icode NOT IN (SELECT icode FROM l2))
 SELECT icode, status, working_code, reason FROM ({_STATUS.format("l2", "e2")})""",
@@ -229,9 +247,19 @@ SELECT *, round(qty / greatest(sum(qty) OVER (PARTITION BY icode, fy), 1) * 100,
     "names_normalized": f"{INPUTS} SELECT icode, {_norm('name')} AS normalized, {_term('name')} AS term FROM items",
     "similarity_pairs": f"""{INPUTS}, n AS (SELECT CAST(icode AS BIGINT) AS k, name, {_norm("name")} AS a FROM items)
 SELECT x.k, x.name AS name_a, y.name AS name_b, round({_score("x.a", "y.a")}, 6) AS score FROM n x JOIN n y ON y.k = x.k + 1""",
+    "similarity_thai": f"""WITH RECURSIVE {INPUTS.removeprefix(chr(10) + "WITH")},
+spelled AS (SELECT CAST(icode AS BIGINT) AS k, translate(icode, '0123456789', 'กขคงจฉชซฌญ') AS s FROM items),
+pairs AS (SELECT p.k, 'ยาน' || p.s || 'มฟ' AS name_a, 'ด' || n.s || 'หลู' AS name_b FROM spelled p JOIN spelled n ON n.k = p.k + 1),
+words AS (SELECT k, string_split(name_a, '') AS a, string_split(name_b, '') AS b FROM pairs),
+steps AS (
+  SELECT k, a, b, 0 AS i, range(len(b) + 1) AS costs FROM words
+  UNION ALL SELECT k, a, b, i + 1, list_transform(range(len(b) + 1), lambda j: j + list_min(list_transform(range(j + 1), lambda t:
+    CASE WHEN t = 0 THEN i + 1 ELSE least(costs[t + 1] + 1, costs[t] + CASE WHEN a[i + 1] = b[t] THEN 0 ELSE 1 END) - t END))) FROM steps WHERE i < len(a)
+)
+SELECT k, name_a, name_b, round(1.0::DOUBLE - costs[len(b) + 1] / greatest(len(a), len(b)), 6) AS score FROM steps JOIN pairs USING (k) WHERE i = len(a)""",
     "suggest_candidates": f"{INPUTS}, named AS (SELECT icode, name AS drug_name FROM items){_candidates('named', TOP)} SELECT * REPLACE (round(score, 6) AS score) FROM ranked WHERE rank <= {TOP}",
     "auto_match_preview": f"{INPUTS}, {_PAGE}, open_rows AS (SELECT icode, drug_name FROM listed WHERE status = 'unmapped'){_candidates('open_rows', 10)} SELECT icode, drug_name, working_code, candidate_name, round(score, 6) AS score FROM ranked WHERE rank = 1 AND score >= 0.6",
-    "auto_match_default": f"{_MATCHED} SELECT icode, drug_name, working_code, candidate_name, round(score, 6) AS score FROM ranked WHERE rank = 1 AND score >= 0.95",
+    "auto_match_default": f"{_NEAR} SELECT icode, drug_name, working_code, candidate_name, round(score, 6) AS score FROM ranked WHERE rank = 1 AND score >= 0.95",
     "auto_match_apply": f"""{_MATCHED}, new AS (SELECT icode, working_code, 'auto' AS match_method FROM ranked WHERE rank = 1 AND score >= 0.6),
 l2 AS (SELECT icode, working_code, match_method FROM links WHERE icode NOT IN (SELECT icode FROM new) UNION ALL FROM new) {_STATUS.format("l2", "exclusions")}""",
     "names_thai": f"""{INPUTS}, n AS (

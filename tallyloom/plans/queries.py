@@ -124,7 +124,7 @@ def mapping_stats(x: Inputs) -> DataFrame:
 
 
 def _catalog_changes(x: Inputs) -> DataFrame:
-    """Every catalog row as a link of the item of the same code; long names give scores above 1, which the rules reject."""
+    """Every catalog row as a link of the item of the same code, scored by the length of its name."""
     return x.catalog.select(
         F.col("working_code").cast("long").alias("seq"), F.col("working_code").alias("icode"), F.concat(F.lit(" W"), "working_code").alias("working_code"), F.lit("").alias("dispensed_name"),
         F.col("drug_name").alias("purchased_name"), F.lit("manual").alias("match_method"), (F.char_length("drug_name") / 18.0).alias("match_score"),
@@ -136,8 +136,30 @@ def mapping_upsert(x: Inputs) -> DataFrame:
     return links.status_by_icode(x.items.select("icode"), after, out).select("icode", "status", "working_code", "match_method", "reason")
 
 
+def _odd_changes(x: Inputs) -> DataFrame:
+    """Of every catalog row two links that keep the rules, the first with white space around its codes, and one that breaks each rule."""
+    code, none = F.col("working_code"), F.lit(None)
+    made = [  # kind, icode, working_code, method, score
+        ("spaces", F.concat(F.lit("\u00a0 "), code, F.lit("\t")), F.concat(F.lit("\u3000W"), code), F.lit("manual"), F.lit(0.5)),
+        ("no code", F.lit(" \u3000"), code, F.lit("manual"), F.lit(0.5)), ("null code", none.cast("string"), code, F.lit("manual"), F.lit(0.5)),
+        ("no other code", code, F.lit("\t\n"), F.lit("approved"), none.cast("double")), ("unknown method", code, code, F.concat(F.lit("by "), "drug_name"), F.lit(1.0)),
+        ("no method", code, code, none.cast("string"), F.lit(1.0)), ("no number", code, code, F.lit("auto"), F.lit(float("nan"))),
+        ("above", code, code, F.lit("auto"), 1.0 + code.cast("double") / 1e6), ("below", code, code, F.lit("auto"), -code.cast("double")), ("last", code, F.concat(F.lit("V"), code), F.lit("auto"), F.lit(1.0)),
+    ]
+    rows = [F.struct(F.lit(k).alias("dispensed_name"), a.alias("icode"), b.alias("working_code"), m.alias("match_method"), s.alias("match_score")) for k, a, b, m, s in made]
+    flat = x.catalog.select("drug_name", code.cast("long").alias("k"), F.posexplode(F.array(*rows)).alias("n", "r"))
+    return flat.select((F.col("k") * 10 + F.col("n")).alias("seq"), "r.icode", "r.working_code", "r.dispensed_name", F.col("drug_name").alias("purchased_name"), "r.match_method", "r.match_score")
+
+
 def mapping_rejected(x: Inputs) -> DataFrame:
-    return links.set_links(x.links, x.exclusions, _catalog_changes(x))[2].select("icode", F.round("match_score", 6).alias("match_score"))
+    bad = links.set_links(x.links, x.exclusions, _odd_changes(x))[2]
+    return bad.select(F.col("dispensed_name").alias("kind"), F.trim("icode").alias("icode"), F.col("purchased_name").alias("name"), F.nanvl("match_score", F.lit(-99.0)).alias("match_score"))
+
+
+def mapping_checked(x: Inputs) -> DataFrame:
+    """Of links that keep the rules the last one of a code stands; those that break them change nothing."""
+    after, out, _ = links.set_links(x.links, x.exclusions, _odd_changes(x))
+    return links.status_by_icode(x.items.select("icode"), after, out).select("icode", "status", "working_code", "match_method", "reason")
 
 
 def mapping_exclude(x: Inputs) -> DataFrame:
@@ -226,9 +248,24 @@ def auto_match_preview(x: Inputs) -> DataFrame:
 
 
 def auto_match_default(x: Inputs) -> DataFrame:
-    """With the score that needs no review."""
-    page = links.mapping_rows(x.items, x.links, x.exclusions, TERM)
-    return matching.auto_match(page, x.catalog).withColumn("score", F.round("score", 6))
+    """With the score that needs no review, on names that reach it and names that come just below."""
+    items, catalog = _near_names(x)
+    page = links.mapping_rows(items, x.links, x.exclusions, "x")
+    return matching.auto_match(page, catalog).withColumn("score", F.round("score", 6))
+
+
+#: Words of names that are alike but for one.
+GREEK = "alpha beta gamma delta epsilon zeta eta theta iota"
+
+
+def _near_names(x: Inputs) -> tuple[DataFrame, DataFrame]:
+    """(items, catalog): an item's name is a word of its own and 7, 8 or 9 others; most catalog names have one more, so 8 of 9, 9 of 10 or 10 of 11 words are common."""
+    k = F.col("icode").cast("long")
+    word = F.concat(F.lit("x"), F.translate("icode", "0123456789", "abcdefghij"), F.lit("q"))
+    others = F.array_join(F.slice(F.split(F.lit(GREEK), " "), F.lit(1), (7 + k % 3).cast("int")), " ")
+    items = x.items.select("icode", F.concat_ws(" ", word, others).alias("name"))
+    more = F.when(k % 4 == 0, "").otherwise(" kappa")
+    return items, items.select(F.col("icode").alias("working_code"), F.concat("name", more).alias("drug_name"))
 
 
 def auto_match_apply(x: Inputs) -> DataFrame:
@@ -267,6 +304,15 @@ def bulk_import_after(x: Inputs) -> DataFrame:
     return links.status_by_icode(x.items.select("icode"), after, out).select("icode", "status", "working_code", "match_method", "reason")
 
 
+def similarity_thai(x: Inputs) -> DataFrame:
+    """Each item with the next one by code, both as a Thai word: without common tokens, edit distance decides, by characters."""
+    spelled = F.translate("icode", "0123456789", "กขคงจฉชซฌญ")
+    n = x.items.select(F.col("icode").cast("long").alias("k"), F.concat(F.lit("ยาน"), spelled, F.lit("มฟ")).alias("a"), F.concat(F.lit("ด"), spelled, F.lit("หลู")).alias("b"))
+    m = n.select((F.col("k") - 1).alias("k"), F.col("b").alias("name_b"))
+    pairs = n.select("k", F.col("a").alias("name_a")).join(m, "k")
+    return pairs.select("k", "name_a", "name_b", F.round(names.similarity(F.col("name_a"), F.col("name_b")), 6).alias("score"))
+
+
 def _csv_folder(x: Inputs) -> str:
     """CSV files of all items by code: rows, headers between them, quotes over two lines, short, blank and incomplete records."""
     path = scratch.folder(x.items.sparkSession, "csv")
@@ -329,6 +375,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "mapping_unmapped": lambda x: links.unmapped(x.items, x.links, x.exclusions),
     "mapping_upsert": mapping_upsert,
     "mapping_rejected": mapping_rejected,
+    "mapping_checked": mapping_checked,
     "mapping_exclude": mapping_exclude,
     "mapping_remove": lambda x: links.remove(x.links, "7", "7").select("icode", "working_code", "match_method"),
     "mapping_include": lambda x: links.include(x.exclusions, "25"),
@@ -344,6 +391,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "names_normalized": names_normalized,
     "names_thai": names_thai,
     "similarity_pairs": similarity_pairs,
+    "similarity_thai": similarity_thai,
     "suggest_candidates": suggest_candidates,
     "auto_match_preview": auto_match_preview,
     "auto_match_default": auto_match_default,

@@ -25,6 +25,7 @@ class Database:
     instance: str = ""
     encrypt: bool = False
     partitions: int = 12
+    probe: str = "SELECT 1 AS one"
 
     def url(self) -> str:
         if self.kind == "mysql":
@@ -38,8 +39,8 @@ class Database:
         return {"url": self.url(), "user": self.user, "password": self.password, "fetchsize": "10000"}
 
     def ping(self, spark: SparkSession) -> bool:
-        """Whether SELECT 1 comes back."""
-        return spark.read.format("jdbc").options(**self.options(), query="SELECT 1 AS one").load().first()[0] == 1
+        """Whether the probe's 1 comes back; the driver's error is raised where there is no connection."""
+        return spark.read.format("jdbc").options(**self.options(), query=self.probe).load().collect()[0][0] == 1
 
     def table(self, spark: SparkSession, name: str, split: str | None = None, low: str | int | None = None, high: str | int | None = None) -> DataFrame:
         """A table or a query in brackets with a name; with split, that many ranges of this column are read side by side."""

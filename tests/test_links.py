@@ -225,6 +225,25 @@ def test_blocks_find_what_a_scan_finds(spark, term):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_a_run_that_most_names_share_is_met_in_parts(spark):
+    """Nine of ten names have all runs of a term: its rows come out of many tasks, and are those of a scan."""
+    rows = [(f"W{i}", f"tablet no {i}" if i % 10 else f"other {i}") for i in range(2000)]
+    named = spark.createDataFrame(rows, CATALOG).selectExpr("working_code", "drug_name as candidate_name")
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        found = matching._found(spark.createDataFrame([("tab",)], "term string"), named)
+        tasks = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        one = matching._found(spark.createDataFrame([("tab",)], "term string"), named, salts=1).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in tasks) == 1800 and max(r["count"] for r in tasks) < 500 and len(one) == 1
+    assert {r.working_code for r in found.collect()} == {c for c, n in rows if "tab" in n}
+
+
 def test_suggestions(spark):
     items = spark.createDataFrame([("1", "Amoxicillin 500 mg"), ("2", "Ab"), ("3", "")], "icode string, drug_name string")
     catalog = spark.createDataFrame([("W1", "amoxicillin cap"), ("W1", "x amoxicillin forte"), ("W2", "Amoxicillin + clavulanate"), ("W3", None), ("ab1", "other")], CATALOG)
@@ -267,7 +286,9 @@ class Embedded(databases.Database):
 
 
 def test_readers(spark, tmp_path):
-    db = Embedded("mysql", "", 0, "", "", "")
+    db = Embedded("mysql", "", 0, "", "", "", probe="SELECT 1 AS one FROM SYSIBM.SYSDUMMY1")
+    assert db.ping(spark) is True
+    assert Embedded("mysql", "", 0, "", "", "", probe="SELECT 2 AS one FROM SYSIBM.SYSDUMMY1").ping(spark) is False
     made = {
         "FACTS": spark.createDataFrame([("1", dt.date(2025, 9, 30), 1.0), ("1", dt.date(2025, 10, 1), 2.0), ("2", dt.date(2026, 9, 30), 3.0), ("2", dt.date(2026, 10, 1), 4.0)], "icode string, vstdate date, qty double"),
         "ITEMS": spark.createDataFrame([("1", "one"), ("2", None)], "icode string, name string"),
@@ -288,7 +309,16 @@ def test_readers(spark, tmp_path):
 
     one = summary.purchase_summary(x.headers, x.lines, 2026).first()
     assert (one.total_value, one.unique_drug_count, one.peak_fiscal_month, one.peak_value) == (270.0, 6, 12, 130.0)
-    assert db.ping is not None and summary.purchase_summary(x.headers, x.lines, 2020).first()[:4] == (0.0, 0, 12, 0.0)
+    assert summary.purchase_summary(x.headers, x.lines, 2020).first()[:4] == (0.0, 0, 12, 0.0)
+
+
+def test_ping_without_a_database(spark):
+    class Missing(Embedded):
+        def url(self):
+            return "jdbc:derby:memory:nowhere"
+
+    with pytest.raises(Exception, match="nowhere"):
+        Missing("mysql", "", 0, "", "", "").ping(spark)
 
 
 def test_months_of_years():

@@ -22,6 +22,18 @@ def test_query_equals_sql(spark, sf_dir, con, name):
     same(queries()[name](spark, sf_dir), con, oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", ["mapping_rejected", "mapping_checked", "auto_match_default", "similarity_thai", "bulk_files_classified", "bulk_import_counters"])
+def test_query_has_rows(spark, sf_dir, name):
+    rows = queries()[name](spark, sf_dir).collect()
+    assert rows
+    if name == "mapping_rejected":
+        assert {r.kind for r in rows} == {"no code", "null code", "no other code", "unknown method", "no method", "no number", "above", "below"}
+    if name == "auto_match_default":
+        assert {0.95, 1.0} <= {r.score for r in rows} and min(r.score for r in rows) >= 0.95
+    if name == "similarity_thai":
+        assert len({r.score for r in rows}) > 3 and max(r.score for r in rows) < 0.5 < 1
+
+
 def test_entry_works_without_the_training_subpackage(spark, monkeypatch):
     """As after deleting its folders and the pipeline's file."""
     for name in [n for n in sys.modules if n.startswith("tallyloom.llm") or n in ("corpus_pipeline", "__spark_entry__")]:
