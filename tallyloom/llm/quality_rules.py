@@ -42,8 +42,10 @@ MIN_WORDS = 50
 WINDOW = 3
 #: Share of a group that the estimate rests on; chi-square quantile beyond which a document goes; quantile for reweighting.
 SUPPORT, QUANTILE, WEIGHTED = 0.75, 1 - 1e-6, 0.975
-#: Random starts, documents of a group that they are compared on, steps there, and most steps on all documents.
-STARTS, START_ROWS, START_STEPS, MOST_STEPS = 5, 2000, 3, 12
+#: Random starts, documents of a group that they are compared on, and steps there.
+STARTS, START_ROWS, START_STEPS = 5, 2000, 3
+#: A step that lowers a log determinant by less leaves a group as it is.
+FALL = 1e-9
 #: Documents of the wider group that a group's own estimate is mixed with.
 LEAN = 40
 #: Added to the variance of each transformed statistic.
@@ -175,13 +177,22 @@ def _distance() -> Column:
     return F.expr(" + ".join(f"{x} * {x}" for x in z))
 
 
-def _moments(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
-    """(keys, n, m_i, c_i_j): mean, and covariance times factor plus floors, from sums of whole numbers."""
+#: Names of the sums that mean and covariance come from: they add up over any parts of a group.
+_SUMS = ["n", *[f"s_{i}" for i in _P], *[f"q_{i}_{j}" for i, j in _LOW]]
+
+
+def _sums(rows: DataFrame, keys: list[str | Column], *more: Column) -> DataFrame:
+    """(keys, n, s_i, q_i_j) of rows: their number, sums and sums of products, all whole numbers. more: other aggregates."""
     sums = [F.expr(f"sum({FEATURES[i]}) AS s_{i}") for i in _P] + [F.expr(f"sum({FEATURES[i]} * {FEATURES[j]}) AS q_{i}_{j}") for i, j in _LOW]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums, *more)
+
+
+def _moments(sums: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """(keys, n, m_i, c_i_j) of _sums: mean, and covariance times factor plus floors."""
     # n * q - s * s is a whole number too: nothing is lost before the division
     spread = "CAST(CAST(n AS DECIMAL(18,0)) * CAST(q_{0}_{1} AS DECIMAL(20,0)) - CAST(s_{0} AS DECIMAL(19,0)) * CAST(s_{1} AS DECIMAL(19,0)) AS DOUBLE)"
     floor = lambda i, j: FLOORS[FEATURES[i]] if i == j else 0.0
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums).selectExpr(
+    return sums.selectExpr(
         *keys, "n", *[f"s_{i} / CAST(n AS DOUBLE) / {UNIT} AS m_{i}" for i in _P],
         *[f"{factor!r}D * {spread.format(i, j)} / CAST(n AS DOUBLE) / CAST(n AS DOUBLE) / {UNIT * UNIT} + {floor(i, j)!r}D AS c_{i}_{j}" for i, j in _LOW],
     )
@@ -192,14 +203,16 @@ def _estimates(moments: DataFrame, keys: list[str], groups: int) -> DataFrame:
 
 
 def _concentrated(rows: DataFrame, now: DataFrame, keys: list[str], groups: int, support: float) -> DataFrame:
-    """One step for every group (and start): the nearest share gives the next mean and covariance."""
+    """One step for every group (and start) of now: the nearest share gives the next mean and covariance, and `last` is the log determinant before.
+
+    The rows are read once: they become sums by bin of distance, and a group's bins up to the edge add up.
+    """
     near = F.floor(BINS * F.log2(1.0 + 1024.0 * _distance())).cast("int")
-    counts = _met(rows, now, groups).groupBy(*keys, near.alias("bin")).agg(F.count("*").alias("n"))  # a row for each bin
+    bins = _sums(_met(rows, now, groups), [*keys, near.alias("bin")], F.max("logdet").alias("last"))  # a row for each bin
     w = Window.partitionBy(*keys)
-    upto = counts.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "every": F.sum("n").over(w)})
-    limits = upto.where(F.col("upto") >= F.ceil(support * F.col("every"))).groupBy(*keys).agg(F.min("bin").alias("edge"))
-    limited = now.join(limits, keys)
-    return _estimates(_moments(_met(rows, limited, groups).where(near <= F.col("edge")), keys, widening(support)), keys, groups)
+    bins = bins.withColumns({"nearer": F.sum("n").over(w.orderBy("bin")) - F.col("n"), "every": F.sum("n").over(w)})
+    kept = bins.where(F.col("nearer") < F.ceil(support * F.col("every"))).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _SUMS], F.max("last").alias("last"))
+    return _small(_whitened(_moments(kept, [*keys, "last"], widening(support)), [*keys, "last"]), groups)
 
 
 def _best(tables: list[DataFrame], groups: int) -> DataFrame:
@@ -207,7 +220,7 @@ def _best(tables: list[DataFrame], groups: int) -> DataFrame:
     every = tables[0]
     for t in tables[1:]:
         every = every.unionByName(t)
-    names = [c for c in every.columns if c not in ("grp", "start")]
+    names = [c for c in every.columns if c not in ("grp", "start", "last")]
     one = every.groupBy("grp").agg(F.min(F.struct("logdet", *[c for c in names if c != "logdet"])).alias("e"))
     return _small(one.select("grp", *[f"e.{c}" for c in names]), groups)
 
@@ -216,24 +229,30 @@ def estimate(rows: DataFrame, support: float = SUPPORT, starts: int = STARTS) ->
     """((grp, m_i, c_i_j, w_i_j, logdet) of the smallest determinant found for each group, number of groups). rows: (grp, id, statistics in whole numbers)."""
     sizes = materialize(rows.groupBy("grp").agg(F.count("*").alias("size")).coalesce(1))
     groups = sizes.count()
-    chance = lambda seed, wanted: F.pmod(F.xxhash64(F.lit(seed), "id", *FEATURES), F.lit(1 << 40)) / float(1 << 40) < float(wanted) / F.col("size")
-    sized = _met(rows, sizes, groups)
-    part = materialize(sized.where(chance(0, START_ROWS)).select(*rows.columns))
-    # each start: about twice as many documents as a covariance needs; start 0: all of the part
-    few = sized.select(*rows.columns, F.explode(F.array(*[F.when(chance(k, 2 * (len(FEATURES) + 1)), F.lit(k)) for k in range(1, starts + 1)])).alias("start")).where("start is not null")
+    part, few = _chosen(rows, sizes, groups, starts)
+    part = materialize(part)
     keys = ["grp", "start"]
-    now = _estimates(_moments(part.withColumn("start", F.lit(0)).unionByName(few), keys, 1.0), keys, groups * (starts + 1))
+    now = _estimates(_moments(_sums(part.withColumn("start", F.lit(0)).unionByName(few), keys), keys, 1.0), keys, groups * (starts + 1))
     for _ in range(START_STEPS):
         now = _concentrated(part, now, keys, groups * (starts + 1), support)
     # determinants on the part and on all documents are not alike: the first step on all documents starts the comparison
-    now = _concentrated(rows, _best([now], groups), ["grp"], groups, support)
-    for _ in range(MOST_STEPS):
-        after = _concentrated(rows, now, ["grp"], groups, support)
-        falls = after.join(now.select("grp", F.col("logdet").alias("last")), "grp").where(F.col("logdet") < F.col("last") - 1e-9)
-        if falls.isEmpty():
-            break
-        now = _best([now, after], groups)
-    return now, groups
+    found = [_concentrated(rows, _best([now], groups), ["grp"], groups, support)]
+    falling = found[0]
+    while not falling.isEmpty():
+        # groups that have settled drop out; a determinant has a floor and falls by FALL at least, so this ends
+        found.append(_concentrated(rows, falling, ["grp"], groups, support))
+        falling = found[-1].where(F.col("logdet") < F.col("last") - FALL)
+    return _best(found, groups), groups
+
+
+def _chosen(rows: DataFrame, sizes: DataFrame, groups: int, starts: int) -> tuple[DataFrame, DataFrame]:
+    """(the part of each group that starts are compared on, the documents of each start), chosen by hashes."""
+    chance = lambda seed, wanted: F.pmod(F.xxhash64(F.lit(seed), "id", *FEATURES), F.lit(1 << 40)) / float(1 << 40) < float(wanted) / F.col("size")
+    sized = _met(rows, sizes, groups)
+    part = sized.where(chance(0, START_ROWS)).select(*rows.columns)
+    # each start: about twice as many documents as a covariance needs; start 0: all of the part
+    few = sized.select(*rows.columns, F.explode(F.array(*[F.when(chance(k, 2 * (len(FEATURES) + 1)), F.lit(k)) for k in range(1, starts + 1)])).alias("start")).where("start is not null")
+    return part, few
 
 
 def _leaning(levels: DataFrame, lean: int, groups: int) -> DataFrame:
@@ -262,7 +281,7 @@ def judged(docs: DataFrame, *, doc_id: str, text: str, lang: str, source: str, s
     raw, groups = estimate(thin, support)
     # reweighted: documents within the quantile, which are a known share of a normal cloud
     within = _met(thin, raw, groups).where(_distance() <= chi_square_quantile(WEIGHTED, len(FEATURES)))
-    levels = _moments(within, ["grp"], widening(WEIGHTED)).join(rows.select("grp", "up", "level").distinct(), "grp")
+    levels = _moments(_sums(within, ["grp"]), ["grp"], widening(WEIGHTED)).join(rows.select("grp", "up", "level").distinct(), "grp")
     table = _leaning(materialize(levels.coalesce(max(1, groups // FILE_GROUPS))), lean, groups)
     final = table.select("grp", *[c for c in table.columns if c[:2] in ("m_", "w_")])
     far = F.when(~F.col("base_failed"), _distance())

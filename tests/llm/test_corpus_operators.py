@@ -303,6 +303,62 @@ def test_estimate_equals_numpy(spark, clouds):
     assert found.logdet == pytest.approx(det, abs=0.05)
 
 
+def numpy_step(x, inverse, mean, support):
+    """One concentration step: the nearest share, to the edge of its bin of distance."""
+    d = np.square((x - mean) @ inverse.T).sum(axis=1)
+    bins = np.floor(quality_rules.BINS * np.log2(1 + 1024 * d))
+    edge = np.sort(bins)[int(np.ceil(support * len(x))) - 1]
+    return moments(x[bins <= edge], quality_rules.widening(support))
+
+
+def moments(x, factor):
+    """(log determinant, mean, covariance, inverse of its Cholesky factor)."""
+    cov = factor * np.cov(x.T, bias=True) + np.diag([quality_rules.FLOORS[f] for f in quality_rules.FEATURES])
+    low = np.linalg.cholesky(cov)
+    return 2 * np.log(np.diag(low)).sum(), x.mean(axis=0), cov, np.linalg.inv(low)
+
+
+@pytest.mark.parametrize("start_steps", [quality_rules.START_STEPS, 0])
+def test_steps_equal_numpy_from_the_same_starts(spark, clouds, start_steps, monkeypatch):
+    """Three groups at once, each with the starts that its hashes choose: determinants, means and covariances to 1e-9."""
+    monkeypatch.setattr(quality_rules, "START_STEPS", start_steps)
+    x = units(clouds)
+    groups = {"a": [d for d in x if d < 300], "b": [d for d in x if d >= 400], "c": list(x)}
+    data = [(g, d, *(int(v) for v in np.round(x[d] * quality_rules.UNIT))) for g, ids in groups.items() for d in ids]
+    rows = spark.createDataFrame(data, "grp string, id long, " + ", ".join(f"{f} long" for f in quality_rules.FEATURES))
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("size"))
+    part, few = quality_rules._chosen(rows, sizes, 3, quality_rules.STARTS)
+    sets = collections.defaultdict(list)
+    for r in few.collect():
+        sets[r.grp, r.start].append(r.id)
+    assert part.count() == rows.count()  # of fewer than START_ROWS documents all are the part
+    found = {r.grp: r for r in quality_rules.estimate(rows)[0].collect()}
+    steps = []
+    for g, ids in groups.items():
+        every = np.array([x[d] for d in ids])
+        best = None
+        for start in range(quality_rules.STARTS + 1):
+            some = every if start == 0 else np.array([x[d] for d in sets[g, start]])
+            if not len(some):
+                continue
+            now = moments(some, 1.0)
+            for _ in range(quality_rules.START_STEPS):
+                now = numpy_step(every, now[3], now[1], quality_rules.SUPPORT)
+            best = now if best is None or now[0] < best[0] else best
+        now, n = numpy_step(every, best[3], best[1], quality_rules.SUPPORT), 1
+        while True:
+            after, n = numpy_step(every, now[3], now[1], quality_rules.SUPPORT), n + 1
+            if after[0] >= now[0] - quality_rules.FALL:
+                break
+            now = after
+        steps.append(n)
+        one = found[g]
+        assert one.logdet == pytest.approx(now[0], abs=1e-9)
+        assert np.allclose([one[f"m_{i}"] for i in range(5)], now[1], rtol=0, atol=1e-9)
+        assert np.allclose([one[f"c_{i}_{j}"] for i, j in quality_rules._LOW], [now[2][i, j] for i, j in quality_rules._LOW], rtol=0, atol=1e-9)
+    assert start_steps or len(set(steps)) > 1  # groups settle at their own time
+
+
 def test_estimates_do_not_depend_on_partitions(spark, clouds, monkeypatch):
     def result(df):
         return sorted(map(tuple, quality_rules.quality_rules(df).collect()))
