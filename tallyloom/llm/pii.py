@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.common import SPANS, scan_texts, texts_of
+from tallyloom.llm.textscan import Covered
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "local_phone")
@@ -173,14 +174,9 @@ def find_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int,
     """All spans by kind, then start: (kind, start, end, score). Base spans are there whatever their score."""
     base = base_spans(text)
     out = [(k, a, b, context_score(k, text, a, b)) for k in BASE_KINDS for a, b in base[k]]
-    taken = [(a, b) for _, a, b, _ in out]
     for kind, proposals in ADDED.items():
-        mine = []
-        for a, b in proposals(text):
-            if all(b <= x or y <= a for x, y in taken) and (score := context_score(kind, text, a, b)) >= threshold:
-                mine.append((kind, a, b, score))
-        out += mine
-        taken += [(a, b) for _, a, b, _ in mine]
+        taken = Covered((a, b) for _, a, b, _ in out)
+        out += [(kind, a, b, score) for a, b in proposals(text) if not taken.meets(a, b) and (score := context_score(kind, text, a, b)) >= threshold]
     return out
 
 

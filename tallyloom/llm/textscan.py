@@ -7,7 +7,8 @@ and equal in every process, executor and run: they depend on bytes alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,6 +74,24 @@ def separator_table(separators: bytes) -> np.ndarray:
     return table
 
 
+class Covered:
+    """What some spans cover; whether a span meets it is looked up by bisection."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_right(self.ends, a)
+        return i < len(self.starts) and self.starts[i] < b
+
+
 @dataclass
 class Words:
     """Words of a chunk. starts/ends: byte offsets in data; doc: index of the text of each word; per_doc: counts."""

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -415,6 +416,92 @@ def test_hex_keys_in_either_case():
     assert [s for s in secrets.find_spans("D" + key) if s[0] == "der_hex"] == [("der_hex", 1, 1 + len(key))]
 
 
+def lines(text, width, end="\n"):
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    "])
+@pytest.mark.parametrize("width", [60, 64, 76])
+def test_bare_keys_over_lines(width, end):
+    for key in (B64, B64.rstrip("=")):
+        body = lines(key, width, end)
+        for text in (f"key:{end}{body}\n\nand so on", f"key:{end}{body}", f"{body}! {body}."):
+            spans = [s for s in secrets.find_spans(text) if s[0] == "der"]
+            assert [text[a:b] for _, a, b in spans] == [body] * text.count(body) and spans
+    # cut short, or gone on with by what may be base64
+    assert not [s for s in secrets.find_spans(lines(B64[:-20], width, end)) if s[0] == "der"]
+
+
+ALGORITHM = bytes.fromhex("06092a864886f70d01050d")
+ENCRYPTED = der(bytes([0x30, len(ALGORITHM) + 2]) + ALGORITHM + bytes.fromhex("0500"), bytes([0x04, 0x81, 0xA0]) + bytes(range(160)))
+
+
+def test_encrypted_keys():
+    body = base64.b64encode(ENCRYPTED).decode()
+    block = f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{lines(body, 64)}\n-----END ENCRYPTED PRIVATE KEY-----"
+    assert secrets.find_spans(f"a {block} b") == [("pem", 2, 2 + len(block))]
+    assert ("der", 2, 2 + len(lines(body, 64))) in secrets.find_spans(f"a {lines(body, 64)} b")
+    wrong = base64.b64encode(ENCRYPTED.replace(ALGORITHM, b"\x05" + ALGORITHM[1:])).decode()
+    assert secrets.find_spans(block.replace(lines(body, 64), wrong)) == []
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n"])
+def test_key_blocks_with_headers(end):
+    body = lines(base64.b64encode(bytes(range(160))).decode(), 64, end)
+    heads = f"Proc-Type: 4,ENCRYPTED{end}DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF{end}{end}"
+    block = lambda h, b: f"-----BEGIN RSA PRIVATE KEY-----{end}{h}{b}{end}-----END RSA PRIVATE KEY-----"
+    found = lambda t: [s for s in secrets.find_spans(t) if s[0] == "pem"]
+    text = block(heads, body)
+    assert found(text) == [("pem", 0, len(text))]
+    assert found(block("Comment: mine" + end, B64)) == [("pem", 0, len(block("Comment: mine" + end, B64)))]
+    assert found(block(heads.replace("DEK-Info", "Other"), body)) == found(block(heads, body[:61])) == found(block("", body)) == []
+
+
+@pytest.mark.parametrize("before", ["", "x", "xy", '{"tls.key": "'])
+@pytest.mark.parametrize("width", [64, 76, 10**6])
+def test_key_blocks_in_base64(before, width):
+    block = f"-----BEGIN PRIVATE KEY-----\n{lines(B64, 64)}\n-----END PRIVATE KEY-----\n"
+    coded = lines(base64.b64encode((before + block).encode()).decode(), width)
+    assert secrets.find_spans(f"data: {coded}\n# end") == [("pem_base64", 6, 6 + len(coded))]
+    more = base64.b64encode((before + block + "and more of it" * 9).encode()).decode()
+    [(kind, a, b)] = secrets.find_spans(f"data: {more}")
+    assert (kind, a) == ("pem_base64", 6) and base64.b64decode(more[: b - a] + "=" * (-(b - a) % 4)).decode("latin-1").strip().startswith((before + block)[:-1])
+    assert secrets.find_spans("data: " + base64.b64encode((before + block.replace("M", "-", 1)).encode()).decode()) == []
+
+
+def seconds(f, text):
+    start = time.perf_counter()
+    found = f(text)
+    return time.perf_counter() - start, found
+
+
+@pytest.mark.parametrize("name", ["secrets", "blocks", "pii", "wrapped", "headers"])
+def test_many_candidates_take_linear_time(name):
+    """100,000 candidates of the kinds that are held against one another; a fifth of them takes no less than an eleventh of the time."""
+    short = base64.b64encode(SHORT_KEYS["Ed448 PKCS#8"]).decode()
+    make = {
+        "secrets": lambda n: f"{CLAIMS} {short} " * n, "blocks": lambda n: (base64.b64encode(b"-----BEGIN PRIVATE KEY-----" * 2).decode() + " ") * n,
+        "pii": lambda n: "joe@example.com 12-34 DE89 3704 0044 0532 0130 00 or 123-45-6789 ssn " * n, "wrapped": lambda n: (B64[:60] + "\n") * n,
+        "headers": lambda n: "-----BEGIN PRIVATE KEY-----\nA: b\n" * n,
+    }[name]
+    find = pii.find_spans if name == "pii" else secrets.find_spans
+    seconds(find, make(100))
+    less, few = seconds(find, make(20_000 if name != "wrapped" else 4000))
+    more, many = seconds(find, make(100_000 if name != "wrapped" else 20_000))
+    assert len(many) == 5 * len(few) and more < 11 * less + 1
+    assert name not in ("secrets", "pii") or len(many) >= 200_000
+
+
+def test_covered():
+    r = random.Random(9)
+    for _ in range(300):
+        spans = [(a, a + r.randrange(1, 6)) for a in (r.randrange(40) for _ in range(r.randrange(6)))]
+        some = textscan.Covered(spans)
+        for a in range(42):
+            for b in range(a + 1, a + 4):
+                assert some.meets(a, b) == any(x < b and a < y for x, y in spans)
+
+
 def test_every_sequence_is_decoded():
     assert all(base64.b64encode(bytes([0x30, second, 0])).decode().startswith(secrets._B64_STARTS) for second in range(256))
 
