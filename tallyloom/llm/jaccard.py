@@ -38,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,9 +146,9 @@ def _thin(docs: DataFrame, doc_id: str, text: str, rule: Rule, marked: bool) ->
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(key, doc_id, text); key stands in for a null id."""
+    """(key, doc_id, text). For a null id the key, below 0, comes from the text: it is the same however the rows are split when they are read again."""
     own = F.col(doc_id).cast("long")
-    return docs.select(F.coalesce(own, -1 - F.monotonically_increasing_id()).alias("key"), own.alias("doc_id"), F.col(text).alias("text"))
+    return docs.select(F.coalesce(own, -1 - F.pmod(F.xxhash64(text), F.lit(1 << 62))).alias("key"), own.alias("doc_id"), F.col(text).alias("text"))
 
 
 def slice_codes(tokens: np.ndarray, sizes: np.ndarray, wide: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +272,11 @@ def _sifted(texts: DataFrame, marks: np.ndarray) -> DataFrame:
         bits = shared.value
         for batch in batches:
             at = _mark_of(batch.column(0).to_numpy())
-            yield batch.rename_columns(["key", "text"]).filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            asked = batch.rename_columns(["key", "text"]).filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            if len(pc.unique(asked.column(0))) < asked.num_rows:  # rows that repeat id and text, or a text without an id
+                yield from pa.Table.from_batches([asked]).group_by(["key", "text"]).aggregate([]).to_batches()
+            else:
+                yield asked
 
     return in_arrow(texts, run, texts.schema)
 
@@ -458,7 +463,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, rule: Rule, group_tokens:
     edges = in_arrow(_blocks(docs, doc_id, text, rule, hot, parts * 64).repartition(parts, "part"), _shared_slices, "a long, b long")
     similar = connected(edges)
 
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"), F.first("n").alias("n"))
+    classes = rows.where("n > 0").groupBy("cls").agg(F.max("key").alias("key"), F.first("n").alias("n"))
     members = materialize(similar.select(F.col("node").alias("cls"), F.col("root").alias("part")).join(classes, "cls"))
     groups, dealt = _dealt(members, ["part"], group_tokens)
     texts = _sifted(_keyed(docs, doc_id, text).select("key", "text"), _marks(members.select("key")))

@@ -104,6 +104,23 @@ def test_join_query_equals_brute_force(spark, sf_dir, documents):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components([(r.doc_id, r.text) for r in documents.collect()], jaccard.Rule(3, 90, 100))
 
 
+def test_null_ids_keep_their_links_however_rows_are_split(spark):
+    """Their keys come from the text, and a class that has an id goes by that; texts that come again are fetched once a batch."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join(words[:39] + ["x"]), " ".join(words[::-1])]
+    rows = [(None, texts[0])] * 50 + [(None, texts[1])] * 50 + [(9, texts[1]), (9, texts[1]), (8, texts[2]), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = [sorted(r.key for r in jaccard._keyed(d, "doc_id", "text").collect()) for d in (docs.coalesce(1), docs.repartition(5), docs.orderBy(F.rand(3)))]
+    assert keys[0] == keys[1] == keys[2] and len({k for k in keys[0] if k < 0}) == 3
+    for d in (docs.coalesce(1), docs.repartition(7)):
+        got = jaccard.components(d, rule=jaccard.Rule(3, 90, 100)).collect()
+        assert collections.Counter((r.doc_id, r.component_id) for r in got) == {(None, 9): 100, (9, 9): 2, (8, 8): 1, (None, None): 1}
+    members = spark.createDataFrame([(-5,), (7,)], "key long")
+    asked = spark.createDataFrame([(-5, "a"), (-5, "a"), (-5, "b"), (7, "c"), (7, "c"), (8, "d")], "key long, text string").coalesce(1)
+    found = collections.Counter(map(tuple, jaccard._sifted(asked, jaccard._marks(members)).collect()))
+    assert {k: found[k] for k in ((-5, "a"), (-5, "b"), (7, "c"))} == {(-5, "a"): 1, (-5, "b"): 1, (7, "c"): 1}
+
+
 def test_components_of_odd_rows(odd, nothing):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = jaccard.components(odd.withColumn("n", F.lit(1)).withColumn("cls", F.lit("x")), rule=jaccard.Rule(3, 90, 100)).collect()
