@@ -1,4 +1,8 @@
-"""Leaf blocks of an HTML page: text between block boundaries, with features of its ancestors and its own.
+"""Leaf blocks of an HTML page: text between block boundaries, with features of its ancestors, its neighbours and its own.
+
+Pages say what a block is by tags and by names of classes, but not all do: how much of a block, of its container and of
+the blocks beside it is links, controls of forms, and words that notices, adverts, forms and footers use speak where
+nothing else does.
 
 A tolerant single pass: comments, declarations, scripts, styles and the head's title are no text; inline elements
 do not break a block; start tags close what cannot stay open (a paragraph, a list item, a table cell), but a start tag
@@ -28,7 +32,7 @@ CLOSES = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
-TAGS = frozenset("article main section nav header footer aside form ul ol li dl table td div p h1 h2 h3 h4 blockquote pre figure figcaption button select details dialog address fieldset noscript".split())
+TAGS = frozenset("article main section nav header footer aside form ul ol li dl table td div p h1 h2 h3 h4 blockquote pre figure figcaption button select option details dialog address fieldset noscript".split())
 #: Words of class, id and role attributes, by what they hint at. A word counts if it is one of these or starts with one that ends in *.
 HINTS = {
     "content": "article content contents post entry story main body text prose copy paragraph blog page read",
@@ -42,6 +46,19 @@ HINTS = {
     "form": "form search login signup subscribe newsletter register contact poll",
     "share": "share sharing social follow tweet like",
 }
+#: Words of a text that hint at what it is.
+CUES = {
+    "notice": "cookie cookies consent gdpr privacy accept reject agree decline preferences zustimmen akzeptieren ablehnen datenschutz accepter refuser aceptar rechazar",
+    "ad": "advertisement advert sponsored sponsor promoted promotion anzeige werbung",
+    "form": "subscribe newsletter password username login signup submit search email",
+    "share": "share tweet facebook twitter linkedin whatsapp instagram follow",
+    "comment": "reply replies comment comments commented",
+    "legal": "copyright rights reserved terms imprint impressum disclaimer",
+}
+_CUES = {w: g for g, words in CUES.items() for w in words.split()}
+_LETTERS = re.compile(r"[a-z]+")
+#: Elements that are worked, not read.
+CONTROLS = frozenset("select option optgroup datalist button label legend".split())
 _EXACT = {w: g for g, words in reversed(HINTS.items()) for w in words.split() if not w.endswith("*")}
 _STARTS = [(w[:-1], g) for g, words in HINTS.items() for w in words.split() if w.endswith("*")]
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -80,17 +97,18 @@ class _Parser:
         self.page = page
         self.stack = [_Frame("", frozenset(), "none", "")]
         self.open: dict[str, int] = {}
-        self.blocks: list[tuple[str, int, _Frame, int]] = []
+        self.blocks: list[tuple[str, int, _Frame, _Frame, bool]] = []  # text, linked characters, innermost element and its container, whether a control
         self.pieces: list[str] = []
         self.linked = 0
         self.home: _Frame | None = None
+        self.around, self.control = self.stack[0], False
 
     def flush(self) -> None:
         if self.pieces:
             raw = "".join(self.pieces)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                self.blocks.append((text, self.linked, self.home, len(self.blocks)))
+                self.blocks.append((text, self.linked, self.home, self.around, self.control))
         self.pieces, self.linked, self.home = [], 0, None
 
     def text(self, a: int, b: int) -> None:
@@ -99,7 +117,10 @@ class _Parser:
             if self.home is None:
                 if not piece.strip():
                     return
-                self.home = next(f for f in reversed(self.stack) if f.tag not in INLINE)
+                outer = (f for f in reversed(self.stack) if f.tag not in INLINE)
+                self.home = next(outer)
+                self.around = next(outer, self.home)
+                self.control = any(map(self.open.get, CONTROLS))
             self.pieces.append(piece)
             if self.open.get("a"):
                 self.linked += b - a
@@ -214,6 +235,10 @@ class _Parser:
         self.flush()
 
 
+#: Shares of links that are told apart.
+_LINKED = (0.01, 0.35, 0.8)
+
+
 def _bin(x: float, edges: tuple[float, ...]) -> int:
     return sum(x >= e for e in edges)
 
@@ -223,15 +248,33 @@ def blocks(page: str) -> list[Block]:
     parser = _Parser(page)
     parser.run()
     total = len(parser.blocks)
+    shares: dict[int, list[int]] = {}  # of each container: characters, linked ones, blocks
+    for text, linked, _, around, _ in parser.blocks:
+        one = shares.setdefault(id(around), [0, 0, 0])
+        one[:] = one[0] + len(text), one[1] + linked, one[2] + 1
+    links = [_bin(linked / len(text), _LINKED) for text, linked, *_ in parser.blocks]
     out = []
-    for text, linked, home, i in parser.blocks:
+    for i, (text, _, home, around, control) in enumerate(parser.blocks):
         n = len(text)
+        chars, linked, members = shares[id(around)]
         f = ["bias", *home.seen, f"inner:{home.inner}", f"own:{home.tag if home.tag in TAGS else 'other'}"]
         f.append(f"inner+own:{home.inner}+{home.tag if home.tag in ('p', 'li', 'h1', 'h2', 'h3', 'div', 'td', 'blockquote', 'pre') else 'other'}")
         f.append(f"chars:{_bin(n, (10, 25, 60, 120, 250))}")
-        f.append(f"links:{_bin(linked / n, (0.01, 0.35, 0.8))}")
+        f.append(f"links:{links[i]}")
+        f.append(f"group:{_bin(linked / chars, _LINKED)}+{min(members, 3)}")
+        f.append(f"before:{links[i - 1] if i else 0}")
+        f.append(f"after:{links[i + 1] if i + 1 < total else 0}")
         f.append(f"sentences:{min(3, len(_SENTENCE.findall(text)))}")
         f.append(f"place:{5 * i // max(total, 1)}")
+        if control:
+            f.append("control")
+        said: dict[str, set[str]] = {}
+        for w in _LETTERS.findall(text.lower()):
+            if g := _CUES.get(w):
+                said.setdefault(g, set()).add(w)
+        for g, words in said.items():
+            f.append(f"says:{g}:{min(3, len(words))}")
+            f.append(f"says+chars:{g}:{_bin(n, (25, 120, 250))}")
         if "©" in text or "(c)" in text.lower():
             f.append("copyright")
         if text[-1] in ".!?…»”\"":

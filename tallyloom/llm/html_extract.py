@@ -26,7 +26,7 @@ from tallyloom.llm.common import scan_texts, texts_of
 from tallyloom.llm.html_blocks import blocks
 from tallyloom.llm.html_pages import labelled_page
 
-PAGES, EPOCHS, SEED = 500, 8, 5
+PAGES, EPOCHS, SEED = 1000, 10, 5
 
 
 @dataclass
@@ -112,11 +112,11 @@ def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = EPOCHS,
     return field
 
 
-def training_pages(first: int, count: int) -> list[tuple[list[list[str]], list[int]]]:
+def training_pages(first: int, count: int, plain: bool | None = None) -> list[tuple[list[list[str]], list[int]]]:
     """(features, labels) of made pages. Inline parts can join or split blocks; pages where that happens are left out."""
     out = []
     for seed in range(first, first + count):
-        page, labels = labelled_page(seed)
+        page, labels = labelled_page(seed, plain)
         found = blocks(page)
         if len(found) == len(labels):
             out.append(([b.features for b in found], labels))

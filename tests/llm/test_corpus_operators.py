@@ -536,15 +536,33 @@ def test_extraction_of_pages(spark, sf_dir, nothing):
     assert html_extract.extract(odd_pages.limit(0)).count() == 0
 
 
-def test_field_on_held_out_pages():
+@pytest.mark.parametrize("plain", [None, True, False])
+def test_field_on_held_out_pages(plain):
+    """Also where nothing but tags says what a part is."""
     field = html_extract.trained()
     right = total = 0
-    for features, labels in html_extract.training_pages(20_000, 80):
+    for features, labels in html_extract.training_pages(20_000, 150, plain):
         right += sum(a == b for a, b in zip(field.decode(features), labels, strict=True))
         total += len(labels)
     assert right / total > 0.98
 
 
+BODY = "<p>Some text of the article that goes on for a while, as such texts do. It has a second sentence, too.</p>" * 3
+OTHER_LAYOUTS = {
+    "menu before, no article": f"<html><body><div class='c2'><a href='/'>Link</a> <a href='/o'>Other</a></div><div class='c1'><h1>Title</h1>{BODY}</div></body></html>",
+    "menu after, no article": f"<html><body><div class='c1'><h1>Title</h1>{BODY}</div><div class='c2'><ul><li><a href='/'>Link</a><li><a href='/o'>Other</a></ul></div></body></html>",
+    "notice": f"<html><body><article><h1>Title</h1>{BODY}</article><div class='cc'><p>We use cookies to improve your visit. Accept all.</p></div></body></html>",
+    "controls": f"<html><body><article><h1>Title</h1>{BODY}<select><option>One<option>Two</select>{BODY}<button>Share</button></article></body></html>",
+}
+
+
+@pytest.mark.parametrize("name", OTHER_LAYOUTS)
+def test_layouts_without_hints(name):
+    page = OTHER_LAYOUTS[name]
+    body = " ".join(re.findall("<p>(Some.*?)</p>", page))
+    assert html_extract.main_text(page, html_extract.trained()) == f"Title {body}"
+
+
 def test_viterbi_and_sums_equal_brute_force():
     from itertools import product
     from math import exp, log
