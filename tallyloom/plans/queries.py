@@ -33,16 +33,20 @@ def _inputs(query: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str
     return lambda spark, sf_dir: query(from_star(spark, sf_dir))
 
 
+#: Folders of an index that is made for one search.
+INDEX_BLOCKS = 16
+
+
 def h_search_indexed(x: Inputs) -> DataFrame:
     path = scratch.folder(x.items.sparkSession, "postings")
-    postings.write(x.items, path, "icode", "name")
-    return search.search_items(postings.Postings(x.items.sparkSession, path).rows(TERM), TERM)
+    postings.write(x.items, path, "icode", "name", INDEX_BLOCKS)
+    return search.search_items(postings.Postings(x.items.sparkSession, path, INDEX_BLOCKS).rows(TERM), TERM)
 
 
 def _catalog_index(x: Inputs) -> postings.Postings:
     path = scratch.folder(x.catalog.sparkSession, "postings")
-    postings.write(x.catalog, path, "working_code", "drug_name")
-    return postings.Postings(x.catalog.sparkSession, path)
+    postings.write(x.catalog, path, "working_code", "drug_name", INDEX_BLOCKS)
+    return postings.Postings(x.catalog.sparkSession, path, INDEX_BLOCKS)
 
 
 def i_search_indexed(x: Inputs) -> DataFrame:

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 RUN, BLOCKS = 3, 256
 
 
-def _block(run: Column) -> Column:
-    return F.pmod(F.xxhash64(run), F.lit(BLOCKS)).cast("int")
+def _block(run: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(run), F.lit(blocks)).cast("int")
 
 
 def _runs(text: Column) -> Column:
@@ -32,13 +32,13 @@ def _runs(text: Column) -> Column:
     return F.when(F.char_length(text) >= RUN, F.transform(places, lambda i: F.substring(text, i, RUN))).otherwise(F.array().cast("array<string>"))
 
 
-def write(rows: DataFrame, path: str, code: str, name: str) -> None:
-    """Writes the index of rows (code, name) under a path, over what is there."""
+def write(rows: DataFrame, path: str, code: str, name: str, blocks: int = BLOCKS) -> None:
+    """Writes the index of rows (code, name) under a path, over what is there. blocks: its folders; readers give the same number."""
     kept = rows.select(code, name)
     kept.repartitionByRange(code, name).write.mode("overwrite").parquet(f"{path}/rows")
     lower = lambda c: F.lower(F.coalesce(F.col(c).cast("string"), F.lit("")))
     runs = F.array_distinct(F.concat(_runs(lower(code)), _runs(lower(name))))
-    posted = kept.select(code, name, F.explode(runs).alias("run")).withColumn("block", _block(F.col("run")))
+    posted = kept.select(code, name, F.explode(runs).alias("run")).withColumn("block", _block(F.col("run"), blocks))
     place = ["block", "run", code, name]
     posted.repartitionByRange(*place).sortWithinPartitions(*place).write.partitionBy("block").mode("overwrite").parquet(f"{path}/postings")
     counts = posted.groupBy("block", "run").agg(F.count("*").alias("rows"))
@@ -51,6 +51,7 @@ class Postings:
 
     spark: SparkSession
     path: str
+    blocks: int = BLOCKS
 
     def _table(self, name: str) -> DataFrame:
         if name == "counts":
@@ -62,7 +63,7 @@ class Postings:
     def _under(self, name: str, runs: list[str]) -> DataFrame:
         """The rows of a table under some runs; their folders are named, so that others are not opened."""
         # Spark works out the blocks of literals while it plans
-        return self._table(name).where(F.col("block").isin(*[_block(F.lit(r)) for r in runs]) & F.col("run").isin(*runs)).drop("block")
+        return self._table(name).where(F.col("block").isin(*[_block(F.lit(r), self.blocks) for r in runs]) & F.col("run").isin(*runs)).drop("block")
 
     def rarest(self, term: str, wildcards: bool = False) -> tuple[str, int] | None:
         """The run of a term that the fewest rows have, with their number; None for a term without a run. wildcards: % and _ stand for other characters."""
