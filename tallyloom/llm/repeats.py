@@ -3,13 +3,17 @@
 The suffixes of all documents, each cut at `depth` words, are split by variable-length prefixes: a suffix goes by
 its first word, unless the suffixes that begin so are more than fit in memory, then by its first two words, four
 words, and so on to `depth`. Prefixes are counted over all documents in SLOTS slots of a hash, and the plan made of
-the counts has the same size for every corpus; a slot that is still too full at the last prefix is split by the code
-of the suffix. A task sorts the codes of its suffixes and groups equal ones. A group with suffixes of two documents
+the counts has the same size for every corpus; a slot that is still too full at the last prefix is split by a second
+code of the suffix. A task sorts the codes of its suffixes and groups equal ones. A group with suffixes of two documents
 is a repeat; words of its occurrences after the document of the smallest id are removed. Column `repeats` holds runs
 of removed words: neighbouring repeats of different sources join, so they need not be maximal repeats.
 
 A suffix travels as a 64-bit code of its words with its document and position, both packed, not as the words
-themselves: the README has the figures of what words, or a tree built of them, would move. A scan keeps the smallest
+themselves: the README has the figures of what words, or a tree built of them, would move. The words behind a code are
+not compared. Slots and splits come from a second code, independent of the first, so different words are taken for
+equal only if their first codes agree and their second ones lead to one task: with n suffixes in tasks of m, n * m /
+2^65 pairs are expected to, which is linear in n (one code alone: n^2 / 2^65). For 100 TB, some 2.6e13 suffixes, that
+is about one window, where one code alone would give 2e7. A scan keeps the smallest
 document of each code that it has met in two documents, and sends such a suffix only if it may be that document's:
 the others are known repeats already. So a passage that a third of all documents share costs a few entries a scan task,
 not one a document.
@@ -91,8 +95,28 @@ def _scan(column: pa.Array, ids: pa.Array, most: int = SLICE_BYTES) -> Iterator[
         yield words, words.hashes(), ids.slice(begin, end - begin).fill_null(0).to_numpy(zero_copy_only=False), _tags(data, offsets)
 
 
-def _slots(hashes: np.ndarray, width: int, at: np.ndarray, slots: int) -> np.ndarray:
-    return (rolled(hashes, width, seed=width)[at] % _U(slots)).astype(np.int64)
+def _second(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the words. Sums over them say nothing about sums over the first ones."""
+    return mix(hashes, 33)
+
+
+def _slots(second: np.ndarray, width: int, at: np.ndarray, slots: int) -> np.ndarray:
+    return (rolled(second, width, seed=width)[at] % _U(slots)).astype(np.int64)
+
+
+def _tasks_of(hashes: np.ndarray, at: np.ndarray, depths: list[int], task: np.ndarray, ways: np.ndarray) -> np.ndarray:
+    """The task of the suffix at each word, by a plan of plan_groups."""
+    second, to = _second(hashes), np.full(len(at), -1, np.int64)
+    for i, w in enumerate(depths):
+        open_ = np.flatnonzero(to < 0)
+        if not len(open_):
+            break
+        slot = _slots(second, w, at[open_], task.shape[1])
+        to[open_] = task[i][slot]
+        wide = np.flatnonzero(ways[i][slot] > 1)
+        if len(wide):
+            to[open_[wide]] += (rolled(second, w, seed=33)[at[open_[wide]]] % ways[i][slot[wide]].astype(np.uint64)).astype(np.int64)
+    return to
 
 
 def count_prefixes(docs: DataFrame, depth: int, slots: int = SLOTS) -> np.ndarray:
@@ -105,8 +129,9 @@ def count_prefixes(docs: DataFrame, depth: int, slots: int = SLOTS) -> np.ndarra
             for words, hashes, _, _ in _scan(batch.column(1), batch.column(0)):
                 at, _ = _suffixes(words, hashes, depth)
                 if len(at):
+                    second = _second(hashes)
                     for i, w in enumerate(depths):
-                        total[i] += np.bincount(_slots(hashes, w, at, slots), minlength=slots)
+                        total[i] += np.bincount(_slots(second, w, at, slots), minlength=slots)
         yield pa.RecordBatch.from_arrays([pa.array([int(total.sum()) % 32], pa.int32()), pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=["at", "counts"])
 
     def add(batches):
@@ -231,7 +256,7 @@ def _scatter(docs: DataFrame, depth: int, task: np.ndarray, ways: np.ndarray, bu
 
     def run(batches):
         plan, split = shared.value
-        slots, known = plan.shape[1], _Known()
+        known = _Known()
         for batch in batches:
             for words, hashes, ids, tags in _scan(batch.column(1), batch.column(0), SCATTER_BYTES):
                 at, doc = _suffixes(words, hashes, depth)
@@ -244,15 +269,7 @@ def _scatter(docs: DataFrame, depth: int, task: np.ndarray, ways: np.ndarray, bu
                 if not first.all():
                     yield _rows(HITS, _hit_blocks(own[~first], place[~first], buckets))
                 at, code, own, place = at[first], code[first], own[first], place[first]
-                to = np.full(len(at), -1, np.int64)
-                for i, w in enumerate(depths):
-                    open_ = np.flatnonzero(to < 0)
-                    if not len(open_):
-                        break
-                    slot = _slots(hashes, w, at[open_], slots)
-                    to[open_] = plan[i][slot]
-                    wide = np.flatnonzero(split[i][slot] > 1)
-                    to[open_[wide]] += (mix(code[open_[wide]], 33) % split[i][slot[wide]].astype(np.uint64)).astype(np.int64)
+                to = _tasks_of(hashes, at, depths, plan, split)
                 order = np.lexsort((place, own, to))
                 to, code, own, place = to[order], code[order], own[order], place[order]
                 yield _rows(SUFFIXES, [(t, pack(code[a:b], own[a:b], place[a:b])) for t, a, b in _cut(to)])

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import components, html_blocks, html_extract, jaccard, quality_model, quality_rules, repeats
+from tallyloom.llm import components, html_blocks, html_extract, jaccard, quality_model, quality_rules, repeats, textscan
 from tallyloom.llm.queries import queries
 
 WHITE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -212,6 +212,26 @@ def test_plans_split_full_slots():
     assert load.max() <= 20
 
 
+def test_windows_of_one_code_go_to_different_tasks():
+    """Word hashes are bent so that two different windows share the code: their tasks are still chosen independently."""
+    rng, depth, n = np.random.default_rng(5), repeats.DEPTH, 2000
+    one = rng.integers(0, 1 << 63, (n, depth), dtype=np.uint64)
+    other = one.copy()
+    other[:, 0] += np.uint64(1)
+    other[:, 1] -= np.uint64(0xD6E8FEB86659FD93)  # the factor of the sum: what the first word adds, the second takes away
+    flat, bent, at = one.ravel(), other.ravel(), np.arange(n) * depth
+    assert (textscan.rolled(flat, depth)[at] == textscan.rolled(bent, depth)[at]).all() and (one != other).any(axis=1).all()
+    depths, slots = repeats.prefix_depths(depth), 16
+    counts = np.full((len(depths), slots), 6400)
+    task, ways, tasks = repeats.plan_groups(counts, 100)
+    assert tasks == slots * 64 and (ways[-1] == 64).all()
+    mine, its = (repeats._tasks_of(h, at, depths, task, ways) for h in (flat, bent))
+    assert (mine == its).sum() < 20  # two of 2,000 expected
+    again = repeats._tasks_of(np.concatenate((flat, flat)), np.arange(2 * n) * depth, depths, task, ways)
+    assert (again[:n] == mine).all() and (again[n:] == mine).all()  # equal windows meet
+    assert len(np.unique(mine)) > 800 and mine.min() >= 0 and mine.max() < tasks
+
+
 def test_repeats_of_odd_rows(odd, nothing, spark):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = repeats.report(odd.withColumn("n_words", F.lit("clash")).withColumn("kind", F.lit(3))).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
