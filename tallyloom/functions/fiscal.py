@@ -72,6 +72,11 @@ def current_year() -> Column:
     return year_of_date(F.current_date())
 
 
+def default_year_of(year: Column, selected: int) -> Column:
+    """default_year as an aggregate: of each group's years with data."""
+    return F.when(F.coalesce(F.max(year == selected), F.lit(False)), F.lit(selected)).otherwise(F.coalesce(F.max(year), F.lit(selected))).cast("int")
+
+
 def default_year(available: list[int], selected: int) -> int:
     """The selected year if there is data for it, else the newest; with no data at all, the selected one."""
     return selected if selected in available or not available else max(available)

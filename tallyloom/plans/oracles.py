@@ -244,6 +244,13 @@ SELECT *, round(CAST(sum(CAST(delta AS DECIMAL(18,2))) OVER (PARTITION BY code,
 SELECT *, round(avg(qty) OVER (PARTITION BY icode, fy ORDER BY month_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS average FROM m""",
     "month_share": f"""{INPUTS}, m AS (SELECT k.icode, k.fy, grid.month_idx, coalesce(qty, 0) AS qty FROM (SELECT DISTINCT icode, fy FROM h) k CROSS JOIN grid LEFT JOIN h ON h.icode = k.icode AND h.fy = k.fy AND h.month_idx = grid.month_idx)
 SELECT *, round(qty / greatest(sum(qty) OVER (PARTITION BY icode, fy), 1) * 100, 1) AS percent, {_LABELS}[month_idx + 1] AS label FROM m""",
+    "default_years": f"{INPUTS} SELECT icode, CAST(CASE WHEN bool_or(fy = {YEAR}) THEN {YEAR} ELSE coalesce(max(fy), {YEAR}) END AS INT) AS fy FROM items LEFT JOIN h USING (icode) GROUP BY icode",
+    "years_back": f"""{INPUTS}, y AS (SELECT fy FROM h UNION SELECT CAST({_FY.format('CAST(o_orderdate AS DATE)')} AS INT) FROM orders)
+SELECT fy, CAST({_FY.format('current_date')} - fy AS INT) AS back FROM y""",
+    "months_reordered": f"""{INPUTS}, k AS (SELECT DISTINCT icode, fy FROM h)
+SELECT k.icode, k.fy, grid.month_idx, coalesce(qty, 0) AS qty FROM k CROSS JOIN grid LEFT JOIN h ON h.icode = k.icode AND h.fy = k.fy AND h.month_idx = grid.month_idx""",
+    "terms_escaped": f"""{INPUTS}, n AS (SELECT CAST(icode AS BIGINT) AS k, translate(name, 'aei', '%_~') AS odd FROM items), t AS (SELECT *, substr(odd, 2, 8) AS part FROM n)
+SELECT t.k, replace(replace(replace(part, '~', '~~'), '%', '~%'), '_', '~_') AS escaped, contains(t.odd, part) AS own, contains(n.odd, part) AS found FROM t JOIN n ON n.k = t.k + 1""",
     "names_normalized": f"{INPUTS} SELECT icode, {_norm('name')} AS normalized, {_term('name')} AS term FROM items",
     "similarity_pairs": f"""{INPUTS}, n AS (SELECT CAST(icode AS BIGINT) AS k, name, {_norm("name")} AS a FROM items)
 SELECT x.k, x.name AS name_a, y.name AS name_b, round({_score("x.a", "y.a")}, 6) AS score FROM n x JOIN n y ON y.k = x.k + 1""",
@@ -289,5 +296,5 @@ SELECT qty, regexp_replace(regexp_replace(format('{:,.2f}', q * 1000), '0+$', ''
 
 
 def oracle_sql() -> dict[str, str]:
-    same = {f"{name}_by_year": name for name in BY_YEAR} | {f"{name}_kept": name for name in ("h_monthly", "i_monthly")} | {f"{name}_indexed": name for name in ("h_search", "i_search")}
+    same = {f"{name}_by_year": name for name in BY_YEAR} | {f"{name}_kept": name for name in ("h_monthly", "i_monthly")} | {f"{name}_indexed": name for name in ("h_search", "i_search")} | {"mapping_stored": "mapping_upsert"}
     return ORACLES | {name: ORACLES[plain] for name, plain in same.items()}

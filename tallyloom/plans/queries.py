@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import fiscal, names, numbers
 from tallyloom.operators import bulk, links, matching, reconcile, search, series, summary, trend
-from tallyloom.sources import csv_files, facts, postings, scratch
+from tallyloom.sources import csv_files, facts, links_store, postings, scratch
 from tallyloom.sources.tables import Inputs, bought_lines, dispensed_lines, from_star
 from tallyloom.streaming import monthly
 
@@ -140,6 +140,16 @@ def mapping_upsert(x: Inputs) -> DataFrame:
     return links.status_by_icode(x.items.select("icode"), after, out).select("icode", "status", "working_code", "match_method", "reason")
 
 
+def mapping_stored(x: Inputs) -> DataFrame:
+    """As mapping_upsert, through the store: links and exclusions are saved, changed as a new version, and read from the newest."""
+    spark = x.items.sparkSession
+    path = scratch.folder(spark, "store")
+    links_store.save(spark, path, x.links, x.exclusions)
+    links_store.change(spark, path, lambda *now: links.set_links(*now, _catalog_changes(x))[:2])
+    now = links_store.snapshot(spark, path)
+    return links.status_by_icode(x.items.select("icode"), now.links, now.exclusions).select("icode", "status", "working_code", "match_method", "reason")
+
+
 def _odd_changes(x: Inputs) -> DataFrame:
     """Of every catalog row two links that keep the rules, the first with white space around its codes, and one that breaks each rule."""
     code, none = F.col("working_code"), F.lit(None)
@@ -230,6 +240,32 @@ def stock_curve(x: Inputs) -> DataFrame:
     return grid.select(*keys, "month_idx", "delta", F.round(trend.running_total("delta", keys), 6).alias("stock"))
 
 
+def default_years(x: Inputs) -> DataFrame:
+    """The year that each item shows: the selected one if the item has data for it, else its newest, else the selected one all the same."""
+    years = series.dispensed(x.dispense).select("icode", "fy")
+    return x.items.select("icode").join(years, "icode", "left").groupBy("icode").agg(fiscal.default_year_of(F.col("fy"), YEAR).alias("fy"))
+
+
+def years_back(x: Inputs) -> DataFrame:
+    """Years with data, and how long ago they were."""
+    return summary.merged_years(x.dispense, x.headers).select("fy", (fiscal.current_year() - F.col("fy")).alias("back"))
+
+
+def months_reordered(x: Inputs) -> DataFrame:
+    """Vectors that were summed from January on, brought to fiscal order."""
+    d = series.dispensed(x.dispense).withColumn("month", fiscal.calendar_month(F.col("month_idx")))
+    sums = [numbers.total(F.when(F.col("month") == m, F.col("qty")).otherwise(0.0)) for m in range(1, 13)]
+    return _spread(d.groupBy("icode", "fy").agg(F.array(*sums).alias("calendar")).withColumn("qty", fiscal.to_fiscal_order(F.col("calendar"))), ["icode", "fy"], "qty")
+
+
+def terms_escaped(x: Inputs) -> DataFrame:
+    """Parts of names that hold the signs of LIKE, escaped, and whether they find the next item's name, which has the same signs."""
+    odd = F.translate("name", "aei", "%_~")
+    n = x.items.select(F.col("icode").cast("long").alias("k"), odd.alias("odd"), names.escape_like(F.substring(odd, 2, 8)).alias("escaped"))
+    other = n.select((F.col("k") - 1).alias("k"), F.col("odd").alias("next"))
+    return n.join(other, "k").select("k", "escaped", F.expr("odd LIKE concat('%', escaped, '%') ESCAPE '~'").alias("own"), F.expr("next LIKE concat('%', escaped, '%') ESCAPE '~'").alias("found"))
+
+
 def names_normalized(x: Inputs) -> DataFrame:
     return x.items.select("icode", names.normalized(F.col("name")).alias("normalized"), names.search_term(F.col("name")).alias("term"))
 
@@ -378,6 +414,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "mapping_stats": mapping_stats,
     "mapping_unmapped": lambda x: links.unmapped(x.items, x.links, x.exclusions),
     "mapping_upsert": mapping_upsert,
+    "mapping_stored": mapping_stored,
     "mapping_rejected": mapping_rejected,
     "mapping_checked": mapping_checked,
     "mapping_exclude": mapping_exclude,
@@ -392,6 +429,10 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "stock_curve": stock_curve,
     "moving_average": moving_average,
     "month_share": month_share,
+    "default_years": default_years,
+    "years_back": years_back,
+    "months_reordered": months_reordered,
+    "terms_escaped": terms_escaped,
     "names_normalized": names_normalized,
     "names_thai": names_thai,
     "similarity_pairs": similarity_pairs,

@@ -22,7 +22,7 @@ def test_query_equals_sql(spark, sf_dir, con, name):
     same(queries()[name](spark, sf_dir), con, oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["mapping_rejected", "mapping_checked", "auto_match_default", "similarity_thai", "bulk_files_classified", "bulk_import_counters"])
+@pytest.mark.parametrize("name", ["mapping_rejected", "mapping_checked", "auto_match_default", "similarity_thai", "bulk_files_classified", "bulk_import_counters", "mapping_stored", "default_years", "months_reordered", "terms_escaped"])
 def test_query_has_rows(spark, sf_dir, name):
     rows = queries()[name](spark, sf_dir).collect()
     assert rows
@@ -30,6 +30,10 @@ def test_query_has_rows(spark, sf_dir, name):
         assert {r.kind for r in rows} == {"no code", "null code", "no other code", "unknown method", "no method", "no number", "above", "below"}
     if name == "auto_match_default":
         assert {0.95, 1.0} <= {r.score for r in rows} and min(r.score for r in rows) >= 0.95
+    if name == "default_years":
+        assert len({r.fy for r in rows}) > 1
+    if name == "terms_escaped":
+        assert all(r.own for r in rows) and {r.found for r in rows} == {True, False} and all(any(c in r.escaped for r in rows) for c in ("~%", "~_", "~~"))
     if name == "similarity_thai":
         assert len({r.score for r in rows}) > 3 and max(r.score for r in rows) < 0.5 < 1
 
