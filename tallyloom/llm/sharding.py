@@ -6,7 +6,7 @@ with each record's place in the bucket. Places joined end to end are one permuta
 out in turn gives shards whose counts differ by one at most (law `rows`), with gapless slots.
 
 Where each bucket begins is a prefix sum over buckets in two levels, on executors: the driver sees no row of it. The
-table of beginnings has 16 bytes for each bucket, a two-millionth of the records; it meets them in a join, with the
+table of beginnings has 16 bytes for each bucket (42 as a hash table), a two-millionth of the records; it meets them in a join, with the
 advice to broadcast it up to BROADCAST_BUCKETS buckets.
 
 The hash takes the id, the text and the record's ordinal in its input split, so neither a repeated id nor a text
@@ -33,7 +33,7 @@ from tallyloom.llm.common import drop_columns, in_arrow, materialize, own
 SHARDS = 16
 BUCKET_BYTES = 32 << 20
 SEED = 20_240_601
-#: Buckets whose beginnings may be broadcast (64 MB), and how many of them one task sums up.
+#: Buckets whose beginnings may be broadcast (166 MB as a hash table, as measured), and how many of them one task sums up.
 BROADCAST_BUCKETS, LEVEL = 4_000_000, 4096
 _OWN = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 #: Records that go back to the JVM at once.
