@@ -13,7 +13,8 @@ themselves: the README has the figures of what words, or a tree built of them, w
 not compared. Slots and splits come from a second code, independent of the first, so different words are taken for
 equal only if their first codes agree and their second ones lead to one task: with n suffixes in tasks of m, n * m /
 2^65 pairs are expected to, which is linear in n (one code alone: n^2 / 2^65). For 100 TB, some 2.6e13 suffixes, that
-is about one window, where one code alone would give 2e7. A scan keeps the smallest
+is half a window, where one code alone would give 2e7. What a scan task compares by itself goes by the first code alone,
+among some 1e6 suffixes and 2.6e5 known codes at a time, which adds about one window. A scan keeps the smallest
 document of each code that it has met in two documents, and sends such a suffix only if it may be that document's:
 the others are known repeats already. So a passage that a third of all documents share costs a few entries a scan task,
 not one a document.
