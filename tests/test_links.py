@@ -363,3 +363,17 @@ def test_daily_stream(spark, tmp_path):
     got = sorted((r.icode, r.day, r.qty) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     # a record that comes after its day is closed is dropped
     assert got == [("a", day(0), 4.0), ("a", day(100), 7.0), ("a", day(101), 1.0), ("b", day(1), 1.0)]
+
+
+def test_no_growing_table_is_sent_through_the_driver(spark, tmp_path):
+    """Names in Parquet are smaller than Spark's bound of a broadcast by far; their runs and links are not."""
+    spark.createDataFrame([(f"W{i}", f"tablet no {i}") for i in range(500)], CATALOG).write.parquet(f"{tmp_path}/catalog")
+    catalog = spark.read.parquet(f"{tmp_path}/catalog")
+    named = catalog.selectExpr("working_code", "drug_name as candidate_name")
+    found = matching._found(spark.createDataFrame([("tablet",)], "term string"), named)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastExchange") <= 1  # the chosen blocks
+    assert found.count() == 500
+    held = catalog.selectExpr("1L as id", "working_code as icode", "working_code", "'' as dispensed_name", "'' as purchased_name", "'auto' as match_method", "1d as match_score")
+    status = links.status_by_icode(held.select("icode"), held, spark.createDataFrame([], EXCLUSIONS))
+    assert "Broadcast" not in status._jdf.queryExecution().executedPlan().toString() and status.where("status = 'mapped'").count() == 500
