@@ -1,8 +1,9 @@
 """Reconciliation of what was given out with what was bought, for all links and years in one job.
 
 Both month tables are unioned under the link's key and summed into one row a (key, fiscal year) with two or three
-12-slot vectors: a single shuffle after the month aggregates, no window, no join of the two sides. Figures and
-flags are expressions on those vectors.
+12-slot vectors: a single shuffle after the month aggregates, no window, no join of the two sides. Rows of one month are
+dealt before they become vectors, into tasks by the number of records, so a task's memory does not grow with the input.
+Figures and flags are expressions on those vectors.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.numbers import exact, ratio
 from tallyloom.operators import links as link_ops
 from tallyloom.operators import series
+from tallyloom.sources.tables import tasks_for
 
 FLAG = "struct<kind:string,month:int,gap:string,dispensed_qty:double,purchased_qty:double,purchased_value:double>"
 # Kinds of flags in their order.
@@ -99,14 +101,15 @@ def _flags(limits: Thresholds) -> Column:
 
 def linked_series(inputs, fiscal_year: int | None = None, icode: str | None = None) -> DataFrame:
     """(icode, working_code, fy, dispensed_qty, purchased_qty, purchased_value) of links in force; years where either side has data."""
-    link = link_ops.latest(inputs.links).select("icode", "working_code")
+    link = link_ops.latest(inputs.links).select("icode", "working_code").hint("merge")
     if icode is not None:
         link = link.where(F.col("icode") == icode)
-    zero = F.lit(0.0)
-    out = series.dispensed(inputs.dispense, fiscal_year, icode).join(link, "icode").select("icode", "working_code", "fy", "month_idx", F.col("qty").alias("d"), zero.alias("q"), zero.alias("v"))
-    bought = series.purchased(inputs.headers, inputs.lines, fiscal_year).join(link, "working_code").select("icode", "working_code", "fy", "month_idx", zero.alias("d"), F.col("qty").alias("q"), F.col("value").alias("v"))
-    both = out.unionByName(bought)
-    slots = lambda c: F.array(*[F.coalesce(F.sum(F.when(F.col("month_idx") == i, exact(F.col(c)))).cast("double"), zero) for i in range(12)])
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    out = series.dispensed(inputs.dispense, fiscal_year, icode).join(link, "icode").select("icode", "working_code", "fy", "month_idx", F.col("qty").alias("d"), none.alias("q"), none.alias("v"))
+    bought = series.purchased(inputs.headers, inputs.lines, fiscal_year).join(link, "working_code").select("icode", "working_code", "fy", "month_idx", none.alias("d"), F.col("qty").alias("q"), F.col("value").alias("v"))
+    both = out.unionByName(bought).repartition(tasks_for(inputs.dispense, inputs.lines), "icode")
+    # a side has one row a link and month, so a slot is that row's amount; the other side's rows are null there
+    slots = lambda c: F.array(*[F.coalesce(F.max(F.when(F.col("month_idx") == i, F.col(c))), zero) for i in range(12)])
     return both.groupBy("icode", "working_code", "fy").agg(slots("d").alias("dispensed_qty"), slots("q").alias("purchased_qty"), slots("v").alias("purchased_value"))
 
 
