@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def month_grid(months: DataFrame, keys: list[str], amounts: list[str]) -> DataFrame:
-    """months with a row for every fiscal month of each key, 0.0 where there was none. One shuffle, by the keys."""
+def month_grid(months: DataFrame, keys: list[str], amounts: list[str], tasks: int | None = None) -> DataFrame:
+    """months with a row for every fiscal month of each key, 0.0 where there was none. One shuffle, by the keys; tasks: into so many parts, which windows by the keys keep."""
+    if tasks is not None:
+        months = months.repartition(tasks, *keys)
     cells = months.groupBy(*keys).agg(*[F.map_from_entries(F.collect_list(F.struct("month_idx", a))).alias(a) for a in amounts])
     grid = cells.withColumn("month_idx", F.explode(F.sequence(F.lit(0), F.lit(11))))
     return grid.select(*keys, "month_idx", *[F.coalesce(F.try_element_at(F.col(a), F.col("month_idx")), F.lit(0.0)).alias(a) for a in amounts])

@@ -41,16 +41,17 @@ def write(x: Inputs, path: str, buckets: int = BUCKETS) -> None:
     """Writes the three fact tables under a path, over what is there. buckets: as many as make a year's bucket fit a task."""
     spark = x.dispense.sparkSession
     out = x.dispense.select("icode", F.col("vstdate").cast("date").alias("vstdate"), "qty", fiscal.year_of_date(F.col("vstdate")).alias("fy"))
-    out = out.repartitionByRange("fy", "icode", "vstdate").sortWithinPartitions("fy", "icode", "vstdate")
+    out = out.repartitionByRange(buckets, "fy", "icode", "vstdate").sortWithinPartitions("fy", "icode", "vstdate")
     out.write.partitionBy("fy").mode("overwrite").parquet(f"{path}/dispense")
     headers = x.headers.select("invoice_no", "receive_date", _received_year().alias("fy"))
     bought = F.coalesce(F.col("value") > 0, F.lit(False))
     sums = [F.sum(exact(F.coalesce(F.col(c), F.lit(0.0)))).cast("double").alias(c) for c in ("qty_order", "value")]
     lines = x.lines.groupBy("invoice_no", "working_code", bought.alias("bought")).agg(*sums).drop("bought")
+    # a task holds one bucket of every year, so a bucket of a year is one file; lines meet their years as they are dealt
+    headers, lines = headers.repartition(buckets, "invoice_no"), lines.repartition(buckets, "invoice_no")
     years = headers.where("fy is not null").select("invoice_no", "fy").distinct()
-    for name, rows in (("headers", headers), ("lines", lines.join(years, "invoice_no", "left"))):
-        # a task holds one bucket of every year, so a bucket of a year is one file
-        dealt = rows.repartition(buckets, "invoice_no").write.format("parquet").partitionBy("fy").bucketBy(buckets, "invoice_no").sortBy("invoice_no")
+    for name, rows in (("headers", headers), ("lines", lines.join(years.hint("merge"), "invoice_no", "left"))):
+        dealt = rows.write.format("parquet").partitionBy("fy").bucketBy(buckets, "invoice_no").sortBy("invoice_no")
         spark.sql(f"DROP TABLE IF EXISTS {_table(path, name)}")
         dealt.mode("overwrite").option("path", f"{path}/{name}").saveAsTable(_table(path, name))
     spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}/layout")

@@ -100,3 +100,25 @@ def test_any_split_into_batches_gives_the_same(spark, tmp_path):
     heads = spark.createDataFrame([(i, x[1]) for i, x in enumerate(rows)], "invoice_no long, receive_date int")
     lines = spark.createDataFrame([(i, x[0], x[2], x[3]) for i, x in enumerate(rows)], "invoice_no long, working_code string, qty_order double, value double")
     assert every[0] == every[1] == rows_of(series.purchased(heads, lines).select("working_code", "fy", "month_idx", "qty", "value"))
+
+
+def test_tasks_follow_the_number_of_records(spark, sf_dir, monkeypatch):
+    """Sums of months and vectors are made in as many tasks as the records ask for, whatever Spark joins by compressed bytes."""
+    from tallyloom.operators import reconcile, series, trend
+    from tallyloom.plans import queries
+    from tallyloom.sources import tables
+
+    x = tables.from_star(spark, sf_dir)
+    n, m = x.dispense.count(), x.lines.count()
+    assert tables.tasks_for(x.dispense, rows=n) == 1 and tables.tasks_for(x.dispense, x.lines, rows=100) == -(-(n + m) // 100)
+    assert tables.tasks_for(x.dispense.where("false")) == 1
+    count = lambda df: df.rdd.getNumPartitions()
+    assert count(trend.month_grid(series.dispensed(x.dispense), ["icode", "fy"], ["qty"], 7)) == 7
+    for module in (reconcile, queries):
+        monkeypatch.setattr(module, "tasks_for", lambda *_, **__: 9)
+    assert count(reconcile.linked_series(x)) == 9
+    assert [count(queries.QUERIES[q](x)) for q in ("moving_average", "month_share", "months_reordered", "stock_curve", "reconcile_flags")] == [9] * 5
+    monkeypatch.setattr(queries, "_LAID_OUT", {})
+    queries.queries()["h_years_by_year"](spark, sf_dir)
+    (path,) = queries._LAID_OUT.values()
+    assert spark.read.parquet(f"{path}/layout").first()["buckets"] == 9
