@@ -122,3 +122,12 @@ def test_tasks_follow_the_number_of_records(spark, sf_dir, monkeypatch):
     queries.queries()["h_years_by_year"](spark, sf_dir)
     (path,) = queries._LAID_OUT.values()
     assert spark.read.parquet(f"{path}/layout").first()["buckets"] == 9
+
+
+def test_links_are_dealt_by_the_number_of_rows(spark, sf_dir, monkeypatch):
+    from tallyloom.plans import queries
+    from tallyloom.sources import tables
+
+    monkeypatch.setattr(queries, "tasks_for", lambda *_, **__: 9)
+    x = tables.from_star(spark, sf_dir)
+    assert [queries.QUERIES[q](x).rdd.getNumPartitions() for q in ("mapping_exclude", "mapping_upsert", "mapping_checked")] == [9] * 3
