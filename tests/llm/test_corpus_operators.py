@@ -1,9 +1,12 @@
 """Near duplicates, substring dedup, quality rules, the classifier, page extraction and the pipeline."""
 
 import collections
+import gc
 import hashlib
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import components, html_blocks, html_extract, jaccard, quality_model, quality_rules, repeats, textscan
+from tallyloom.llm.common import materialize
 from tallyloom.llm.queries import queries
 
 WHITE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,6 +103,65 @@ def test_hot_slices_come_once_a_batch():
     assert kinds.count(jaccard.EDGES) == 1 and sum(len(b) // 16 for k, b in zip(kinds, out.column(2).to_pylist(), strict=True) if k == jaccard.SLICES) == 1001
 
 
+def shuffle_files(spark):
+    """Bytes of each shuffle file that Spark has on disk now."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f: f.stat().st_size for folder in folders for f in Path(folder.getPath()).rglob("shuffle_*.data")}
+
+
+def test_blocks_of_slices_take_eleven_bytes_a_slice():
+    r = np.random.default_rng(2)
+    code, cls = np.sort(r.integers(0, 1 << 63, 999).astype(np.uint64) * np.uint64(2)), r.integers(-(1 << 63), 1 << 63 - 1, 999)
+    names = jaccard.name_of(cls)
+    assert (names >= 0).all() and (names == (cls >> 24) % (1 << 40)).all()
+    blob = jaccard.packed(code.tobytes() + names.tobytes())
+    assert len(blob) == 11 * 999
+    got = jaccard.unpacked(blob)
+    assert (got[0] == code >> np.uint64(16)).all() and (got[1] == names).all()
+
+
+def test_classes_of_one_name_are_told_apart(spark, monkeypatch):
+    """All classes get one name, so all come to one partition."""
+    rows = near_copies(5, 90)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    real, calls, named = jaccard.connected, [], F.shiftrightunsigned
+    monkeypatch.setattr(jaccard.F, "shiftrightunsigned", lambda c, n: named(c, n) * 0)
+    monkeypatch.setattr(jaccard, "connected", lambda edges: real(edges) if calls.append(1) or len(calls) > 1 else spark.createDataFrame([(0, 0)], "node long, root long"))
+    assert collections.Counter(map(tuple, jaccard.components(df).collect())) == brute_components(rows, jaccard.Rule())
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    before = set(shuffle_files(spark))
+    made = materialize(spark.range(1000).selectExpr("id", "id % 7 as `a.b`").repartition(3, "id"))
+    assert made.count() == 1000
+    gc.collect()
+    for _ in range(50):
+        if not (left := {f for f in set(shuffle_files(spark)) - before if f.stat().st_size > 1000}):
+            break
+        time.sleep(0.1)
+    assert not left
+
+
+def test_rows_that_stay_are_not_moved(spark):
+    """Rows without near copies reach the result without a shuffle, however many rows go and however wide they are."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    texts = [" ".join(f"{n}_{i}" for i in range(60)) for n in range(60)] + [a, a, b, b + " near"]
+    wide = F.base64(F.to_binary(F.concat(*[F.sha2(F.concat("text", F.lit(str(i))), 512) for i in range(400)]), F.lit("hex")))
+    docs = materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("wide", wide).withColumn("when", F.current_timestamp()))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        kept = jaccard.drop_near_duplicates(docs)
+        files = set(shuffle_files(spark))
+        got = kept.collect()
+        moved = sum(n for f, n in shuffle_files(spark).items() if f not in files)
+    finally:
+        spark.conf.set(threshold, before)
+    assert sorted(map(tuple, got)) == sorted(tuple(r) for r in docs.collect() if r.doc_id not in (61, 63))
+    assert moved < 10 * len(got[0].wide), moved
+
+
 def test_join_query_equals_brute_force(spark, sf_dir, documents):
     got = queries()["op5_jaccard_join"](spark, sf_dir).collect()
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components([(r.doc_id, r.text) for r in documents.collect()], jaccard.Rule(3, 90, 100))
