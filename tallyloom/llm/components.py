@@ -1,8 +1,8 @@
 """Connected components of a thin edge table.
 
-Edges are first brought down to spanning forests, FOREST_EDGES to a task, again and again while that makes them fewer;
-what fits in one task is then done. What does not goes through label propagation with pointer jumping: every round is
-two joins and one pre-aggregated minimum, its labels are written to the shared folder, so lineage stays short and lost
+Edges are first brought down to spanning forests, FOREST_EDGES to a task (equal edges in one task at first), again and
+again while that makes them fewer; what fits in one task is then done. What does not goes through label propagation with
+pointer jumping: every round is two joins and one pre-aggregated minimum, its labels are written to the shared folder, so lineage stays short and lost
 executors lose nothing, and rounds grow with the logarithm of the longest chain. Nothing is collected but one count a
 round.
 
@@ -64,12 +64,15 @@ def _in_tasks(edges: DataFrame, every: bool) -> DataFrame:
 def connected(edges: DataFrame, a: str = "a", b: str = "b", forest_edges: int = FOREST_EDGES) -> DataFrame:
     """(node, root): each node of an edge with the smallest node reachable."""
     one = materialize(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null"))
-    n = one.count()
+    n, first = one.count(), True
     while n > forest_edges:
-        one = materialize(_in_tasks(one.repartition(-(-n // forest_edges)), False))
+        tasks = -(-n // forest_edges)
+        # first the same edges come together: slices find an edge again in as many tasks as there are
+        one = materialize(_in_tasks(one.repartition(tasks, "u", "v") if first else one.repartition(tasks), False))
         before, n = n, one.count()
-        if n > before // 2:
+        if n > before // 2 and not first:
             break
+        first = False
     if n <= forest_edges:
         return materialize(_in_tasks(one.coalesce(1), True)).select(F.col("u").alias("node"), F.col("v").alias("root"))
     return _propagated(one)

@@ -14,7 +14,10 @@ without words links. All results are exact, but for 64-bit hashes of shingles an
    are joined there and then, and the batch sends each slice once: a slice that a third of all documents share
    comes to its task as one entry a batch, not one a document. An entry has 11 bytes, six of the code and five of
    the class: what is taken for equal thereby only shares a partition, where texts are compared.
-3. A partition of more than `group_tokens` tokens is dealt by size into groups that fit in memory. Groups are joined
+   Passages that many texts share bring together what cannot link, more of it the larger the input is. So of the
+   partitions of more than `group_tokens` tokens, classes are first left out of which more tokens than a linked set
+   may miss are in no other class (counted on a share of all tokens, by hash), and the rest is placed anew.
+3. What still has more than `group_tokens` tokens is dealt by size into groups that fit in memory. Groups are joined
    by themselves first; then one member of each component of each group (a hub) meets the others' hubs. Only where a
    partition still has several components are its classes dealt again, by component and size, and the pairs of
    groups that may hold a link (sizes within the similarity, not all of one component) are separate tasks. So near
@@ -45,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyloom.llm.common import in_arrow, materialize, own
+from tallyloom.llm.common import in_arrow, materialize, only_last, own
 from tallyloom.llm.components import connected, forest
 from tallyloom.llm.textscan import WHITE, ascii_lower_table, chunks, mix, rolled, scan, separator_table, window_starts
 
@@ -243,15 +246,15 @@ def name_of(cls: np.ndarray) -> np.ndarray:
     return (cls.view(np.uint64) >> _U(64 - 8 * NAME_BYTES)).view(np.int64)
 
 
-def _blocks(docs: DataFrame, doc_id: str, text: str, rule: Rule, hot: list[int], parts: int) -> DataFrame:
-    """(kind, part, block): packed (slice code, name of the class) pairs of a batch, and edges between its classes' names."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, np.int64).view(np.uint64)))
+def _blocks(texts: DataFrame, rule: Rule, hot: list[int], parts: int) -> DataFrame:
+    """(kind, part, block) of texts (key, text): packed (slice code, name of the class) pairs of a batch, and edges between its classes' names."""
+    shared = texts.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, np.int64).view(np.uint64)))
 
     def run(batches):
         left_out = shared.value
         for batch in batches:
             codes, classes, held, done = [], [], 0, np.zeros(0, np.int64)
-            for _, _, tokens, sizes in token_sets(batch.column(2), rule.width):
+            for _, _, tokens, sizes in token_sets(batch.column(1), rule.width):
                 cls = class_of(tokens, sizes)
                 known, first = np.unique(cls, return_index=True)
                 alone = np.zeros(len(sizes), dtype=bool)
@@ -273,7 +276,56 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, rule: Rule, hot: list[int],
             if held:
                 yield _thinner(_sent(np.concatenate(codes), np.concatenate(classes), parts))
 
-    return in_arrow(_keyed(docs, doc_id, text), run, "kind int, part long, block binary")
+    return in_arrow(texts, run, "kind int, part long, block binary")
+
+
+def _looked_at(texts: DataFrame, rule: Rule, parts: int) -> DataFrame:
+    """(part, block) of texts (key, text): packed (code of a token, class) pairs, for a share of all tokens that is twice what a linked set may have alone."""
+    taken = min(rule.q, 2 * (rule.q - rule.p))
+
+    def packs(codes, classes):
+        code, cls = np.concatenate(codes), np.concatenate(classes)
+        part = (code % _U(parts)).astype(np.int64)
+        order = np.lexsort((code, part))
+        code, cls, part = code[order], cls[order], part[order]
+        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        blobs = [_planes(code[x:y], 8 - CODE_BYTES, 8) + cls[x:y].tobytes() for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(blobs, pa.binary())], names=["part", "block"])
+
+    def run(batches):
+        codes, classes, held = [], [], 0
+        for batch in batches:
+            for _, _, tokens, sizes in token_sets(batch.column(1), rule.width):
+                use = mix(tokens, 9) % _U(rule.q) < _U(taken)
+                codes.append(mix(tokens[use], 10))
+                classes.append(np.repeat(class_of(tokens, sizes), sizes)[use])
+                held += len(codes[-1])
+                if held >= FLUSH_SLICES:
+                    yield packs(codes, classes)
+                    codes, classes, held = [], [], 0
+        if held:
+            yield packs(codes, classes)
+
+    return in_arrow(texts, run, "part long, block binary")
+
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, alone): of a class's tokens that come to this task, the number that no other class has."""
+    codes, classes = [], []
+    for batch in batches:
+        for blob in batch.column(1).to_pylist():
+            cut = len(blob) // (CODE_BYTES + 8) * CODE_BYTES
+            codes.append(_of_planes(np.frombuffer(blob, np.uint8, count=cut), CODE_BYTES))
+            classes.append(np.frombuffer(blob, np.int64, offset=cut))
+    if codes:
+        code, cls = np.concatenate(codes), np.concatenate(classes)
+        order = np.lexsort((cls, code))
+        code, cls = code[order], cls[order]
+        once = np.r_[True, (code[1:] != code[:-1]) | (cls[1:] != cls[:-1])]
+        code, cls = code[once], cls[once]
+        new = np.r_[True, code[1:] != code[:-1]]
+        names, counts = np.unique(cls[new & np.r_[new[1:], True]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts.astype(np.int64))], names=["cls", "alone"])
 
 
 def _marks(keys: DataFrame) -> np.ndarray:
@@ -455,15 +507,16 @@ def _verify(table: pa.Table, rule: Rule) -> pa.Table:
 
 
 def _dealt(rows: DataFrame, by: list[str], most: int) -> tuple[DataFrame, bool]:
-    """(rows with `grp`, whether any was dealt): rows (cls, n, ...) of like `by`, dealt by size into groups of about `most` tokens."""
+    """(rows with `grp` and `dealt`, whether any was dealt): rows (cls, n, ...) of like `by`, dealt by size into groups of about `most` tokens."""
     one = Window.partitionBy(*by)
     hist = rows.groupBy(*by, "n").agg(F.sum("n").alias("t"))  # a row for each size
     hist = hist.withColumns({"before": F.coalesce(F.sum("t").over(one.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "every": F.sum("t").over(one)})
     large = materialize(hist.where(F.col("every") > most).select(*by, "n", F.floor(F.col("before") / most).alias("base"), F.ceil(F.col("t") / most).alias("spread")))
     if large.isEmpty():
-        return rows.withColumn("grp", F.lit(0).cast("long")), False
+        return rows.withColumns({"grp": F.lit(0).cast("long"), "dealt": F.lit(False)}), False
     met = rows.join(large, [*by, "n"], "left")
-    return met.withColumn("grp", F.coalesce(F.col("base") + F.pmod(F.xxhash64("cls"), F.col("spread")), F.lit(0))).drop("base", "spread"), True
+    grp = F.coalesce(F.col("base") + F.pmod(F.xxhash64("cls"), F.col("spread")), F.lit(0))
+    return met.withColumns({"grp": grp, "dealt": F.col("base").isNotNull()}).drop("base", "spread"), True
 
 
 def _hub_links(members: DataFrame, texts: DataFrame, rule: Rule, most: int) -> DataFrame:
@@ -509,6 +562,42 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(members.drop("root").join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
 
 
+def _tasks(tokens: float) -> int:
+    return max(1, int(tokens * 16 / SLICE_TASK_BYTES) + 1)
+
+
+def _placed(texts: DataFrame, classes: DataFrame, rule: Rule, hot: list[int], tokens: int) -> DataFrame:
+    """(cls, part, key, n) of the classes that share a slice with others, texts (key, text) being theirs."""
+    parts = _tasks(tokens * 2.2 * (rule.q - rule.p) / rule.p)  # slices a token, about
+    edges = in_arrow(_blocks(texts, rule, hot, parts).repartitionById(parts, F.col("part").cast("int")), _shared_slices, "a long, b long")
+    named = classes.withColumn("node", F.shiftrightunsigned("cls", 64 - 8 * NAME_BYTES))
+    return connected(edges).select("node", F.col("root").alias("part")).join(named, "node").select("cls", "part", "key", "n")
+
+
+def _apart(members: DataFrame, texts: DataFrame, rule: Rule, hot: list[int], most: int) -> DataFrame:
+    """members (cls, part, key, n), partitions of more than `most` tokens without the classes that can have no link, and placed anew.
+
+    Of a class that links, others have all tokens but n * (q - p) / q. A class of which more are found in no other class
+    goes, whatever passages it shares; as its tokens no longer count, more may go the next time.
+    """
+    while True:
+        large = members.groupBy("part").agg(F.sum("n").alias("tokens")).where(F.col("tokens") > most).select("part")
+        inside = materialize(members.join(large, "part", "left_semi").select("cls", "key", "n"))
+        before = inside.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not before:
+            return members
+        parts = _tasks(before * min(1, 2 * (rule.q - rule.p) / rule.q))
+        seen = _looked_at(_sifted(texts, _marks(inside.select("key"))), rule, parts)
+        alone = in_arrow(seen.repartitionById(parts, F.col("part").cast("int")), _alone, "cls long, alone long").groupBy("cls").agg(F.sum("alone").alias("alone"))
+        met = inside.join(alone, "cls", "left").where(rule.q * F.coalesce("alone", F.lit(0)) <= (rule.q - rule.p) * F.col("n"))
+        left = materialize(met.select("cls", "key", "n"))
+        after = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if after > 0.9 * before:  # near copies, in the main
+            return members
+        again = _placed(_sifted(texts, _marks(left.select("key"))), left, rule, hot, after)
+        members = materialize(members.join(large, "part", "left_anti").unionByName(again.select(*members.columns)))
+
+
 def _labelled(docs: DataFrame, doc_id: str, text: str, rule: Rule, group_tokens: int, marked: bool = False) -> DataFrame:
     """(doc_id, n, mark, group) of every row of docs: rows of a component have the same group."""
     thin = materialize(_thin(docs, doc_id, text, rule, marked))
@@ -517,21 +606,17 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, rule: Rule, group_tokens:
     common = thin.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_SHARE * total)
     hot = [r[0] for r in common.orderBy(F.desc("n"), "cls").limit(HOT_MOST).select("cls").collect()]
 
-    share = 2.2 * (rule.q - rule.p) / rule.p  # slices a token, about
-    parts = max(1, int(n_tokens * share * 16 / SLICE_TASK_BYTES) + 1)
-    edges = in_arrow(_blocks(docs, doc_id, text, rule, hot, parts).repartitionById(parts, F.col("part").cast("int")), _shared_slices, "a long, b long")
-    similar = connected(edges)
-
+    texts = _keyed(docs, doc_id, text).select("key", "text")
     classes = rows.where("n > 0").groupBy("cls").agg(F.max("key").alias("key"), F.first("n").alias("n"))
-    named = classes.withColumn("node", F.shiftrightunsigned("cls", 64 - 8 * NAME_BYTES))
-    members = materialize(similar.select("node", F.col("root").alias("part")).join(named, "node").select("cls", "part", "key", "n"))
+    members = _apart(materialize(_placed(texts, classes, rule, hot, n_tokens)), texts, rule, hot, group_tokens)
     groups, dealt = _dealt(members, ["part"], group_tokens)
-    texts = _sifted(_keyed(docs, doc_id, text).select("key", "text"), _marks(members.select("key")))
-    candidates = texts.hint("shuffle_merge").join(groups, "key").select("part", "grp", "n", "cls", "text")
+    texts = _sifted(texts, _marks(members.select("key")))
+    candidates = texts.hint("shuffle_merge").join(groups, "key").select("part", "grp", "dealt", "n", "cls", "text")
     if dealt:
         candidates = materialize(candidates)
-    links = materialize(candidates.groupBy("part", "grp").applyInArrow(lambda t: _verify(t, rule), "a long, b long"))
+    links = materialize(candidates.drop("dealt").groupBy("part", "grp").applyInArrow(lambda t: _verify(t, rule), "a long, b long"))
     if dealt:
+        candidates = candidates.where("dealt")  # no other texts move again
         large = candidates.groupBy("part").agg(F.max("grp").alias("last")).where("last > 0").select("part")
         members = candidates.select("part", "grp", "n", "cls").distinct().join(large, "part")
         members = _rooted(members, connected(links))
@@ -558,7 +643,8 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     of rows that share both one stays. All columns stay as they are.
     """
     i, m = own("id"), own("mark")
-    rows = materialize(_labelled(docs, doc_id, text, rule, group_tokens, marked=True).where("n > 0").select(F.col("doc_id").alias(i), F.col("mark").alias(m), "group"))
+    with only_last(docs.sparkSession):
+        rows = materialize(_labelled(docs, doc_id, text, rule, group_tokens, marked=True).where("n > 0").select(F.col("doc_id").alias(i), F.col("mark").alias(m), "group"))
     # tables of their own, as in components
     first = materialize(rows.groupBy("group").agg(F.min(F.struct(F.col(i).isNull().alias("none"), F.col(i).alias("id"), F.col(m).alias("mark"))).alias("first")))
     is_first = F.col(i).eqNullSafe(F.col("first.id")) & (F.col(m) == F.col("first.mark"))

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import components, html_blocks, html_extract, jaccard, quality_model, quality_rules, repeats, textscan
-from tallyloom.llm.common import materialize
+from tallyloom.llm.common import clear_scratch, materialize
 from tallyloom.llm.queries import queries
 
 WHITE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,6 +95,42 @@ def test_one_partition_of_many_near_copies(spark):
         assert collections.Counter(map(tuple, got)) == brute_components(rows, rule)
 
 
+def passages_in_a_row(n):
+    """Texts of which each shares a passage with the next and one with the text before, every tenth with a near copy."""
+    passage = lambda i: [f"p{i}_{j}" for j in range(60)]
+    rows = [(i, " ".join([*passage(i), *[f"o{i}_{j}" for j in range(180)], *passage(i + 1)])) for i in range(n)]
+    return rows + [(n + i, f"{t} near{i}") for i, t in rows[::10]]
+
+
+def test_texts_that_share_passages_only_are_not_fetched(spark, monkeypatch):
+    """They all come to one partition by their slices; left in it, each would be held against the others."""
+    rows, seen, real = passages_in_a_row(200), [], jaccard._dealt
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard, "_dealt", lambda rows, by, most: seen.append(rows.count()) or real(rows, by, most))
+    got = jaccard.components(df, rule=jaccard.Rule(), group_tokens=500).collect()
+    assert collections.Counter(map(tuple, got)) == brute_components(rows, jaccard.Rule())
+    assert seen[0] <= 60, seen  # 20 texts and their near copies, and what their neighbours keep
+
+
+def test_near_duplicates_leave_one_scratch_table_a_step(spark):
+    """What only led to the groups is deleted when these are written; the rows stay the same."""
+    rows = passages_in_a_row(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    clear_scratch(spark)
+    kept = jaccard.drop_near_duplicates(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
+    assert clear_scratch(spark) <= 3
+
+
+def test_equal_edges_collapse_at_once(spark, monkeypatch):
+    """Each edge stands in many tasks of slices: one round brings equal edges together, and none go through propagation."""
+    pairs = [(2 * i, 2 * i + 1) for i in range(300)]
+    edges = spark.createDataFrame(pairs * 8, "a long, b long").repartition(8)
+    monkeypatch.setattr(components, "_propagated", lambda one: pytest.fail(f"{one.count()} edges are left"))
+    got = components.connected(edges, forest_edges=320).collect()
+    assert {r.node: r.root for r in got} == {x: a for a, b in pairs for x in (a, b)}
+
+
 def test_hot_slices_come_once_a_batch():
     cls = np.arange(1000)
     code = np.concatenate((np.full(1000, 7, np.uint64), np.arange(100, 1100, dtype=np.uint64)))
