@@ -78,14 +78,15 @@ def _term(name: str) -> str:
     return f"substr(CASE WHEN length(string_split({name}, ' ')[1]) < 3 THEN string_split({name}, ' ')[1] || ' ' || string_split({name}, ' ')[2] ELSE string_split({name}, ' ')[1] END, 1, 16)"
 
 
-def _candidates(items: str, k: int) -> str:
+def _candidates(items: str, k: int | None) -> str:
+    """k: rows of a term that are scored (None: all)."""
+    cut = "" if k is None else f"\n  QUALIFY row_number() OVER (PARTITION BY term ORDER BY tier, candidate_name, working_code) <= {k}"
     return f""",
 asked AS (SELECT icode, drug_name, {_norm("drug_name")} AS a, lower({_term("drug_name")}) AS term FROM {items}),
 hits AS (
   SELECT term, working_code, drug_name AS candidate_name, {_norm("drug_name")} AS b,
     CASE WHEN lower(working_code) = term THEN 0 WHEN starts_with(lower(working_code), term) THEN 1 ELSE 2 END AS tier
-  FROM (SELECT DISTINCT term FROM asked) JOIN catalog ON starts_with(lower(working_code), term) OR contains(lower(drug_name), term)
-  QUALIFY row_number() OVER (PARTITION BY term ORDER BY tier, candidate_name, working_code) <= {k}
+  FROM (SELECT DISTINCT term FROM asked) JOIN catalog ON starts_with(lower(working_code), term) OR contains(lower(drug_name), term){cut}
 ),
 scored AS (SELECT icode, asked.drug_name, working_code, candidate_name, {_score("a", "b")} AS score FROM asked JOIN hits USING (term)),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY icode ORDER BY score DESC, working_code) AS INT) AS rank FROM scored)"""
@@ -264,7 +265,7 @@ steps AS (
     CASE WHEN t = 0 THEN i + 1 ELSE least(costs[t + 1] + 1, costs[t] + CASE WHEN a[i + 1] = b[t] THEN 0 ELSE 1 END) - t END))) FROM steps WHERE i < len(a)
 )
 SELECT k, name_a, name_b, round(1.0::DOUBLE - costs[len(b) + 1] / greatest(len(a), len(b)), 6) AS score FROM steps JOIN pairs USING (k) WHERE i = len(a)""",
-    "suggest_candidates": f"{INPUTS}, named AS (SELECT icode, name AS drug_name FROM items){_candidates('named', TOP)} SELECT * REPLACE (round(score, 6) AS score) FROM ranked WHERE rank <= {TOP}",
+    "suggest_candidates": f"{INPUTS}, named AS (SELECT icode, name AS drug_name FROM items){_candidates('named', None)} SELECT * REPLACE (round(score, 6) AS score) FROM ranked WHERE rank <= {TOP}",
     "auto_match_preview": f"{INPUTS}, {_PAGE}, open_rows AS (SELECT icode, drug_name FROM listed WHERE status = 'unmapped'){_candidates('open_rows', 10)} SELECT icode, drug_name, working_code, candidate_name, round(score, 6) AS score FROM ranked WHERE rank = 1 AND score >= 0.6",
     "auto_match_default": f"{_NEAR} SELECT icode, drug_name, working_code, candidate_name, round(score, 6) AS score FROM ranked WHERE rank = 1 AND score >= 0.95",
     "auto_match_apply": f"""{_MATCHED}, new AS (SELECT icode, working_code, 'auto' AS match_method FROM ranked WHERE rank = 1 AND score >= 0.6),

@@ -253,6 +253,29 @@ def test_suggestions(spark):
     assert [(r.seq, r.icode, r.working_code, r.match_method) for r in matching.as_changes(matching.auto_match(page, catalog)).collect()] == [(1, "1", "W1", "auto")]
 
 
+def test_suggestions_come_from_all_rows_of_a_term(spark, monkeypatch):
+    """The best name is the last of 30 by name; equal names show the least codes; codes with several names show the best one."""
+    monkeypatch.setattr(matching, "ASKED_ROWS", 1)
+    rows = [(f"A{i:02}", f"tab {chr(97 + i % 26)}{i}x other") for i in range(29)] + [("Z9", "zz tab right"), ("A05", "tab zz right wrong")] + [(f"Q{i:02}", "tab same") for i in range(30)]
+    items = spark.createDataFrame([("1", "tab right zz"), ("2", "tab same"), ("3", "tab same"), ("4", "none")], "icode string, drug_name string")
+    catalog = spark.createDataFrame(rows, CATALOG)
+    got = {}
+    for r in matching.candidates(items, catalog, 10, exhaustive=True).orderBy("icode", "rank").collect():
+        got.setdefault(r.icode, []).append((r.working_code, r.candidate_name))
+    assert got["1"][:2] == [("Z9", "zz tab right"), ("A05", "tab zz right wrong")] and len(got["1"]) == 10
+    assert got["2"] == got["3"] == [(f"Q{i:02}", "tab same") for i in range(10)] and "4" not in got
+
+
+def test_suggest_candidates_scores_all_rows(spark):
+    from tallyloom.plans import queries
+    from tallyloom.sources.tables import Inputs
+
+    items = spark.createDataFrame([("1", "tab right zz")], ITEMS)
+    catalog = spark.createDataFrame([(f"A{i:02}", f"tab a{i}") for i in range(12)] + [("Z", "zz tab right")], CATALOG)
+    x = Inputs(**{f: {"items": items, "catalog": catalog}.get(f) for f in Inputs.__dataclass_fields__})
+    assert queries.suggest_candidates(x).where("rank = 1").first().working_code == "Z"
+
+
 def test_search_takes_terms_as_plain_text(spark):
     items = spark.createDataFrame([("1", "50% dextrose"), ("2", "a_b"), ("3", "aXb"), ("4", None), ("5", "")], ITEMS)
     assert [r.icode for r in search.search_items(items, "0%").collect()] == ["1"]
